@@ -1,12 +1,16 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from loomgraph.llm import exact, simhash
+from loomgraph.llm import chat, exact, mixing, simhash
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLE = {
+    "op3_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
 }
