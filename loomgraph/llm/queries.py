@@ -1,11 +1,13 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from loomgraph.llm import chat, exact, mixing, simhash
+from loomgraph.llm import chat, exact, licenses, mixing, ordermin, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_simhash_components": simhash.op5_simhash_components,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_order_minhash": ordermin.op7_order_minhash,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
