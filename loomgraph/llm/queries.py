@@ -1,9 +1,10 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from loomgraph.llm import chat, exact, licenses, mixing, ordermin, pii, simhash
+from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, pii, simhash
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
+    "op2_language_id": langid.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_simhash_components": simhash.op5_simhash_components,
