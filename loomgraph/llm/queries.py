@@ -1,6 +1,6 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, pii, simhash
+from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, simhash
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash_components": simhash.op5_simhash_components,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_order_minhash": ordermin.op7_order_minhash,
+    "op8_packing": packing.op8_packing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
