@@ -1,6 +1,6 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
-from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, simhash
+from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, repeats, simhash
 
 QUERIES = {
     "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_order_minhash": ordermin.op7_order_minhash,
     "op8_packing": packing.op8_packing,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
