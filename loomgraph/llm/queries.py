@@ -1,8 +1,10 @@
 """The corpus queries by name, and DuckDB SQL for those that SQL can express."""
 
+import corpus_pipeline
 from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, repeats, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii_pseudonyms": pii.op1_pii_pseudonyms,
     "op2_language_id": langid.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
