@@ -1,4 +1,8 @@
 """The registered graph queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomgraph.plans import samples, structures
+
+_MODULES = (samples, structures)
+
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
