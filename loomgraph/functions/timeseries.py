@@ -24,7 +24,11 @@ def calendar(t: Column) -> dict[str, Column]:
 def calendar_columns(df: DataFrame, column: str, is_array: bool = False) -> DataFrame:
     if not is_array:
         return df.withColumns({f"{column}_{p}": c for p, c in calendar(F.col(column)).items()})
-    return df.withColumns({f"{column}_{p}": F.transform(column, lambda t, p=p: calendar(t)[p]) for p in PARTS})
+    return df.withColumns({f"{column}_{p}": F.transform(column, _part(p)) for p in PARTS})
+
+
+def _part(name: str):
+    return lambda t: calendar(t)[name]
 
 
 def seed_delta(time: Column, seed_time: Column, mask: Column | None = None, fill: int = 0) -> Column:
@@ -74,4 +78,4 @@ def masked_mean(values: Column, mask: Column) -> Column:
 def series(df: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
     """Rows of events as one row a key with arrays ordered by time."""
     g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, *values))).alias("__s"))
-    return g.select(key, *[F.transform("__s", lambda s, c=c: s[c]).alias(c) for c in (time, *values)])
+    return g.select(key, *[F.col(f"__s.{c}").alias(c) for c in (time, *values)])

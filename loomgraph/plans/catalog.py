@@ -1,8 +1,8 @@
 """The registered graph queries and their oracle SQL."""
 
-from loomgraph.plans import samples, structures
+from loomgraph.plans import features, figures, learning, samples, structures
 
-_MODULES = (samples, structures)
+_MODULES = (samples, structures, figures, features, learning)
 
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -233,10 +233,10 @@ JOIN l s ON s.seed = h2.seed AND s.node_set = 'orders' AND s.node = CAST(h2.a AS
 SELECT 'node' AS kind, idx AS a, id AS b FROM p UNION ALL
 SELECT 'edge', idx, idx FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN p ON p.id = l_partkey""",
     "filter_samples": f"""WITH {_FIRST} {_NODES},
-c AS (SELECT seed, count(*) AS n, count(*) FILTER (WHERE node_set = 'part') AS parts, coalesce(bool_or(p_brand = 'Brand#11'), false) AS has_any, coalesce(bool_and(p_brand = 'Brand#11'), true) AS has_all
+k AS (SELECT seed, count(*) AS n, count(*) FILTER (WHERE node_set = 'part') AS parts, coalesce(bool_or(p_brand = 'Brand#11'), false) AS has_any, coalesce(bool_and(p_brand = 'Brand#11'), true) AS has_all
   FROM n LEFT JOIN part ON node_set = 'part' AND node = CAST(p_partkey AS VARCHAR) GROUP BY seed)
-SELECT seed, 'few_parts' AS name FROM c WHERE parts >= 1 AND parts < 4 UNION ALL SELECT seed, 'large' FROM c WHERE n >= 8
-UNION ALL SELECT seed, 'any_brand' FROM c WHERE has_any UNION ALL SELECT seed, 'all_brand' FROM c WHERE has_all""",
+SELECT seed, 'few_parts' AS name FROM k WHERE parts >= 1 AND parts < 4 UNION ALL SELECT seed, 'large' FROM k WHERE n >= 8
+UNION ALL SELECT seed, 'any_brand' FROM k WHERE has_any UNION ALL SELECT seed, 'all_brand' FROM k WHERE has_all""",
     "filter_schema": """SELECT * FROM (VALUES ('customer', 'node', 'id'), ('customer', 'node', 'acctbal'), ('orders', 'node', 'id'), ('part', 'node', 'id'), ('supplier', 'node', 'id'), ('supplier', 'node', 'acctbal'), ('region', 'node', 'id'),
 ('placed', 'edge', 'source'), ('placed', 'edge', 'target'), ('placed', 'edge', 'ts'), ('contains', 'edge', 'source'), ('contains', 'edge', 'target'), ('contains', 'edge', 'ekey'), ('contains', 'edge', 'ts'), ('contains', 'edge', 'quantity'), ('contains', 'edge', 'price'), ('contains', 'edge', 'discount'),
 ('supplied_by', 'edge', 'source'), ('supplied_by', 'edge', 'target')) t(name, kind, feature)""",
