@@ -108,7 +108,7 @@ _SOFT = """q AS (SELECT DISTINCT unnest(quantile_cont({c}, [i / {k}.0 for i in r
 b AS (SELECT row_number() OVER (ORDER BY p) - 1 AS k, p AS lo, lead(p) OVER (ORDER BY p) AS hi, count(*) OVER () AS n FROM q),
 f AS (SELECT {i} AS id, {c} AS x, greatest(0, (SELECT max(k) FROM b WHERE lo <= {c} AND hi IS NOT NULL)) AS k FROM {t})"""
 _PERM = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(vec.permutations(8)))
-_S = "WITH e AS (SELECT user_id, event_id, value, epoch(ts)::BIGINT AS t FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, value, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)"
+_S = "WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) // 1000000 AS t FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, value, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e)"
 
 ORACLE = {
     "dictionary_index": """WITH c AS (SELECT p_brand AS v, row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS i FROM part GROUP BY 1), d AS (SELECT * FROM c WHERE i < 20)
