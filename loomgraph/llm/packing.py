@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -18,8 +20,8 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length are counted in this many salted parts.
 SALTS = 64
-#: Distinct white-space separated words whose ids a Python worker keeps.
-_CACHE = 400_000
+#: Words, and parts of words, whose ids a Python worker keeps.
+_CACHE = 200_000
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -29,32 +31,67 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) if b in shown else chr(256 + n) for n, b in enumerate([*[x for x in range(256) if x not in shown], *shown])}
+
+
+class _Memo(dict):
+    """Results of a function; the first ``room`` of them are kept, later ones are made anew."""
+
+    def __init__(self, make, room: int):
+        self.make, self.room = make, room
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.room:
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of whole texts.  The vocabulary splits at white space before anything else, so each
-    distinct word is encoded by the tokenizer once and the ids of a text are its words' ids joined."""
+    """Ids of whole texts by the tokenizer, word by word.
+
+    The vocabulary splits at white space before anything else, so the ids of a text
+    are its words' ids joined.  Ids of the first words met, which the frequent ones are among, are
+    kept.  Other words made of Latin letters and punctuation are cut as the
+    tokenizer's own rules cut them and go straight to its BPE model; all others pass
+    through the whole tokenizer.
+    """
 
-    def __init__(self, path: str):
+    _plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)+")
+    _parts = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+    _other_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+    def __init__(self, path: str, cache: int = _CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.raw = [np.array([i], self.kind).tobytes() for i in range(size)]
+        self.end = self.raw[END_ID]
+        self.letters = {chr(b): c for b, c in _byte_letters().items()}
+        self.table = str.maketrans(self.letters)
+        self.words = _Memo(self._word, cache)
+        self.pieces = _Memo(self._piece, cache)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if self._plain.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, self._parts.findall(word.lower())))
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def ids(self, text: str) -> np.ndarray:
-        """The text's ids as little-endian unsigned 16-bit numbers, then END_ID."""
-        words = text.translate(_SPACES).split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u2").tobytes()
-        joined = b"".join([known[w] for w in words])
-        return np.frombuffer(joined + END_ID.to_bytes(2, "little"), "<u2")
+        """The text's ids, then END_ID."""
+        words = text.translate(_SPACES).split(" ") if self._other_space.search(text) else text.split()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)) + self.end, self.kind)
 
 
 @dataclass
@@ -207,14 +244,15 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     Repeated rows are packed each by itself; an empty table gives no row.
     """
     path = path or tokenizer_path()
+    kind = Encoder(path).kind
     schema = "id long, ids binary, rest int, full int"
 
     def encode(batches):
         encoder = Encoder(path)
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                ids = [encoder.ids(t or "") for t in texts[at : at + 500]]
+            keys = b.column(0)
+            for at in range(0, b.num_rows, 500):
+                ids = [encoder.ids(t or "") for t in b.column(1).slice(at, 500).to_pylist()]
                 sizes = np.array([len(i) for i in ids])
                 yield pa.record_batch(
                     [keys.slice(at, 500), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array((sizes % window).astype(np.int32)), pa.array((sizes // window).astype(np.int32))],
@@ -243,10 +281,10 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     def place(batches):
         base, made = layout.value
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = []
             for doc, raw, rest, salt, rank, ahead in zip(*[c.to_pylist() for c in b.columns]):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                ids = np.frombuffer(raw, kind).astype("<u4")
                 first_rank, first_full = base[rest, salt]
                 pieces = [(w * window, window, first_full + ahead + w, 0) for w in range(len(ids) // window)]
                 if rest:
