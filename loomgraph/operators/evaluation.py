@@ -46,10 +46,10 @@ def ranking(df: DataFrame, query: str, score: str, positive: str) -> DataFrame:
 
     Ties take the middle rank; hits among ties count in part.
     """
-    pos = df.where(F.col(positive)).select(query, F.col(score).alias("s"))
-    neg = df.where(~F.col(positive)).select(F.col(query).alias("q"), F.col(score).alias("x"))
-    j = pos.join(neg, pos[query] == neg["q"]).groupBy(query, "s").agg(
-        F.sum(F.when(F.col("x") > F.col("s"), 1).otherwise(0)).alias("above"), F.sum(F.when(F.col("x") == F.col("s"), 1).otherwise(0)).alias("equal"), F.count("*").alias("n")
+    pos = df.where(F.col(positive)).select(query, F.col(score).alias("__s"))
+    neg = df.where(~F.col(positive)).select(F.col(query).alias("__q"), F.col(score).alias("__x"))
+    j = pos.join(neg, pos[query] == neg["__q"]).groupBy(query, "__s").agg(
+        F.sum(F.when(F.col("__x") > F.col("__s"), 1).otherwise(0)).alias("above"), F.sum(F.when(F.col("__x") == F.col("__s"), 1).otherwise(0)).alias("equal"), F.count("*").alias("n")
     )
     hit = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(k) - F.col("above")) / (F.col("equal") + 1)))
     auc = (F.col("n") - F.col("above") - F.col("equal") + 0.5 * F.col("equal")) / F.col("n")
