@@ -40,8 +40,8 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees: ``nodes(tree, node long, parent long, score long)``.
 
     Iterative self-joins double the reach of each node's ancestor pointer, so a
-    chain of n replies takes log2(n) rounds; each round also adds up depth and
-    score.  A leaf's path score is the sum along its path, and the ``branches`` best
+    chain of n replies takes log2(n) rounds, and nodes that have reached their root sit out;
+    each round also adds up depth and score.  A leaf's path score is the sum along its path, and the ``branches`` best
     leaves of each root (ties: smallest leaf) are kept.  Their paths are then marked
     from the leaf upward through the same pointers, longest first.
 
@@ -54,29 +54,28 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     now = cut(up.select("tree", "node", F.col("p").alias("up"), F.coalesce("score", F.lit(0)).cast("long").alias("total"), F.lit(1).alias("depth"), F.col("node").alias("top")))
     levels, bound = [], depth_bound(now.count())
     while now.where(F.col("up").isNotNull()).limit(1).count() and len(levels) <= bound:
-        levels.append(now.select("tree", "node", "up"))
-        a, b = now.alias("a"), now.alias("b")
+        levels.append(now.where(F.col("up").isNotNull()).select("tree", "node", "up"))
+        a, b = now.where(F.col("up").isNotNull()).alias("a"), now.alias("b")
         joined = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
-        now = cut(
-            joined.select(
-                "a.tree",
-                "a.node",
-                "b.up",
-                (F.col("a.total") + F.coalesce("b.total", F.lit(0))).alias("total"),
-                (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-                F.coalesce("b.top", "a.top").alias("top"),
-            )
+        further = joined.select(
+            "a.tree",
+            "a.node",
+            "b.up",
+            (F.col("a.total") + F.coalesce("b.total", F.lit(0))).alias("total"),
+            (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
+            F.coalesce("b.top", "a.top").alias("top"),
         )
+        now = cut(now.where(F.col("up").isNull()).union(further))
     rooted = now.where(F.col("up").isNull())
     parents = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["p"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree", "top").orderBy(F.desc("total"), "node"))
     chosen = leaves.select("tree", F.col("node").alias("leaf"), "node", F.col("total").alias("path_score"), rank.alias("branch"))
-    marked = chosen.where(F.col("branch") <= branches)
+    marked = cut(chosen.where(F.col("branch") <= branches))
     for level in reversed(levels):
         m, j = marked.alias("m"), level.alias("j")
-        above = m.join(j, F.col("m.tree").eqNullSafe(F.col("j.tree")) & (F.col("m.node") == F.col("j.node")) & F.col("j.up").isNotNull())
-        marked = marked.union(above.select("m.tree", "m.leaf", F.col("j.up").alias("node"), "m.path_score", "m.branch"))
+        above = m.join(j, F.col("m.tree").eqNullSafe(F.col("j.tree")) & (F.col("m.node") == F.col("j.node")))
+        marked = cut(marked.union(above.select("m.tree", "m.leaf", F.col("j.up").alias("node"), "m.path_score", "m.branch")))
     m, r = marked.alias("m"), rooted.alias("r")
     placed = m.join(r, F.col("m.tree").eqNullSafe(F.col("r.tree")) & (F.col("m.node") == F.col("r.node")))
     return placed.select("m.tree", "m.leaf", "m.node", "r.depth", "m.path_score", "m.branch")
