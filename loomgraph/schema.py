@@ -78,7 +78,7 @@ class GraphSchema:
     # -- text form -------------------------------------------------------------
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), indent=2, sort_keys=True)
+        return json.dumps(asdict(self), indent=2)
 
     @staticmethod
     def from_json(text: str) -> GraphSchema:
