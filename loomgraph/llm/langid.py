@@ -15,6 +15,8 @@ from loomgraph.llm.shared import documents, free_names
 
 #: Most labelled texts per language that the centroids are fitted on.
 SAMPLE = 600
+#: Most different labels; their counts are held on the driver.
+LANGUAGES = 1000
 #: Centroids per language, hashed n-gram dimensions.
 CENTROIDS = 4
 DIMENSIONS = 4096
@@ -58,18 +60,16 @@ def _counts(data: np.ndarray, ends: np.ndarray, dimensions: int) -> np.ndarray:
     out = np.zeros(rows * dimensions, np.float32)
     for first in range(0, rows):
         lo, hi = int(ends[first]), int(ends[first + 1])
-        for at in range(lo, hi, _BYTES):
-            b = _FOLD[data[at : min(hi, at + _BYTES + 2)]].astype(np.uint32)
-            if at == lo:
-                b = np.concatenate(([np.uint32(32)], b))
-            if at + _BYTES >= hi:
-                b = np.concatenate((b, [np.uint32(32)]))
+        for at in range(lo - 1, hi, _BYTES):  # the text stands between two spaces
+            b = _FOLD[data[max(lo, at) : min(hi, at + _BYTES + 2)]].astype(np.uint32)
+            b = np.pad(b, (int(at < lo), int(at + _BYTES + 2 > hi)), constant_values=32)
             space = b == 32
             pair = b[:-1] * np.uint32(257) + b[1:]
             fine = ~(space[:-1] & space[1:])
+            fine[_BYTES:] = False
             bins = ((pair[fine] * np.uint32(2654435761)) >> np.uint32(17)) % dimensions
             three = pair[:-1] * np.uint32(8191) + b[2:]
-            fine = fine[:-1] & ~space[1:-1]
+            fine = (fine[:-1] & ~space[1:-1])[: len(three)]
             more = ((three[fine] * np.uint32(2246822519)) >> np.uint32(15)) % dimensions
             row = out[first * dimensions : (first + 1) * dimensions]
             row += np.bincount(bins, minlength=dimensions)
@@ -139,8 +139,13 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str, sample: int
     spread = F.conv(F.substring(F.md5(F.concat(F.lit("sample|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
     rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~_held_out(F.col(key)))
     rows = rows.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), spread.alias("place"))
-    sizes = rows.groupBy("lang").count().select("lang", (F.lit(2.0**33 * sample) / F.col("count") + 2.0**26).alias("upto"))
-    close = rows.join(sizes, "lang").where(F.col("place") < F.col("upto"))
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different labels")
+    if not sizes:
+        return rows.select("lang", "text")
+    upto = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 2.0**33 * sample / r["count"] + 2.0**26)])
+    close = rows.where(F.col("place") < F.element_at(upto, F.col("lang")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
     return close.withColumn("nth", nth).where(F.col("nth") <= sample).select("lang", "text")
 
