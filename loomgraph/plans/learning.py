@@ -77,7 +77,7 @@ def gin_propagate(spark, sf_dir):
 def mean_pool(spark, sf_dir):
     g = trade_graph(spark, sf_dir)
     out = pr.pool(g.edges["placed"].select(F.col("target").alias("source"), F.col("source").alias("target")), g.nodes["orders"].select("id", F.col("totalprice").alias("x")))
-    return out.select("id", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"), "high")
+    return out.select("id", F.round("total", 4).alias("total"), F.round("mean", 7).alias("mean"), "high")
 
 
 def attention_pool(spark, sf_dir):
@@ -133,7 +133,7 @@ SELECT count(*) AS n, round(sqrt(sum(d * d) / count(*)), 4) AS rmse, round(1 - s
 SELECT a.u AS id, round(sum(x.x / sqrt(dv.d)) / sqrt(any_value(du.d)), 5) AS y FROM a JOIN x ON x.id = a.v JOIN d dv ON dv.id = a.v JOIN d du ON du.id = a.u GROUP BY a.u""",
     "gin_propagate": f"""WITH {_X}, a AS (SELECT s AS u, t AS v FROM e UNION ALL SELECT t, s FROM e), n AS (SELECT u, sum(x) AS s FROM a JOIN x ON id = v GROUP BY u)
 SELECT id, round(coalesce(s, 0) + x * 1.5::DOUBLE, 4) AS y FROM x LEFT JOIN n ON u = id""",
-    "mean_pool": "SELECT o_custkey AS id, round(sum(o_totalprice), 4) AS total, round(avg(o_totalprice), 4) AS mean, max(o_totalprice) AS high FROM orders GROUP BY 1",
+    "mean_pool": "SELECT o_custkey AS id, round(sum(o_totalprice), 4) AS total, round(avg(o_totalprice), 7) AS mean, max(o_totalprice) AS high FROM orders GROUP BY 1",
     "attention_pool": "SELECT l_partkey AS id, round(sum(exp(l_quantity / 10) * o_totalprice) / sum(exp(l_quantity / 10)), 4) AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "incidence_pool": """SELECT l_orderkey AS id, sum(l_quantity) AS outgoing, 0.0::DOUBLE AS incoming FROM lineitem GROUP BY 1
 UNION ALL SELECT l_partkey + 1000000000, 0.0, sum(l_quantity) FROM lineitem GROUP BY 1""",
