@@ -176,3 +176,30 @@ def words_of(text: str | None) -> list[str]:
 
 def op6_license_scan(spark, sf_dir):
     return license_scan(documents(spark, sf_dir))
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The scan in DuckDB SQL: phrases by position, notices by counting words in the same windows."""
+    width = 2 * max(len(t.split()) for _, t in TEMPLATES)
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    places, parts = [], []
+    for i, p in enumerate(PHRASES):
+        q = p.split()
+        places.append(f"list_filter(range(0, len(w) - {len(q) - 1}), lambda i: w[i + 1:i + {len(q)}] = {quoted(q)}) AS p{i}")
+    for i, (_, t) in enumerate(TEMPLATES):
+        q = sorted(set(t.split()))
+        need = max(1, math.ceil(threshold * len(q) - 1e-9))
+        parts.append(f"(SELECT CASE WHEN m >= {need} THEN m / {len(q)}::DOUBLE ELSE 0 END FROM (SELECT coalesce(list_max(list_transform(b, lambda x: len(list_intersect(x, {quoted(q)})))), 0) AS m)) AS t{i}")
+    n, k = len(PHRASES), len(TEMPLATES)
+    base = "list_filter([" + ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES.values())) + "], lambda x: x IS NOT NULL)"
+    method = "list_filter([" + ", ".join(f"CASE WHEN t{i} > 0 THEN '{label}' END" for i, (label, _) in enumerate(TEMPLATES)) + "], lambda x: x IS NOT NULL)"
+    every = "list_concat(" + ", ".join(f"p{i}" for i in range(n)) + ")"
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BREAK}'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT doc_id, w, list_transform(range(0, greatest(0, len(w) - {width // 2} - 1) + 1, {width // 2}), lambda i: w[i + 1:i + {width}]) AS b FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, {', '.join(places)}, {', '.join(parts)} FROM b),
+l AS (SELECT *, {every} AS every, {base} AS base, {method} AS method FROM p)
+SELECT doc_id, n_words, len(every) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, method))), ',') AS labels,
+       CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE greatest({', '.join(f't{i}' for i in range(k))}) END AS score
+FROM l"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op3_mixing": mixing.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op6_license_scan": licenses.oracle_sql(),
     "op10_chat_formatting": chat.ORACLE,
 }
