@@ -25,7 +25,7 @@ ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d]|-\d)"
 DAY_DATE = r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d]|[./]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"
-PHONE = r"(?<![\d])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\d])"
+PHONE = r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])"
 
 _ANY = "|".join(p.replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>") for p in (EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD))
 #: Dates from 1900-01-01 up to and without 2100-01-01 are 17 * 4297 days.
@@ -118,14 +118,22 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Area code, exchange and line; area code and exchange never start with 0 or 1."""
+    """Area code, exchange and line, permuted inside one of three classes that make up all ten-digit numbers.
+
+    Area codes and exchanges that don't start with 0 or 1 stay so; numbers with an
+    area code below 200, and others with an exchange below 200, stay among themselves.
+    """
 
     def change(d: Column) -> Column:
-        n = F.length(d)
-        at = n - 10
+        at = F.length(d) - 10
         area, office, line = _number(d, at + 1, 3), _number(d, at + 4, 3), _number(d, at + 7, 4)
-        moved = feistel(area - 200, (office - 200) * 10000 + line, 800, 8_000_000, key, "phone")
-        new = _let(moved, lambda m: F.concat((m["a"] + 200).cast("string"), _padded(m["b"] + 2_000_000, 7)))
+        low_area, low_office = area < 200, office < 200
+        first = F.when(low_area, 0).otherwise(200)
+        second = F.when(low_area | low_office, 0).otherwise(200)
+        areas = F.when(low_area, 200).otherwise(800)
+        offices = F.when(low_area, 1000).when(low_office, 200).otherwise(800)
+        moved = feistel(area - first, (office - second) * 10_000 + line, areas, offices * 10_000, key, "phone")
+        new = _let(moved, lambda m: F.concat(_padded(m["a"] + first, 3), _padded(m["b"] + second * 10_000, 7)))
         return _refill(value, F.concat(F.substring(d, F.lit(1), at), new))
 
     return _let(_digits(value), change)

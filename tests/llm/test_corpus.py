@@ -519,6 +519,13 @@ def test_pseudonyms(spark):
     assert ".".join(reversed(iso.split("-"))) in out[1]
 
 
+def test_phones_of_every_class_change_one_to_one(spark):
+    d = spark.range(3000).select(F.format_string("+1 (%03d) %03d-%04d", F.col("id") * 7 % 1000, F.col("id") * 13 % 1000, F.col("id")).alias("v"))
+    got = [(r["v"], r["p"]) for r in d.select("v", pii.pseudonym(F.col("v")).alias("p")).collect()]
+    assert len({p for _, p in got}) == 3000 and sum(v == p for v, p in got) <= 1
+    assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) and (v[4] in "01") == (p[4] in "01") for v, p in got)
+
+
 @pytest.mark.parametrize(("na", "nb"), [(7, 13), (10, 100), (17, 30)])
 def test_feistel_is_a_permutation(spark, na, nb):
     d = spark.range(na * nb).select(pii.feistel(F.floor(F.col("id") / nb), F.col("id") % nb, na, nb, "k", "t").alias("p"))
