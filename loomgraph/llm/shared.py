@@ -50,13 +50,14 @@ def one_row_each(docs: DataFrame, winners: DataFrame, keys: dict[str, Column], t
     match nulls.  Of several rows with one key the smallest text stays.  The
     columns of ``docs`` come back unchanged.
     """
-    names = free_names(docs, *keys, "nth")
-    held = docs.withColumns(dict(zip(names, keys.values())))
-    picked = winners.select(*[F.col(c).alias(f"w{i}") for i, c in enumerate(keys)])
-    match = [held[n].eqNullSafe(picked[f"w{i}"]) for i, n in enumerate(names[:-1])]
-    semi = held.join(picked, match, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(*names[:-1]).orderBy(F.col(text)))
-    return semi.withColumn(names[-1], nth).where(F.col(names[-1]) == 1).drop(*names)
+    *names, nth = free_names(docs, *[f"{c}_{part}" for c in keys for part in ("value", "void")], "nth")
+    blank = {c: F.lit("" if kind == "string" else 0).cast(kind) for c, kind in winners.dtypes}
+    plain = lambda c, e: (F.coalesce(e, blank[c]), e.isNull())  # noqa: E731  nulls match as a value and a mark
+    held = docs.withColumns(dict(zip(names, [x for c, e in keys.items() for x in plain(c, e)])))
+    won = winners.select(*[x.alias(f"w{i}") for i, x in enumerate(x for c in keys for x in plain(c, F.col(c)))])
+    semi = held.join(won, [held[n] == won[f"w{i}"] for i, n in enumerate(names)], "left_semi")
+    order = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(text)))  # on the partitioning of the join
+    return semi.withColumn(nth, order).where(F.col(nth) == 1).drop(*names, nth)
 
 
 def components(edges: DataFrame) -> DataFrame:
