@@ -9,16 +9,18 @@ suffixes sorted, which puts equal strings side by side.
 from __future__ import annotations
 
 import hashlib
+import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import cut, documents
+from loomgraph.llm.shared import documents
 
 LENGTH = 50
 ANCHOR = 20
@@ -27,7 +29,7 @@ SHALLOW = 16
 #: Bits of the table of anchors that occur twice; a collision only costs work.
 TABLE_BITS = 27
 #: Text bytes for each part that anchors and strings are gathered in.
-PART_BYTES = 24 << 20
+PART_BYTES = 6 << 20
 _CHUNK = 24 << 20
 _OTHER = (1 << 63) - 1
 
@@ -187,7 +189,9 @@ def strings(data: np.ndarray) -> Strings:
     new = np.concatenate(([True], best[1:] != best[:-1]))
     first = np.nonzero(new)[0]
     last = np.concatenate((first[1:] - 1, [n - 1]))
-    return Strings(first, last, best[first])
+    chosen = best[first] * np.uint64(0xFF51AFD7ED558CCD)  # smallest hashes are small; spread them over the whole range again
+    chosen ^= chosen >> np.uint64(32)
+    return Strings(first, last, chosen * np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def _texts(column: pa.Array):
@@ -212,10 +216,11 @@ def _chunks(data: np.ndarray):
 def _table(docs: DataFrame, parts: int, bits: int) -> bytes:
     """A bit for each anchor hash range that occurs in two documents.
 
-    Tasks send the distinct anchors of what they have read, with a mark for those
-    seen in two documents already, to the part that owns the hash range; a passage that very many documents
-    share comes once from each flush.  A part answers with its slice of the table, so
-    what reaches the driver has the table's size whatever the corpus holds.
+    Tasks send the distinct anchors of what they have read to the part that owns the
+    hash range, as 32-bit numbers inside it, those seen in two documents already
+    twice.  A passage that very many documents share comes twice from each flush, not
+    once per document.  A part answers with its slice of the table, so what reaches the driver has the
+    table's size whatever the corpus holds.
     """
 
     def gather(batches):
@@ -224,96 +229,132 @@ def _table(docs: DataFrame, parts: int, bits: int) -> bytes:
         def flush():
             h = np.concatenate(held)
             h.sort()
-            again = np.concatenate(((h[1:] == h[:-1]), [False]))
-            keep = np.concatenate(([True], h[1:] != h[:-1]))
-            twice = np.isin(h[keep], h[again], assume_unique=False) if again.any() else np.zeros(int(keep.sum()), bool)
-            h = (h[keep] & ~np.uint64(1)) | twice.astype(np.uint64)
-            part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            again = np.concatenate(([False], h[1:] == h[:-1]))
+            third = again & np.concatenate(([False], again[:-1]))
+            h = h[~third]
+            scaled = (h >> np.uint64(32)) * np.uint64(parts)
+            part = scaled >> np.uint64(32)
+            inside = ((scaled & np.uint64(0xFFFFFFFF)) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32))).astype(np.uint32)
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             some = np.nonzero(cuts[1:] > cuts[:-1])[0]
-            return pa.record_batch([pa.array(some.astype(np.int32)), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "anchors"])
+            blobs = [inside[cuts[p] : cuts[p + 1]].tobytes() for p in some]
+            return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "anchors"])
 
         for b in batches:
             for _, data in _texts(b.column(0)):
-                mine = [strings(piece).anchor for _, piece in _chunks(data)]
-                held.append(np.unique(np.concatenate(mine)))
+                held.append(np.unique(np.concatenate([strings(piece).anchor for _, piece in _chunks(data)])))
                 size += len(held[-1]) * 8
-                if size > 32 << 20:
+                if size > 16 << 20:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(a, np.uint64) for a in frame["anchors"]])
+        h = np.concatenate([np.frombuffer(a, np.uint32) for a in frame["anchors"]])
         h.sort()
-        same = (h[1:] >> np.uint64(1)) == (h[:-1] >> np.uint64(1))
-        often = np.concatenate((h[1:][same], h[(h & np.uint64(1)) == 1]))
-        spots = np.unique(often >> np.uint64(64 - bits))
+        often = h[1:][h[1:] == h[:-1]].astype(np.uint64) + (np.uint64(frame["part"].iloc[0]) << np.uint64(32))
+        low, high = often << np.uint64(bits), (often + np.uint64(1)) << np.uint64(bits)  # hashes of a part are 1 / parts of all
+        spots = np.unique(np.concatenate(((low // np.uint64(parts)) >> np.uint64(32), ((high - np.uint64(1)) // np.uint64(parts)) >> np.uint64(32))))
         return pd.DataFrame({"spots": [spots.astype(np.uint32).tobytes()]})
 
     sent = docs.select("text").mapInArrow(gather, "part int, anchors binary")
     table = np.zeros(1 << bits, bool)
     for r in sent.groupBy("part").applyInPandas(decide, "spots binary").toLocalIterator():
-        table[np.frombuffer(r["spots"], np.uint32)] = True
+        table[np.minimum(np.frombuffer(r["spots"], np.uint32), (1 << bits) - 1)] = True
     return np.packbits(table, bitorder="little").tobytes()
 
 
+def _hits(batch, bitmap: np.ndarray, bits: int):
+    """(id, mark, place, anchor, bytes) of each run whose anchor may occur in two documents; null ids come last."""
+    ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for row, data in _texts(batch.column(2)):
+        i = _OTHER if ids[row] is None else ids[row]
+        for at, piece in _chunks(data):
+            runs = strings(piece)
+            spot = runs.anchor >> np.uint64(64 - bits)
+            hit = np.nonzero((bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)[0]
+            whole = piece.tobytes() if len(hit) else b""
+            for first, last, anchor in zip(runs.first[hit].tolist(), runs.last[hit].tolist(), runs.anchor[hit].tolist()):
+                yield i, marks[row], at + first, anchor, whole[first : last + LENGTH]
+
+
+def _content(raw: bytes) -> tuple[int, int]:
+    """A 128-bit digest of a run's bytes as two signed numbers."""
+    return struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest())
+
+
 def _covered(docs: DataFrame, parts: int, bits: int) -> DataFrame:
     """``(id, mark, spans)``: for each text with repeats, the runs of starts of strings that an earlier document has.
 
-    Texts are read again and the runs whose anchor is in the table are kept.  A
-    run's bytes are sent once per flush with the smallest id that has them; who else has them is a narrow row
-    (content, id, first).  The part that owns the anchor sorts all strings it got and
-    answers, for each content, the smallest id of each of its strings; that
-    is joined to the narrow rows by content.
+    Texts are read again and the runs whose anchor is in the table are looked at.
+    Each flush sends a run's bytes once, with the smallest id that has them, to the
+    part that owns the anchor.  The part sorts all strings it got and answers, for
+    each content, the smallest id of each of its strings.  Who has which content goes
+    as narrow rows that meet the answers in an equi-join, so a passage in very many
+    documents is never gathered in one task.
     """
     table = docs.sparkSession.sparkContext.broadcast(_table(docs, parts, bits))
 
-    def gather(batches):
+    def send(batches):
         bitmap = np.frombuffer(table.value, np.uint8)
-        names = ["part", "content", "id", "mark", "first", "bytes"]
-        seen: dict[bytes, tuple[int, int, bytes]] = {}
+        seen: dict[bytes, tuple[int, int]] = {}
         size = 0
 
         def flush():
-            rows = [(p, c, i, None, None, raw) for c, (i, p, raw) in seen.items()]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=names)
+            by: dict[int, list[tuple[int, bytes]]] = {}
+            for raw, (i, p) in seen.items():
+                by.setdefault(p, []).append((i, raw))
+            blobs = []
+            for rows in by.values():
+                ids = np.array([i for i, _ in rows], np.int64).tobytes()
+                sizes = np.array([len(raw) for _, raw in rows], np.uint32).tobytes()
+                body = struct.pack("<q", len(rows)) + ids + sizes + b"".join([raw for _, raw in rows])
+                blobs.append(zstandard.ZstdCompressor(level=1).compress(body))
+            return pa.record_batch([pa.array(list(by), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "runs"])
 
         for b in batches:
-            ids, marks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for row, data in _texts(b.column(2)):
-                i = _OTHER if ids[row] is None else ids[row]
-                for at, piece in _chunks(data):
-                    runs = strings(piece)
-                    spot = runs.anchor >> np.uint64(64 - bits)
-                    hit = np.nonzero((bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)[0]
-                    for first, last, anchor in zip(runs.first[hit].tolist(), runs.last[hit].tolist(), runs.anchor[hit].tolist()):
-                        raw = piece[first : last + LENGTH].tobytes()
-                        content = hashlib.blake2b(raw, digest_size=16).digest()
-                        out.append((None, content, i, marks[row], at + first, None))
-                        known = seen.get(content)
-                        if known is None:
-                            seen[content] = (i, (anchor >> 32) * parts >> 32, raw)
-                            size += len(raw) + 200
-                        elif i < known[0]:
-                            seen[content] = (i, known[1], known[2])
-                if len(out) > 50_000:
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)], names=names)
-                    out = []
-                if size > 64 << 20:
+            for i, _, _, anchor, raw in _hits(b, bitmap, bits):
+                known = seen.get(raw)
+                if known is None:
+                    seen[raw] = (i, (anchor >> 32) * parts >> 32)
+                    size += len(raw) + 200
+                elif i < known[0]:
+                    seen[raw] = (i, known[1])
+                if size > 32 << 20:
                     yield flush()
                     seen.clear()
                     size = 0
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)], names=names)
         if seen:
             yield flush()
 
+    def members(batches):
+        bitmap = np.frombuffer(table.value, np.uint8)
+        names = ["c1", "c2", "id", "mark", "first"]
+        for b in batches:
+            out = []
+            for i, mark, place, _, raw in _hits(b, bitmap, bits):
+                out.append((*_content(raw), i, mark, place))
+                if len(out) >= 50_000:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
     def smallest(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.groupby("content", sort=False).agg(id=("id", "min"), bytes=("bytes", "first")).reset_index()
-        raws = frame["bytes"].tolist()
+        known: dict[bytes, int] = {}
+        for blob in frame["runs"]:
+            body = zstandard.ZstdDecompressor().decompress(blob)
+            (n,) = struct.unpack_from("<q", body)
+            ids = np.frombuffer(body, np.int64, n, 8).tolist()
+            ends = 8 + 12 * n + np.cumsum(np.frombuffer(body, np.uint32, n, 8 + 8 * n).astype(np.int64))
+            at = 8 + 12 * n
+            for i, e in zip(ids, ends.tolist()):
+                raw = body[at:e]
+                at = e
+                if i < known.get(raw, _OTHER + 1):
+                    known[raw] = i
+        raws = list(known)
         sizes = np.array([len(r) for r in raws])
         data = np.frombuffer(b"".join(raws), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -321,24 +362,31 @@ def _covered(docs: DataFrame, parts: int, bits: int) -> DataFrame:
         owner = np.repeat(np.arange(len(raws)), counts)
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
         order, group = sort_suffixes(data, at, LENGTH)
-        ids = frame["id"].to_numpy()
+        ids = np.array([known[r] for r in raws], np.int64)
         low = np.full(int(group[-1]) + 1, _OTHER, np.int64)
         np.minimum.at(low, group, ids[owner[order]])
         answer = np.empty(len(at), np.int64)
         answer[order] = low[group]
         cuts = np.cumsum(counts)
-        return pd.DataFrame({"content": frame["content"], "low": [answer[b - n : b].tobytes() for b, n in zip(cuts, counts)]})
+        keys = [_content(r) for r in raws]
+        lows = [answer[b - n : b] for b, n in zip(cuts, counts)]
+        packed = [struct.pack("<i", len(x)) + (x[:1] if (x == x[0]).all() else x).tobytes() for x in lows]
+        return pd.DataFrame({"c1": [k[0] for k in keys], "c2": [k[1] for k in keys], "low": packed})
 
-    found = cut(docs.mapInArrow(gather, "part int, content binary, id long, mark long, first long, bytes binary"))
-    sent = found.where("bytes IS NOT NULL").select("part", "content", "id", "bytes")
-    answers = sent.groupBy("part").applyInPandas(smallest, "content binary, low binary")
-    mine = found.where("bytes IS NULL").select("content", "id", "mark", "first")
+    answers = docs.mapInArrow(send, "part int, runs binary").groupBy("part").applyInPandas(smallest, "c1 long, c2 long, low binary")
+    mine = docs.mapInArrow(members, "c1 long, c2 long, id long, mark long, first long")
 
     def earlier(batches):
         for b in batches:
             out = []
             for i, mark, first, low in zip(*[c.to_pylist() for c in b.columns]):
-                old = np.nonzero(np.frombuffer(low, np.int64) < i)[0]
+                (n,) = struct.unpack_from("<i", low)
+                lows = np.frombuffer(low, np.int64, -1, 4)
+                if len(lows) == 1:
+                    if lows[0] < i:
+                        out.append((i, mark, first, first + n - 1 + LENGTH))
+                    continue
+                old = np.nonzero(lows < i)[0]
                 if len(old):
                     edges = np.nonzero(np.diff(old) > 1)[0]
                     starts = np.concatenate((old[:1], old[edges + 1]))
@@ -346,11 +394,8 @@ def _covered(docs: DataFrame, parts: int, bits: int) -> DataFrame:
                     out += [(i, mark, first + s, first + e + LENGTH) for s, e in zip(starts.tolist(), ends.tolist())]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["id", "mark", "start", "stop"])
 
-    spans = mine.join(answers, "content").select("id", "mark", "first", "low").mapInArrow(earlier, "id long, mark long, start long, stop long")
-    return spans.distinct().groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-
-
-_TYPES = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    spans = mine.join(answers, ["c1", "c2"]).select("id", "mark", "first", "low").mapInArrow(earlier, "id long, mark long, start long, stop long")
+    return spans.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = TABLE_BITS, part_bytes: int = PART_BYTES) -> DataFrame:
