@@ -151,13 +151,31 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str, sample: int
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Centroids | None:
-    """Fit on the bounded sample; None if no row is labelled."""
-    rows = training_sample(docs, key, text, lang, sample).collect()
-    rows = sorted(((r["lang"], r["text"] or "") for r in rows))
+    """Fit on the bounded sample; None if no row is labelled.
+
+    The sample's texts are counted where they are; the driver gets at most
+    ``DIMENSIONS`` counts for each, however long they are.
+    """
+
+    def count(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                counts = _counts(*_utf8(pa.concat_arrays([part.column(1)])), DIMENSIONS)
+                spots = [np.nonzero(c)[0] for c in counts]
+                yield pa.record_batch(
+                    [part.column(0), pa.array([x.astype(np.uint16).tobytes() for x in spots], pa.binary()), pa.array([c[x].tobytes() for c, x in zip(counts, spots)], pa.binary())],
+                    names=["lang", "spots", "counts"],
+                )
+
+    rows = training_sample(docs, key, text, lang, sample).mapInArrow(count, "lang string, spots binary, counts binary").collect()
+    rows = sorted((r["lang"], bytes(r["spots"]), bytes(r["counts"])) for r in rows)
     if not rows:
         return None
-    data, ends = _utf8(pa.array([t for _, t in rows], pa.string()))
-    return fit([label for label, _ in rows], _counts(data, ends, DIMENSIONS))
+    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for row, (_, spots, n) in zip(counts, rows):
+        row[np.frombuffer(spots, np.uint16)] = np.frombuffer(n, np.float32)
+    return fit([label for label, _, _ in rows], counts)
 
 
 def predict(docs: DataFrame, model: Centroids | None, key: str = "doc_id", text: str = "text") -> DataFrame:
