@@ -26,11 +26,12 @@ def random_negatives(positives: DataFrame, targets: DataFrame, per_edge: int, sa
     return drawn.join(targets.select("idx", F.col("id").alias("negative")), "idx").select(SOURCE, TARGET, "k", "negative")
 
 
-def walk_negatives(seeds: DataFrame, hops: list[tuple[DataFrame, str, str]], positives: DataFrame, walks: int, top: int, salt: str = "walk") -> DataFrame:
+def walk_negatives(seeds: DataFrame, hops: list[tuple[DataFrame, str, str]], positives: DataFrame, walks: int, top: int, salt: str = "walk", fill: DataFrame | None = None) -> DataFrame:
     """``(seed, negative, visits, rank)``: nodes that random walks reach most, without true neighbours.
 
     ``hops`` are (edges, from column, to column).  Each walk takes a uniform neighbour
-    by digest; the most visited targets come first, ties by key.
+    by digest; the most visited targets come first, ties by key.  With ``fill(idx, id)``
+    the places left up to ``top`` get uniform targets with 0 visits, unchecked.
     """
     front = seeds.select("seed", F.col("seed").alias("node")).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
     for h, (edges, a, b) in enumerate(hops):
@@ -43,7 +44,14 @@ def walk_negatives(seeds: DataFrame, hops: list[tuple[DataFrame, str, str]], pos
     known = positives.select(F.col(SOURCE).alias("seed"), F.col(TARGET).alias("negative"))
     fresh = visits.join(known, ["seed", "negative"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("visits"), "negative"))
-    return fresh.withColumn("rank", rank).where(F.col("rank") <= top)
+    found = fresh.withColumn("rank", rank).where(F.col("rank") <= top)
+    if fill is None:
+        return found
+    places = seeds.select("seed", F.explode(F.sequence(F.lit(1), F.lit(top))).alias("rank"))
+    empty = places.join(found.select("seed", "rank"), ["seed", "rank"], "left_anti").join(F.broadcast(fill.agg(F.count("*").alias("n"))))
+    drawn = empty.withColumn("idx", hash_int(F.lit("fill"), F.col("seed"), F.col("rank"), salt=salt) % F.col("n"))
+    filled = drawn.join(fill.select("idx", F.col("id").alias("negative")), "idx").select("seed", "negative", F.lit(0).cast("long").alias("visits"), "rank")
+    return found.unionByName(filled)
 
 
 def split_random(df: DataFrame, key: str, share: float, salt: str = "split") -> DataFrame:

@@ -228,6 +228,23 @@ def packed(sample: Sample) -> DataFrame:
     return n.join(e, "seed", "left")
 
 
+def typed_rows(sample: Sample, graph: Graph, properties: dict[str, Sequence[str]]) -> DataFrame:
+    """Nodes and edges in one table: ``(seed, element, set_name, node, source, target, properties)``.
+
+    A node set's named features are a JSON text; sets without any have an empty object.
+    """
+    none = F.lit(None).cast("string")
+    out = [sample.edges.select("seed", F.lit("edge").alias("element"), F.col("edge_set").alias("set_name"), none.alias("node"), SOURCE, TARGET, F.lit("{}").alias("properties"))]
+    for n in graph.schema.node_sets:
+        mine = sample.nodes.where(F.col("node_set") == n)
+        bag = F.lit("{}")
+        if properties.get(n):
+            rows = graph.nodes[n].select(F.col(graph.key(n)).cast("string").alias("node"), F.to_json(F.struct(*properties[n])).alias("bag"))
+            mine, bag = mine.join(rows, "node", "left"), F.coalesce("bag", F.lit("{}"))
+        out.append(mine.select("seed", F.lit("node").alias("element"), F.lit(n).alias("set_name"), "node", none.alias(SOURCE), none.alias(TARGET), bag.alias("properties")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def hop_sql(plan_tables: Sequence[tuple[str, str, str, str, int]], seeds_sql: str, salt: str | None = None) -> str:
     """Spark SQL text of a chain of hops, each a CTE: (table, from column, to column, edge key, width).
 

@@ -177,3 +177,30 @@ def components(ids: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame
         if not new.where("old <> component").limit(1).count():
             break
     return label
+
+
+def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK")) -> dict:
+    """Statistics of every node feature, as plain values for a JSON sidecar.
+
+    Counts for all; extremes and quantiles for numbers and times, dictionaries for
+    text categories; features whose meaning is in ``skip`` are left out.  Each value is bounded by a parameter.
+    """
+    out: dict = {}
+    for n, s in g.schema.node_sets.items():
+        d, found = g.nodes[n], {}
+        numbers = [f for f, x in s.features.items() if x.format not in ("BYTES", "BOOL") and x.semantic in ("NUMERICAL", "TIMESTAMP", "TIMEDELTA", "CATEGORICAL")]
+        wide = {r["feature"]: r for r in feature_statistics(d, numbers).collect()} if numbers else {}
+        rows = d.count()
+        for f, x in s.features.items():
+            if x.semantic in skip:
+                continue
+            found[f] = {"count": rows}
+            if f in wide:
+                found[f] |= {"min": wide[f]["low"], "max": wide[f]["high"]}
+                flat = flat_values(d, f)
+                found[f]["quantiles"] = [r["q"] for r in quantiles(flat, "x", quantile_count).orderBy("k").collect()]
+            elif x.semantic == "CATEGORICAL" and x.format == "BYTES":
+                words = dictionary(flat_values(d, f), "x", max_items, min_count).orderBy("idx").collect()
+                found[f]["dictionary"] = {r["value"]: [r["idx"], r["n"]] for r in words}
+        out[n] = found
+    return out

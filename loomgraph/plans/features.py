@@ -75,7 +75,7 @@ def causal_slice(spark, sf_dir):
 
 def masked_mean(spark, sf_dir):
     s = _series(spark, sf_dir)
-    return s.select("user_id", F.round(ts.masked_mean(F.col("value"), F.transform("event_id", lambda x: x % 2 == 0)), 6).alias("mean_even"))
+    return s.select("user_id", F.round(ts.masked_mean(F.col("value"), F.transform("value", lambda x: x > 50)), 6).alias("mean_large"))
 
 
 def json_features(spark, sf_dir):
@@ -85,7 +85,7 @@ def json_features(spark, sf_dir):
 def embedding_scores(spark, sf_dir):
     """Each vector against the one with the smallest id, after scaling to length one."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vec.unit(F.col("embedding")).alias("u"))
-    first = v.orderBy("vec_id").limit(1).select(F.col("u").alias("w"))
+    first = v.agg(F.min_by("u", "vec_id").alias("w"))
     s = v.crossJoin(F.broadcast(first)).select("vec_id", vec.dot(F.col("u"), F.col("w")).alias("s"))
     return s.select("vec_id", F.round("s", 5).alias("score"), F.round(vec.sigmoid(F.col("s")), 5).alias("p"))
 
@@ -126,9 +126,9 @@ SELECT id, round((f.k + (x - lo) / (hi - lo)) / (n - 1) - 0.5, 9) AS acctbal, d.
 FROM u CROSS JOIN range(0, 8) r(k) LEFT JOIN s ON s.user_id = u.user_id AND s.i = u.n - 8 + k + 1""",
     "causal_slice": _S + """, m AS (SELECT *, (min(t) OVER (PARTITION BY user_id) + max(t) OVER (PARTITION BY user_id)) // 2 AS mid FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM m WHERE t <= mid) SELECT user_id, event_id FROM k WHERE r <= 5""",
-    "masked_mean": "SELECT user_id, round(coalesce(avg(value) FILTER (WHERE event_id % 2 = 0), 0), 6) AS mean_even FROM events GROUP BY 1",
+    "masked_mean": "SELECT user_id, round(coalesce(avg(value) FILTER (WHERE value > 50), 0), 6) AS mean_large FROM events GROUP BY 1",
     "json_features": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, '' AS absent FROM events",
-    "embedding_scores": """WITH w AS (SELECT CAST(embedding AS DOUBLE[]) AS w FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), w) AS s FROM embeddings, w)
+    "embedding_scores": """WITH w AS (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS w FROM embeddings), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), w) AS s FROM embeddings, w)
 SELECT vec_id, round(s, 5) AS score, round(1 / (1 + exp(-s)), 5) AS p FROM s""",
     "minhash": f"""WITH h AS (SELECT user_id, ('0x' || substr(md5(event_type || ':' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)), 1, 7))::BIGINT AS h FROM events), p(k, a, b) AS (VALUES {_PERM})
 SELECT user_id, CAST(k AS BIGINT) AS k, min((a * h + b) % 2147483647) AS m FROM h, p GROUP BY ALL""",

@@ -75,6 +75,11 @@ def sample_features(spark, sf_dir):
     return S.with_features(s.sample(_seeds(s)), s.graph, "part", ["brand", "retailprice"])
 
 
+def sample_rows(spark, sf_dir):
+    s = _sampler(spark, sf_dir)
+    return S.typed_rows(s.sample(_seeds(s)), s.graph, {"part": ["brand", "type"]})
+
+
 def khop_sql_cte(spark, sf_dir):
     for t in ("customer", "orders", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"loom_{t}")
@@ -86,7 +91,7 @@ def khop_sql_cte(spark, sf_dir):
     return spark.sql(text).select("seed", F.col("hop").cast("long").alias("hop"), "source", "target")
 
 
-QUERIES = {f.__name__: f for f in (khop_first, khop_both_ways, khop_random, khop_temporal, khop_masked, khop_replacement, subgraph, multisubgraph, sample_nodes, sample_features, khop_sql_cte)}
+QUERIES = {f.__name__: f for f in (khop_first, khop_both_ways, khop_random, khop_temporal, khop_masked, khop_replacement, subgraph, multisubgraph, sample_nodes, sample_features, sample_rows, khop_sql_cte)}
 
 _KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 _FIRST = f"""
@@ -159,6 +164,11 @@ UNION SELECT seed, 'orders', CAST(b AS VARCHAR) FROM h1 UNION SELECT seed, 'part
 SELECT seed, node_set, node, CAST(row_number() OVER (PARTITION BY seed, node_set ORDER BY node) - 1 AS BIGINT) AS idx FROM n""",
     "sample_features": f"""WITH {_FIRST} n AS (SELECT DISTINCT seed, b FROM h2)
 SELECT seed, CAST(b AS VARCHAR) AS node, p_brand AS brand, p_retailprice AS retailprice FROM n JOIN part ON p_partkey = b""",
+    "sample_rows": _edges(_FIRST) + """, n AS (
+SELECT c_custkey AS seed, 'customer' AS s, CAST(c_custkey AS VARCHAR) AS node FROM customer
+UNION SELECT seed, 'orders', CAST(b AS VARCHAR) FROM h1 UNION SELECT seed, 'part', CAST(b AS VARCHAR) FROM h2)
+SELECT seed, 'edge' AS element, edge_set AS set_name, NULL AS node, source, target, '{}' AS properties FROM e
+UNION ALL SELECT seed, 'node', s, node, NULL, NULL, coalesce('{"brand":"' || p_brand || '","type":"' || p_type || '"}', '{}') FROM n LEFT JOIN part ON s = 'part' AND CAST(p_partkey AS VARCHAR) = node""",
     "khop_sql_cte": f"""WITH p AS (SELECT o_custkey AS a, o_orderkey AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('cte|1|' || CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR), o_orderkey) AS n FROM orders),
 c AS (SELECT l_orderkey AS a, l_partkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY md5('cte|2|' || {_KEY}), {_KEY}, l_partkey) AS n FROM lineitem),
 h1 AS (SELECT DISTINCT c_custkey AS seed, p.a, p.b FROM customer JOIN p ON p.a = c_custkey WHERE n <= 3),

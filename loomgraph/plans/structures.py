@@ -157,7 +157,7 @@ def walk_negatives(spark, sf_dir):
     g = trade_graph(spark, sf_dir)
     sup = g.edges["supplied_by"]
     hops = [(sup, "source", "target"), (sup, "target", "source")]
-    return negatives.walk_negatives(g.ids("part").select(F.col("id").alias("seed")), hops, g.ids("part").select(F.col("id").alias("source"), F.col("id").alias("target")), 6, 3).select(
+    return negatives.walk_negatives(g.ids("part").select(F.col("id").alias("seed")), hops, g.ids("part").select(F.col("id").alias("source"), F.col("id").alias("target")), 6, 3, fill=structure.dense_index(g.ids("part"), "id")).select(
         "seed", "negative", "visits", F.col("rank").cast("long").alias("rank")
     )
 
@@ -255,8 +255,11 @@ r AS (SELECT s AS a, p AS b, row_number() OVER (PARTITION BY s ORDER BY p) - 1 A
 w1 AS (SELECT p_partkey AS seed, w, f.b AS node FROM part, (VALUES (0), (1), (2), (3), (4), (5)) v(w), f WHERE f.a = p_partkey AND f.i = {_HEX.format("concat_ws('|', 'walk', 0, p_partkey, w, p_partkey)")} % f.d),
 w2 AS (SELECT seed, r.b AS node FROM w1 JOIN r ON r.a = w1.node AND r.i = {_HEX.format("concat_ws('|', 'walk', 1, seed, w, node)")} % r.d),
 c AS (SELECT seed, node AS negative, count(*) AS visits FROM w2 WHERE node <> seed GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY visits DESC, negative) AS rank FROM c)
-SELECT seed, negative, visits, rank FROM k WHERE rank <= 3""",
+k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY visits DESC, negative) AS rank FROM c),
+x AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
+m AS (SELECT p_partkey AS seed, r AS rank FROM part, range(1, 4) t(r) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.seed = p_partkey AND k.rank = r))
+SELECT seed, negative, visits, rank FROM k WHERE rank <= 3
+UNION ALL SELECT seed, x.id, 0, rank FROM m JOIN x ON x.idx = {_HEX.format("concat_ws('|', 'walk', 'fill', seed, rank)")} % (SELECT count(*) FROM part)""",
     "split_random": f"""SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'split', o_orderkey)")}, o_orderkey) <= CAST(floor((SELECT count(*) FROM orders) * 0.2) AS BIGINT) AS valid FROM orders""",
     "split_temporal": """SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT AS ts, row_number() OVER (ORDER BY epoch(o_orderdate)::BIGINT DESC, o_orderkey DESC) <= CAST(floor((SELECT count(*) FROM orders) * 0.2) AS BIGINT) AS valid FROM orders""",
     "batches": f"""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'batch', o_orderkey)")}, o_orderkey) - 1 AS n FROM orders)

@@ -157,5 +157,13 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_statistics(spark: SparkSession, path: str, values: dict, name: str = "statistics.json") -> None:
+    Store(spark, path).write(name, json.dumps(values))
+
+
+def read_statistics(spark: SparkSession, path: str, name: str = "statistics.json") -> dict:
+    return json.loads(Store(spark, path).text(name))
+
+
 def empty_graph_schema() -> GraphSchema:
     return GraphSchema({"nodes": NodeSet()}, {"edges": EdgeSet("nodes", "nodes")})

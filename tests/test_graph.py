@@ -122,3 +122,17 @@ def test_composite_keys_join_into_one():
 def test_unknown_column_type_is_refused(spark):
     with pytest.raises(TypeError):
         schema_of_table(spark.sql("SELECT map(1, 2) AS m").schema)
+
+
+def test_toy_statistics(spark, tmp_path):
+    """The golden values of a two-node set: scalars, ragged lists, a text category."""
+    from loomgraph.operators import statistics as st
+
+    n = spark.createDataFrame([("1", ["blue"], 4, [11, 12], [[11, 12], [13, 14]]), ("2", ["red"], 5, [12, 13, 14], [[15, 16], [17, 18], [19, 20]])], "id string, f1 array<string>, f3 long, f5 array<long>, f6 array<array<long>>")
+    got = st.summary(Graph.from_table(n, "n1", "id"), 4)["n1"]
+    assert got["f1"]["dictionary"] == {"blue": [0, 1], "red": [1, 1]}
+    assert (got["f3"]["min"], got["f3"]["max"]) == (4, 5) and got["f3"]["quantiles"] == pytest.approx([4, 13 / 3, 14 / 3, 5])
+    assert (got["f5"]["min"], got["f5"]["max"]) == (11, 14) and got["f5"]["quantiles"] == pytest.approx([11, 12, 38 / 3, 14])
+    assert (got["f6"]["min"], got["f6"]["max"]) == (11, 20) and got["f6"]["quantiles"] == pytest.approx([11, 14, 17, 20])
+    native.write_statistics(spark, str(tmp_path), got)
+    assert native.read_statistics(spark, str(tmp_path)) == got
