@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET, Graph
 from loomgraph.schema import GraphSchema
+from loomgraph.session import cut
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,9 @@ class Sampler:
     only edges no later than the seed's time are followed; sets without one are
     followed as they are.  ``mask_set`` names the edge set whose edge the seeds may
     leave out.  Without replacement nodes are a set, and each arrival of a node is
-    expanded; ``distinct_frontier`` expands each node of a hop once.
+    expanded; ``distinct_frontier`` expands each node of a hop once.  ``keep_hops``
+    computes each hop once and keeps it in the shared checkpoint folder: on a large
+    graph the next hops and the result then start there instead of joining again.
     """
 
     graph: Graph
@@ -101,6 +104,7 @@ class Sampler:
     edge_key: dict[str, str] = field(default_factory=dict)
     distinct_frontier: bool = True
     salt: str = "loom"
+    keep_hops: bool = False
 
     def __post_init__(self):
         if self.temporal and self.mask_set:
@@ -117,7 +121,8 @@ class Sampler:
         def walk(steps, frontier: DataFrame, path: str):
             for n, step in enumerate(steps):
                 here = f"{path}/{n}"
-                hop = self._follow(frontier, step, here, carried)
+                hop = self._follow(frontier, step, here, carried).select("seed", SOURCE, TARGET, *carried)
+                hop = cut(hop) if self.keep_hops else hop
                 a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
                 edges.append(hop.select("seed", F.lit(step.edge_set).alias("edge_set"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.lit(step.reverse).alias("r")))
                 reached = hop.select("seed", F.col(b).alias("node"), *carried)

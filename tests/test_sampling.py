@@ -85,6 +85,11 @@ def test_random_choice_is_stable_and_bounded(spark, graph):
     assert first == again and len(first[1]["e12"]) == 1
 
 
+def test_kept_hops_give_the_same_sample(spark, graph):
+    plan = S.hop_plan(graph.schema, "n1", 2, 2)
+    assert found(S.Sampler(graph, plan, keep_hops=True).sample(seeds(spark))) == found(S.Sampler(graph, plan).sample(seeds(spark)))
+
+
 def test_replacement_makes_a_tree(spark, graph):
     s = S.Sampler(graph, S.hop_plan(graph.schema, "n1", 1, 4, reverse=False))
     rows = S.sample_tree(s, seeds(spark)).collect()
