@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,10 @@ from loomgraph.llm.shared import SPACE, documents
 
 #: Words in a k-mer, sketches in a fingerprint, and minimal k-mers in a sketch.
 K = 3
-SKETCHES = 32
+SKETCHES = 64
 TUPLE = 2
+#: Ranges of neighbouring documents for each shuffle partition.
+BUCKETS = 4
 _POS_BITS = 24
 _EMPTY = "0000"
 
@@ -80,17 +83,19 @@ def _signature(numbered: Column, sketches: int, width: int) -> Column:
     def pick(s: Column) -> Column:
         chosen = F.filter(s, lambda x, i: (i < width) | (bin_of(s[F.greatest(i - width, F.lit(0))]) != bin_of(x)))
 
-        def sign(c: Column) -> Column:
+        def sign(c: Column, bins: Column) -> Column:
             def one(j: Column) -> Column:
-                mine = F.filter(c, lambda x: bin_of(x) == j - sketches // 2)
+                at = F.array_position(bins, j)
+                mine = F.filter(F.slice(c, at.cast("int"), F.lit(width)), lambda x: bin_of(x) == j)
                 ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(F.lit(low)).alias("p"), x.alias("x"))))
                 value = F.xxhash64(F.transform(ordered, lambda t: F.shiftright(t["x"], _POS_BITS)))
                 digits = F.substring(F.lpad(F.lower(F.hex(value)), 16, "0"), 1, len(_EMPTY))
-                return F.when(F.size(mine) == 0, F.lit(_EMPTY)).when(digits == _EMPTY, F.lit("0001")).otherwise(digits)
+                return F.when(at == 0, F.lit(_EMPTY)).otherwise(F.when(digits == _EMPTY, F.lit("0001")).otherwise(digits))
 
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), one), "")
+            ranges = F.array(*[F.lit(j - sketches // 2).cast("long") for j in range(sketches)])
+            return F.array_join(F.transform(ranges, one), "")
 
-        return _let(chosen, sign)
+        return _let(chosen, lambda c: _let(F.transform(c, bin_of), lambda bins: sign(c, bins)))
 
     return _let(F.sort_array(numbered), pick)
 
@@ -111,22 +116,36 @@ def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(same)
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are below the value, looked up in two steps of about sqrt(n)."""
+    step = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    text = lambda xs: "array(" + ", ".join(f"CAST({x} AS BIGINT)" for x in xs) + ")"
+    lasts = F.expr(text(g[-1] for g in groups))
+    inner = F.expr("array(" + ", ".join(map(text, groups)) + ")")
+    whole = F.size(F.filter(lasts, lambda c: c < value))
+
+    def within(k: Column) -> Column:
+        return k * step + F.size(F.filter(F.element_at(inner, k + 1), lambda c: c < value))
+
+    return F.when(whole == len(groups), F.lit(len(cuts))).otherwise(_let(whole, within))
+
+
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(bucket, nth, ghost, id, text, next_text)``: each document beside the next by id, the last beside the first.
 
-    Ids are cut into as many buckets of about equally many rows as there are shuffle
-    partitions, at quantiles (a list of that length on the driver), so one exchange
+    Ids are cut into buckets of about equally many rows, a few for each shuffle
+    partition, at quantiles (a list of that length on the driver), so one exchange
     puts neighbours together.  The first document of a bucket is also sent to the
     bucket before it, marked ``ghost``, as what follows there; the first of all
     follows the last.  Null ids come after all others; equal ids are ordered by text.
     """
     spark = docs.sparkSession
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = BUCKETS * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = base.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
     cuts = sorted(set(found or [0]))
-    spot = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("id")))
-    base = base.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(spot).cast("int"))
+    base = base.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(_place(F.col("id"), cuts)).cast("int"))
     least = F.min(F.struct(F.col("id").isNull().alias("void"), "id").alias("f"))
     firsts = sorted((r["bucket"], r["f"]["id"]) for r in base.groupBy("bucket").agg(least.alias("f")).collect()) or [(0, None)]
     rows = ", ".join(f"({b}, {'NULL' if i is None else f'{i}L'}, {firsts[k - 1][0]})" for k, (b, i) in enumerate(firsts))
