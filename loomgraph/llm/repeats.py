@@ -26,8 +26,9 @@ LENGTH = 50
 ANCHOR = 20
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 16
-#: Bits of the table of anchors that occur twice; a collision only costs work.
-TABLE_BITS = 27
+#: Most bits of the table of anchors that occur twice (256 MB); it has one for every ten text bytes up to that.
+#: A collision only costs work.
+MOST_BITS = 31
 #: Text bytes for each part that anchors and strings are gathered in.
 PART_BYTES = 6 << 20
 _CHUNK = 24 << 20
@@ -254,15 +255,20 @@ def _table(docs: DataFrame, parts: int, bits: int) -> bytes:
         h = np.concatenate([np.frombuffer(a, np.uint32) for a in frame["anchors"]])
         h.sort()
         often = h[1:][h[1:] == h[:-1]].astype(np.uint64) + (np.uint64(frame["part"].iloc[0]) << np.uint64(32))
-        low, high = often << np.uint64(bits), (often + np.uint64(1)) << np.uint64(bits)  # hashes of a part are 1 / parts of all
-        spots = np.unique(np.concatenate(((low // np.uint64(parts)) >> np.uint64(32), ((high - np.uint64(1)) // np.uint64(parts)) >> np.uint64(32))))
+        spots = np.unique((often // np.uint64(parts)) >> np.uint64(32 - bits))  # often // parts: a hash's upper 32 bits
         return pd.DataFrame({"spots": [spots.astype(np.uint32).tobytes()]})
 
     sent = docs.select("text").mapInArrow(gather, "part int, anchors binary")
-    table = np.zeros(1 << bits, bool)
+    table = np.zeros(max(1, 1 << bits >> 3), np.uint8)
     for r in sent.groupBy("part").applyInPandas(decide, "spots binary").toLocalIterator():
-        table[np.minimum(np.frombuffer(r["spots"], np.uint32), (1 << bits) - 1)] = True
-    return np.packbits(table, bitorder="little").tobytes()
+        spots = np.minimum(np.frombuffer(r["spots"], np.uint32), (1 << bits) - 1).astype(np.int64)
+        if len(spots):
+            first = spots[0] >> 3
+            some = np.zeros(spots[-1] - (first << 3) + 1, bool)
+            some[spots - (first << 3)] = True
+            some = np.packbits(some, bitorder="little")
+            table[first : first + len(some)] |= some
+    return table.tobytes()
 
 
 def _hits(batch, bitmap: np.ndarray, bits: int):
@@ -398,7 +404,7 @@ def _covered(docs: DataFrame, parts: int, bits: int) -> DataFrame:
     return spans.groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = TABLE_BITS, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(id, n_bytes, kept binary, n_removed, n_spans)`` for every row of ``docs``.
 
     A byte is removed if it is covered by a 50-byte string that also starts in a
@@ -410,6 +416,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
     base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // part_bytes))
+    bits = bits or min(MOST_BITS, max(20, (total // 10).bit_length()))
     spans = _covered(base, parts, bits)
     spans = spans.select(F.when(F.col("id") != _OTHER, F.col("id")).alias("sid"), F.col("mark").alias("smark"), "spans")
     joined = base.join(spans, base["id"].eqNullSafe(spans["sid"]) & (base["mark"] == spans["smark"]), "left")

@@ -363,6 +363,14 @@ def test_order_matters_and_occurrences_count(spark):
     assert [len(set(r["n"])) for r in d.collect()] == [1, 4]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 40])
+def test_place_among_cuts(spark, n):
+    rng = random.Random(n)
+    cuts = sorted(rng.sample(range(-50, 50), n))
+    got = spark.range(-55, 55).select("id", ordermin._place(F.col("id"), cuts).alias("p")).collect()
+    assert all(r["p"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
 def test_single_document_is_its_own_next(spark):
     r = ordermin.edited_fingerprints(table(spark, [(5, "one two three four")])).first()
     t = "one two three four"
@@ -459,9 +467,9 @@ def slow_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [3, 27])
-def test_repeats(spark, corpus, bits):
-    got = repeats.remove_repeats(table(spark, corpus, CLASH), bits=bits, part_bytes=20_000).collect()
+@pytest.mark.parametrize(("bits", "part_bytes"), [(3, 20_000), (27, 20_000), (31, 300), (None, 1000)])
+def test_repeats(spark, corpus, bits, part_bytes):
+    got = repeats.remove_repeats(table(spark, corpus, CLASH), bits=bits, part_bytes=part_bytes).collect()
     have = [(r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got]
     assert sorted(map(repr, have)) == sorted(map(repr, slow_repeats(corpus)))
     assert repeats.remove_repeats(table(spark, EMPTY)).count() == 0
