@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -21,7 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces of one length are counted in this many salted parts.
 SALTS = 64
 #: Words, and parts of words, whose ids a Python worker keeps.
-_CACHE = 200_000
+_CACHE = 500_000
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -94,6 +96,14 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)) + self.end, self.kind)
 
 
+def kept_encoder(path: str) -> Encoder:
+    """This process's encoder for the vocabulary; what it has kept serves all tasks of a worker."""
+    home = sys.modules.setdefault("_loomgraph_kept", types.ModuleType("_loomgraph_kept"))
+    if path not in vars(home):
+        vars(home)[path] = Encoder(path)
+    return vars(home)[path]
+
+
 @dataclass
 class Plan:
     """Where the k-th rest of each length goes.
@@ -107,11 +117,14 @@ class Plan:
     sequences: int
 
     def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-        """(start, length, sequence, offset) of each piece of a rest."""
-        runs = self.runs[length]
-        first, pieces = runs[bisect_right(runs, rank, key=lambda r: r[0]) - 1]
-        k = rank - first
-        return [(start, size, seq + k // per, offset + (k % per) * size) for start, size, seq, per, offset in pieces]
+        return placed(self.runs[length], rank)
+
+
+def placed(runs: list[tuple], rank: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of each piece of the rest with this rank among its length's runs."""
+    first, pieces = runs[bisect_right(runs, rank, key=lambda r: r[0]) - 1]
+    k = rank - first
+    return [(start, size, seq + k // per, offset + (k % per) * size) for start, size, seq, per, offset in pieces]
 
 
 def patterns(histogram: dict[int, int], window: int = WINDOW) -> list[dict[int, int]]:
@@ -244,11 +257,11 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     Repeated rows are packed each by itself; an empty table gives no row.
     """
     path = path or tokenizer_path()
-    kind = Encoder(path).kind
+    kind = kept_encoder(path).kind
     schema = "id long, ids binary, rest int, full int"
 
     def encode(batches):
-        encoder = Encoder(path)
+        encoder = kept_encoder(path)
         for b in batches:
             keys = b.column(0)
             for at in range(0, b.num_rows, 500):
@@ -270,7 +283,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
         histogram[r["rest"]] = histogram.get(r["rest"], 0) + r["n"]
         full += r["full"]
     histogram.pop(0, None)
-    layout = docs.sparkSession.sparkContext.broadcast((base, plan(histogram, window, full)))
+    layout = docs.sparkSession.sparkContext.broadcast((base, plan(histogram, window, full).runs))
 
     line = Window.partitionBy("rest", "salt").orderBy("id", F.xxhash64("ids"))
     ranked = coded.select(
@@ -279,7 +292,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     )
 
     def place(batches):
-        base, made = layout.value
+        base, runs = layout.value
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = []
@@ -289,7 +302,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 pieces = [(w * window, window, first_full + ahead + w, 0) for w in range(len(ids) // window)]
                 if rest:
                     at = len(ids) - rest
-                    pieces += [(at + s, n, q, o) for s, n, q, o in made.pieces(rest, first_rank + rank)]
+                    pieces += [(at + s, n, q, o) for s, n, q, o in placed(runs[rest], first_rank + rank)]
                 out += [(doc, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), q, o) for s, n, q, o in pieces]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=names)
 
