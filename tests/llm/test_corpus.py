@@ -495,6 +495,43 @@ def test_every_string_has_one_run():
         assert starts == list(range(max(0, n - 49)))
 
 
+@pytest.mark.parametrize("letters", [2, 3, 26])
+def test_equal_strings_share_a_context(letters):
+    """Of two runs with an equal string one is unsure or their left or right hashes agree."""
+    rng = np.random.default_rng(letters)
+    a = rng.integers(97, 97 + letters, 600).astype(np.uint8)
+    b = np.concatenate((rng.integers(97, 97 + letters, 40).astype(np.uint8), a[100:170], rng.integers(97, 97 + letters, 40).astype(np.uint8), a[300:351], a[:55]))
+    held = {}
+    for data in (a, b):
+        s = repeats.strings(data)
+        for k in range(len(s.first)):
+            for at in range(s.first[k], s.last[k] + 1):
+                held.setdefault(data[at : at + 50].tobytes(), []).append((s.anchor[k], s.left[k], s.right[k], s.unsure[k]))
+    for runs in held.values():
+        for x in runs[1:]:
+            y = runs[0]
+            assert x[0] == y[0] and ((x[3] and y[3]) or (x[1] == y[1] != 0) or (x[2] == y[2] != 0))
+
+
+def test_texts_together_or_alone():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 3, 49, 50, 51, 200, 0, 120, 49, 300)]
+    together = repeats.strings(np.concatenate(texts), np.cumsum([len(t) for t in texts]))
+    begins = np.cumsum([0, *[len(t) for t in texts]])
+    got = [(int(t), int(a - begins[t]), int(z - begins[t]), h, l, r, u) for a, z, h, l, r, u, t in zip(together.first, together.last, together.anchor, together.left, together.right, together.unsure, together.text)]
+    want = []
+    for k, t in enumerate(texts):
+        s = repeats.strings(t)
+        want += [(k, int(a), int(z), h, l, r, u) for a, z, h, l, r, u in zip(s.first, s.last, s.anchor, s.left, s.right, s.unsure)]
+    assert got == want
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    n = np.sort(rng.integers(0, 1 << 32, 1000, dtype=np.uint64)).astype(np.uint32)
+    assert (repeats._unpacked(repeats._packed(n)) == n).all() and len(repeats._unpacked(repeats._packed(n[:0]))) == 0
+
+
 def test_chunks_hold_every_string(monkeypatch):
     monkeypatch.setattr(repeats, "_CHUNK", 70)
     data = np.arange(400, dtype=np.int64).astype(np.uint8)
