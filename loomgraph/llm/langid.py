@@ -20,9 +20,13 @@ LANGUAGES = 1000
 #: Centroids per language, hashed n-gram dimensions.
 CENTROIDS = 4
 DIMENSIONS = 4096
-#: A text is rejected if its cosine distance to the best centroid exceeds the centroid's own limit
-#: (the largest distance of its fitting texts) by this share of what is left up to 1.
-SLACK = 0.9
+#: A text is rejected if its cosine distance to the best centroid exceeds the centroid's own limit for texts of
+#: its size: this share of the distances of its fitting texts, widened by SLACK of what is left up to 1.
+QUANTILE, SLACK = 0.995, 0.1
+#: Sizes in grams, each with a limit; the fitting texts are thinned to them.
+SIZES = tuple(4 << k for k in range(10))
+#: Centroids with a smaller share of a language's texts are merged into the others.
+SHARE = 0.02
 UNDETERMINED = "und"
 _ROWS, _BYTES = 256, 4 << 20
 
@@ -95,11 +99,25 @@ class Centroids:
         near = self.cosine(counts)
         best = near.argmax(axis=1)
         cosine = np.clip(near[np.arange(len(near)), best], 0.0, 1.0)
-        return self.owner[best], cosine, 1 - cosine > self.limit[best]
+        size = np.maximum(np.searchsorted(SIZES, counts.sum(axis=1), "right") - 1, 0)
+        return self.owner[best], cosine, 1 - cosine > self.limit[best, size]
+
+
+def _thinned(counts: np.ndarray, size: int) -> np.ndarray:
+    """Rows of more than ``size`` grams as so many drawn from them by a fixed seed; others as they are."""
+    out, rng = counts.copy(), np.random.default_rng(size)
+    for i in np.nonzero(counts.sum(axis=1) > size)[0]:
+        ends = np.cumsum(counts[i])
+        out[i] = np.bincount(np.searchsorted(ends, rng.random(size) * ends[-1], "right"), minlength=counts.shape[1])
+    return out
 
 
 def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS, rounds: int = 10, slack: float = SLACK) -> Centroids:
-    """Spherical k-means inside each language over normalised TF-IDF vectors."""
+    """Spherical k-means inside each language over normalised TF-IDF vectors.
+
+    Short texts are farther from every centroid than long ones of the same language,
+    so each centroid has a limit for each of SIZES, from its texts thinned to that size.
+    """
     seen = (counts > 0).sum(axis=0)
     weights = np.where(seen > 0, np.log((1 + len(labels)) / (1 + seen)) + 1, 0).astype(np.float32)
     v = np.log1p(counts) * weights
@@ -110,23 +128,34 @@ def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS, round
         mine = v[tags == name]
         mean = mine.mean(axis=0)
         chosen = [int((mine @ mean).argmax())]
-        while len(chosen) < min(centroids, len(mine)):  # each next start is the text farthest from those so far
-            chosen.append(int((mine @ mine[chosen].T).max(axis=1).argmin()))
+        while len(chosen) < min(centroids, len(mine)):  # each next start is far from those so far, but no odd single text
+            chosen.append(int(np.argsort((mine @ mine[chosen].T).max(axis=1), kind="stable")[len(mine) // 10]))
         c = mine[chosen]
         for _ in range(rounds):
             near = (mine @ c.T).argmax(axis=1)
             sums = np.stack([mine[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
             c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        cos = mine @ c.T
-        near = cos.argmax(axis=1)
-        for k in range(len(c)):
-            if not (near == k).any():
+        members = np.bincount((mine @ c.T).argmax(axis=1), minlength=len(c))
+        c = c[members >= min(members.max(), max(2, SHARE * len(mine)))]
+        vectors.append(c)
+        owner += [n] * len(c)
+        cells = np.ones((len(c), len(SIZES)))
+        for at, size in enumerate(SIZES):
+            enough = counts[tags == name]
+            enough = enough[enough.sum(axis=1) >= size]
+            if not len(enough):  # larger than any fitting text: as the size before
+                cells[:, at] = cells[:, at - 1] if at else 1.0
                 continue
-            farthest = float(1 - cos[near == k, k].min())
-            vectors.append(c[k])
-            owner.append(n)
-            limit.append(farthest + slack * (1 - farthest))
-    return Centroids(names, weights, np.array(vectors, np.float32), np.array(owner), np.array(limit))
+            v_cut = np.log1p(_thinned(enough, size)) * weights
+            v_cut /= np.maximum(np.linalg.norm(v_cut, axis=1, keepdims=True), 1e-12)
+            cos = v_cut @ c.T
+            near = cos.argmax(axis=1)
+            for k in range(len(c)):
+                own = cos[near == k, k] if (near == k).any() else cos.max(axis=1)
+                far = float(1 - np.quantile(own, 1 - QUANTILE))
+                cells[k, at] = far + slack * (1 - far)
+        limit.append(cells)
+    return Centroids(names, weights, np.concatenate(vectors).astype(np.float32), np.array(owner), np.concatenate(limit))
 
 
 def training_sample(docs: DataFrame, key: str, text: str, lang: str, sample: int) -> DataFrame:

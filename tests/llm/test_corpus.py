@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -195,6 +196,26 @@ def test_language_rejects_what_is_far(spark):
     assert out == {1: True, 2: False}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_unlearned_languages_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = langid.train(docs), random.Random(4)
+    far = [
+        "в чащах юга жил бы цитрус и фальшивый экземпляр рос около дома где люди читали книги ",
+        "كان الرجل يقرأ الكتاب في البيت الكبير قرب النهر ",
+        "ο άνθρωπος διάβαζε το βιβλίο στο μεγάλο σπίτι κοντά στο ποτάμι ",
+        "mies luki kirjaa suuressa talossa joen lähellä ja ajatteli että huomenna sataisi lunta koko päivän ",
+        "mężczyzna czytał książkę w dużym domu nad rzeką i myślał że jutro będzie padał śnieg przez cały dzień ",
+        "adam nehrin yanındaki büyük evde kitap okuyordu ve yarın bütün gün kar yağacağını düşünüyordu ",
+    ]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        far.append(" ".join("".join(rng.choices(letters, k=rng.randrange(2, 12))) for _ in range(40)) + " ")
+    out = langid.predict(table(spark, [(i, t * 4) for i, t in enumerate(far)]), model)
+    assert out.where("rejected").count() == len(far)
+    clean = langid.predict(docs.where(langid._held_out(F.col("doc_id")) & F.col("text").rlike("[a-z]")), model)
+    assert clean.where("rejected").count() <= 0.02 * clean.count()
+
+
 def test_language_without_labels_or_rows(spark):
     empty = table(spark, EMPTY)
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
