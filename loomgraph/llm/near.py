@@ -1,0 +1,148 @@
+"""Near copies by shingle similarity: banded minima find candidates, exact Jaccard similarity decides."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.llm.shared import components, cut, one_row_each
+
+SHINGLE = 5
+SIMILARITY = 0.8
+SEED = 42
+#: A pair is a candidate if all ROWS minima of one of BANDS bands agree: at similarity 0.8 all
+#: but (1 - 0.8 ** 5) ** 40, about 1e-7, of the pairs are.
+BANDS, ROWS = 40, 5
+#: A larger bucket is tied to its smallest member and divided further instead of paired.
+BUCKET = 32
+_BLOCK = 1 << 12
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit digests of the different word shingles of a whole text; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    each = (digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
+    return np.unique(np.fromiter(each, np.uint64, len(words) - k + 1))
+
+
+def _mark(held: np.ndarray) -> int:
+    """One signed number for a set of shingles; the empty set has zero."""
+    return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).astype(np.int64)) if len(held) else 0
+
+
+def _bands(held: np.ndarray) -> np.ndarray:
+    """A key for each band: the numbers of the band and of its minima under keyed orders, mixed."""
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(held), _BLOCK):
+        np.minimum(low, (held[at : at + _BLOCK, None] * _TURNS).min(axis=0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.astype(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """``(id, mark, fp, bands)`` for every row: a digest of the shingle set and its band keys."""
+
+    def run(batches):
+        for b in batches:
+            held = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.record_batch(
+                [b.column(0), b.column(1), pa.array([_mark(h) for h in held], pa.int64()), pa.array([_bands(h).tolist() if len(h) else [] for h in held], pa.list_(pa.int64()))],
+                names=["id", "mark", "fp", "bands"],
+            )
+
+    narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "id long, mark long, fp long, bands array<long>")
+
+
+def _paired(keyed: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``(u, v)`` of buckets of ``(key, fp)``: all pairs of a small one, a large one's members with its smallest; and the large ones' rows."""
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
+    shared = cut(keyed.join(crowd, "key"))
+    few = shared.where(F.col("n") <= bucket).select("key", "fp")
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    many = shared.where(F.col("n") > bucket)
+    return pairs.union(many.where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v"))), many.select("key", "fp")
+
+
+def candidates(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Different pairs ``(u, v)``, u < v, of ``classes(fp, bands)`` that agree in a band.
+
+    Members of a bucket of more than ``bucket`` are met with its smallest member, and
+    again in buckets of two bands each, so that work stays in proportion to them.
+    """
+    pairs, many = _paired(classes.select("fp", F.explode("bands").alias("key")), bucket)
+    own = many.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("k")).where(F.size("k") > 1)  # at most BANDS keys
+    twos = F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.xxhash64(F.col("k")[i - 1], F.col("k")[i]))
+    finer, _ = _paired(own.select("fp", F.explode(twos).alias("key")), bucket)
+    return pairs.union(finer).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, bucket: int) -> DataFrame:
+    """The pairs whose shingle sets, ``sets(fp, held)``, have at least the similarity; a set that very many pairs need is dealt out in copies."""
+
+    def run(batches):
+        for b in batches:
+            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    for end in ("u", "v"):
+        copies = pairs.groupBy(end).agg(F.ceil(F.count("*") / bucket).cast("int").alias("copies"))
+        some = copies.join(sets, F.col(end) == sets.fp).select(F.col(end), "copies", F.col("held").alias(f"{end}_held"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        other = "v" if end == "u" else "u"
+        wanted = pairs.join(copies, end).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+        pairs = wanted.join(some.drop("copies"), [end, "copy"]).drop("copy")
+    return pairs.select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
+
+    Rows with equal sets form one class before any join.  Texts are read again only
+    for classes that are in a candidate pair.  ``component_id`` is the smallest
+    non-null key reachable.  Texts without a word are equal.
+    """
+
+    def measure(batches):
+        for b in batches:
+            held = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([_mark(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fp", "held"])
+
+    rows = cut(_signatures(docs, key, text, shingle))
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("id", "mark")).alias("w"), F.first("bands").alias("bands")))
+    pairs = cut(candidates(classes, bucket))
+    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    first = classes.join(needed, "fp", "left_semi").select("w.id", "w.mark")
+    texts = one_row_each(docs, first, {"id": F.col(key).cast("long"), "mark": F.xxhash64(F.col(text))}, text)
+    sets = cut(texts.select(F.col(text).alias("text")).mapInArrow(measure, "fp long, held binary"))
+    roots = components(_verified(pairs, sets, least, bucket))
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    member = placed.join(lowest, "root").select("fp", "component_id")
+    return rows.select("id", "mark", "fp").join(member, "fp").select("id", "mark", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component of near copies, the one with the smallest key; columns unchanged."""
+    held = near_components(docs, key, text, shingle, least).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = held.groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w")).select("w.id", "w.mark")
+    return one_row_each(docs, first, {"id": F.col(key).cast("long"), "mark": F.xxhash64(F.col(text))}, text)

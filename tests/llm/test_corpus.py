@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, repeats, shared, simhash
+from loomgraph.llm import chat, exact, langid, licenses, mixing, near, ordermin, packing, pii, repeats, shared, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = re.compile(r"[\x20\x09-\x0D]")
@@ -168,6 +168,38 @@ def test_near_copies_leave_one_each(spark, corpus):
     assert out.count() == len(want) and {r["doc_id"] for r in out.collect()} == set(want)
 
 
+def slow_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("bucket", [2, 32])
+def test_planted_near_copies_go(spark, bucket):
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(60, 200), 5000)) for i in range(40)]
+    for i in range(25):  # one or two words changed, and a family of copies of one text
+        for c in range(1 if i else 12):
+            w = rows[i][1].split()
+            for _ in range(1 + c % 2):
+                w[rng.randrange(len(w))] = f"new{i}x{c}"
+            rows.append((100 + 20 * i + c, " ".join(w)))
+    sets = {i: slow_sets(t) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                group[y] = x
+    got = {r["id"]: r["component_id"] for r in near.near_components(table(spark, rows, CLASH), bucket=bucket).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(rows) - 15
+
+
 # -- language ------------------------------------------------------------------
 
 
