@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.connected import components  # noqa: F401
+
 #: ASCII white space, as a character class and its complement.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,43 +62,6 @@ def one_row_each(docs: DataFrame, winners: DataFrame, keys: dict[str, Column], t
     return semi.withColumn(nth, order).where(F.col(nth) == 1).drop(*names, nth)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected ``edges(u long, v long)``.
-
-    Alternates large-star and small-star steps (each an aggregate and an equi
-    join) until the edge set stops changing, and returns ``(node, root)`` for
-    each node that has an edge; ``root`` is the smallest node reachable.  Each
-    round is cut to the shared folder; only a count and a checksum reach the
-    driver.  The number of rounds grows with the logarithm of the component size.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        if not large:
-            both = both.where("v < u")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.join(low, "u")
-        if large:
-            out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def sign(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = sign(now)
-    while before[0]:
-        now = cut(star(star(now, True), False))
-        after = sign(now)
-        if after == before:
-            break
-        before = after
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-
-
 def words_in(col: Column) -> Column:
     """Number of runs of non-white-space; null counts as empty."""
     return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(f"({WORD})"))).cast("long")

@@ -157,26 +157,20 @@ def padding(rows: DataFrame, group: str, name: str, relative: float = 0.1, absol
     return n.groupBy("name").agg(size.cast("long").alias("size"))
 
 
-def components(ids: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``(id, component)``: the smallest key reachable over undirected edges.
+def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)``: the smallest key reachable over undirected edges between ``ids``.
 
-    Labels take the smallest neighbouring label and then jump to their label's
-    label, so the number of rounds grows with the logarithm of the diameter; each round is cut
-    to the shared checkpoint folder.
+    Large-star and small-star steps until nothing changes, whatever the diameter; each
+    round is cut to the shared checkpoint folder.
     """
-    from loomgraph.session import cut
-
-    both = cut(edges.select(F.col(SOURCE).alias("u"), F.col(TARGET).alias("v")).union(edges.select(F.col(TARGET), F.col(SOURCE))).distinct())
-    label = cut(ids.select("id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        low = label.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        up = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = cut(low.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
-        label = new.select("id", "component")
-        if not new.where("old <> component").limit(1).count():
-            break
-    return label
+    from loomgraph.operators import connected
+
+    known, kind = ids.select("id"), ids.schema["id"].dataType
+    ends = edges.select(F.col(SOURCE).cast(kind).alias("u"), F.col(TARGET).cast(kind).alias("v"))
+    for end in ("u", "v"):
+        ends = ends.join(known.select(F.col("id").alias(end)), end, "left_semi")
+    roots = connected.components(ends)
+    return known.join(roots, known["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK")) -> dict:

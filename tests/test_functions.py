@@ -1,6 +1,7 @@
 """Golden values of normalizers, time series, histograms and metrics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,14 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == i for i in range(31, 40))
 
 
+def test_components_of_a_long_path_of_random_ids(spark):
+    order = list(range(3000))
+    random.Random(2).shuffle(order)
+    e = spark.createDataFrame(list(zip(order, order[1:])), "source long, target long")
+    got = st.components(spark.range(3002), e).collect()
+    assert {r["id"]: r["component"] for r in got} == {i: 0 if i < 3000 else i for i in range(3002)} and len(got) == 3002
+
+
 def test_split_sizes(spark):
     d = spark.range(101).select(F.col("id").alias("k"), (F.col("id") % 7).alias("t"))
     assert negatives.split_random(d, "k", 0.2).where("valid").count() == 20
