@@ -292,6 +292,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
+def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part that owns each hash and the place inside it: the upper and lower half of hash * parts / 2**32."""
+    low = np.uint64(0xFFFFFFFF)
+    scaled = (h >> np.uint64(32)) * np.uint64(parts) + (((h & low) * np.uint64(parts)) >> np.uint64(32))
+    return scaled >> np.uint64(32), (scaled & low).astype(np.uint32)
+
+
 def _table(docs: DataFrame, parts: int, bits: int) -> bytes:
     """A bit for each range of anchor hashes, with left or right context, that occurs in two documents.
 
@@ -311,9 +318,7 @@ def _table(docs: DataFrame, parts: int, bits: int) -> bytes:
             again = np.concatenate(([False], h[1:] == h[:-1]))
             third = again & np.concatenate(([False], again[:-1]))
             h = h[~third]
-            scaled = (h >> np.uint64(32)) * np.uint64(parts)
-            part = scaled >> np.uint64(32)
-            inside = ((scaled & np.uint64(0xFFFFFFFF)) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32))).astype(np.uint32)
+            part, inside = _dealt(h, parts)
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             some = np.nonzero(cuts[1:] > cuts[:-1])[0]
             blobs = [_packed(inside[cuts[p] : cuts[p + 1]]) for p in some]

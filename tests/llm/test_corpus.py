@@ -592,6 +592,15 @@ def test_chunks_hold_every_string(monkeypatch):
     assert sorted(seen) == list(range(351))
 
 
+@pytest.mark.parametrize("parts", [82, 4769, 64])
+def test_hashes_keep_their_place_at_part_edges(parts):
+    edges = [(p << 64) // parts + d for p in range(1, parts) for d in (-2, -1, 0, 1, 2)]
+    h = np.array(sorted(edges), np.uint64)
+    part, inside = repeats._dealt(h, parts)
+    assert [int(p) for p in part] == [((int(x) * parts) >> 32) >> 32 for x in h]
+    assert (((part << np.uint64(32)) + inside) // np.uint64(parts) == h >> np.uint64(32)).all()
+
+
 # -- pii -----------------------------------------------------------------------
 
 
