@@ -24,10 +24,13 @@ IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d])(?!\.\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d]|-\d)"
 DAY_DATE = r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d]|[./]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
-CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])"
+#: A run of digit groups that may hold cards; if it can, it ends before a group that something else goes on with.
+_RUN = r"(?<!\d)\d(?=(?:[ -]?\d){12})[\d -]*(?<=\d)(?!\d)"
+CARD = rf"(?:{_RUN}(?![\w@%+]|[./-]\w)|{_RUN})"
 PHONE = r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])"
 
 _ANY = "|".join(p.replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>") for p in (EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD))
+_OTHERS = _ANY.removesuffix("|" + CARD)
 #: Dates from 1900-01-01 up to and without 2100-01-01 are 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
 
@@ -112,11 +115,55 @@ def _card(value: Column, key: str) -> Column:
         moved = feistel(_number(d, 1, left), _number(d, left + 1, right), power(left), power(right), key, "card")
         body = _let(moved, lambda m: F.concat(_padded(m["a"], left), _padded(m["b"], right)))
         whole = _let(body, lambda x: F.concat(x, ((F.lit(10) - _luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
-        return F.when(_luhn(d) == 0, _refill(value, whole)).otherwise(value)
+        return _refill(value, whole)
 
     return _let(_digits(value), change)
 
 
+def _cards(value: Column, key: str) -> Column:
+    """A run of digit groups with its cards permuted and what is between them treated as text without cards.
+
+    At each group, from the left, the longest run of whole groups with 13 to 19 digits
+    that passes the Luhn check is a card.
+    """
+
+    def change(parts: Column) -> Column:
+        def at(i: Column) -> Column:
+            ends = F.sequence(i, F.least(F.size(parts), i + 18))
+            whole = F.transform(ends, lambda j: F.array_join(F.slice(parts, i, j - i + 1), ""))
+            fits = F.filter(whole, lambda x: F.trim(x).rlike(r"^\d(?:[ -]?\d){12,18}[ -]*$"))
+            return F.filter(F.transform(fits, lambda x: F.regexp_replace(x, r"[ -]+$", "")), lambda x: _luhn(_digits(x)) == 0)
+
+        def step(s: Column, i: Column) -> Column:
+            card = F.element_at(at(i), -1)
+            n = F.size(F.regexp_extract_all(card, F.lit(r"(\d+)"), F.lit(1)))
+            tail = F.regexp_extract(parts[i + n - 2], r"\D*$", 0)
+            return F.when(i < s["next"], s).otherwise(
+                F.when(F.size(at(i)) > 0, F.struct(
+                    F.concat(s["out"], F.array(F.struct(card.alias("x"), F.lit(True).alias("card")), F.struct(tail.alias("x"), F.lit(False).alias("card")))).alias("out"),
+                    (i + n).alias("next"),
+                )).otherwise(F.struct(F.concat(s["out"], F.array(F.struct(parts[i - 1].alias("x"), F.lit(False).alias("card")))).alias("out"), (i + 1).alias("next")))
+            )
+
+        start = F.struct(F.expr("cast(array() as array<struct<x: string, card: boolean>>)").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), start, step)["out"]
+
+    def joined(found: Column) -> Column:
+        # neighbouring gaps as one text, so that formats of several groups stay whole
+        mark = F.array_join(F.transform(found, lambda f: F.when(f["card"], F.lit("\x01")).otherwise(f["x"])), "")
+        gaps = F.transform(F.split(mark, "\x01", -1), lambda g: _plain(g, key))
+        cards = F.transform(F.filter(found, lambda f: f["card"]), lambda f: _card(f["x"], key))
+        return F.array_join(F.zip_with(gaps, cards, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+
+    return _let(_let(F.regexp_extract_all(value, F.lit(r"(\d+[ -]*)"), F.lit(1)), change), joined)
+
+
+def _plain(text: Column, key: str) -> Column:
+    """``text`` with its values of every format but cards replaced."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({_OTHERS})"), F.lit(0)), lambda v: _other(v, key).otherwise(v))
+    return F.array_join(F.zip_with(F.split(text, _OTHERS, -1), found, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+
+
 def _phone(value: Column, key: str) -> Column:
     """Area code, exchange and line, permuted inside one of three classes that make up all ten-digit numbers.
 
@@ -216,8 +263,7 @@ def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one matched value; what fails its validity check stays as it is."""
+def _other(value: Column, key: str) -> Column:
     return (
         F.when(value.rlike(_whole(EMAIL)), _email(value, key))
         .when(value.rlike(_whole(IPV4)), _ipv4(value, key))
@@ -226,10 +272,14 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(value.rlike(_whole(r"\d{2}/\d{2}/\d{4}")), _date(value, "dd/MM/yyyy", key))
         .when(value.rlike(_whole(SSN)), _ssn(value, key))
         .when(value.rlike(_whole(PHONE)), _phone(value, key))
-        .otherwise(_card(value, key))
     )
 
 
+def pseudonym(value: Column, key: str = KEY) -> Column:
+    """The pseudonym of one matched value; what fails its validity check stays as it is."""
+    return _other(value, key).otherwise(_cards(value, key))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with each valid number and date in ``text`` replaced; other columns unchanged.
 

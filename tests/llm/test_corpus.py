@@ -626,6 +626,16 @@ def test_pseudonyms(spark):
     assert ".".join(reversed(iso.split("-"))) in out[1]
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111111111111111"
+    texts = [f"card {card} 12 items", f"room 12 {card} ok", f"{card}-2", f"1234 4111 1111 1111 1111 x", f"{card} 743-555-3824 {card}", f"{card} 70.23.22.57", f"{card} 4465758382889437"]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(table(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert re.sub(r"\d", "0", t) == re.sub(r"\d", "0", out[i]) or i == 5
+        assert not any(x in out[i] for x in (card, "4111 1111 1111 1111", "743-555-3824", "70.23.22.57", "4465758382889437"))
+    assert "12 items" in out[0] and "room 12 " in out[1]
+
+
 def test_phones_of_every_class_change_one_to_one(spark):
     d = spark.range(3000).select(F.format_string("+1 (%03d) %03d-%04d", F.col("id") * 7 % 1000, F.col("id") * 13 % 1000, F.col("id")).alias("v"))
     got = [(r["v"], r["p"]) for r in d.select("v", pii.pseudonym(F.col("v")).alias("p")).collect()]
