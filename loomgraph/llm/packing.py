@@ -20,8 +20,10 @@ from loomgraph.llm.shared import cut, documents
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces of one length are counted in this many salted parts.
-SALTS = 64
+#: Rests of one length are ranked in salted parts of about this many.
+ROWS = 1 << 14
+#: Most such parts besides one for each length; their counts are held on the driver.
+PARTS = 1 << 18
 #: Words, and parts of words, whose ids a Python worker keeps.
 _CACHE = 500_000
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -109,22 +111,30 @@ class Plan:
     """Where the k-th rest of each length goes.
 
     ``runs[n]`` lists, by first rank, how the rests of length n from there on are
-    placed: pieces (start in the rest, length, sequence of the first, rests to a
-    sequence, offset).
+    placed: ``(first rank, sequence, rests to a sequence, offset)`` for rests that lie
+    whole in their window, ``(first rank, sequence, 0, offset)`` for rests that stand
+    one after the other in a stream of windows from that place on and are cut where a
+    window ends.  The number of runs depends on the lengths, not on their counts.
     """
 
-    runs: dict[int, list[tuple]]
+    runs: dict[int, list[tuple[int, int, int, int]]]
     sequences: int
+    window: int = WINDOW
 
     def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-        return placed(self.runs[length], rank)
+        return placed(self.runs[length], length, rank, self.window)
 
 
-def placed(runs: list[tuple], rank: int) -> list[tuple[int, int, int, int]]:
+def placed(runs: list[tuple[int, int, int, int]], length: int, rank: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
     """(start, length, sequence, offset) of each piece of the rest with this rank among its length's runs."""
-    first, pieces = runs[bisect_right(runs, rank, key=lambda r: r[0]) - 1]
+    first, seq, per, offset = runs[bisect_right(runs, rank, key=lambda r: r[0]) - 1]
     k = rank - first
-    return [(start, size, seq + k // per, offset + (k % per) * size) for start, size, seq, per, offset in pieces]
+    if per:
+        return [(0, length, seq + k // per, offset + (k % per) * length)]
+    ahead, at = divmod(offset + k * length, window)
+    head = min(length, window - at)
+    tail = [(head, length - head, seq + ahead + 1, 0)] if head < length else []
+    return [(0, head, seq + ahead, at), *tail]
 
 
 def patterns(histogram: dict[int, int], window: int = WINDOW) -> list[dict[int, int]]:
@@ -182,79 +192,68 @@ def plan(histogram: dict[int, int], window: int = WINDOW, first_sequence: int =
     """Pack ``histogram[length]`` rests of each length below ``window``.
 
     Patterns are repeated as often as the rounded-down solution and the lengths left
-    allow.  The residual is packed greedily, longest first; where nothing fits the
-    rest of a window, one rest is cut to fill it, so only the last window can have
-    padding.  All work is on counts of lengths: its cost depends on the number of
-    different lengths, not of documents.
+    allow.  The residual is packed greedily, longest first, as many equal windows at
+    once as the counts allow, wherever that fills a window exactly; the lengths that
+    fill none stand one after the other in a stream that is cut at each window's end,
+    so only the very last window can have padding and a window cuts one rest at most.
+    All work is on counts of lengths: its cost and the number of runs depend on the
+    number of different lengths, not on how many documents have them.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     used = dict.fromkeys(left, 0)
-    runs: dict[int, list[tuple]] = {n: [] for n in left}
+    runs: dict[int, list[tuple[int, int, int, int]]] = {n: [] for n in left}
     seq = first_sequence
-    columns = patterns(left, window)
-    times = np.floor(solve(left, columns) + 1e-6).astype(np.int64)
-    for j in np.argsort(-times, kind="stable").tolist():
-        k = min([int(times[j]), *(left[n] // m for n, m in columns[j].items())])
-        if k <= 0:
-            continue
+
+    def repeat(combo: list[tuple[int, int]], k: int) -> None:
+        nonlocal seq
         offset = 0
-        for n, m in sorted(columns[j].items(), reverse=True):
-            runs[n].append((used[n], [(0, n, seq, m, offset)]))
+        for n, m in combo:
+            runs[n].append((used[n], seq, m, offset))
             used[n] += k * m
             left[n] -= k * m
             offset += n * m
         seq += k
-    left = {n: c for n, c in left.items() if c}
-    open_at = None  # (sequence, offset) of the window being filled
-    while left:
-        if open_at is None:  # whole windows of the longest length and what completes it, many at once
-            combo, room, lengths = [], window, sorted(left, reverse=True)
-            for n in lengths:
+
+    columns = patterns(left, window)
+    times = np.floor(solve(left, columns) + 1e-6).astype(np.int64)
+    for j in np.argsort(-times, kind="stable").tolist():
+        k = min([int(times[j]), *(left[n] // m for n, m in columns[j].items())])
+        if k > 0:
+            repeat(sorted(columns[j].items(), reverse=True), k)
+    lengths = sorted(n for n, c in left.items() if c)
+    stream = []
+    while lengths:
+        combo, room, at = [], window, len(lengths)
+        while room and at:
+            at = min(at, bisect_right(lengths, room)) - 1
+            if at >= 0:
+                n = lengths[at]
                 m = min(room // n, left[n])
-                if m:
-                    combo.append((n, m))
-                    room -= n * m
-            k = min(left[n] // m for n, m in combo) if room == 0 else 0
-            if k:
-                offset = 0
-                for n, m in combo:
-                    runs[n].append((used[n], [(0, n, seq, m, offset)]))
-                    used[n] += k * m
-                    left[n] -= k * m
-                    offset += n * m
-                seq += k
-                left = {n: c for n, c in left.items() if c}
-                continue
-            open_at = (seq, 0)
-            seq += 1
-        at, offset = open_at
-        room = window - offset
-        fits = [n for n in left if n <= room]
-        if fits:
-            n = max(fits)
-            runs[n].append((used[n], [(0, n, at, 1, offset)]))
-            open_at = (at, offset + n) if offset + n < window else None
+                combo.append((n, m))
+                room -= n * m
+            at = max(at, 0)
+        if room:
+            stream.append(lengths.pop())
         else:
-            n = min(left)
-            runs[n].append((used[n], [(0, room, at, 1, offset), (room, n - room, seq, 1, 0)]))
-            open_at = (seq, n - room)
-            seq += 1
-        used[n] += 1
-        left[n] -= 1
-        if not left[n]:
-            del left[n]
-    return Plan(runs, seq)
-
-
-def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, salts: int = SALTS) -> DataFrame:
+            repeat(combo, min(left[n] // m for n, m in combo))
+            lengths = [n for n in lengths if left[n]]
+    at = 0
+    for n in stream:
+        runs[n].append((used[n], seq + at // window, 0, at % window))
+        at += n * left[n]
+    return Plan(runs, seq - (-at // window), window)
+
+
+def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", window: int = WINDOW, rows: int = ROWS) -> DataFrame:
     """One row per piece of each document's ids; see ``op8_packing`` for the columns.
 
     A document's whole windows are sequences of their own.  Rests are ranked within
-    their length, in salted parts so that a length that very many documents have is
-    no hot key; the driver sees only counts by (length, salt), at most
-    window * salts rows, and the plan made of them.  Ids are kept once, in the shared
-    folder, and dealt once.  Null texts count as empty and have the closing id only.
-    Repeated rows are packed each by itself; an empty table gives no row.
+    their length; a length of more than ``rows`` rests is salted into parts of about
+    that many, so none that very many documents have is a hot key.  The driver sees
+    counts by length, then by (length, salt), at most window + PARTS of
+    them (parts grow beyond that), and the plan made of them.  Ids are kept once, in the shared folder, and
+    dealt once.  Null texts count as empty and have the closing id only.  Repeated
+    rows are packed each by itself; an empty table gives no row.
     """
     path = path or tokenizer_path()
     kind = kept_encoder(path).kind
@@ -273,7 +272,12 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 )
 
     coded = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, schema)
-    coded = cut(coded.withColumn("salt", F.pmod(F.xxhash64("id", "rest"), F.lit(salts)).cast("int")))
+    coded = cut(coded.withColumn("spin", F.xxhash64("id", "rest", F.spark_partition_id())))  # repeated rows spread by task
+    held = {r["rest"]: r["n"] for r in coded.groupBy("rest").agg(F.count("*").alias("n")).collect()}
+    rows = max(rows, sum(held.values()) // PARTS)
+    shared = {rest: 1 + n // rows for rest, n in held.items() if n >= rows}
+    share = F.coalesce(F.create_map(*[F.lit(x) for pair in shared.items() for x in pair])[F.col("rest")], F.lit(1)) if shared else F.lit(1)
+    coded = coded.withColumn("salt", F.pmod("spin", share).cast("int"))
     counts = coded.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()
     histogram: dict[int, int] = {}
     base: dict[tuple[int, int], tuple[int, int]] = {}
@@ -302,7 +306,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 pieces = [(w * window, window, first_full + ahead + w, 0) for w in range(len(ids) // window)]
                 if rest:
                     at = len(ids) - rest
-                    pieces += [(at + s, n, q, o) for s, n, q, o in placed(runs[rest], first_rank + rank)]
+                    pieces += [(at + s, n, q, o) for s, n, q, o in placed(runs[rest], rest, first_rank + rank, window)]
                 out += [(doc, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), q, o) for s, n, q, o in pieces]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=names)
 
@@ -310,5 +314,10 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
 
 
 def op8_packing(spark, sf_dir):
-    """Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Pieces of all ``documents``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts have one piece, the closing id; very long ones are whole
+    windows and a rest; ties and repeated rows are packed each by itself; an empty
+    table gives no row; other columns are not read.
+    """
     return pack(documents(spark, sf_dir))

@@ -491,6 +491,32 @@ def test_plan_fills_windows():
     assert len(used) == made.sequences == math.ceil(sum(n * c for n, c in histogram.items()) / 100)
 
 
+def test_plan_does_not_grow_with_counts():
+    """Lengths that fill no window have few runs however many documents have them."""
+    for histogram in ({3000: 10**9}, {2500: 200_000, 2600: 200_000, 2700: 200_000}, {n: 10**6 + 7 * n for n in range(3900, 4096)}):
+        made = packing.plan(histogram)
+        assert sum(map(len, made.runs.values())) <= 3 * len(histogram) ** 2
+        assert made.sequences == math.ceil(sum(n * c for n, c in histogram.items()) / 4096)
+    seen = collections.defaultdict(list)
+    made = packing.plan({3000: 500, 700: 90, 4095: 11})
+    for n, c in ((3000, 500), (700, 90), (4095, 11)):
+        for rank in range(c):
+            parts = made.pieces(n, rank)
+            assert sum(p[1] for p in parts) == n and [p[0] for p in parts] == [0, *[p[1] for p in parts[:-1]]]
+            for _, size, seq, offset in parts:
+                seen[seq].append((offset, size))
+    for parts in seen.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert sum(max(o + n for o, n in p) < 4096 for p in seen.values()) <= 1
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_packing_of_hot_lengths(spark, rows):
+    same = [(i % 50 if i % 3 else None, "one two three " * 10) for i in range(150)]
+    packed_is_right(spark, same, packing.pack(table(spark, same), rows=rows).collect())
+
+
 def test_least_squares_solution():
     cols = [{3: 1, 7: 1}, {5: 2}]
     assert packing.solve({3: 4, 7: 4, 5: 6}, cols) == pytest.approx([4, 3], abs=0.01)
