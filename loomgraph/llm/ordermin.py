@@ -1,7 +1,14 @@
-"""Order MinHash fingerprints of documents; DataFrame functions only."""
+"""Order MinHash fingerprints of documents; DataFrame functions only.
+
+A k-mer with its occurrence number is one element of a text.  Each sketch has an order of all
+elements of its own: that of their hashes with the sketch's number flipped into the upper bits, so every
+order is as random as the hash.  The ``TUPLE`` smallest elements of the whole text in
+that order are put back in text order and hashed as a tuple.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -14,9 +21,12 @@ from loomgraph.llm.shared import SPACE, documents
 K = 3
 SKETCHES = 64
 TUPLE = 2
-#: Ranges of neighbouring documents for each shuffle partition.
+#: Ranges of neighbouring documents for each shuffle partition, and rows of a range among null ids.
 BUCKETS = 4
-_POS_BITS = 24
+VOID_ROWS = 1 << 12
+#: Upper bits of a k-mer's hash that are looked at; what is below has room for a place.
+_HASH_BITS = 40
+_LOW = (1 << 64 - _HASH_BITS) - 1
 _EMPTY = "0000"
 
 
@@ -25,9 +35,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _words(text: Column) -> Column:
+    """Words between ASCII white space; the plain split where only blanks and new lines occur is the faster one."""
+    rare = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        rare = rare | F.contains(text, F.lit(c))
+    return F.array_remove(F.when(rare, F.split(text, f"{SPACE}+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")
+
+
 def _hashes(text: Column, k: int) -> Column:
     """Hashes of a text's k-mers of words, in order; a text of fewer words is one k-mer, a blank one none."""
-    words = F.array_remove(F.split(text, f"{SPACE}+"), "")
 
     def of(w: Column) -> Column:
         last = F.size(w) - k
@@ -35,94 +52,126 @@ def _hashes(text: Column, k: int) -> Column:
         one = F.array(F.xxhash64(F.array_join(w, " ")))
         return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(last >= 0, many).otherwise(one)
 
-    return _let(words, of)
+    return _let(_words(text), of)
+
+
+class _Packed:
+    """An element as one long: the hash's upper bits, the place below.  For texts whose places fit."""
+
+    make = staticmethod(lambda h, i: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))
+    hash = staticmethod(lambda x: x.bitwiseAND(F.lit(~_LOW)))
+    turned = staticmethod(lambda x, key: x.bitwiseXOR(key))
+    placed = staticmethod(lambda x: F.shiftleft(x, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - _HASH_BITS)))
+    value = staticmethod(lambda y: y.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+
+    @staticmethod
+    def again(x: Column, nth: Column) -> Column:
+        return F.xxhash64(x.bitwiseAND(F.lit(~_LOW)), nth).bitwiseAND(F.lit(~_LOW)).bitwiseOR(x.bitwiseAND(F.lit(_LOW)))
+
+
+class _Wide:
+    """The same element as a struct, for texts of any size."""
+
+    make = staticmethod(lambda h, i: F.struct(h.bitwiseAND(F.lit(~_LOW)).alias("h"), i.cast("int").alias("p")))
+    hash = staticmethod(lambda x: x["h"])
+    turned = staticmethod(lambda x, key: F.struct(x["h"].bitwiseXOR(key).alias("h"), x["p"].alias("p")))
+    placed = staticmethod(lambda x: F.struct(x["p"].alias("p"), F.shiftrightunsigned(x["h"], 64 - _HASH_BITS).alias("v")))
+    value = staticmethod(lambda y: y["v"])
+    again = staticmethod(lambda x, nth: F.struct(F.xxhash64(x["h"], nth).bitwiseAND(F.lit(~_LOW)).alias("h"), x["p"].alias("p")))
 
 
-def _numbered(hashes: Column) -> Column:
-    """For each k-mer one long: a hash of (k-mer, occurrence number) above, its position below.
+def _numbered(hashes: Column, kind=_Packed) -> Column:
+    """The elements of a text, sorted: a k-mer's first occurrence by its hash, a later one by a hash of it and the number.
 
-    Sorting (hash, position) brings occurrences together in text order; the place in
-    a run is the occurrence number.
+    Sorting (hash, place) brings occurrences together in text order, and most texts
+    have few k-mers twice, so only the later occurrences are hashed and sorted again.
     """
-    low = (1 << _POS_BITS) - 1
-    high = ~low
-    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(high)).bitwiseOR(F.least(i, F.lit(low)).cast("long"))))
+    packed = F.sort_array(F.transform(hashes, kind.make))
 
     def number(s: Column) -> Column:
-        n = F.size(s)
-        same = lambda a, b: a.bitwiseAND(F.lit(high)) == b.bitwiseAND(F.lit(high))
-        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(s[i], s[F.greatest(i - 1, F.lit(0))]))
+        same = lambda i: (i > 0) & (kind.hash(s[i]) == kind.hash(s[F.greatest(i - 1, F.lit(0))]))
+        more = F.filter(F.sequence(F.lit(0), F.size(s) - 1), same)
 
-        def runs(h: Column) -> Column:
-            def run(start: Column, r: Column) -> Column:
-                stop = F.when(r + 1 < F.size(h), h[F.least(r + 1, F.size(h) - 1)]).otherwise(n)
-                return F.transform(
-                    F.sequence(F.lit(0), stop - start - 1),
-                    lambda o: F.xxhash64(s[start + o].bitwiseAND(F.lit(high)), o)
-                    .bitwiseAND(F.lit(high))
-                    .bitwiseOR(s[start + o].bitwiseAND(F.lit(low))),
-                )
+        def renumber(d: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda t: (t == 0) | (d[F.greatest(t - 1, F.lit(0))] != d[t] - 1))
 
-            return F.flatten(F.transform(h, run))
+            def runs(h: Column) -> Column:
+                def run(t: Column, r: Column) -> Column:
+                    stop = F.coalesce(F.get(h, r + 1), F.size(d))
+                    return F.transform(F.sequence(t, stop - 1), lambda u: kind.again(s[d[u]], u - t + 1))
 
-        return _let(heads, runs)
+                return F.flatten(F.transform(h, run))
 
-    return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(_let(packed, number))
+            first = F.filter(s, lambda x, i: ~same(i))
+            return F.sort_array(F.concat(first, _let(starts, runs)))
 
+        return _let(more, lambda d: F.when(F.size(d) == 0, s).otherwise(renumber(d)))
 
-def _signature(numbered: Column, sketches: int, width: int) -> Column:
-    """Four hex digits a sketch; 0000 for a sketch that no k-mer fell into.
+    return _let(packed, number)
 
-    The numbered hashes are dealt into ``sketches`` equal ranges.  In each range the
-    ``width`` smallest are taken, put back in text order, and hashed as a tuple.
+
+def _signature(elements: Column, sketches: int, width: int, kind=_Packed) -> Column:
+    """Four hex digits a sketch, from the sorted elements of a text that has some.
+
+    In the order of sketch j come first the elements whose upper bits are j, by their
+    hashes, then those of the other upper bits, the nearest by exclusive or first; so
+    the ``width`` smallest of each upper-bits value hold those of every order.
     """
-    low = (1 << _POS_BITS) - 1
     shift = 64 - (sketches.bit_length() - 1)
-    bin_of = lambda x: F.shiftright(x, shift)
+    upper = lambda x: F.shiftright(kind.hash(x), shift)
 
     def pick(s: Column) -> Column:
-        chosen = F.filter(s, lambda x, i: (i < width) | (bin_of(s[F.greatest(i - width, F.lit(0))]) != bin_of(x)))
+        chosen = F.filter(s, lambda x, i: (i < width) | (upper(s[F.greatest(i - width, F.lit(0))]) != upper(x)))
 
         def sign(c: Column, bins: Column) -> Column:
             def one(j: Column) -> Column:
-                at = F.array_position(bins, j)
-                mine = F.filter(F.slice(c, at.cast("int"), F.lit(width)), lambda x: bin_of(x) == j)
-                ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(F.lit(low)).alias("p"), x.alias("x"))))
-                value = F.xxhash64(F.transform(ordered, lambda t: F.shiftright(t["x"], _POS_BITS)))
-                digits = F.substring(F.lpad(F.lower(F.hex(value)), 16, "0"), 1, len(_EMPTY))
-                return F.when(at == 0, F.lit(_EMPTY)).otherwise(F.when(digits == _EMPTY, F.lit("0001")).otherwise(digits))
+                at = F.array_position(bins, j).cast("int")
+                full = (at > 0) & F.coalesce(F.get(bins, at + width - 2) == j, F.lit(False))
+                key = F.shiftleft(j, shift).bitwiseXOR(F.lit(-(1 << 63)))
+                near = F.transform(F.slice(F.sort_array(F.transform(c, lambda x: kind.turned(x, key))), F.lit(1), F.lit(width)), lambda x: kind.turned(x, key))
+                ordered = F.sort_array(F.transform(F.when(full, F.slice(c, at, F.lit(width))).otherwise(near), kind.placed))
+                digits = F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(F.transform(ordered, kind.value)), 48)), len(_EMPTY), "0"))
+                return F.when(digits == _EMPTY, F.lit("0001")).otherwise(digits)
+
+            numbers = F.array(*[F.lit(j - sketches // 2).cast("long") for j in range(sketches)])
+            return F.array_join(F.transform(numbers, one), "")
+
+        return _let(chosen, lambda c: _let(F.transform(c, upper), lambda bins: sign(c, bins)))
+
+    return _let(elements, pick)
 
-            ranges = F.array(*[F.lit(j - sketches // 2).cast("long") for j in range(sketches)])
-            return F.array_join(F.transform(ranges, one), "")
 
-        return _let(chosen, lambda c: _let(F.transform(c, bin_of), lambda bins: sign(c, bins)))
+def fingerprint(text: Column, k: int = K, sketches: int = SKETCHES, width: int = TUPLE, packed: int = _LOW) -> Column:
+    """The Order MinHash fingerprint of ``text`` as a hex string (null: empty; without a word: zeros).
 
-    return _let(F.sort_array(numbered), pick)
+    Elements of texts of up to ``packed`` k-mers are held as longs, those of longer
+    ones as structs; the fingerprint is the same.
+    """
 
+    def of(h: Column) -> Column:
+        by = lambda kind: _signature(_numbered(h, kind), sketches, width, kind)
+        return F.when(F.size(h) == 0, F.lit(_EMPTY * sketches)).when(F.size(h) <= packed, by(_Packed)).otherwise(by(_Wide))
 
-def fingerprint(text: Column, k: int = K, sketches: int = SKETCHES, width: int = TUPLE) -> Column:
-    """The Order MinHash fingerprint of ``text`` as a hex string (null: empty)."""
-    return _let(F.coalesce(text, F.lit("")), lambda t: _let(_hashes(t, k), lambda h: _let(_numbered(h), lambda n: _signature(n, sketches, width))))
+    return _let(_hashes(F.coalesce(text, F.lit("")), k), of)
 
 
 def likeness(a: Column, b: Column, sketches: int = SKETCHES) -> Column:
-    """Share of the sketches, among those that either text fills, which agree; 1 for equal fingerprints."""
+    """Share of the sketches that agree; 1 for equal fingerprints, 0 beside a text without a word."""
     n = len(_EMPTY)
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(sketches - 1)), lambda i: F.struct(F.substring(a, i * n + 1, F.lit(n)).alias("x"), F.substring(b, i * n + 1, F.lit(n)).alias("y"))
-    )
-    filled = F.filter(cells, lambda c: (c["x"] != _EMPTY) | (c["y"] != _EMPTY))
-    same = _let(filled, lambda f: F.size(F.filter(f, lambda c: c["x"] == c["y"])) / F.greatest(F.size(f), F.lit(1)))
-    return F.when(a == b, F.lit(1.0)).otherwise(same)
+    same = F.filter(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda i: F.substring(a, i * n + 1, F.lit(n)) == F.substring(b, i * n + 1, F.lit(n)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.size(same) / F.lit(sketches))
 
 
 def _place(value: Column, cuts: list[int]) -> Column:
-    """How many of the sorted ``cuts`` are below the value, looked up in two steps of about sqrt(n)."""
+    """How many of the sorted ``cuts`` are below the value, looked up in two steps of about sqrt(n).
+
+    The cuts stand in the plan as two literals, however many they are.
+    """
     step = math.isqrt(len(cuts)) + 1
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    text = lambda xs: "array(" + ", ".join(f"CAST({x} AS BIGINT)" for x in xs) + ")"
-    lasts = F.expr(text(g[-1] for g in groups))
-    inner = F.expr("array(" + ", ".join(map(text, groups)) + ")")
+    text = lambda xs: ",".join(map(str, xs))
+    lasts = F.split(F.lit(text(g[-1] for g in groups)), ",").cast("array<bigint>")
+    inner = F.transform(F.split(F.lit(";".join(map(text, groups))), ";"), lambda g: F.split(g, ",").cast("array<bigint>"))
     whole = F.size(F.filter(lasts, lambda c: c < value))
 
     def within(k: Column) -> Column:
@@ -138,25 +187,29 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     partition, at quantiles (a list of that length on the driver), so one exchange
     puts neighbours together.  The first document of a bucket is also sent to the
     bucket before it, marked ``ghost``, as what follows there; the first of all
-    follows the last.  Null ids come after all others; equal ids are ordered by text.
+    follows the last.  Null ids come after all others, by a hash of their text, and
+    their buckets are ranges of it; equal ids are ordered by text.
     """
     spark = docs.sparkSession
     n = BUCKETS * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = base.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
-    cuts = sorted(set(found or [0]))
-    base = base.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(_place(F.col("id"), cuts)).cast("int"))
-    least = F.min(F.struct(F.col("id").isNull().alias("void"), "id").alias("f"))
-    firsts = sorted((r["bucket"], r["f"]["id"]) for r in base.groupBy("bucket").agg(least.alias("f")).collect()) or [(0, None)]
-    rows = ", ".join(f"({b}, {'NULL' if i is None else f'{i}L'}, {firsts[k - 1][0]})" for k, (b, i) in enumerate(firsts))
-    lead = F.broadcast(spark.sql(f"SELECT CAST(b AS INT) AS b, CAST(i AS BIGINT) AS i, CAST(p AS INT) AS p FROM VALUES {rows} AS t(b, i, p)"))
-    placed = base.join(lead, (base["bucket"] == lead["b"]) & base["id"].eqNullSafe(lead["i"]), "left")
+    base = base.select("id", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("turn"), "text")
+    seen = base.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("q"), F.count_if(F.col("id").isNull()).alias("void")).first()
+    cuts = sorted(set(seen["q"] or [0]))
+    bits = min(20, (seen["void"] // VOID_ROWS).bit_length())
+    void = F.shiftright("turn", 64 - bits) + (1 << bits - 1) if bits else F.lit(0)
+    base = base.withColumn("bucket", F.when(F.col("id").isNull(), len(cuts) + 1 + void).otherwise(_place(F.col("id"), cuts)).cast("int"))
+    least = F.min(F.struct(F.coalesce("id", "turn").alias("at")))
+    firsts = sorted((r["bucket"], r["f"]["at"]) for r in base.groupBy("bucket").agg(least.alias("f")).collect()) or [(0, 0)]
+    rows = json.dumps([{"b": b, "i": i, "p": firsts[k - 1][0]} for k, (b, i) in enumerate(firsts)])
+    lead = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<b: int, i: bigint, p: int>>"))))  # a row a bucket
+    placed = base.join(lead, (base["bucket"] == lead["b"]) & (F.coalesce(base["id"], base["turn"]) == lead["i"]), "left")
     own = F.struct(F.col("bucket").alias("at"), F.lit(0).alias("ghost"))
     also = F.struct(F.col("p").alias("at"), F.lit(1).alias("ghost"))
-    spread = placed.select("id", "text", F.explode(F.when(F.col("p").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("to"))
-    spread = spread.select(F.col("to.at").alias("bucket"), F.col("to.ghost").alias("ghost"), "id", "text")
-    line = Window.partitionBy("bucket").orderBy("ghost", F.asc_nulls_last("id"), "text")
-    return spread.select("*", F.row_number().over(line).alias("nth"), F.lead("text").over(line).alias("next_text"))
+    spread = placed.select("id", "turn", "text", F.explode(F.when(F.col("p").isNull(), F.array(own)).otherwise(F.array(own, also))).alias("to"))
+    spread = spread.select(F.col("to.at").alias("bucket"), F.col("to.ghost").alias("ghost"), "id", "turn", "text")
+    line = Window.partitionBy("bucket").orderBy("ghost", "id", "turn", "text")
+    return spread.select("bucket", "ghost", "id", "text", F.row_number().over(line).alias("nth"), F.lead("text").over(line).alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,4 +241,11 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def op7_order_minhash(spark, sf_dir):
+    """Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Null texts count as empty and have fingerprint zeros; texts of any length are
+    fingerprinted whole; equal ids are ordered by text and null ids come last by a hash
+    of theirs; repeated rows come back repeated; an empty table gives no row; other
+    columns are not read.
+    """
     return edited_fingerprints(documents(spark, sf_dir))

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -386,25 +387,73 @@ def test_licenses(spark, corpus):
 # -- order minhash -------------------------------------------------------------
 
 
+def slow_order(text, sketches=64, width=2, k=3):
+    """A fingerprint by its definition: each sketch sorts all numbered k-mers in an order of its own."""
+    full = (1 << 64) - 1
+    long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<Q", x & full), seed)
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    grams = [w[i : i + k] for i in range(len(w) - k + 1)] or ([[" ".join(w)]] if w else [])
+    if not grams:
+        return "0" * 4 * sketches
+    elements, seen = [], collections.Counter()
+    for place, g in enumerate(grams):
+        h = 42
+        for x in g:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        h &= full ^ 0xFFFFFF
+        nth = seen[h]
+        seen[h] += 1
+        elements.append((xxhash.xxh64_intdigest(struct.pack("<i", nth), long(h, 42)) & (full ^ 0xFFFFFF) if nth else h, place))
+    out = ""
+    for j in range(sketches):
+        upper = ((j - sketches // 2) & full) << (65 - sketches.bit_length()) & full
+        least = sorted(elements, key=lambda e: (e[0] ^ upper, e[1]))[:width]
+        h = 42
+        for x, _ in sorted(least, key=lambda e: e[1]):
+            h = long(x >> 24, h)
+        out += f"{h >> 48:04x}" if h >> 48 else "0001"
+    return out
+
+
+def slow_likeness(a, b):
+    return 1.0 if a == b else sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / (len(a) // 4)
+
+
 def test_order_minhash(spark, corpus):
+    rng = random.Random(12)
+    corpus = [*corpus, *[(None, words(rng, rng.randrange(0, 40), 9)) for _ in range(12)], (None, None), (78, "a b c " * 700), (79, "a\tb\x0bc\r\nd \x0c e")]
     got = ordermin.edited_fingerprints(table(spark, corpus, CLASH)).collect()
-    order = sorted(corpus, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    want = []
+    turn = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    order = sorted(corpus, key=lambda r: (r[0] is None, r[0] or 0, 0 if r[0] is not None else turn(r[1]), r[1] or ""))
+    want, prints = [], [slow_order(t) for _, t in order]
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
-    assert sorted(map(repr, ((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got))) == sorted(map(repr, want))
-    prints = collections.defaultdict(set)
-    texts = {i: t or "" for i, t in corpus}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        prints[texts[r["doc_id"]]].add(r["fingerprint"])
-    assert all(len(p) == 1 for p in prints.values())
+        edited = t[: len(t) - half] + nxt[:half]
+        e = slow_order(edited)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[k], e, slow_likeness(prints[k], e), slow_likeness(prints[k], prints[(k + 1) % len(order)])))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     long_ones = [r for r in got if r["n_chars"] > 200 and r["doc_id"] is not None and r["doc_id"] < 40]
     assert sum(r["near_edited"] for r in long_ones) > sum(r["near_next"] for r in long_ones)
 
 
+@pytest.mark.parametrize("packed", [0, 5])
+def test_elements_of_long_texts_are_the_same(spark, corpus, packed):
+    both = table(spark, corpus).select(ordermin.fingerprint(F.col("text")).alias("a"), ordermin.fingerprint(F.col("text"), packed=packed).alias("b"))
+    assert both.where("a <> b").count() == 0
+
+
+def test_null_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ordermin, "VOID_ROWS", 4)
+    rng = random.Random(13)
+    rows = [(None, words(rng, 12, 50)) for _ in range(60)] + [(1, "x"), (2, None)]
+    beside = ordermin.beside_next(table(spark, rows)).where("ghost = 0").collect()
+    turn = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    line = ["x", "", *sorted((t for i, t in rows if i is None), key=turn)]
+    assert {(r["text"], r["next_text"]) for r in beside} == {(t, line[(k + 1) % len(line)]) for k, t in enumerate(line)}
+    assert len({r["bucket"] for r in beside}) > 8
+
+
 def test_order_matters_and_occurrences_count(spark):
     rng = random.Random(4)
     a = words(rng, 300, 3000).split()
@@ -414,6 +463,8 @@ def test_order_matters_and_occurrences_count(spark):
     assert near(1, 2) > near(1, 3) > near(1, 4)
     d = spark.createDataFrame([(1, "a b c"), (2, "a b c a b c")], "i int, t string").select(ordermin._numbered(ordermin._hashes(F.col("t"), 3)).alias("n"))
     assert [len(set(r["n"])) for r in d.collect()] == [1, 4]
+    few = spark.createDataFrame([(0, "a b c d e f g"), (1, "g f e d c b a")], "i int, t string").select(ordermin.fingerprint(F.col("t"), k=1).alias("f")).collect()
+    assert slow_likeness(few[0]["f"], few[1]["f"]) < 0.5  # the same few elements in another order
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 16, 40])
