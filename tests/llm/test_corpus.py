@@ -348,42 +348,65 @@ def slow_base(text):
     return len(w), len(spots), min((k for k, _ in spots), default=None), max((k for k, _ in spots), default=None), ",".join(sorted({x for _, x in spots}))
 
 
-def slow_labels(text, width):
-    w, out = licenses.words_of(text), set()
-    for label, t in licenses.TEMPLATES:
-        need, s = math.ceil(0.8 * len(set(t.split())) - 1e-9), set(t.split())
-        for k in range(0, max(0, len(w) - width // 2 - 1) + 1, width // 2):
-            if len(s & set(w[k : k + width])) >= need:
-                out.add(label)
-    return out
+def slow_labels(text, notices=None):
+    """Labels of the notices that some block holds, and the largest part, counted in every block."""
+    w, out, best = licenses.words_of(text), set(), 0.0
+    for n in notices or licenses.NOTICES:
+        q = licenses.words_of(n.text)
+        s, step = set(q), max(1, len(q) // 4)
+        for k in range(0, len(w), step):
+            b = set(w[k : k + len(q) + 2 * step - 1])
+            if len(s & b) >= 0.8 * len(s) and b >= set(n.must.split()) and not b & set(n.never.split()):
+                out.add(n.label)
+                best = max(best, len(s & b) / len(s))
+    return out, best
 
 
 def test_licenses(spark, corpus):
     rng = random.Random(2)
-    bits = [t for _, t in licenses.TEMPLATES] + list(licenses.PHRASES)
+    bits = [n.text for n in licenses.NOTICES] + list(licenses.PHRASES)
     rows = list(corpus)
-    for i in range(60):
+    for i in range(90):
         t = rng.choice(bits).split()
         if i % 3 == 1:
-            t.pop(rng.randrange(len(t)))
+            for _ in range(1 + len(t) // 8):
+                t[rng.randrange(len(t))] = f"other{i}"
         if i % 3 == 2:
             rng.shuffle(t)
         rows.append((200 + i, f"{words(rng, rng.randrange(0, 90))} {rng.choice([' ', '-', ', '])}{' '.join(t).upper()}. {words(rng, 30)}"))
     rows += [(400, "CC BY-NC; cc_by nc cc by nc"), (401, "under the MİT license"), (402, "worK K İ under the mit license"), (403, "mit"), (404, "a\x00b{c}d~é\x7f")]
+    rows += [(405, " and ".join(n.text for n in licenses.NOTICES)), *[(None, licenses.NOTICES[4].text)] * 3]
     got = licenses.license_scan(table(spark, rows, CLASH)).collect()
-    width = 2 * max(len(t.split()) for _, t in licenses.TEMPLATES)
     by = collections.defaultdict(list)
     for i, t in rows:
         by[i].append(t)
     assert len(got) == len(rows)
     for r in got:
+        if r["doc_id"] is None:
+            continue
         base = slow_base(by[r["doc_id"]][0])
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == base
-        want = slow_labels(by[r["doc_id"]][0], width) | set(filter(None, base[4].split(",")))
-        assert r["labels"] == ",".join(sorted(want)) and 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(want)
+        labels, best = slow_labels(by[r["doc_id"]][0])
+        assert r["labels"] == ",".join(sorted(labels | set(filter(None, base[4].split(",")))))
+        assert r["score"] == (1.0 if base[1] else best)
+    assert sum(r["doc_id"] is None and r["labels"] == "mit" for r in got) == 3
     assert licenses.license_scan(table(spark, EMPTY)).count() == 0
 
 
+def test_notices_are_told_apart(spark):
+    """Each notice gets its own label alone; what only looks like one gets none."""
+    rows = [(i, "a word before " + n.text + " and after it") for i, n in enumerate(licenses.NOTICES)]
+    near_miss = [
+        "This dataset is licensed under CC BY 4.0", "Licensed under the GPL License, version 2.0", "released under the GNU General Public License",
+        "This work is licensed under the GNU General Public License, version 2", "the mit group released a license manager under review", "CC BY-SA 4.0 licensed under",
+        "released in spring, the film ran " + "long " * 30 + "under the title that a license of mit had",
+    ]
+    rows += [(1000 + i, t) for i, t in enumerate(near_miss)]
+    got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in licenses.license_scan(table(spark, rows)).collect()}
+    assert all(got[i][0] == n.label for i, n in enumerate(licenses.NOTICES))
+    assert all(got[1000 + i] == ("", "") for i in range(len(near_miss)))
+
+
 # -- order minhash -------------------------------------------------------------
 
 
