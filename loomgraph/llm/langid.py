@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import documents, free_names
+from loomgraph.llm.shared import documents
 
 #: Most labelled texts per language that the centroids are fitted on.
 SAMPLE = 600
@@ -207,6 +207,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit([label for label, _, _ in rows], counts)
 
 
+def _judged(column: pa.Array, model: Centroids | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text of a batch."""
+    texts = pa.concat_arrays([column])
+    data, ends = _utf8(texts)
+    lettered = np.array(pc.match_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"\p{L}"))
+    if model is None:
+        return [UNDETERMINED] * len(lettered), np.zeros(len(lettered)), np.ones(len(lettered), bool)
+    which, cosine, far = model.predict(_counts(data, ends, DIMENSIONS))
+    names = [model.languages[w] if ok else UNDETERMINED for w, ok in zip(which, lettered)]
+    return names, np.where(lettered, cosine, 0.0).astype(float), far | ~lettered
+
+
 def predict(docs: DataFrame, model: Centroids | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, mark, lang_pred, score, rejected)`` for every row, from the whole text alone.
 
@@ -220,29 +232,27 @@ def predict(docs: DataFrame, model: Centroids | None, key: str = "doc_id", text:
         for b in batches:
             for at in range(0, b.num_rows, _ROWS):
                 part = b.slice(at, _ROWS)
-                texts = pa.concat_arrays([part.column(2)])
-                data, ends = _utf8(texts)
-                lettered = np.array(pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}"))
-                if model is None:
-                    names, cosine, far = [UNDETERMINED] * len(lettered), np.zeros(len(lettered)), np.ones(len(lettered), bool)
-                else:
-                    which, cosine, far = model.predict(_counts(data, ends, DIMENSIONS))
-                    names = [model.languages[w] if ok else UNDETERMINED for w, ok in zip(which, lettered)]
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.where(lettered, cosine, 0.0).astype(float)), pa.array(far | ~lettered)],
-                    names=["id", "mark", "lang_pred", "score", "rejected"],
-                )
+                names, score, rejected = _judged(part.column(2), model)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["id", "mark", "lang_pred", "score", "rejected"])
 
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "id long, mark long, lang_pred string, score double, rejected boolean")
 
 
-def accepted_documents(docs: DataFrame, model: Centroids | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, columns and repeats unchanged."""
-    i, m = free_names(docs, "id", "mark")
-    fine = predict(docs, model, key, text).where("NOT rejected").select(F.col("id").alias(i), F.col("mark").alias(m)).distinct()
-    match = F.col(key).cast("long").eqNullSafe(fine[i]) & (F.xxhash64(F.col(text)) == fine[m])
-    return docs.join(fine, match, "left_semi")
+def accepted_documents(docs: DataFrame, model: Centroids | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, columns and repeats unchanged.
+
+    Whole rows pass through the tasks that judge their texts; nothing is shuffled.
+    """
+    at_text = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                yield part.filter(pa.array(~_judged(part.column(at_text), model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language_id(spark, sf_dir):

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.connected import components  # noqa: F401
+from loomgraph.session import cut  # noqa: F401
 
 #: ASCII white space, as a character class and its complement.
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,19 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only a session that
-    names none (a test on one machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def free_names(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` does not have, whatever its extra columns are called."""
     taken = {c.lower() for c in df.columns}
@@ -62,6 +49,20 @@ def one_row_each(docs: DataFrame, winners: DataFrame, keys: dict[str, Column], t
     return semi.withColumn(nth, order).where(F.col(nth) == 1).drop(*names, nth)
 
 
+def rows_without(docs: DataFrame, marked: DataFrame, keys: dict[str, Column], text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose keys ``marked(*keys, stays boolean)`` says don't stay, and with those that stay once each.
+
+    ``marked`` has a row for each row of ``docs``.  Most rows stay and stand alone,
+    so only keys that go, or that several rows have, meet the texts.
+    """
+    names = free_names(docs, *keys)
+    counted = marked.groupBy(*keys).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n"))
+    held = counted.where("n > 1 OR NOT stays").select(*[F.col(c).alias(n) for c, n in zip(keys, names)])
+    match = [e.eqNullSafe(F.col(n)) for e, n in zip(keys.values(), names)]
+    most = docs.join(held, match, "left_anti")
+    return most.unionByName(one_row_each(docs, counted.where("n > 1 AND stays").select(*keys), keys, text))
+
+
 def words_in(col: Column) -> Column:
     """Number of runs of non-white-space; null counts as empty."""
     return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(f"({WORD})"))).cast("long")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import components, cut, documents, one_row_each
+from loomgraph.llm.shared import components, cut, documents, rows_without
 
 SHINGLE = 3
 DISTANCE = 2
@@ -22,6 +23,14 @@ GROUPS = 5
 #: A larger bucket is resolved by shared midpoints instead of pairs.
 BUCKET = 48
 _BLOCK = 1 << 16
+#: Near copies: words in a shingle, least similarity of the shingle sets, and the share of pairs at that similarity that tables are drawn for.
+NEAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
+#: Bits of a wide fingerprint, most that two near copies differ in (2.6 standard deviations over what SIMILARITY makes expect),
+#: and references that every bucket's neighbours are compared by.
+WIDE, WIDE_DISTANCE = 128, 30
+WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
+#: Neighbours in a bucket's order that a member meets.
+NEIGHBOURS = 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -141,13 +150,172 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.join(member, "fp").select("id", "mark", "fingerprint", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each SimHash component, the one with the smallest key; columns unchanged."""
-    held = simhash_components(docs, key, text).where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = held.groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w")).select("w.id", "w.mark")
-    return one_row_each(docs, first, {"id": F.col(key).cast("long"), "mark": F.xxhash64(F.col(text))}, text)
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted 64-bit digests of the different word shingles of a whole text; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    each = (digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()))
+    return np.unique(np.fromiter(each, np.uint64, len(words) - k + 1))
+
+
+def _set_mark(held: np.ndarray) -> int:
+    """One signed number for a set of shingles; the empty set has zero."""
+    return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).astype(np.int64)) if len(held) else 0
+
+
+def wide_fingerprint(held: np.ndarray) -> bytes:
+    """The SimHash of a set of shingle digests over WIDE bits; each digest's bits and those of a mix of it vote."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(held), _BLOCK):
+        part = held[at : at + _BLOCK]
+        mixed = part * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        bits = np.unpackbits(np.stack((part, mixed ^ (mixed >> np.uint64(32))), axis=1).astype(">u8").view(np.uint8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(held)).tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def coordinate_tables(rows: int, least: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+    """The reference bits of each table for a corpus of so many different texts.
+
+    A coordinate is a text's distance to a single-bit reference less that to zero, which
+    is one of its bits.  Sets of similarity ``least`` have vectors at an angle whose
+    share of a half turn is the share of bits that differ.  A table takes so many
+    coordinates that few texts agree in all by chance, and there are so many tables
+    that pairs of that similarity agree in one with probability ``recall``.
+    """
+    agree = 1 - math.acos(2 * least / (1 + least)) / math.pi
+    width = min(40, max(10, math.ceil(math.log2(max(2, rows))) - 3))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.permutation(WIDE)[:width]) for _ in range(tables)]
+
+
+def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WIDE_DISTANCE, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Pairs ``(u, v)``, u < v, of ``classes(fp, high, low)`` at most ``distance`` bits apart that agree in a table.
+
+    Within a bucket, classes stand in the order of their bits, and each meets those
+    just before it and the bucket's first: all pairs of a usual bucket, and for a
+    large family of copies links along the order and to its first, in work
+    proportional to its members.  Pairs whose distances to some reference differ by
+    more than ``distance`` are discarded, and the bits of the others are compared.
+    """
+    halves = [(p >> 64, p & (1 << 64) - 1) for p in WIDE_PIVOTS]
+
+    def run(batches):
+        spots = [(t // 8, (7 - t % 8).astype(np.uint8)) for t in tables]
+        for b in batches:
+            fp, high, low = (np.asarray(c).astype(np.int64) for c in b.columns)
+            if not len(fp):
+                continue
+            raw = np.stack((high, low), axis=1).astype(">i8").view(np.uint8).reshape(-1, WIDE // 8)
+            h, w = high.view(np.uint64), low.view(np.uint64)
+            d = np.zeros(len(fp), np.int64)
+            for x, y in halves:
+                d = d << 8 | (np.bitwise_count(h ^ np.uint64(x)).astype(np.int64) + np.bitwise_count(w ^ np.uint64(y)))
+            for n, (byte, shift) in enumerate(spots):
+                key = np.zeros(len(fp), np.uint64)
+                for c, t in zip(byte, shift):
+                    key = key << np.uint64(1) | (raw[:, c] >> t & 1).astype(np.uint64)
+                key = (key | np.uint64(n) << np.uint64(40)).view(np.int64)
+                yield pa.record_batch([pa.array(x) for x in (key, fp, high, low, d)], names=["key", "fp", "high", "low", "d"])
+
+    keyed = classes.select("fp", "high", "low").mapInArrow(run, "key long, fp long, high long, low long, d long")
+    line = Window.partitionBy("key").orderBy("high", "low", "fp")
+    own = F.struct("fp", "high", "low", "d")
+    met = keyed.select("fp", "high", "low", "d", F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
+
+    def close(x: Column) -> Column:
+        near = F.bit_count(x["high"].bitwiseXOR(F.col("high"))) + F.bit_count(x["low"].bitwiseXOR(F.col("low"))) <= distance
+        for k in range(len(halves)):
+            at = lambda d: F.shiftright(d, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
+            near = (F.abs(at(x["d"]) - at(F.col("d"))) <= distance) & near
+        return near & (x["fp"] != F.col("fp"))
+
+    found = F.filter(F.when(F.size("met") == neighbours, F.array_append("met", F.col("head"))).otherwise(F.col("met")), close)
+    pairs = met.where(F.size("met") > 0).select("fp", F.explode(F.transform(found, lambda x: x["fp"])).alias("other"))
+    return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32) -> DataFrame:
+    """The pairs whose shingle sets, ``sets(fp, held)``, have at least the similarity; a set that very many pairs need is dealt out in copies."""
+
+    def run(batches):
+        for b in batches:
+            near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    for end in ("u", "v"):
+        copies = pairs.groupBy(end).agg(F.ceil(F.count("*") / share).cast("int").alias("copies"))
+        some = copies.join(sets, F.col(end) == sets.fp).select(F.col(end), "copies", F.col("held").alias(f"{end}_held"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        other = "v" if end == "u" else "u"
+        wanted = pairs.join(copies, end).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+        pairs = wanted.join(some.drop("copies"), [end, "copy"]).drop("copy")
+    return pairs.select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
+
+    Rows with equal sets form one class before any join.  Wide SimHash fingerprints find candidates
+    by their coordinates, exact similarity decides; texts are read again only for classes that are in a
+    candidate pair.  ``component_id`` is the smallest non-null key reachable.  Texts
+    without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
+    """
+
+    def sign(batches):
+        for b in batches:
+            held = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            bits = np.frombuffer(b"".join(map(wide_fingerprint, held)), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([_set_mark(h) for h in held], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "mark", "fp", "high", "low"])
+
+    def measure(batches):
+        for b in batches:
+            held = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([_set_mark(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fp", "held"])
+
+    narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
+    pairs = cut(near_pairs(classes, coordinate_tables(classes.count(), least), neighbours=neighbours))
+    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    first = classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m"))
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
+    sets = cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
+    roots = components(_verified(pairs, sets, least))
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    member = placed.join(low, "root").select("fp", "component_id")
+    return rows.select("id", "mark", "fp").join(member, "fp").select("id", "mark", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One row of each component of near copies, the one with the smallest key; columns unchanged."""
+    found = cut(near_components(docs, key, text, shingle, least))
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w"))
+    f, w = found.alias("f"), first.alias("w")
+    marked = f.join(w, F.col("f.component_id").eqNullSafe(F.col("w.component_id"))).select("f.id", "f.mark", F.struct("f.id", "f.mark").eqNullSafe(F.col("w.w")).alias("stays"))
+    return rows_without(docs, marked, {"id": F.col(key).cast("long"), "mark": F.xxhash64(F.col(text))}, text)
 
 
 def op5_simhash_components(spark, sf_dir):
+    """Columns: doc_id, fingerprint, component_id, one row for each row of ``documents``.
+
+    Null and empty texts have fingerprint zero and are linked like any other; very
+    long texts are read whole; ties and repeated rows come back each; an empty table
+    gives no row; other columns are not read.
+    """
     found = simhash_components(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")

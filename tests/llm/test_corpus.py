@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, exact, langid, licenses, mixing, near, ordermin, packing, pii, repeats, shared, simhash
+from loomgraph.llm import chat, exact, langid, licenses, mixing, ordermin, packing, pii, repeats, shared, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = re.compile(r"[\x20\x09-\x0D]")
@@ -161,21 +161,42 @@ def test_links_join_what_two_bits_join(spark, bucket):
             assert together == (find(a) == find(b))
 
 
+def slow_near(rows):
+    """Component of each row by similarity of all pairs of five-word shingle sets."""
+    sets = [slow_sets(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    low = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        low[find(k)].append(i)
+    return [(i, min((x for x in low[find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)]
+
+
 def test_near_copies_leave_one_each(spark, corpus):
     docs = table(spark, corpus, CLASH)
     out = simhash.drop_near_copies(docs)
     assert out.columns == docs.columns
-    want = collections.Counter(c for _, _, c in slow_components(corpus))
+    want = collections.Counter(c for _, c in slow_near(corpus))
     assert out.count() == len(want) and {r["doc_id"] for r in out.collect()} == set(want)
+    assert simhash.drop_near_copies(table(spark, EMPTY)).count() == 0
 
 
 def slow_sets(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("bucket", [2, 32])
-def test_planted_near_copies_go(spark, bucket):
+@pytest.mark.parametrize("neighbours", [2, 24])
+def test_planted_near_copies_go(spark, neighbours):
     rng = random.Random(8)
     rows = [(i, words(rng, rng.randrange(60, 200), 5000)) for i in range(40)]
     for i in range(25):  # one or two words changed, and a family of copies of one text
@@ -197,7 +218,7 @@ def test_planted_near_copies_go(spark, bucket):
             if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 group[y] = x
-    got = {r["id"]: r["component_id"] for r in near.near_components(table(spark, rows, CLASH), bucket=bucket).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.near_components(table(spark, rows, CLASH), neighbours=neighbours).collect()}
     assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(rows) - 15
 
 
@@ -823,7 +844,7 @@ def test_pipeline_against_brute_force(spark, corpus):
     assert once.count() == len({SPACES.sub("", t or "") for _, t in left})
     near = cp.near_copies(spark, once, "")
     held = [(r["doc_id"], r["text"]) for r in once.collect()]
-    assert {r["doc_id"] for r in near.collect()} == {c for _, _, c in slow_components(held)}
+    assert {r["doc_id"] for r in near.collect()} == {c for _, c in slow_near(held)}
     mixed = cp.mixture(spark, near, "")
     assert mixed.columns == docs.columns and mixed.where("n_chars <> length(text)").count() == 0
     final = [(r["doc_id"], r["text"]) for r in mixed.collect()]
