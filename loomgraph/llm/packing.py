@@ -21,7 +21,7 @@ WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Rests of one length are ranked in salted parts of about this many.
-ROWS = 1 << 14
+ROWS = 1 << 11
 #: Most such parts besides one for each length; their counts are held on the driver.
 PARTS = 1 << 18
 #: Words, and parts of words, whose ids a Python worker keeps.

@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data; DataFrame functions only.
 
-A value that passes its validity check is mapped to a number, permuted by a keyed
-Feistel network over exactly the numbers that are valid in its format, and written
-back with the separators it had.  The map depends on the key and the value alone:
+A value that passes its validity check is mapped to a number (an e-mail address's local part
+to its two halves), permuted by a keyed Feistel network over exactly the values that
+are valid in its format, and written back with the separators it had.  The map depends on the key and the value alone:
 equal values stay equal in every document, different values stay different.
 """
 
@@ -22,15 +22,20 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d])(?!\.\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d]|-\d)"
+YEAR_DATE = r"(?<![\d/])\d{4}/\d{2}/\d{2}(?![\d]|/\d)"
 DAY_DATE = r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?![\d]|[./]\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 #: A run of digit groups that may hold cards; if it can, it ends before a group that something else goes on with.
 _RUN = r"(?<!\d)\d(?=(?:[ -]?\d){12})[\d -]*(?<=\d)(?!\d)"
 CARD = rf"(?:{_RUN}(?![\w@%+]|[./-]\w)|{_RUN})"
 PHONE = r"(?<![\d])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d])"
+#: Numbers with a country code: after 00 only with a separator, without separators only after a plus sign.
+ABROAD = r"(?<![\w+])(?:\+[1-9]\d{7,14}|(?:\+[1-9]\d{0,2}[ .-]?|00[1-9]\d{0,2}[ .-])(?:\(\d{1,5}\)[ .-]?)?\d{1,12}(?:[ .-]\d{2,8}){0,4})(?![\d])"
 
-_ANY = "|".join(p.replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>") for p in (EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD))
+_ANY = "|".join(p.replace(r"([./])", r"(?<sep>[./])").replace(r"\1", r"\k<sep>") for p in (EMAIL, IPV4, ISO_DATE, YEAR_DATE, DAY_DATE, SSN, PHONE, ABROAD, CARD))
 _OTHERS = _ANY.removesuffix("|" + CARD)
+#: The first digits of country codes of one and two digits; all others have three.
+_COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Dates from 1900-01-01 up to and without 2100-01-01 are 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
 
@@ -39,7 +44,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def feistel(a: Column, b: Column, na: Column | int, nb: Column | int, key: str, tweak: str, rounds: int = ROUNDS) -> Column:
+def feistel(a: Column, b: Column, na: Column | int, nb: Column | int, key: str, tweak: str | Column, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of pairs (a, b), 0 <= a < na, 0 <= b < nb, as struct(a, b).
 
     Even rounds add a keyed hash of b to a modulo na, odd rounds the reverse; each
@@ -47,9 +52,10 @@ def feistel(a: Column, b: Column, na: Column | int, nb: Column | int, key: str,
     """
     na = F.lit(na).cast("long") if isinstance(na, int) else na.cast("long")
     nb = F.lit(nb).cast("long") if isinstance(nb, int) else nb.cast("long")
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
 
     def mixed(i: Column, half: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(tweak), na.cast("string"), nb.cast("string"), i.cast("string"), half.cast("string"))
+        text = F.concat_ws("|", F.lit(key), tweak, na.cast("string"), nb.cast("string"), i.cast("string"), half.cast("string"))
         return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
     def step(s: Column, i: Column) -> Column:
@@ -233,30 +239,84 @@ def _date(value: Column, fmt: str, key: str) -> Column:
     return _let(day, change)
 
 
+def _us_date(value: Column, key: str) -> Column:
+    """Month first, which only days from the 13th on tell: month and day are permuted among such dates.
+
+    Months have 16 to 19 such days; where the network leads to a day that the month
+    has not, it is walked on, which keeps the map one-to-one.
+    """
+    day = F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).cast("date")
+
+    def change(d: Column) -> Column:
+        month = (F.year(d) - 1900) * 12 + F.month(d) - 1
+        start = F.struct(month.cast("long").alias("a"), (F.day(d) - 13).cast("long").alias("b"), F.lit(False).alias("done"))
+        first = lambda m: F.make_date((F.floor(m / 12) + 1900).cast("int"), (m % 12 + 1).cast("int"), F.lit(1))
+
+        def walk(s: Column, i: Column) -> Column:
+            moved = lambda m: F.struct(m["a"].alias("a"), m["b"].alias("b"), (m["b"] + 13 <= F.day(F.last_day(first(m["a"])))).alias("done"))
+            return F.when(s["done"], s).otherwise(_let(feistel(s["a"], s["b"], 2400, 19, key, "month first"), moved))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, walk)
+        new = _let(found, lambda s: F.date_format(F.date_add(first(s["a"]), (s["b"] + 12).cast("int")), "MM/dd/yyyy"))
+        return F.when((F.year(d) >= 1900) & (F.year(d) < 2100), new).otherwise(value)
+
+    return F.coalesce(_let(day, change), value)
+
+
+def _abroad(value: Column, key: str) -> Column:
+    """The digits after the country code, their number and a leading zero kept; numbers of country code 1 as ``_phone`` has them."""
+
+    def change(d: Column) -> Column:
+        code = F.regexp_extract(d, _COUNTRY, 0)
+        own = F.substring(d, F.length(code) + 1, F.length(d))
+        n = F.length(own)
+        left = F.floor(n / 2).cast("int")
+        power = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        least = F.when(F.substring(own, 1, 1) == "0", F.lit(0).cast("long")).otherwise(power(left - 1))
+        room = F.when(least == 0, power(left - 1)).otherwise(least * 9)
+        moved = feistel(_number(own, 1, left) - least, _number(own, left + 1, n - left), room, power(n - left), key, F.concat(F.lit("abroad "), code))
+        new = _let(moved, lambda m: F.concat(code, _padded(m["a"] + least, left), _padded(m["b"], n - left)))
+        shown = F.when(value.startswith("00"), F.concat(F.lit("00"), new)).otherwise(new)
+        return F.when((code == "1") & (n == 10), _phone(value, key)).when((n >= 6) & (F.length(d) <= 15), _refill(value, shown)).otherwise(value)
+
+    return _let(F.regexp_replace(_digits(value), "^00", ""), change)
+
+
 def _email(value: Column, key: str) -> Column:
-    """Letters and digits of the local part become keyed ones; dots, marks and the domain stay.
+    """The local part's letters and digits are permuted; their case, dots, marks and the domain stay.
 
-    An address is no number, so there is no network here: its characters are drawn
-    from a keyed digest of the whole address.  Equal addresses stay linked; two
-    different short ones may get one pseudonym.
+    A Feistel network over the two halves of the local part: each round adds keyed digits
+    of one half to the letters of the other, modulo 26 or 10, so different addresses stay
+    different.  Addresses that differ in case alone stay linked.
     """
-    local = F.substring_index(value, "@", 1)
-    seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256)
+    local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
+    letter, digit = lambda c: c.rlike("^[A-Za-z]$"), lambda c: c.rlike("^[0-9]$")
+
+    def change(chars: Column) -> Column:
+        room = F.transform(chars, lambda c: F.when(letter(c), 26).when(digit(c), 10).otherwise(1))
+        start = F.transform(chars, lambda c: F.when(letter(c), F.ascii(F.lower(c)) - 97).when(digit(c), F.ascii(c) - 48).otherwise(0))
+        half = F.floor(F.size(chars) / 2).cast("int")
 
-    def change(s: Column) -> Column:
-        chars = F.split(local, "")
+        def permuted(rooms: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                even = i % 2 == 0
+                other = F.when(even, F.slice(s, half + 1, F.size(s))).otherwise(F.slice(s, F.lit(1), half))
+                text = F.concat_ws("|", F.lit(key), F.lit("email"), domain, F.array_join(rooms, ","), i.cast("string"), F.array_join(other, ","))
+                add = lambda d, k: F.conv(F.substring(d, k * 3 % 60 + 1, F.lit(3)), 16, 10).cast("int")
+                return _let(F.sha2(text, 256), lambda d: F.transform(s, lambda x, k: F.when((k < half) == even, (x + add(d, k)) % rooms[k]).otherwise(x)))
 
-        def letter(c: Column, i: Column) -> Column:
-            x = F.conv(F.substring(s, (i * 2) % 62 + 1, F.lit(2)), 16, 10).cast("int")
-            return (
-                F.when(c.rlike("^[0-9]$"), ((c.try_cast("int") + x % 9 + 1) % 10).cast("string"))
-                .when(c.rlike("^[A-Za-z]$"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), x % 26 + 1, F.lit(1)))
-                .otherwise(c)
-            )
+            return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
-        return F.concat(F.array_join(F.transform(chars, letter), ""), F.lit("@"), F.substring_index(value, "@", -1))
+        def written(s: Column) -> Column:
+            def one(c: Column, k: Column) -> Column:
+                low = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), s[k] + 1, F.lit(1))
+                return F.when(letter(c), F.when(c == F.lower(c), low).otherwise(F.upper(low))).when(digit(c), s[k].cast("string")).otherwise(c)
 
-    return _let(seed, change)
+            return F.array_join(F.transform(chars, one), "")
+
+        return F.concat(_let(_let(room, permuted), written), F.lit("@"), F.substring_index(value, "@", -1))
+
+    return _let(F.split(local, ""), change)
 
 
 def _whole(pattern: str) -> str:
@@ -268,10 +328,15 @@ def _other(value: Column, key: str) -> Column:
         F.when(value.rlike(_whole(EMAIL)), _email(value, key))
         .when(value.rlike(_whole(IPV4)), _ipv4(value, key))
         .when(value.rlike(_whole(ISO_DATE)), _date(value, "yyyy-MM-dd", key))
+        .when(value.rlike(_whole(YEAR_DATE)), _date(value, "yyyy/MM/dd", key))
         .when(value.rlike(_whole(r"\d{2}\.\d{2}\.\d{4}")), _date(value, "dd.MM.yyyy", key))
-        .when(value.rlike(_whole(r"\d{2}/\d{2}/\d{4}")), _date(value, "dd/MM/yyyy", key))
+        .when(
+            value.rlike(_whole(r"\d{2}/\d{2}/\d{4}")),
+            F.when(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")).isNull(), _us_date(value, key)).otherwise(_date(value, "dd/MM/yyyy", key)),
+        )
         .when(value.rlike(_whole(SSN)), _ssn(value, key))
         .when(value.rlike(_whole(PHONE)), _phone(value, key))
+        .when(value.rlike(_whole(ABROAD)), _abroad(value, key))
     )
 
 
@@ -280,26 +345,34 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return _other(value, key).otherwise(_cards(value, key))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with each valid number and date in ``text`` replaced; other columns unchanged.
 
     A text is split at the matches once and joined with their pseudonyms, so the
     work follows its length.  Null texts stay null, texts without a match come back
     as they were.  Repeated rows stay repeated and equal; an empty table stays empty.
+    ``count`` names a column to add with the number of matches that changed; neighbouring
+    cards are one match.
     """
-    (found,) = free_names(docs, "found")
+    found, changed = free_names(docs, "found", "changed")
     matches = F.when(F.col(text).rlike(r"\d|@"), F.regexp_extract_all(F.col(text), F.lit(f"({_ANY})"), F.lit(0)))
     held = docs.withColumn(found, matches)
+    held = held.withColumn(changed, F.transform(F.col(found), lambda v: pseudonym(v, key)))
     gaps = F.split(F.col(text), _ANY, -1)
-    changed = F.transform(F.col(found), lambda v: pseudonym(v, key))
-    joined = F.array_join(F.zip_with(gaps, changed, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, F.col(changed), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
     shown = F.when(F.size(found) > 0, joined).otherwise(F.col(text))
-    return held.withColumn(text, shown).drop(found)
+    if count:
+        differ = F.filter(F.zip_with(found, changed, lambda a, b: a != b), lambda x: x)
+        held = held.withColumn(count, F.when(F.size(found) > 0, F.size(differ)).otherwise(0).cast("long"))
+    return held.withColumn(text, shown).drop(found, changed)
 
 
 def op1_pii_pseudonyms(spark, sf_dir):
-    """Whole texts with their pseudonyms, and how many values each text held."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("text").alias("raw"))
-    out = pseudonymise(docs)
-    count = F.coalesce(F.size(F.when(F.col("raw").rlike(r"\d|@"), F.regexp_extract_all(F.col("raw"), F.lit(f"({_ANY})"), F.lit(0)))), F.lit(0))
-    return out.select("doc_id", "text", F.greatest(count, F.lit(0)).cast("long").alias("n_values"), (~F.col("raw").eqNullSafe(F.col("text"))).alias("changed"))
+    """Columns: doc_id, text with its pseudonyms, n_values that changed, whether the text changed.
+
+    Null texts stay null, empty ones empty, long ones are read whole; ties and
+    repeated rows come back repeated and equal; an empty table gives no row; other
+    columns are not read.
+    """
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), count="n_values")
+    return out.select("doc_id", "text", "n_values", (F.col("n_values") > 0).alias("changed"))

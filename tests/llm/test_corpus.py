@@ -1,6 +1,8 @@
 """Each corpus operator against a brute-force version, on small tables with awkward rows."""
 
+import calendar
 import collections
+import datetime
 import hashlib
 import math
 import os
@@ -764,6 +766,68 @@ def test_phones_of_every_class_change_one_to_one(spark):
     assert all(re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) and (v[4] in "01") == (p[4] in "01") for v, p in got)
 
 
+def slow_feistel(a, b, na, nb, key, tweak, rounds=8):
+    mixed = lambda i, half: int(hashlib.sha256(f"{key}|{tweak}|{na}|{nb}|{i}|{half}".encode()).hexdigest()[:15], 16)
+    for i in range(rounds):
+        if i % 2 == 0:
+            a = (a + mixed(i, b)) % na
+        else:
+            b = (b + mixed(i, a)) % nb
+    return a, b
+
+
+def test_pseudonyms_against_another_network(spark):
+    """Dates, addresses, cards and numbers abroad by a network written apart."""
+    day0 = datetime.date(1900, 1, 1)
+
+    def date(y, m, d):
+        a, b = slow_feistel(*divmod((datetime.date(y, m, d) - day0).days, 4297), 17, 4297, "k", "date")
+        return day0 + datetime.timedelta(days=a * 4297 + b)
+
+    def month_first(y, m, d):
+        a, b = (y - 1900) * 12 + m - 1, d - 13
+        while True:
+            a, b = slow_feistel(a, b, 2400, 19, "k", "month first")
+            if b + 13 <= calendar.monthrange(1900 + a // 12, a % 12 + 1)[1]:
+                return f"{a % 12 + 1:02d}/{b + 13:02d}/{1900 + a // 12}"
+
+    ip = slow_feistel(70 * 256 + 23, 22 * 256 + 57, 65536, 65536, "k", "ipv4")
+    abroad = slow_feistel(3090 - 1000, 1820, 9000, 10_000, "k", "abroad 49")
+    body = slow_feistel(4465758, 38288943, 10**7, 10**8, "k", "card")
+    body = f"{body[0]:07d}{body[1]:08d}"
+    want = {
+        "1999/12/31": date(1999, 12, 31).strftime("%Y/%m/%d"),
+        "1999-12-31": date(1999, 12, 31).isoformat(),
+        "05/06/2020": date(2020, 6, 5).strftime("%d/%m/%Y"),
+        "12/31/2020": month_first(2020, 12, 31),
+        "02/29/2024": month_first(2024, 2, 29),
+        "70.23.22.57": ".".join(str(x) for h in ip for x in divmod(h, 256)),
+        "+49 30 901820": f"+49 {str(abroad[0] + 1000)[:2]} {str(abroad[0] + 1000)[2:]}{abroad[1]:04d}",
+        "0049 30 901820": f"0049 {str(abroad[0] + 1000)[:2]} {str(abroad[0] + 1000)[2:]}{abroad[1]:04d}",
+        "4465758382889437": body + next(c for c in "0123456789" if luhn(body + c)),
+        "13/32/2020": "13/32/2020",
+    }
+    d = spark.createDataFrame([(v,) for v in want], "v string").select("v", pii.pseudonym(F.col("v"), "k").alias("p"))
+    assert {r["v"]: r["p"] for r in d.collect()} == want
+
+
+def test_addresses_stay_different(spark):
+    made = [f"{a}@x.org" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{b}@x.org" for a in "abcdefghij" for b in "0123456789"]
+    d = spark.createDataFrame([(v,) for v in made], "v string").select("v", pii.pseudonym(F.col("v")).alias("p")).collect()
+    assert len({r["p"] for r in d}) == len(made) and all(re.fullmatch("[a-z][0-9]?@x.org", r["p"]) for r in d)
+    case = spark.createDataFrame([("Jo.Doe-7@X.org",), ("jo.doe-7@x.ORG",)], "v string").select(pii.pseudonym(F.col("v")).alias("p")).collect()
+    assert case[0]["p"].lower() == case[1]["p"].lower() and re.fullmatch(r"[A-Z][a-z]\.[A-Z][a-z]{2}-\d@X\.org", case[0]["p"])
+
+
+def test_values_are_counted_when_they_change(spark):
+    texts = ["1234567890123456 and 12/31/2020, +44 20 7946 0958 or 0044 20 7946 0958", "call +17435553824 = 743-555-3824", "2 + 2020 3000 is no number, 300.1.1.1 no address", None]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(table(spark, list(enumerate(texts))), count="n").collect()}
+    assert [out[i]["n"] for i in range(4)] == [3, 2, 0, 0] and out[2]["text"] == texts[2]
+    a, b = re.search(r"\+44 (.*) or 0044 (.*)", out[0]["text"]).groups()
+    assert a == b and a != "20 7946 0958"
+    assert re.sub(r"\D", "", out[1]["text"][5:17])[1:] == re.sub(r"\D", "", out[1]["text"][20:])
+
+
 @pytest.mark.parametrize(("na", "nb"), [(7, 13), (10, 100), (17, 30)])
 def test_feistel_is_a_permutation(spark, na, nb):
     d = spark.range(na * nb).select(pii.feistel(F.floor(F.col("id") / nb), F.col("id") % nb, na, nb, "k", "t").alias("p"))
