@@ -31,6 +31,8 @@ WIDE, WIDE_DISTANCE = 128, 30
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
+#: Rounds after which all pairs that are still between components are verified.
+ROUNDS = 6
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -203,7 +205,7 @@ def coordinate_tables(rows: int, least: float = SIMILARITY, recall: float = RECA
 
 
 def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WIDE_DISTANCE, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Pairs ``(u, v)``, u < v, of ``classes(fp, high, low)`` at most ``distance`` bits apart that agree in a table.
+    """``(u, v, bits)``: pairs, u < v, of ``classes(fp, high, low)`` at most ``distance`` bits apart that agree in a table.
 
     Within a bucket, classes stand in the order of their bits, and each meets those
     just before it and the bucket's first: all pairs of a usual bucket, and for a
@@ -236,16 +238,19 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
     own = F.struct("fp", "high", "low", "d")
     met = keyed.select("fp", "high", "low", "d", F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
 
+    def bits(x: Column) -> Column:
+        return F.bit_count(x["high"].bitwiseXOR(F.col("high"))) + F.bit_count(x["low"].bitwiseXOR(F.col("low")))
+
     def close(x: Column) -> Column:
-        near = F.bit_count(x["high"].bitwiseXOR(F.col("high"))) + F.bit_count(x["low"].bitwiseXOR(F.col("low"))) <= distance
+        near = bits(x) <= distance
         for k in range(len(halves)):
             at = lambda d: F.shiftright(d, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
             near = (F.abs(at(x["d"]) - at(F.col("d"))) <= distance) & near
         return near & (x["fp"] != F.col("fp"))
 
     found = F.filter(F.when(F.size("met") == neighbours, F.array_append("met", F.col("head"))).otherwise(F.col("met")), close)
-    pairs = met.where(F.size("met") > 0).select("fp", F.explode(F.transform(found, lambda x: x["fp"])).alias("other"))
-    return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+    pairs = met.where(F.size("met") > 0).select("fp", F.explode(F.transform(found, lambda x: F.struct(x["fp"].alias("fp"), bits(x).alias("bits")))).alias("x"))
+    return pairs.select(F.least("fp", "x.fp").alias("u"), F.greatest("fp", "x.fp").alias("v"), F.col("x.bits").alias("bits")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32) -> DataFrame:
@@ -265,6 +270,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32)
     return pairs.select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
 
 
+def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Verified pairs that have the components of all of ``pairs(u, v, bits)`` with at least the similarity.
+
+    Pairs inside a component add nothing, so a large family of copies needs few of its
+    many pairs: each round verifies every class's closest pair to another
+    component, then leaves out what is inside one by then.  Once about so many
+    pairs are left, all are verified.
+    """
+    open_, found, rounds = pairs, None, 0
+    while True:
+        ends = open_.select(F.col("u").alias("c"), "bits", "u", "v").union(open_.select("v", "bits", "u", "v"))
+        best = cut(ends.groupBy("c").agg(F.min(F.struct("bits", "u", "v")).alias("b")).select("b.u", "b.v").distinct())
+        rest, few = open_.count(), best.count()
+        rounds += 1
+        last = rest <= 2 * few or rounds == ROUNDS
+        chosen = open_.select("u", "v") if last else best
+        good = cut(_verified(chosen, sets, least)) if rest else chosen
+        found = good if found is None else found.unionByName(good)
+        if last:
+            return found
+        roots = components(found)
+        a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("a")), roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        apart = open_.join(chosen, ["u", "v"], "left_anti").join(a, "u", "left").join(b, "v", "left")
+        open_ = cut(apart.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v", "bits"))
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
 
@@ -294,7 +325,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
     sets = cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
-    roots = components(_verified(pairs, sets, least))
+    roots = components(joined(pairs, sets, least))
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))
     member = placed.join(low, "root").select("fp", "component_id")
