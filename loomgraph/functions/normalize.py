@@ -170,7 +170,7 @@ def normalized(df: DataFrame, plan: dict[str, list[Normalizer]], keep: list[str]
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
-def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items: int = 10_000) -> dict[str, list[Normalizer]]:
+def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items: int = 10_000, exact: bool = False) -> dict[str, list[Normalizer]]:
     """Statistics of a node set, then the normalizers chosen for it; dictionaries are bounded."""
     from loomgraph.operators.statistics import dictionary, quantiles
 
@@ -179,5 +179,5 @@ def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items:
         if f.semantic == "CATEGORICAL" and f.format == "BYTES" and not f.shape:
             words[n] = [r["value"] for r in dictionary(df, n, max_items).orderBy("idx").collect()]
         elif f.semantic == "NUMERICAL" and not f.shape:
-            points[n] = [r["q"] for r in quantiles(df, n, quantile_count).orderBy("k").collect()]
+            points[n] = [r["q"] for r in quantiles(df, n, quantile_count, exact).orderBy("k").collect()]
     return choose(node_set.features, words, points, lenient=True)

@@ -21,6 +21,26 @@ def calendar(t: Column) -> dict[str, Column]:
     }
 
 
+def parse_micros(text: Column) -> Column:
+    """Microseconds since 1970 of a written time; without an offset it is UTC, and what is no time is null."""
+    zoned = F.when(text.rlike(r"(?i)(?:[+-]\d{2}:?\d{2}|Z)$") & text.contains(":"), text).otherwise(F.concat(text, F.when(text.contains(":"), F.lit("Z")).otherwise(F.lit(""))))
+    plain = F.to_date(F.try_to_timestamp(text))
+    return F.when(text.contains(":"), F.unix_micros(F.try_to_timestamp(zoned))).otherwise(F.unix_date(plain).cast("long") * 86_400_000_000)
+
+
+def duration_text(seconds: Column) -> Column:
+    """``1h 2m 3s``, ``2m 3s``, or seconds with two decimals below a minute."""
+    h, m, s = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.floor(F.pmod(seconds, F.lit(60)))
+    part = lambda x: x.cast("long").cast("string")
+    long = F.concat(part(h), F.lit("h "), part(m), F.lit("m "), part(s), F.lit("s"))
+    return F.when(h > 0, long).when(m > 0, F.concat(part(m), F.lit("m "), part(s), F.lit("s"))).otherwise(F.format_string("%.2fs", seconds.cast("double")))
+
+
+def indented(text: Column, spaces: int = 8) -> Column:
+    """Stripped text whose further lines begin with so many blanks."""
+    return F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"), F.lit("\n" + " " * spaces))
+
+
 def calendar_columns(df: DataFrame, column: str, is_array: bool = False) -> DataFrame:
     if not is_array:
         return df.withColumns({f"{column}_{p}": c for p, c in calendar(F.col(column)).items()})

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import normalize as nz
 from loomgraph.graph import SOURCE, TARGET, Graph
 from loomgraph.operators import negatives
 from loomgraph.operators.sampling import Sample, Sampler, hop_plan
-from loomgraph.operators.structure import dense_index
+from loomgraph.operators.statistics import padding
+from loomgraph.schema import GraphSchema
 
 
 @dataclass(frozen=True)
@@ -38,37 +39,100 @@ def node_dataset(g: Graph, node_set: str, label: str, hops: int = 2, width: int
     stamped = {n: time for n, d in g.edges.items() if time and time in d.columns}
     sampler = Sampler(g, hop_plan(g.schema, node_set, hops, width), temporal=stamped)
     sample = sampler.sample(split.select("seed", *(["ts"] if time else [])))
-    features = {}
-    for n, s in g.schema.node_sets.items():
-        kept = {f: x for f, x in s.features.items() if not (n == node_set and f == label)}
-        plan = nz.auto(g.nodes[n], replace(s, features=kept))
-        if plan:
-            features[n] = nz.normalized(g.nodes[n], plan, [g.key(n)])
-    return NodeDataset(split, sample, features)
+    return NodeDataset(split, sample, normalized_sets(g, (node_set, label)))
 
 
 @dataclass(frozen=True)
 class LinkDataset:
-    """``links(source, target, k, negative)`` and a sample around each of the three ends."""
+    """``links(source, target, k, negative, valid)``, a sample around each of the three ends, and features per node set."""
 
     links: DataFrame
     sources: Sample
     targets: Sample
     negatives: Sample
+    features: dict[str, DataFrame]
+
+
+def split_edges(g: Graph, edge_set: str, share: float = 0.1, time: str | None = None) -> DataFrame:
+    """``(source, target, valid)`` of the distinct edges: by digest, or with ``time`` those latest first seen validate."""
+    e = g.edges[edge_set]
+    name = F.concat_ws("-", SOURCE, TARGET)
+    if time:
+        rows = e.groupBy(SOURCE, TARGET).agg(F.min(time).alias("ts")).withColumn("__e", name)
+        return negatives.split_temporal(rows, "ts", "__e", share).drop("__e")
+    return negatives.split_random(e.select(SOURCE, TARGET).distinct().withColumn("__e", name), "__e", share).drop("__e")
+
+
+def normalized_sets(g: Graph, skip: tuple[str, str] | None = None) -> dict[str, DataFrame]:
+    """Each node set's normalized features by key; ``skip`` names a (node set, feature) to leave out, the label."""
+    out = {}
+    for n, s in g.schema.node_sets.items():
+        plan = nz.auto(g.nodes[n], replace(s, features={f: x for f, x in s.features.items() if (n, f) != skip}))
+        if plan:
+            out[n] = nz.normalized(g.nodes[n], plan, [g.key(n)])
+    return out
 
 
-def link_dataset(g: Graph, edge_set: str, hops: int = 1, width: int = 5, per_edge: int = 1) -> LinkDataset:
-    """For each edge a positive and ``per_edge`` random targets; the edge itself is left out of its own samples."""
+def link_dataset(g: Graph, edge_set: str, hops: int = 1, width: int = 5, per_edge: int = 1, share: float = 0.1, time: str | None = None, kind: str = "random") -> LinkDataset:
+    """For each edge a positive and ``per_edge`` negatives; the edge itself is left out of its own samples."""
     e = g.schema.edge_sets[edge_set]
-    pairs = g.edges[edge_set].select(SOURCE, TARGET).distinct()
-    links = negatives.random_negatives(pairs, dense_index(g.ids(e.target), "id"), per_edge)
+    pairs = split_edges(g, edge_set, share, time)
+    links = negatives.edge_neighbors(g, edge_set, pairs, per_edge, kind).join(pairs.select(SOURCE, TARGET, "valid"), [SOURCE, TARGET])
     name = F.concat_ws("-", SOURCE, TARGET)
 
     def around(node_set: str, node) -> Sample:
         s = Sampler(g, hop_plan(g.schema, node_set, hops, width), mask_set=edge_set)
         return s.sample(links.select(F.concat_ws("|", SOURCE, TARGET, "k").alias("seed"), node.alias("node"), name.alias("masked")))
 
-    return LinkDataset(links, around(e.source, F.col(SOURCE)), around(e.target, F.col(TARGET)), around(e.target, F.col("negative")))
+    return LinkDataset(links, around(e.source, F.col(SOURCE)), around(e.target, F.col(TARGET)), around(e.target, F.col("negative")), normalized_sets(g))
+
+
+@dataclass(frozen=True)
+class Batches:
+    """Padded batches: ``nodes(batch, node_set, idx, seed, node)``, null nodes being sentinels, and
+    ``edges(batch, edge_set, slot, source_idx, target_idx)``, whose sentinels join a set's last nodes."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def batched(sample: Sample, schema: GraphSchema, size: int, relative: float = 0.1, absolute: int = 1, drop_remainder: bool = True) -> Batches:
+    """Samples as graphs of ``size`` seeds each, with the same room in every batch.
+
+    Seeds are shuffled by digest; nodes are numbered on over a batch's seeds.  A set's room
+    is its largest count in a batch with both margins, so there is a spare node for
+    sentinel edges.  Windows and sentinels run within a batch.
+    """
+    dealt = negatives.batches(sample.nodes.select("seed").distinct(), "seed", size, drop_remainder)
+    line = Window.partitionBy("batch", "node_set").orderBy("slot", "node")
+    nodes = sample.nodes.join(dealt, "seed").select("batch", "node_set", (F.row_number().over(line) - 1).alias("idx"), "seed", "node")
+    ends = F.create_map(*[F.lit(x) for n, e in schema.edge_sets.items() for x in (n, f"{e.source}|{e.target}")])
+    named = sample.edges.join(dealt.select("seed", "batch"), "seed").withColumn("__e", F.split(ends[F.col("edge_set")], r"\|"))
+    at = lambda c: nodes.select("batch", "seed", F.col("node_set").alias(f"__{c}s"), F.col("node").alias(c), F.col("idx").alias(f"{c}_idx"))
+    named = named.withColumn(f"__{SOURCE}s", F.col("__e")[0]).withColumn(f"__{TARGET}s", F.col("__e")[1])
+    edges = named.join(at(SOURCE), ["batch", "seed", f"__{SOURCE}s", SOURCE]).join(at(TARGET), ["batch", "seed", f"__{TARGET}s", TARGET])
+    order = Window.partitionBy("batch", "edge_set").orderBy("source_idx", "target_idx")
+    edges = edges.select("batch", "edge_set", (F.row_number().over(order) - 1).alias("slot"), "source_idx", "target_idx", f"__{SOURCE}s", f"__{TARGET}s")
+
+    def room(rows: DataFrame, name: str, known: list[str]) -> DataFrame:
+        full = padding(rows, "batch", name, relative, absolute).withColumnRenamed("name", name)
+        sets = dealt.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in known])).alias(name))
+        return sets.join(full, name, "left").select(name, F.coalesce("size", F.lit(1)).alias("size"))
+
+    numbers = dealt.select("batch").distinct()
+
+    def spare(rows: DataFrame, name: str, rooms: DataFrame) -> DataFrame:
+        held = rows.groupBy("batch", name).agg(F.count("*").alias("n"))
+        wanted = numbers.join(F.broadcast(rooms))  # a row a batch and set
+        return wanted.join(held, ["batch", name], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < size").select("batch", name, "size", F.explode(F.sequence(F.col("n").cast("int"), (F.col("size") - 1).cast("int"))).alias("i"))
+
+    node_room = room(nodes, "node_set", sorted(schema.node_sets))
+    more = spare(nodes, "node_set", node_room).select("batch", "node_set", F.col("i").alias("idx"), F.lit(None).cast(dict(nodes.dtypes)["seed"]).alias("seed"), F.lit(None).cast("string").alias("node"))
+    gaps = spare(edges, "edge_set", room(edges, "edge_set", sorted(schema.edge_sets))).withColumn("__e", F.split(ends[F.col("edge_set")], r"\|"))
+    last = lambda c: F.broadcast(node_room.select(F.col("node_set").alias(f"__{c}s"), (F.col("size") - 1).alias(f"{c}_idx")))
+    gaps = gaps.withColumn(f"__{SOURCE}s", F.col("__e")[0]).withColumn(f"__{TARGET}s", F.col("__e")[1]).join(last(SOURCE), f"__{SOURCE}s").join(last(TARGET), f"__{TARGET}s")
+    columns = ["batch", "edge_set", "slot", "source_idx", "target_idx"]
+    return Batches(nodes.unionByName(more), edges.select(*columns).unionByName(gaps.withColumnRenamed("i", "slot").select(*columns)))
 
 
 def predict(samples: DataFrame, score: Callable[[Iterator], Iterator], schema: str) -> DataFrame:

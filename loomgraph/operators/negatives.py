@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.graph import SOURCE, TARGET
-from loomgraph.operators.sampling import hash_order
-from loomgraph.operators.structure import dense_index
+from loomgraph.graph import SOURCE, TARGET, Graph
+from loomgraph.operators.ranges import dense_index
+from loomgraph.operators.sampling import SamplingPlan, Step, hash_order, hop_plan
 
 
 def hash_int(*parts: Column, salt: str = "loom") -> Column:
@@ -26,34 +29,107 @@ def random_negatives(positives: DataFrame, targets: DataFrame, per_edge: int, sa
     return drawn.join(targets.select("idx", F.col("id").alias("negative")), "idx").select(SOURCE, TARGET, "k", "negative")
 
 
-def walk_negatives(seeds: DataFrame, hops: list[tuple[DataFrame, str, str]], positives: DataFrame, walks: int, top: int, salt: str = "walk", fill: DataFrame | None = None) -> DataFrame:
-    """``(seed, negative, visits, rank)``: nodes that random walks reach most, without true neighbours.
+def walk_negatives(g: Graph, plan: SamplingPlan, edge_set: str, seeds: DataFrame, walks: int, top: int, edge_key: dict[str, str] | None = None, salt: str = "walk") -> DataFrame:
+    """``(seed, negative, visits, rank)``: targets that random walks along a plan reach most, without the seed's own edges.
 
-    ``hops`` are (edges, from column, to column).  Each walk takes a uniform neighbour
-    by digest; the most visited targets come first, ties by key.  With ``fill(idx, id)``
-    the places left up to ``top`` get uniform targets with 0 visits, unchecked.
+    At each plan node a walk takes one of the hops uniformly, then a uniform neighbour, parallel
+    edges counting each, and ends where there is none.  Every step into the edge set's
+    target set counts as a visit; where the edge set joins a node set with itself,
+    the seed is none of its negatives.  Most visited targets come first, ties by key.  Places left up to
+    ``top`` get uniform targets with 0 visits, unchecked but for the seed.  All choices are digests of (seed, walk, path).
     """
-    front = seeds.select("seed", F.col("seed").alias("node")).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    for h, (edges, a, b) in enumerate(hops):
-        e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-        ranked = e.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1)
-        degree = e.groupBy("a").agg(F.count("*").alias("d"))
-        step = front.join(degree, front["node"] == degree["a"]).withColumn("i", hash_int(F.lit(h), F.col("seed"), F.col("w"), F.col("node"), salt=salt) % F.col("d")).select("seed", "w", "a", "i")
-        front = step.join(ranked, ["a", "i"]).select("seed", "w", F.col("b").alias("node"))
-    visits = front.groupBy("seed", F.col("node").alias("negative")).agg(F.count("*").alias("visits"))
-    known = positives.select(F.col(SOURCE).alias("seed"), F.col(TARGET).alias("negative"))
-    fresh = visits.join(known, ["seed", "negative"], "left_anti")
+    e, edge_key = g.schema.edge_sets[edge_set], edge_key or {}
+    same = e.source == e.target
+    visits: list[DataFrame] = []
+
+    def walk(steps: Sequence[Step], front: DataFrame, path: str) -> None:
+        turn = hash_int(F.lit("hop"), F.lit(path), F.col("seed"), F.col("w"), salt=salt) % len(steps)
+        front = front.withColumn("turn", turn)
+        for n, step in enumerate(steps):
+            a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
+            key = edge_key.get(step.edge_set)
+            around = g.edges[step.edge_set].select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(key) if key else F.lit("")).alias("k"))
+            ranked = around.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("b", "k")) - 1)
+            degree = around.groupBy("a").agg(F.count("*").alias("d"))
+            draw = hash_int(F.lit("node"), F.lit(f"{path}/{n}"), F.col("seed"), F.col("w"), salt=salt) % F.col("d")
+            drawn = front.where(F.col("turn") == n).join(degree, front["node"] == degree["a"]).select("seed", "w", "a", draw.alias("i"))
+            reached = drawn.join(ranked, ["a", "i"]).select("seed", "w", F.col("b").alias("node"))
+            if step.node_set == e.target:
+                hit = reached.where(F.col("node") != F.col("seed")) if same else reached
+                visits.append(hit.select("seed", F.col("node").alias("negative")))
+            if step.then:
+                walk(step.then, reached, f"{path}/{n}")
+
+    start = seeds.select("seed", F.col("seed").alias("node")).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
+    walk(plan.steps, start, "")
+    if not visits:
+        raise ValueError(f"the plan never reaches {e.target}")
+    counted = reduce(DataFrame.unionByName, visits).groupBy("seed", "negative").agg(F.count("*").alias("visits"))
+    known = g.edges[edge_set].select(F.col(SOURCE).alias("seed"), F.col(TARGET).alias("negative"))
+    fresh = counted.join(known, ["seed", "negative"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("visits"), "negative"))
     found = fresh.withColumn("rank", rank).where(F.col("rank") <= top)
-    if fill is None:
-        return found
+    targets = dense_index(g.ids(e.target), "id")
     places = seeds.select("seed", F.explode(F.sequence(F.lit(1), F.lit(top))).alias("rank"))
-    empty = places.join(found.select("seed", "rank"), ["seed", "rank"], "left_anti").join(F.broadcast(fill.agg(F.count("*").alias("n"))))
-    drawn = empty.withColumn("idx", hash_int(F.lit("fill"), F.col("seed"), F.col("rank"), salt=salt) % F.col("n"))
-    filled = drawn.join(fill.select("idx", F.col("id").alias("negative")), "idx").select("seed", "negative", F.lit(0).cast("long").alias("visits"), "rank")
+    empty = places.join(found.select("seed", "rank"), ["seed", "rank"], "left_anti")
+    n = g.ids(e.target).count()
+    if same:  # uniform among the others: numbers from the seed's own on are one further
+        own = targets.select(F.col("id").alias("seed"), F.col("idx").alias("own"))
+        drawn = empty.join(own, "seed", "left").withColumn("r", hash_int(F.lit("fill"), F.col("seed"), F.col("rank"), salt=salt) % max(1, n - 1))
+        drawn = drawn.withColumn("idx", F.col("r") + F.when(F.col("r") >= F.col("own"), 1).otherwise(0))
+    else:
+        drawn = empty.withColumn("idx", hash_int(F.lit("fill"), F.col("seed"), F.col("rank"), salt=salt) % max(1, n))
+    filled = drawn.join(targets.select("idx", F.col("id").alias("negative")), "idx").select("seed", "negative", F.lit(0).cast("long").alias("visits"), "rank")
     return found.unionByName(filled)
 
 
+#: Negative samplers by name: (graph, edge set, positives, per edge or top) -> rows; users may add their own.
+SAMPLERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def sampler(name: str):
+    """Register a negative sampler under a name that a configuration may use."""
+
+    def keep(f):
+        SAMPLERS[name] = f
+        return f
+
+    return keep
+
+
+@sampler("random")
+def _random(g: Graph, edge_set: str, positives: DataFrame, per_edge: int) -> DataFrame:
+    return random_negatives(positives, dense_index(g.ids(g.schema.edge_sets[edge_set].target), "id"), per_edge)
+
+
+@sampler("walk")
+def _walk(g: Graph, edge_set: str, positives: DataFrame, per_edge: int, walks: int = 20, hops: int = 3) -> DataFrame:
+    """Each positive edge gets its source's walk negatives, the k-th for k."""
+    e = g.schema.edge_sets[edge_set]
+    seeds = positives.select(F.col(SOURCE).alias("seed")).distinct()
+    found = walk_negatives(g, hop_plan(g.schema, e.source, hops, None), edge_set, seeds, walks, per_edge)
+    return positives.select(SOURCE, TARGET).join(found, positives[SOURCE] == found["seed"]).select(SOURCE, TARGET, (F.col("rank") - 1).alias("k"), "negative")
+
+
+def edge_neighbors(g: Graph, edge_set: str, positives: DataFrame, per_edge: int, kind: str = "random", **options) -> DataFrame:
+    """``(source, target, k, negative)`` of the seed edges by the named sampler."""
+    return SAMPLERS[kind](g, edge_set, positives, per_edge, **options)
+
+
+def interleaved(links: DataFrame) -> DataFrame:
+    """``(source, target, place, candidate, label)`` from ``links(source, target, k, negative)``: each edge's own target first, then its negatives."""
+    own = links.select(SOURCE, TARGET, F.lit(0).cast("long").alias("place"), F.col(TARGET).alias("candidate"), F.lit(1).alias("label")).distinct()
+    others = links.select(SOURCE, TARGET, (F.col("k") + 1).cast("long").alias("place"), F.col("negative").alias("candidate"), F.lit(0).alias("label"))
+    return own.unionByName(others)
+
+
+def separated(scored: DataFrame, score: str = "score") -> DataFrame:
+    """``(source, target, positive, negatives)``: scores of interleaved links, an edge's own and the array of the others in order."""
+    others = F.array_sort(F.collect_list(F.when(F.col("place") > 0, F.struct("place", F.col(score).alias("s")))))
+    g = scored.groupBy(SOURCE, TARGET).agg(F.max(F.when(F.col("place") == 0, F.col(score))).alias("positive"), others.alias("o"))
+    return g.select(SOURCE, TARGET, "positive", F.transform("o", lambda x: x["s"]).alias("negatives"))
+
+
 def split_random(df: DataFrame, key: str, share: float, salt: str = "split") -> DataFrame:
     """Adds ``valid``: the ``int(n * share)`` rows with the smallest key digests."""
     ranked = dense_index(df.withColumn("__h", hash_int(F.col(key), salt=salt)), "__h", "__r", ties=[key])

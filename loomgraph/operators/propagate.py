@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET
@@ -56,7 +56,8 @@ def attention_pool(edges: DataFrame, values: DataFrame, score: str) -> DataFrame
 
 
 def segment_softmax(edges: DataFrame, score: str) -> DataFrame:
-    """Edges with ``weight``: the softmax of their score among their target's edges."""
-    w = Window.partitionBy(TARGET)
-    e = F.exp(F.col(score) - F.max(score).over(w))
-    return edges.withColumn("__e", e).withColumn("weight", F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    """Edges with ``weight``: the softmax of their score among their target's edges; maxima and sums are partial aggregates."""
+    top = edges.groupBy(TARGET).agg(F.max(score).alias("__m"))
+    e = edges.join(top, TARGET).withColumn("__e", F.exp(F.col(score) - F.col("__m")))
+    total = e.groupBy(TARGET).agg(F.sum("__e").alias("__t"))
+    return e.join(total, TARGET).withColumn("weight", F.col("__e") / F.col("__t")).select(*edges.columns, "weight")

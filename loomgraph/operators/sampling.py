@@ -87,7 +87,7 @@ class Sampler:
     """Samples a graph along a plan.
 
     ``order``: "first" keeps the smallest (timestamp,) targets, "hash" a uniform
-    choice by key digests.  ``temporal`` maps edge sets to their timestamp column:
+    choice by key digests, cut to the width inside each task before the shuffle.  ``temporal`` maps edge sets to their timestamp column:
     only edges no later than the seed's time are followed; sets without one are
     followed as they are.  ``mask_set`` names the edge set whose edge the seeds may
     leave out.  Without replacement nodes are a set, and each arrival of a node is
@@ -115,10 +115,10 @@ class Sampler:
         start = seeds.withColumn("node", F.col("node")) if "node" in seeds.columns else seeds.withColumn("node", F.col("seed"))
         carried = [c for c in ("ts", "masked") if c in seeds.columns]
         front = start.select("seed", "node", *carried)
-        nodes = [front.select("seed", F.lit(self.plan.seed_set).alias("node_set"), F.col("node").cast("string").alias("node"))]
+        nodes = [front.select("seed", F.lit(self.plan.seed_set).alias("node_set"), F.col("node").cast("string").alias("node"), F.lit(0).alias("hop"))]
         edges: list[DataFrame] = []
 
-        def walk(steps, frontier: DataFrame, path: str):
+        def walk(steps, frontier: DataFrame, path: str, depth: int):
             for n, step in enumerate(steps):
                 here = f"{path}/{n}"
                 hop = self._follow(frontier, step, here, carried).select("seed", SOURCE, TARGET, *carried)
@@ -126,11 +126,11 @@ class Sampler:
                 a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
                 edges.append(hop.select("seed", F.lit(step.edge_set).alias("edge_set"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.lit(step.reverse).alias("r")))
                 reached = hop.select("seed", F.col(b).alias("node"), *carried)
-                nodes.append(reached.select("seed", F.lit(step.node_set).alias("node_set"), F.col("node").cast("string").alias("node")))
-                walk(step.then, reached.distinct() if self.distinct_frontier else reached, here)
+                nodes.append(reached.select("seed", F.lit(step.node_set).alias("node_set"), F.col("node").cast("string").alias("node"), F.lit(depth).alias("hop")))
+                walk(step.then, reached.distinct() if self.distinct_frontier else reached, here, depth + 1)
 
-        walk(self.plan.steps, front.distinct(), "")
-        every_node = reduce(DataFrame.unionByName, nodes).distinct()
+        walk(self.plan.steps, front.distinct(), "", 1)
+        every_node = reduce(DataFrame.unionByName, nodes).groupBy("seed", "node_set", "node").agg(F.min("hop").alias("hop"))
         if not edges:
             none = every_node.limit(0).select("seed", F.lit("").alias("edge_set"), F.lit("").alias(SOURCE), F.lit("").alias(TARGET))
             return Sample(every_node, none)
@@ -148,17 +148,21 @@ class Sampler:
         if stamp:
             columns.append(F.col(stamp).alias("__ets"))
         side = edges.select(*columns)
-        if step.width is not None and self.order == "first" and not self.temporal and self.mask_set != step.edge_set:
-            # The order does not depend on the seed: a hub's list is cut before the join.
-            local = Window.partitionBy(a).orderBy(b, "__ekey")
-            side = side.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= step.width).drop("__n")
-            return frontier.join(side, frontier["node"] == side[a]).drop("node")
+        stamps = stamp and "ts" in carried
+        masks = self.mask_set == step.edge_set and "masked" in carried
+        ready = step.width is not None and self.order == "first" and (key or not masks)
+        if ready:
+            # The order does not depend on the seed, so a hub's list is cut before the join: what a time
+            # limit leaves of a list sorted by time is its beginning, and a mask takes one keyed edge.
+            line = Window.partitionBy(a).orderBy(*["__ets"] * bool(stamp), b, "__ekey")
+            side = side.where(F.col("__ets").isNotNull()) if stamps else side
+            side = side.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= step.width + masks).drop("__n")
         joined = frontier.join(side, frontier["node"] == side[a])
-        if stamp and "ts" in carried:
+        if stamps:
             joined = joined.where(F.col("__ets") <= F.col("ts"))
-        if self.mask_set == step.edge_set and "masked" in carried:
+        if masks:
             joined = joined.where(~F.col("__ekey").eqNullSafe(F.col("masked").cast("string")))
-        if step.width is None:
+        if step.width is None or (ready and not masks):
             return joined.drop("node")
         if self.order == "hash":
             by = [hash_order(F.lit(path), F.col("seed"), F.col("__ekey"), salt=self.salt), F.col("__ekey"), F.col(b)]
@@ -220,12 +224,19 @@ def with_features(sample: Sample, graph: Graph, node_set: str, features: Sequenc
     return mine.join(rows, "node").select("seed", "node", *features)
 
 
-def node_order(sample: Sample) -> DataFrame:
-    """Adds ``idx``, the node's dense number in its sample and set, by key."""
-    line = Window.partitionBy("seed", "node_set").orderBy("node")
+def node_order(sample: Sample, visits: bool = False) -> DataFrame:
+    """Adds ``idx``, the node's dense number in its sample and set, by key; with ``visits`` by hop first, as they are reached."""
+    line = Window.partitionBy("seed", "node_set").orderBy(*["hop"] * visits, "node")
     return sample.nodes.withColumn("idx", F.row_number().over(line) - 1)
 
 
+def seed_labels(sample: Sample, seeds: DataFrame, seed_set: str) -> DataFrame:
+    """``(seed, node_set, node, is_seed)``: marks each sample's own seeds, ``seeds(seed[, node])``, among its nodes."""
+    own = seeds.select("seed", (F.col("node") if "node" in seeds.columns else F.col("seed")).cast("string").alias("node"), F.lit(seed_set).alias("node_set"), F.lit(1).alias("__own")).distinct()
+    marked = sample.nodes.join(own, ["seed", "node_set", "node"], "left")
+    return marked.select("seed", "node_set", "node", F.coalesce("__own", F.lit(0)).alias("is_seed"))
+
+
 def packed(sample: Sample) -> DataFrame:
     """One row a sample: its nodes and edges as sorted arrays of structs."""
     n = sample.nodes.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("node_set", "node"))).alias("nodes"))

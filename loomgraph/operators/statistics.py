@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET
+from loomgraph.operators.ranges import dense_index
+from loomgraph.session import cut
 
 
 def dictionary(df: DataFrame, column: str, max_items: int = 10_000, min_count: int = 1) -> DataFrame:
@@ -20,16 +23,23 @@ def dictionary(df: DataFrame, column: str, max_items: int = 10_000, min_count: i
     return top.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1)
 
 
-def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = True) -> DataFrame:
-    """``(k, q)``: ``count`` evenly spaced quantiles, linearly interpolated; NaN and null are left out.
+def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = False) -> DataFrame:
+    """``(k, q)``: ``count`` evenly spaced quantiles; NaN and null are left out.
 
-    ``exact=False`` uses a mergeable sketch of bounded size for data that no exact
-    percentile should be sorted for.
+    A mergeable sketch of bounded size gives values of the column that are off by at most
+    1 / (100 * count) of the rows.  ``exact`` ranks the values by ranges instead, a sort of the whole
+    column, and interpolates between the two at each place.
     """
     at = [i / (count - 1) for i in range(count)] if count > 1 else [0.5]
     clean = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("x"))
-    q = F.percentile("x", F.array(*[F.lit(a) for a in at])) if exact else F.percentile_approx("x", at, 100 * count)
-    return clean.agg(q.alias("q")).select(F.posexplode("q").alias("k", "q"))
+    if not exact:
+        return clean.agg(F.percentile_approx("x", at, 100 * count).alias("q")).select(F.posexplode("q").alias("k", "q"))
+    n = clean.count()
+    spots = [(k, math.floor(a * (n - 1)), a * (n - 1) - math.floor(a * (n - 1))) for k, a in enumerate(at)] if n else []
+    rows = ", ".join(f"({k}, {i + up}L, {(share if up else 1 - share)!r}D)" for k, i, share in spots for up in (0, 1) if i + up < n)
+    asked = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(k, idx, share)") if rows else df.sparkSession.sql("SELECT 0 AS k, 0L AS idx, 0D AS share WHERE false")
+    ranked = dense_index(clean, "x").join(F.broadcast(asked), "idx")  # two rows a quantile
+    return ranked.groupBy("k").agg(F.sum(F.col("x") * F.col("share")).alias("q"))
 
 
 def flat_values(df: DataFrame, column: str) -> DataFrame:
@@ -173,15 +183,65 @@ def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(roots, known["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK")) -> dict:
+def component_sizes(components: DataFrame) -> DataFrame:
+    """``(component, n)`` from ``components(id, component)``."""
+    return components.groupBy("component").agg(F.count("*").alias("n"))
+
+
+def largest_component(components: DataFrame) -> DataFrame:
+    """``(component, n, share)`` of the component with most nodes, the smallest key on a tie."""
+    sizes = component_sizes(components)
+    top = sizes.agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("t"), F.sum("n").alias("all"))
+    return top.select((-F.col("t.c")).alias("component"), F.col("t.n").alias("n"), (F.col("t.n") / F.col("all")).alias("share"))
+
+
+def eccentricities(ids: DataFrame, edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """``(id, distance)``: how far each start's farthest reachable node is over undirected edges.
+
+    Breadth-first, a join a level; the largest distance over all nodes as starts is
+    the diameter of their components, over some starts a lower bound.  ``most`` stops after
+    so many levels, with the distances reached so far.
+    """
+    both = edges.select(F.col(SOURCE).alias("a"), F.col(TARGET).alias("b"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = cut(starts.select("id", F.col("id").alias("at"), F.lit(0).alias("d")))
+    front, level = seen, 0
+    while most is None or level < most:
+        level += 1
+        step = front.join(both, front["at"] == both["a"]).select("id", F.col("b").alias("at")).distinct()
+        front = cut(step.join(seen.select("id", "at"), ["id", "at"], "left_anti").withColumn("d", F.lit(level)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max("d").cast("long").alias("distance"))
+
+
+def mean_metrics(steps: DataFrame, metrics: list[str], by: str | None = None) -> DataFrame:
+    """``(metric, mean)`` over the steps that have the metric, for each value of ``by`` if given."""
+    long = steps.select(*([by] if by else []), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e"))
+    return long.groupBy(*([by] if by else []), F.col("e.metric").alias("metric")).agg(F.avg("e.v").alias("mean"))
+
+
+def sample_statistics(sample, g, columns: dict[str, list[str]]) -> DataFrame:
+    """``(node_set, feature, n, low, high, missing)`` over the nodes that samples hold, each as often as samples hold it."""
+    from loomgraph.operators.sampling import with_features
+
+    out = [feature_statistics(with_features(sample, g, n, c), c).select(F.lit(n).alias("node_set"), "*") for n, c in columns.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK"), limit: int | None = None) -> dict:
     """Statistics of every node feature, as plain values for a JSON sidecar.
 
     Counts for all; extremes and quantiles for numbers and times, dictionaries for
     text categories; features whose meaning is in ``skip`` are left out.  Each value is bounded by a parameter.
+    ``limit`` looks at that many nodes of a set only, those with the smallest key digests.
     """
     out: dict = {}
     for n, s in g.schema.node_sets.items():
         d, found = g.nodes[n], {}
+        if limit is not None:
+            d = d.orderBy(F.md5(F.col(g.key(n)).cast("string")), g.key(n)).limit(limit)
         numbers = [f for f, x in s.features.items() if x.format not in ("BYTES", "BOOL") and x.semantic in ("NUMERICAL", "TIMESTAMP", "TIMEDELTA", "CATEGORICAL")]
         wide = {r["feature"]: r for r in feature_statistics(d, numbers).collect()} if numbers else {}
         rows = d.count()

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET, Graph
-from loomgraph.schema import EdgeSet, GraphSchema
+from loomgraph.operators.ranges import dense_index, running_total
+from loomgraph.schema import EdgeSet, GraphSchema, creation_time
 
 
 def reverse_edges(g: Graph) -> Graph:
@@ -31,39 +32,24 @@ def flat_edges(adjacency: DataFrame) -> DataFrame:
     return adjacency.select(SOURCE, F.explode("neighbors").alias("e")).select(SOURCE, "e.*")
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx", slices: int = 64, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds the 0-based rank of each row by ``key``, then ``ties``, without a single-partition sort.
-
-    Rows are cut into ``slices`` key ranges at quantiles of a numeric key (else by a
-    leading-character range), ranked inside each, and shifted by the sizes of
-    earlier ranges: a table of at most ``slices`` rows.
-    """
-    kind = dict(df.dtypes)[key]
-    if kind in ("int", "bigint", "smallint", "tinyint", "float", "double"):
-        cuts = df.select(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10 * slices).alias("q")).first()["q"] or []
-    else:
-        cuts = [r[0] for r in df.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).sample(0.01, 7).orderBy("k").limit(100_000).collect()]
-        cuts = cuts[:: max(1, len(cuts) // slices)]
-    cuts = sorted(set(cuts))
-    spot: Column = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        spot = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col(key))) + 1)
-    cut = df.withColumn("__range", spot)
-    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties)) - 1
-    ranked = cut.withColumn("__inside", inside).join(F.broadcast(ahead), "__range")
-    return ranked.withColumn(name, (F.col("__inside") + F.col("__ahead")).cast("long")).drop("__range", "__inside", "__ahead")
-
-
 def indexed_edges(edges: DataFrame, source_ids: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Edge keys replaced by dense numbers from ``ids(id, idx)``; edges with an unknown end go."""
     s, t = source_ids.select(F.col("id").alias("__s"), F.col("idx").alias("source_idx")), target_ids.select(F.col("id").alias("__t"), F.col("idx").alias("target_idx"))
     return edges.join(s, edges[SOURCE] == s["__s"]).join(t, edges[TARGET] == t["__t"]).drop("__s", "__t")
 
 
+def block_starts(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, degree, start)``: where each node's block begins in an edge list sorted by source, zero degrees included."""
+    n = edges.groupBy(F.col(SOURCE).alias("id")).agg(F.count("*").alias("degree"))
+    d = ids.select("id").join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    return running_total(d, "id", "degree", name="start")
+
+
+def sorted_edges(edges: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Edges with ``place``, their number in the order by source, target and ``ties``."""
+    return dense_index(edges, SOURCE, "place", ties=[TARGET, *ties])
+
+
 def without_dangling(edges: DataFrame, source_ids: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Edges whose two ends exist: a left-semi join on each."""
     s, t = source_ids.select(F.col("id").alias("__s")), target_ids.select(F.col("id").alias("__t"))
@@ -116,13 +102,12 @@ def merge_samples(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
     ``nodes(seed, node_set, node)`` become ``(node_set, idx, seed, node)`` with numbers that
     run on over the seeds in order; edges point at those numbers.  Offsets are running
-    sums over one row per seed and set.
+    sums over one row per seed and set, taken within ranges of seeds.
     """
     inside = F.row_number().over(Window.partitionBy("seed", "node_set").orderBy("node")) - 1
     local = nodes.withColumn("i", inside)
     counts = local.groupBy("node_set", "seed").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("node_set").orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("node_set", "seed", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    offsets = running_total(counts, "seed", "n", ["node_set"]).select("node_set", "seed", "ahead")
     numbered = local.join(offsets, ["node_set", "seed"]).select("node_set", (F.col("i") + F.col("ahead")).alias("idx"), "seed", "node")
     s = numbered.select(F.col("node_set").alias("source_set"), "seed", F.col("node").alias(SOURCE), F.col("idx").alias("source_idx"))
     t = numbered.select(F.col("node_set").alias("target_set"), "seed", F.col("node").alias(TARGET), F.col("idx").alias("target_idx"))
@@ -175,6 +160,22 @@ def propagate_timestamps(edges: DataFrame, source_times: DataFrame | None, targe
     return out.withColumn("ts", stamp).drop("__a", "__b")
 
 
+def with_creation_times(g: Graph, edge_set: str) -> DataFrame:
+    """The edge set with ``ts`` from the schema: its own creation time, else the later of its ends' creation times.
+
+    Sets without any of the three raise ValueError.
+    """
+    e, edges = g.schema.edge_sets[edge_set], g.edges[edge_set]
+    own = creation_time(e.features)
+    if own:
+        return edges.withColumn("ts", F.col(own))
+    times = []
+    for n in (e.source, e.target):
+        born = creation_time(g.schema.node_sets[n].features)
+        times.append(g.nodes[n].select(F.col(g.key(n)).alias("id"), F.col(born).alias("ts")) if born else None)
+    return propagate_timestamps(edges, *times)
+
+
 def as_of(facts: DataFrame, asks: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """The last ``value`` of each key at or before the asked time; before the first, the first.
 

@@ -29,7 +29,7 @@ def dictionary_index(spark, sf_dir):
 
 def soft_quantile(spark, sf_dir):
     orders = trade_graph(spark, sf_dir).nodes["orders"]
-    q = [r["q"] for r in st.quantiles(orders, "totalprice", 9).orderBy("k").collect()]
+    q = [r["q"] for r in st.quantiles(orders, "totalprice", 9, exact=True).orderBy("k").collect()]
     out = nz.normalized(orders, {"totalprice": [nz.SoftQuantile(q)]}, ["id"])
     return out.select("id", F.round("totalprice_SOFT_QUANTILE", 9).alias("totalprice_SOFT_QUANTILE"))
 
@@ -45,7 +45,7 @@ def sinusoid(spark, sf_dir):
 
 def auto_normalize(spark, sf_dir):
     g = trade_graph(spark, sf_dir)
-    plan = nz.auto(g.nodes["customer"], g.schema.node_sets["customer"], 5)
+    plan = nz.auto(g.nodes["customer"], g.schema.node_sets["customer"], 5, exact=True)
     out = nz.normalized(g.nodes["customer"], plan, ["id"])
     return out.select("id", F.round("acctbal_SOFT_QUANTILE", 9).alias("acctbal"), F.col("segment_INDEX").cast("long").alias("segment"))
 

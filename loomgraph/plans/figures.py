@@ -68,7 +68,7 @@ def feature_minmax(spark, sf_dir):
 
 
 def feature_quantiles(spark, sf_dir):
-    q = st.quantiles(trade_graph(spark, sf_dir).nodes["orders"], "totalprice", 11)
+    q = st.quantiles(trade_graph(spark, sf_dir).nodes["orders"], "totalprice", 11, exact=True)
     return q.select(F.col("k").cast("long").alias("k"), F.round("q", 6).alias("q"))
 
 
@@ -76,7 +76,7 @@ def array_statistics(spark, sf_dir):
     """Flattened extremes of the embedding vectors, and their quartiles."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     e = st.feature_statistics(v, ["embedding"]).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
-    q = st.quantiles(st.flat_values(v, "embedding"), "x", 5)
+    q = st.quantiles(st.flat_values(v, "embedding"), "x", 5, exact=True)
     q = q.agg(*[F.round(F.max(F.when(F.col("k") == k, F.col("q"))), 6).alias(f"q{k}") for k in range(5)])
     return e.crossJoin(F.broadcast(q))
 

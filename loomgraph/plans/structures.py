@@ -154,12 +154,11 @@ def random_negatives(spark, sf_dir):
 
 
 def walk_negatives(spark, sf_dir):
+    """Orders that walks from a customer reach over its nation, or back over its own orders."""
     g = trade_graph(spark, sf_dir)
-    sup = g.edges["supplied_by"]
-    hops = [(sup, "source", "target"), (sup, "target", "source")]
-    return negatives.walk_negatives(g.ids("part").select(F.col("id").alias("seed")), hops, g.ids("part").select(F.col("id").alias("source"), F.col("id").alias("target")), 6, 3, fill=structure.dense_index(g.ids("part"), "id")).select(
-        "seed", "negative", "visits", F.col("rank").cast("long").alias("rank")
-    )
+    plan = S.hop_plan(g.schema, "customer", hops=3, width=None, only=["customer_in", "placed"])
+    found = negatives.walk_negatives(g, plan, "placed", g.ids("customer").select(F.col("id").alias("seed")), 6, 3)
+    return found.select("seed", "negative", "visits", F.col("rank").cast("long").alias("rank"))
 
 
 def split_random(spark, sf_dir):
@@ -199,6 +198,8 @@ QUERIES = {
 
 _KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 _HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_TURN = _HEX.format("concat_ws('|', 'walk', 'hop', {}, seed, w)")
+_DRAW = _HEX.format("concat_ws('|', 'walk', 'node', '{}', seed, w)")
 _NODES = """n AS (SELECT c_custkey AS seed, 'customer' AS node_set, CAST(c_custkey AS VARCHAR) AS node FROM customer
 UNION SELECT seed, 'orders', CAST(b AS VARCHAR) FROM h1 UNION SELECT seed, 'part', CAST(b AS VARCHAR) FROM h2)"""
 _MERGED = f"""WITH {_FIRST} {_NODES},
@@ -249,17 +250,22 @@ SELECT source, target, coalesce(o_orderkey, -1) AS edge FROM q LEFT JOIN orders
 SELECT ask, q.user_id, q.t, (SELECT value FROM e WHERE e.user_id = q.user_id AND e.t <= q.t ORDER BY e.t DESC LIMIT 1) AS value FROM q""",
     "random_negatives": f"""WITH e AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem), p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part)
 SELECT source, target, CAST(k AS BIGINT) AS k, p.id AS negative FROM e, (VALUES (0), (1)) v(k) JOIN p ON p.idx = {_HEX.format("concat_ws('|', 'neg', source, target, k)")} % (SELECT count(*) FROM part)""",
-    "walk_negatives": f"""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
-f AS (SELECT p AS a, s AS b, row_number() OVER (PARTITION BY p ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY p) AS d FROM e),
-r AS (SELECT s AS a, p AS b, row_number() OVER (PARTITION BY s ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY s) AS d FROM e),
-w1 AS (SELECT p_partkey AS seed, w, f.b AS node FROM part, (VALUES (0), (1), (2), (3), (4), (5)) v(w), f WHERE f.a = p_partkey AND f.i = {_HEX.format("concat_ws('|', 'walk', 0, p_partkey, w, p_partkey)")} % f.d),
-w2 AS (SELECT seed, r.b AS node FROM w1 JOIN r ON r.a = w1.node AND r.i = {_HEX.format("concat_ws('|', 'walk', 1, seed, w, node)")} % r.d),
-c AS (SELECT seed, node AS negative, count(*) AS visits FROM w2 WHERE node <> seed GROUP BY ALL),
+    "walk_negatives": f"""WITH ci AS (SELECT c_custkey AS a, n AS b, 0 AS i, 1 AS d FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS n FROM customer)),
+ic AS (SELECT c_nationkey AS a, c_custkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS d FROM customer),
+po AS (SELECT o_custkey AS a, o_orderkey AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS d FROM orders),
+op AS (SELECT o_orderkey AS a, o_custkey AS b, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey) AS d FROM orders),
+s AS (SELECT c_custkey AS seed, w, c_custkey AS node FROM customer, range(6) t(w)),
+n1 AS (SELECT seed, w, b AS node FROM s JOIN ci ON a = node AND {_TURN.format("''")} % 2 = 0 AND i = {_DRAW.format("/0")} % d),
+o1 AS (SELECT seed, w, b AS node FROM s JOIN po ON a = node AND {_TURN.format("''")} % 2 = 1 AND i = {_DRAW.format("/1")} % d),
+c2 AS (SELECT seed, w, b AS node, '/0/0' AS path FROM n1 JOIN ic ON a = node AND i = {_DRAW.format("/0/0")} % d
+  UNION ALL SELECT seed, w, b, '/1/0' FROM o1 JOIN op ON a = node AND i = {_DRAW.format("/1/0")} % d),
+o3 AS (SELECT seed, w, b AS node FROM c2 JOIN po ON a = node AND {_TURN.format("path")} % 2 = 1 AND i = {_HEX.format("concat_ws('|', 'walk', 'node', path || '/1', seed, w)")} % d),
+c AS (SELECT seed, node AS negative, count(*) AS visits FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o3) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = seed AND o_orderkey = node) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY visits DESC, negative) AS rank FROM c),
-x AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part),
-m AS (SELECT p_partkey AS seed, r AS rank FROM part, range(1, 4) t(r) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.seed = p_partkey AND k.rank = r))
+x AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders),
+m AS (SELECT c_custkey AS seed, r AS rank FROM customer, range(1, 4) t(r) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.seed = c_custkey AND k.rank = r))
 SELECT seed, negative, visits, rank FROM k WHERE rank <= 3
-UNION ALL SELECT seed, x.id, 0, rank FROM m JOIN x ON x.idx = {_HEX.format("concat_ws('|', 'walk', 'fill', seed, rank)")} % (SELECT count(*) FROM part)""",
+UNION ALL SELECT seed, x.id, 0, rank FROM m JOIN x ON x.idx = {_HEX.format("concat_ws('|', 'walk', 'fill', seed, rank)")} % (SELECT count(*) FROM orders)""",
     "split_random": f"""SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'split', o_orderkey)")}, o_orderkey) <= CAST(floor((SELECT count(*) FROM orders) * 0.2) AS BIGINT) AS valid FROM orders""",
     "split_temporal": """SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT AS ts, row_number() OVER (ORDER BY epoch(o_orderdate)::BIGINT DESC, o_orderkey DESC) <= CAST(floor((SELECT count(*) FROM orders) * 0.2) AS BIGINT) AS valid FROM orders""",
     "batches": f"""WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'batch', o_orderkey)")}, o_orderkey) - 1 AS n FROM orders)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import types as T
 
@@ -23,6 +23,10 @@ SEMANTICS = ("UNKNOWN", "NUMERICAL", "CATEGORICAL", "EMBEDDING", "TIMESTAMP", "T
 KEY_NAMES = ("#id", "#ID", "id", "ID")
 
 
+#: What fields are called in a schema's text form where it isn't their name here (fixed values).
+FILE_NAMES = {"num_categories": "num_categorical_values", "is_text": "is_utf8_string"}
+
+
 @dataclass(frozen=True)
 class Feature:
     """One feature: format, meaning and shape.
@@ -78,18 +82,29 @@ class GraphSchema:
     # -- text form -------------------------------------------------------------
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), indent=2)
+        def written(features: dict[str, Feature]) -> dict:
+            return {n: {FILE_NAMES.get(k, k): v for k, v in asdict(f).items()} for n, f in features.items()}
+
+        nodes = {n: {"features": written(s.features)} for n, s in self.node_sets.items()}
+        edges = {n: {"source": s.source, "target": s.target, "features": written(s.features)} for n, s in self.edge_sets.items()}
+        return json.dumps({"node_sets": nodes, "edge_sets": edges}, indent=2)
 
     @staticmethod
     def from_json(text: str) -> GraphSchema:
+        """Read the text form; fields that are not known here are ignored, missing ones have their defaults."""
         raw = json.loads(text)
+        names = {f.name: FILE_NAMES.get(f.name, f.name) for f in fields(Feature)}
 
-        def features(d: dict) -> dict[str, Feature]:
-            return {n: Feature(**{**f, "shape": tuple(f["shape"]) if f.get("shape") is not None else None}) for n, f in d.items()}
+        def features(d: dict | None) -> dict[str, Feature]:
+            out = {}
+            for n, f in (d or {}).items():
+                held = {k: f[w] for k, w in names.items() if f.get(w) is not None}
+                out[n] = Feature(**held | ({"shape": tuple(held["shape"])} if "shape" in held else {}))
+            return out
 
         return GraphSchema(
-            {n: NodeSet(features(s["features"])) for n, s in raw["node_sets"].items()},
-            {n: EdgeSet(s["source"], s["target"], features(s["features"])) for n, s in raw["edge_sets"].items()},
+            {n: NodeSet(features(s.get("features"))) for n, s in raw.get("node_sets", {}).items()},
+            {n: EdgeSet(s["source"], s["target"], features(s.get("features"))) for n, s in raw.get("edge_sets", {}).items()},
         )
 
     # -- projections ------------------------------------------------------------
@@ -130,8 +145,11 @@ class GraphSchema:
 
 
 def likely_key(columns: list[str]) -> str | None:
-    """The first of the usual key names among ``columns``."""
-    return next((k for k in KEY_NAMES if k in columns), None)
+    """The usual key name among ``columns``; several of them raise ValueError."""
+    found = [k for k in KEY_NAMES if k in columns]
+    if len(found) > 1:
+        raise ValueError(f"several columns look like a key: {found}")
+    return found[0] if found else None
 
 
 def infer_semantics(name: str, feature: Feature) -> Feature:
@@ -143,18 +161,66 @@ def infer_semantics(name: str, feature: Feature) -> Feature:
     return replace(feature, semantic="NUMERICAL")
 
 
-def repaired(schema: GraphSchema) -> GraphSchema:
-    """Guess missing primary keys and unknown meanings, set by set."""
+def repaired(schema: GraphSchema, semantics: bool = True, fallback_key: bool = False, shapes: bool = True, narrow: bool = False) -> GraphSchema:
+    """Guess what a schema leaves out, set by set.
 
-    def fix(s: NodeSet) -> NodeSet:
-        f = {n: infer_semantics(n, x) for n, x in s.features.items()}
-        guess = likely_key(list(f))
-        if guess and not any(x.semantic == "PRIMARY_ID" for x in f.values()):
-            f[guess] = replace(f[guess], semantic="PRIMARY_ID")
-        return NodeSet(f)
-
-    edges = {n: replace(s, features={k: infer_semantics(k, x) for k, x in s.features.items()}) for n, s in schema.edge_sets.items()}
-    return GraphSchema({n: fix(s) for n, s in schema.node_sets.items()}, edges)
+    A node set without a primary id gets the column with a usual key name; if it has
+    none, ``fallback_key`` adds ``#id`` and else ValueError is raised.  An edge set may
+    stay without.  ``semantics`` fills in unknown meanings.  ``shapes``: where all
+    features of a set have a ragged outer dimension around a fixed one, it goes.
+    ``narrow`` widens or narrows formats to those of records that hold int64, float32 and bytes only.
+    """
+    slim = {"INTEGER_32": "INTEGER_64", "BOOL": "INTEGER_64", "FLOAT_64": "FLOAT_32"}
+
+    def fix(name: str, features: dict[str, Feature], needed: bool) -> dict[str, Feature]:
+        f = {n: replace(x, format=slim.get(x.format, x.format)) for n, x in features.items()} if narrow else dict(features)
+        odd = lambda x: x.shape is not None and len(x.shape) == 2 and x.shape[0] is None and x.shape[1] is not None
+        if shapes and f and all(map(odd, f.values())):
+            f = {n: replace(x, shape=() if x.shape[1] == 1 else x.shape[1:]) for n, x in f.items()}
+        if semantics:
+            f = {n: infer_semantics(n, x) for n, x in f.items()}
+        if not any(x.semantic == "PRIMARY_ID" for x in f.values()):
+            guess = likely_key(list(f))
+            if guess is None and needed and fallback_key:
+                guess, f["#id"] = "#id", Feature("BYTES")
+            if guess is None and needed:
+                raise ValueError(f"node set {name}: no primary id, and no column looks like one: {list(f)}")
+            if guess is not None:
+                f[guess] = replace(f[guess], semantic="PRIMARY_ID")
+        return f
+
+    edges = {n: replace(s, features=fix(n, s.features, False)) for n, s in schema.edge_sets.items()}
+    return GraphSchema({n: NodeSet(fix(n, s.features, True)) for n, s in schema.node_sets.items()}, edges)
+
+
+def timeseries_groups(features: dict[str, Feature]) -> dict[str, dict]:
+    """For each group of time series: its clock (creation time), its mask and its other members, by name.
+
+    A series without a group of its own clock is a group by itself.  Several clocks
+    or masks in one group raise ValueError.
+    """
+    out: dict[str, dict] = {}
+    for n, f in sorted(features.items()):
+        group = f.group or (n if f.is_timeseries and f.is_creation_time else None)
+        if group is None:
+            continue
+        g = out.setdefault(group, {"clock": None, "mask": None, "members": []})
+        role = "mask" if f.semantic == "MASK" else "clock" if f.is_creation_time else None
+        if role and g[role]:
+            raise ValueError(f"group {group} has two {role}s: {g[role]} and {n}")
+        if role:
+            g[role] = n
+        else:
+            g["members"].append(n)
+    return out
+
+
+def creation_time(features: dict[str, Feature]) -> str | None:
+    """The one feature that says when a node or edge came to be; several raise ValueError."""
+    found = [n for n, f in features.items() if f.is_creation_time and not f.is_timeseries]
+    if len(found) > 1:
+        raise ValueError(f"several creation times: {found}")
+    return found[0] if found else None
 
 
 def feature_of(kind: T.DataType) -> Feature:

@@ -1,7 +1,7 @@
 """The graph directory: sidecars, one Parquet dataset per node set and edge set.
 
 ``metadata.json`` (version, optional timestamp), ``schema.json``,
-``nodesets/<name>-*.parquet`` with the primary key, ``edgesets/<name>-*.parquet`` with
+``nodesets/<name>-00000-of-00001.parquet`` with the primary key, ``edgesets/<name>-…`` with
 ``#source`` and ``#target``.  Datasets are read with the declared schema, so files never drive inference.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from loomgraph.graph import SOURCE, TARGET, Graph
 from loomgraph.operators.structure import dangling, without_dangling
-from loomgraph.schema import EdgeSet, Feature, GraphSchema, NodeSet
+from loomgraph.schema import EdgeSet, Feature, GraphSchema, NodeSet, repaired
 
 #: Layout names (fixed values).
 FILE_SOURCE, FILE_TARGET = "#source", "#target"
@@ -52,42 +53,71 @@ class Store:
         finally:
             out.close()
 
+    def rename(self, old: str, new: str) -> None:
+        a, b = self._path(old), self._path(new)
+        if not a.getFileSystem(self.conf).rename(a, b):
+            raise OSError(f"{a} could not be renamed {b}")
+
+    def delete(self, name: str) -> None:
+        p = self._path(name)
+        p.getFileSystem(self.conf).delete(p, True)
+
     def names(self, name: str = "") -> list[str]:
         p = self._path(name)
         return sorted(s.getPath().getName() for s in p.getFileSystem(self.conf).listStatus(p))
 
 
+def shard_name(name: str, shard: int, shards: int, extension: str = "") -> str:
+    return f"{name}-{shard:05d}-of-{shards:05d}{extension}"
+
+
 def sharded(path: str) -> list[str]:
-    """``name@3`` as its three shard names, ``name@*`` as a glob, anything else as it is."""
-    m = re.fullmatch(r"(.*)@(\d+|\*)", path)
+    """``name@3.ext`` as its three shard names, ``name@*.ext`` as a glob, anything else as it is."""
+    m = re.fullmatch(r"(.*)@(\d+|\*)(\..*)?", path)
     if not m:
         return [path]
     if m[2] == "*":
-        return [f"{m[1]}-*-of-*"]
+        return [f"{m[1]}-?????-of-?????{m[3] or ''}"]
     n = int(m[2])
-    return [f"{m[1]}-{i:05d}-of-{n:05d}" for i in range(n)]
+    return [shard_name(m[1], i, n, m[3] or "") for i in range(n)]
 
 
 def struct_type(features: dict[str, Feature]) -> T.StructType:
     return T.StructType([T.StructField(n, f.spark_type(), True, {"semantic": f.semantic, "shape": json.dumps(f.shape)}) for n, f in features.items()])
 
 
-def write_graph(g: Graph, path: str, shard_rows: int = SHARD_ROWS, compression: str = "snappy") -> None:
-    """Write the graph; large sets are cut into files by rows, not gathered."""
+def write_graph(g: Graph, path: str, shard_rows: int = SHARD_ROWS, compression: str = "snappy", max_shards: int | None = None) -> None:
+    """Write the graph; large sets are cut into files by rows, not gathered.
+
+    Each set is written by its tasks and its files are then named as shards,
+    ``<set>-00000-of-00003.parquet``; a set of an earlier write is replaced.  The sets are
+    written at the same time.  Node sets need a primary id.
+    """
+    for s in g.schema.node_sets.values():
+        s.key()
     spark = next(iter(g.nodes.values())).sparkSession
     store = Store(spark, path)
     meta = {"version": VERSION} | ({"timestamp": g.timestamp} if g.timestamp is not None else {})
     store.write("metadata.json", json.dumps(meta))
     store.write("schema.json", g.schema.to_json())
-    for n, d in g.nodes.items():
-        _writer(d, shard_rows, compression).parquet(f"{path}/{NODE_DIR}/{n}.parquet")
-    for n, d in g.edges.items():
-        named = d.withColumnsRenamed({SOURCE: FILE_SOURCE, TARGET: FILE_TARGET})
-        _writer(named, shard_rows, compression).parquet(f"{path}/{EDGE_DIR}/{n}.parquet")
-
-
-def _writer(d: DataFrame, shard_rows: int, compression: str):
-    return d.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", shard_rows)
+    sets = [(NODE_DIR, n, d) for n, d in g.nodes.items()]
+    sets += [(EDGE_DIR, n, d.withColumnsRenamed({SOURCE: FILE_SOURCE, TARGET: FILE_TARGET})) for n, d in g.edges.items()]
+
+    def write(kind: str, name: str, d: DataFrame) -> None:
+        d = d.coalesce(max_shards) if max_shards else d
+        rows = 0 if max_shards else shard_rows
+        spare = f"{kind}/_{name}"
+        d.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows).parquet(f"{path}/{spare}")
+        for old in store.names(kind):
+            if re.fullmatch(re.escape(name) + r"-\d{5}-of-\d{5}\.parquet", old):
+                store.delete(f"{kind}/{old}")
+        files = [f for f in store.names(spare) if f.endswith(".parquet")]
+        for i, f in enumerate(files):
+            store.rename(f"{spare}/{f}", f"{kind}/{shard_name(name, i, len(files), '.parquet')}")
+        store.delete(spare)
+
+    with ThreadPoolExecutor(max(1, min(8, len(sets)))) as pool:
+        list(pool.map(lambda s: write(*s), sets))
 
 
 def read_schema(spark: SparkSession, path: str) -> GraphSchema:
@@ -104,12 +134,12 @@ def read_graph(spark: SparkSession, path: str, schema: GraphSchema | None = None
     meta = json.loads(store.text("metadata.json"))
     if meta.get("version", 0) > VERSION:
         raise ValueError(f"graph version {meta['version']} is newer than {VERSION}")
-    schema = schema or read_schema(spark, path)
+    schema = repaired(schema or read_schema(spark, path), semantics=False)
 
     def load(kind: str, name: str, fields: T.StructType) -> DataFrame:
-        whole = f"{path}/{kind}/{name}.parquet"
-        found = whole if store.exists(f"{kind}/{name}.parquet") else f"{path}/{kind}/{name}-*.parquet"
-        return spark.read.schema(fields).parquet(found)
+        # shards, or the files of a warehouse's export, which are not numbered so
+        shards = [f for f in store.names(kind) if re.fullmatch(re.escape(name) + r"-\d{5}-of-\d{5}\.parquet", f)]
+        return spark.read.schema(fields).parquet(f"{path}/{kind}/{sharded(name + '@*.parquet')[0]}" if shards else f"{path}/{kind}/{name}-*.parquet")
 
     nodes = {n: load(NODE_DIR, n, struct_type(s.features)) for n, s in schema.node_sets.items()}
     edges = {}
@@ -129,7 +159,11 @@ def read_graph(spark: SparkSession, path: str, schema: GraphSchema | None = None
 
 
 def write_snapshots(graphs: dict[str, Graph], path: str) -> None:
-    """A directory of timestamped graphs."""
+    """A directory of timestamped graphs of one schema."""
+    first = next(iter(graphs.values()))
+    store = Store(next(iter(first.nodes.values())).sparkSession, path)
+    store.write("metadata.json", json.dumps({"version": VERSION, "format": "graph_snapshots"}))
+    store.write("schema.json", first.schema.to_json())
     for name, g in graphs.items():
         write_graph(g, f"{path}/snapshots/{name}")
 
