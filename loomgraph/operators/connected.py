@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not large:
             both = both.where("v < u")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.join(low, "u")
+        linked = both.join(low.hint("merge"), "u")  # rounds are many: a broadcast each would fill the driver
         if large:
             out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
