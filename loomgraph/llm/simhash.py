@@ -31,8 +31,8 @@ WIDE, WIDE_DISTANCE = 128, 30
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
-#: Rounds after which all pairs that are still between components are verified.
-ROUNDS = 6
+#: Pairs for each closest pair up to which all are verified at once, and rounds after which all that are still between components are.
+SPARSE, ROUNDS = 8, 6
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -275,8 +275,8 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
 
     Pairs inside a component add nothing, so a large family of copies needs few of its
     many pairs: each round verifies every class's closest pair to another
-    component, then leaves out what is inside one by then.  Once about so many
-    pairs are left, all are verified.
+    component, then leaves out what is inside one by then.  Once few pairs a class
+    are left, all are verified.
     """
     open_, found, rounds = pairs, None, 0
     while True:
@@ -284,7 +284,7 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Data
         best = cut(ends.groupBy("c").agg(F.min(F.struct("bits", "u", "v")).alias("b")).select("b.u", "b.v").distinct())
         rest, few = open_.count(), best.count()
         rounds += 1
-        last = rest <= 2 * few or rounds == ROUNDS
+        last = rest <= SPARSE * few or rounds == ROUNDS
         chosen = open_.select("u", "v") if last else best
         good = cut(_verified(chosen, sets, least)) if rest else chosen
         found = good if found is None else found.unionByName(good)

@@ -235,6 +235,7 @@ def test_a_large_family_needs_few_pairs(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(200 + i, words(rng, 80, 9000)) for i in range(10)]
     asked, plain = [], simhash._verified
+    monkeypatch.setattr(simhash, "SPARSE", 2)
     monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: asked.append(pairs.count()) or plain(pairs, *a))
     got = {r["id"]: r["component_id"] for r in simhash.near_components(table(spark, rows)).collect()}
     few = sum(asked)
