@@ -170,7 +170,7 @@ def normalized(df: DataFrame, plan: dict[str, list[Normalizer]], keep: list[str]
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
-def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items: int = 10_000, exact: bool = False) -> dict[str, list[Normalizer]]:
+def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items: int = 10_000, exact: bool = True) -> dict[str, list[Normalizer]]:
     """Statistics of a node set, then the normalizers chosen for it; dictionaries are bounded."""
     from loomgraph.operators.statistics import dictionary, quantiles
 

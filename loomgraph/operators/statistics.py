@@ -23,12 +23,12 @@ def dictionary(df: DataFrame, column: str, max_items: int = 10_000, min_count: i
     return top.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1)
 
 
-def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = True) -> DataFrame:
     """``(k, q)``: ``count`` evenly spaced quantiles; NaN and null are left out.
 
-    A mergeable sketch of bounded size gives values of the column that are off by at most
-    1 / (100 * count) of the rows.  ``exact`` ranks the values by ranges instead, a sort of the whole
-    column, and interpolates between the two at each place.
+    Values are ranked by key ranges, a distributed sort of the column, and the two at each
+    place are interpolated.  ``exact=False`` asks a mergeable sketch of bounded size instead, in one pass:
+    values of the column that are off by at most 1 / (100 * count) of the rows.
     """
     at = [i / (count - 1) for i in range(count)] if count > 1 else [0.5]
     clean = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("x"))

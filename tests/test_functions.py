@@ -93,7 +93,7 @@ def test_histogram_rules(spark):
 def test_quantiles_skip_nan(spark):
     d = spark.createDataFrame([(1.0,), (3.0,), (math.nan,), (None,)], "x double")
     assert [r["q"] for r in st.quantiles(d, "x", 3, exact=True).orderBy("k").collect()] == [1.0, 2.0, 3.0]
-    assert [r["q"] for r in st.quantiles(d, "x", 2).orderBy("k").collect()] == [1.0, 3.0]
+    assert [r["q"] for r in st.quantiles(d, "x", 2, exact=False).orderBy("k").collect()] == [1.0, 3.0]
     assert st.quantiles(d.where("x > 9"), "x", 3, exact=True).count() == 0
 
 

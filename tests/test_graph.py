@@ -69,7 +69,7 @@ def test_snapshots(spark, toy, tmp_path):
 
 def test_shard_names():
     assert native.sharded("x@2") == ["x-00000-of-00002", "x-00001-of-00002"]
-    assert native.sharded("x@*") == ["x-*-of-*"] and native.sharded("x") == ["x"]
+    assert native.sharded("x@*.parquet") == ["x-?????-of-?????.parquet"] and native.sharded("x") == ["x"]
 
 
 def test_validation_finds_repeats_and_missing_ends(spark, toy):
@@ -136,3 +136,75 @@ def test_toy_statistics(spark, tmp_path):
     assert (got["f6"]["min"], got["f6"]["max"]) == (11, 20) and got["f6"]["quantiles"] == pytest.approx([11, 14, 17, 20])
     native.write_statistics(spark, str(tmp_path), got)
     assert native.read_statistics(spark, str(tmp_path)) == got
+
+
+def test_published_directory_is_read(spark, tmp_path):
+    """A directory in the published layout, written by another tool: byte keys, numbered files, ids on edges."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    feature = lambda fmt, semantic, shape=None: {"format": fmt, "semantic": semantic, "shape": shape, "num_categorical_values": None, "is_utf8_string": False, "is_timeseries": False, "is_creation_time": False, "group": None}
+    schema = {
+        "node_sets": {
+            "n1": {"features": {"#id": feature("BYTES", "PRIMARY_ID"), "f1": feature("BYTES", "CATEGORICAL", [1]), "f2": feature("FLOAT_32", "EMBEDDING", [2])}},
+            "n2": {"features": {"#id": feature("INTEGER_64", "UNKNOWN"), "f6": feature("INTEGER_64", "NUMERICAL", [None, 2])}},
+        },
+        "edge_sets": {"e1": {"source": "n1", "target": "n1", "features": {}}, "e2": {"source": "n1", "target": "n2", "features": {"#id": feature("BYTES", "UNKNOWN")}}},
+    }
+    (tmp_path / "nodesets").mkdir()
+    (tmp_path / "edgesets").mkdir()
+    (tmp_path / "schema.json").write_text(json.dumps(schema))
+    (tmp_path / "metadata.json").write_text('{"version": 0}')
+    one = lambda kind, name, data: pq.write_table(pa.table(data), tmp_path / kind / f"{name}-00000-of-00001.parquet")
+    one("nodesets", "n1", {"#id": pa.array([b"1", b"2"]), "f1": [[b"blue"], [b"red"]], "f2": pa.array([[0.0, 1.0], [2.0, 3.0]], pa.list_(pa.float32()))})
+    one("nodesets", "n2", {"#id": [1, 2], "f6": [[[11, 12], [13, 14]], [[15, 16], [17, 18], [19, 20]]]})
+    one("edgesets", "e1", {"#source": pa.array([b"1", b"1"]), "#target": pa.array([b"1", b"2"])})
+    one("edgesets", "e2", {"#source": pa.array([b"1", b"missing"]), "#target": [1, 2], "#id": pa.array([b"A", b"B"])})
+    g = native.read_graph(spark, str(tmp_path), drop_dangling=True)
+    assert g.schema.node_sets["n2"].key() == "#id" and g.schema.edge_sets["e2"].features["#id"].semantic == "PRIMARY_ID"
+    assert [(bytes(r["#id"]), list(r["f2"])) for r in g.nodes["n1"].orderBy("#id").collect()] == [(b"1", [0.0, 1.0]), (b"2", [2.0, 3.0])]
+    assert [(bytes(r["source"]), r["target"], bytes(r["#id"])) for r in g.edges["e2"].collect()] == [(b"1", 1, b"A")]
+    native.write_graph(g, str(tmp_path / "again"))
+    assert (tmp_path / "again" / "nodesets" / "n1-00000-of-00001.parquet").exists() or native.Store(spark, str(tmp_path / "again")).names("nodesets")[0].startswith("n1-00000-of-")
+    back = native.read_graph(spark, str(tmp_path / "again"))
+    assert back.schema == g.schema and back.nodes["n2"].count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        native.read_graph(spark, str(tmp_path), strict=True)
+
+
+def test_ambiguous_keys_are_refused():
+    with pytest.raises(ValueError, match="look like a key"):
+        repaired(GraphSchema({"n": NodeSet({"id": Feature("INTEGER_64"), "#id": Feature("BYTES")})}))
+    with pytest.raises(ValueError, match="no primary id"):
+        repaired(GraphSchema({"n": NodeSet({"x": Feature("INTEGER_64")})}))
+
+
+def test_ranks_of_text_keys_are_spread(spark):
+    from loomgraph.operators import ranges
+
+    d = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"))
+    cuts = ranges.cut_points(d, "k", 16)
+    spread = d.groupBy(ranges.place(F.col("k"), cuts, "string").alias("r")).count().collect()
+    assert len(spread) == 16 and max(r["count"] for r in spread) < 1000
+    assert ranges.dense_index(d, "k", ranges=16).where("idx <> CAST(substr(k, 2) AS BIGINT)").count() == 0
+    empty = ranges.dense_index(d.where("k IS NULL"), "k")
+    assert empty.count() == 0
+    ran = ranges.running_total(spark.range(300).withColumn("v", F.lit(2)).withColumn("g", F.col("id") % 3), "id", "v", ["g"], ranges=7)
+    assert ran.where("ahead <> 2 * floor(id / 3)").count() == 0
+
+
+def test_walks_leave_the_seed_out(spark):
+    """In a graph of one node set the seed is none of its negatives, not even as a fill."""
+    from loomgraph.operators import negatives
+    from loomgraph.operators.sampling import hop_plan
+
+    n = spark.range(6).select(F.col("id"))
+    e = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "source long, target long")
+    g = Graph.from_frames({"n": (n, "id")}, {"e": (e, "n", "n")})
+    found = negatives.walk_negatives(g, hop_plan(g.schema, "n", 3, None), "e", n.select(F.col("id").alias("seed")), 8, 6)
+    rows = found.collect()
+    assert len(rows) == 36 and all(r["seed"] != r["negative"] for r in rows)
+    assert all(r["negative"] != (r["seed"] + 1) % 6 for r in rows if r["visits"])
+    assert any(r["visits"] for r in rows) and any(not r["visits"] for r in rows)
