@@ -31,8 +31,8 @@ WIDE, WIDE_DISTANCE = 128, 30
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
-#: Pairs for each closest pair up to which all are verified at once, and rounds after which all that are still between components are.
-SPARSE, ROUNDS = 8, 6
+#: Pairs for each of the first pairs up to which all are verified at once.
+SPARSE = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -208,9 +208,9 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
     """``(u, v, bits)``: pairs, u < v, of ``classes(fp, high, low)`` at most ``distance`` bits apart that agree in a table.
 
     Within a bucket, classes stand in the order of their bits, and each meets those
-    just before it and the bucket's first: all pairs of a usual bucket, and for a
-    large family of copies links along the order and to its first, in work
-    proportional to its members.  Pairs whose distances to some reference differ by
+    just before it: all pairs of a usual bucket.  In the bucket of a large family of copies,
+    each keeps the two closest of the ``neighbours`` before it and the bucket's first: a chain and a star in
+    each table, and work proportional to the members.  Pairs whose distances to some reference differ by
     more than ``distance`` are discarded, and the bits of the others are compared.
     """
     halves = [(p >> 64, p & (1 << 64) - 1) for p in WIDE_PIVOTS]
@@ -248,8 +248,12 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
             near = (F.abs(at(x["d"]) - at(F.col("d"))) <= distance) & near
         return near & (x["fp"] != F.col("fp"))
 
-    found = F.filter(F.when(F.size("met") == neighbours, F.array_append("met", F.col("head"))).otherwise(F.col("met")), close)
-    pairs = met.where(F.size("met") > 0).select("fp", F.explode(F.transform(found, lambda x: F.struct(x["fp"].alias("fp"), bits(x).alias("bits")))).alias("x"))
+    linked = lambda xs: F.transform(F.filter(xs, close), lambda x: F.struct(bits(x).alias("bits"), x["fp"].alias("fp")))
+    full = F.size("met") == neighbours
+    some = met.where(F.size("met") > 0).select("fp", full.alias("full"), linked(F.col("met")).alias("linked"), F.when(full, linked(F.array("head"))).alias("first"))
+    found = some.where((F.size("linked") > 0) | F.coalesce(F.size("first") > 0, F.lit(False)))
+    some = F.when(F.col("full"), F.array_union(F.slice(F.array_sort("linked"), 1, 2), F.col("first"))).otherwise(F.col("linked"))
+    pairs = found.select("fp", F.explode(some).alias("x"))
     return pairs.select(F.least("fp", "x.fp").alias("u"), F.greatest("fp", "x.fp").alias("v"), F.col("x.bits").alias("bits")).distinct()
 
 
@@ -270,30 +274,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32)
     return pairs.select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
 
 
-def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse: int = SPARSE) -> DataFrame:
     """Verified pairs that have the components of all of ``pairs(u, v, bits)`` with at least the similarity.
 
     Pairs inside a component add nothing, so a large family of copies needs few of its
-    many pairs: each round verifies every class's closest pair to another
-    component, then leaves out what is inside one by then.  Once few pairs a class
-    are left, all are verified.
+    many pairs: each class's closest pair and the one with the smallest class are verified first,
+    then all pairs that are still between components.  With at most ``sparse`` pairs for each of the
+    first ones, all are verified at once.
     """
-    open_, found, rounds = pairs, None, 0
-    while True:
-        ends = open_.select(F.col("u").alias("c"), "bits", "u", "v").union(open_.select("v", "bits", "u", "v"))
-        best = cut(ends.groupBy("c").agg(F.min(F.struct("bits", "u", "v")).alias("b")).select("b.u", "b.v").distinct())
-        rest, few = open_.count(), best.count()
-        rounds += 1
-        last = rest <= SPARSE * few or rounds == ROUNDS
-        chosen = open_.select("u", "v") if last else best
-        good = cut(_verified(chosen, sets, least)) if rest else chosen
-        found = good if found is None else found.unionByName(good)
-        if last:
-            return found
-        roots = components(found)
-        a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("a")), roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
-        apart = open_.join(chosen, ["u", "v"], "left_anti").join(a, "u", "left").join(b, "v", "left")
-        open_ = cut(apart.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v", "bits"))
+    ends = pairs.select(F.col("u").alias("c"), F.col("v").alias("o"), "bits", "u", "v").union(pairs.select("v", "u", "bits", "u", "v"))
+    best = ends.groupBy("c").agg(F.min(F.struct("bits", "o", "u", "v")).alias("x"), F.min(F.struct("o", "bits", "u", "v")).alias("y"))
+    best = cut(best.select(F.explode(F.array(F.struct("x.u", "x.v"), F.struct("y.u", "y.v"))).alias("b")).select("b.u", "b.v").distinct())
+    if pairs.count() <= sparse * best.count():
+        return _verified(pairs.select("u", "v"), sets, least)
+    found = cut(_verified(best, sets, least))
+    roots = components(found)
+    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("a")), roots.select(F.col("node").alias("v"), F.col("root").alias("b"))
+    apart = pairs.select("u", "v").join(best, ["u", "v"], "left_anti").join(a, "u", "left").join(b, "v", "left")
+    apart = cut(apart.where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v"))
+    return found.unionByName(_verified(apart, sets, least))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:

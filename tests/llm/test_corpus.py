@@ -225,7 +225,7 @@ def test_planted_near_copies_go(spark, neighbours):
 
 
 def test_a_large_family_needs_few_pairs(spark, monkeypatch):
-    """Rounds that verify the closest pairs only end with the components of all pairs."""
+    """The closest pairs first, then those between components: the components of all pairs."""
     rng = random.Random(21)
     base, rows = words(rng, 120, 9000).split(), []
     for i in range(150):
@@ -235,14 +235,15 @@ def test_a_large_family_needs_few_pairs(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(200 + i, words(rng, 80, 9000)) for i in range(10)]
     asked, plain = [], simhash._verified
-    monkeypatch.setattr(simhash, "SPARSE", 2)
+    full = simhash.joined
+    monkeypatch.setattr(simhash, "joined", lambda *a: full(*a, sparse=1))
     monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: asked.append(pairs.count()) or plain(pairs, *a))
     got = {r["id"]: r["component_id"] for r in simhash.near_components(table(spark, rows)).collect()}
     few = sum(asked)
     want = dict(slow_near(rows))
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
-    monkeypatch.setattr(simhash, "ROUNDS", 1)  # all pairs at once
-    assert got == {r["id"]: r["component_id"] for r in simhash.near_components(table(spark, rows)).collect()} and few < (sum(asked) - few) / 2
+    monkeypatch.setattr(simhash, "joined", lambda *a: full(*a, sparse=1 << 20))  # all pairs at once
+    assert got == {r["id"]: r["component_id"] for r in simhash.near_components(table(spark, rows)).collect()} and few < 0.6 * (sum(asked) - few)
 
 
 # -- language ------------------------------------------------------------------
