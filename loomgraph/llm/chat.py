@@ -142,6 +142,12 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark, sf_dir):
+    """Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output.
+
+    Null roles and texts count as empty; long texts are formatted whole; turns of one number
+    stand by role and text, null turns last, repeated rows each; an empty table has the
+    added conversation only; other columns are not read.
+    """
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)")

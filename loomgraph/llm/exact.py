@@ -12,6 +12,9 @@ from loomgraph.llm.shared import SPACE, documents, one_row_each
 #: Salt winners that a digest has at most after the second stage.
 SALTS = 16
 
+#: Copies of one row that are written out at once.
+_STEP = 1 << 16
+
 #: A winner is one decimal: code points times this, plus a place for the id.
 _RANGE = Decimal(2**65)
 _TOP = Decimal(2**63)
@@ -63,7 +66,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts
     groups = _groups(base, salts)
     rows = base.groupBy("id", "n", "digest", "check", F.length("norm").alias("len")).agg(F.count("*").alias("copies"))
     linked = rows.join(groups, ["digest", "check", "len"])
-    nth = linked.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    # in two steps, so no row holds an array of all of its copies
+    some = linked.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(_STEP).cast("long"))).alias("first"))
+    nth = some.select("*", F.explode(F.sequence("first", F.least(F.col("first") + (_STEP - 1), F.col("copies")))).alias("nth"))
     return nth.select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -82,6 +87,11 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def op4_exact_dedup(spark, sf_dir):
+    """Columns: doc_id, keep_id, group_size, kept, text_sha256, one row for each row of ``documents``.
+
+    Null and empty texts are equal; long texts are compared whole; of ties the smallest
+    id stays, of fully repeated rows one; an empty table gives no row; other columns are not read.
+    """
     return exact_groups(documents(spark, sf_dir))
 
 

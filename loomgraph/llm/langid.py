@@ -15,8 +15,8 @@ from loomgraph.llm.shared import documents
 
 #: Most labelled texts per language that the centroids are fitted on.
 SAMPLE = 600
-#: Most different labels; their counts are held on the driver.
-LANGUAGES = 1000
+#: Most languages that are learned, those with most rows, and most texts of all together; their counts are held on the driver.
+LANGUAGES, TEXTS = 1000, 24_000
 #: Centroids per language, hashed n-gram dimensions.
 CENTROIDS = 4
 DIMENSIONS = 4096
@@ -159,7 +159,7 @@ def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS, round
 
 
 def training_sample(docs: DataFrame, key: str, text: str, lang: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled texts per language, those with the smallest key digests.
+    """At most ``sample`` labelled texts per language, those with the smallest key digests; fewer if there are very many languages.
 
     Rows whose key's CRC-32 modulo 3 is 1 are never drawn.  A first pass counts each
     language without its texts, so that about twice the sample is read in the second
@@ -168,11 +168,10 @@ def training_sample(docs: DataFrame, key: str, text: str, lang: str, sample: int
     spread = F.conv(F.substring(F.md5(F.concat(F.lit("sample|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
     rows = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~_held_out(F.col(key)))
     rows = rows.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), spread.alias("place"))
-    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} different labels")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return rows.select("lang", "text")
+    sample = max(1, min(sample, TEXTS // len(sizes)))
     upto = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 2.0**33 * sample / r["count"] + 2.0**26)])
     close = rows.where(F.col("place") < F.element_at(upto, F.col("lang")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))
@@ -256,6 +255,12 @@ def accepted_documents(docs: DataFrame, model: Centroids | None, text: str = "te
 
 
 def op2_language_id(spark, sf_dir):
+    """Columns: doc_id, held_out, lang_pred, score, rejected, one row for each row of ``documents``.
+
+    Null, empty and letterless texts are ``und`` with score 0; long texts are read
+    whole; of equal cosines the first label's centroid wins; repeated rows come back
+    repeated; an empty table gives no row; other columns are not read.
+    """
     docs = documents(spark, sf_dir)
     out = predict(docs, train(docs))
     return out.select(F.col("id").alias("doc_id"), _held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "rejected")

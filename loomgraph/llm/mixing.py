@@ -10,9 +10,8 @@ from loomgraph.llm.shared import SPACE, WORD, cut, documents, free_names, one_ro
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most this many times over.
 REPEATS = 3
-#: Hash ranges that a source's queue is split into, and slots of the virtual clock.
-RANGES = 1024
-SLOTS = 4096
+#: Rows of a hash range of a source's queue and of a slot of the virtual clock, and the fewest and most of either.
+SPAN_ROWS, SPANS = 1 << 16, (1 << 12, 1 << 18)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -44,6 +43,11 @@ def _shuffle_key(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _spans(rows: int) -> int:
+    """A power of two: how many ranges or slots so many rows are dealt to."""
+    return min(SPANS[1], max(SPANS[0], 1 << (rows // SPAN_ROWS).bit_length()))
+
+
 def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mix as a queue: one row for each copy of each document that it serves.
 
@@ -52,7 +56,8 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     and has the virtual finish time (words before + its size) / target: all sources
     reach time 1 together, when the budget is used up.  Copies are range-sorted by
     that time; ``position`` is the number of words that the whole mix has served
-    before.  The copy that a source is serving at time 1 gives the words that fit.
+    before.  A copy that time 1 cuts counts up to it, and the sorted queue is truncated at
+    the total budget: what a copy gets is what its position leaves of it.
 
     Columns: id, mark, source, size, source_size, target, row (source, range, nth), copy,
     words, finish, position.  A row that is never served has copy 0, words 0.
@@ -66,8 +71,9 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         F.col(source).alias("source"),
         words_in(F.col(text)).alias("size"),
     )
-    rows = rows.select("*", _shuffle_key(F.col("id")).alias("h"))
-    rows = cut(rows.select("*", F.shiftright("h", 50).cast("int").alias("range")))
+    rows = cut(rows.select("*", _shuffle_key(F.col("id")).alias("h")))
+    spans = _spans(rows.count())
+    rows = rows.select("*", F.shiftright("h", 61 - spans.bit_length()).cast("int").alias("range"))  # h has 60 bits
     parts = rows.groupBy("source", "range").agg(F.sum("size").alias("part"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, repeats)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,17 +97,18 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     turns = turns.where("copy = 0 OR words > 0")
     finish = F.when(F.col("words") > 0, (F.col("start") + F.col("size")) / F.col("target"))
     turns = turns.withColumn("finish", finish)
-    slot = F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * SLOTS), F.lit(SLOTS * 2))).otherwise(F.col("h") % SLOTS)
+    slot = F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * spans), F.lit(spans * 2))).otherwise(F.col("h") % spans)
     turns = turns.withColumn("slot", slot.cast("int"))
     held = turns.groupBy("slot").agg(F.sum("words").alias("held"))
     held = held.select("slot", F.coalesce(F.sum("held").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("served"))
     clock = Window.partitionBy("slot").orderBy("finish", "source", "copy", "nth", "range")
     inside = F.sum("words").over(clock.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     placed = turns.withColumn("inside", inside).join(held, "slot")
-    return placed.select(
-        "id", "mark", "source", "size", "source_size", "target", "range", "nth", "copy", "words", "finish",
-        F.when(F.col("words") > 0, F.col("served") + F.col("inside")).alias("position"),
-    )
+    placed = placed.withColumn("position", F.when(F.col("words") > 0, F.col("served") + F.col("inside")))
+    budget = plan.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0
+    left = F.greatest(F.lit(0), F.least("words", F.lit(budget) - F.col("position")))
+    placed = placed.withColumn("words", F.coalesce(left, F.lit(0)).cast("long"))
+    return placed.select("id", "mark", "source", "size", "source_size", "target", "range", "nth", "copy", "words", "finish", F.when(F.col("words") > 0, F.col("position")).alias("position"))
 
 
 def mix(docs: DataFrame, **columns) -> DataFrame:
@@ -141,6 +148,12 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def op3_mixing(spark, sf_dir):
+    """Columns: doc_id, size, source_size, target, taken, first_position in the served queue (null if not taken).
+
+    Null, empty and blank texts have size 0 and are never taken; long ones are counted
+    whole; ties stand by hash, then id, size and text, repeated rows count each; a null
+    source comes last; an empty table gives no row; other columns are not read.
+    """
     return mix(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
 
 

@@ -48,7 +48,8 @@ def multikey_quicksort(eight: np.ndarray, at: np.ndarray, depth: int) -> tuple[n
     """Order of the suffixes ``at`` by their first ``depth`` bytes, and group numbers of ties.
 
     Eight bytes are one character.  All groups of suffixes that agree so far are
-    split at once, and only they are looked at again.
+    split at once, and only they are looked at again.  A group is split by a library sort of that
+    character in place of three-way partitions around pivots; equal characters stay a group just the same.
     """
     order = np.arange(len(at))
     group = np.zeros(len(at), np.int64)
@@ -489,7 +490,8 @@ def _covered(docs: DataFrame, parts: int, bits: int) -> DataFrame:
         names = ["id", "mark", "span"]
         for b in batches:
             low = b.column(3)
-            ends = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4).astype(np.int64)
+            low = low.cast(pa.large_binary())  # whichever offsets Spark sends
+            ends = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1, low.offset * 8)
             data = np.frombuffer(low.buffers()[2], np.uint8) if len(low) else np.empty(0, np.uint8)
             even = np.diff(ends) == 12  # one smallest id for all strings of the run
             heads = data[ends[:-1][even][:, None] + np.arange(12)].copy().view([("n", "<i4"), ("low", "<i8")]).ravel()
@@ -567,5 +569,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
 
 
 def op9_suffix_dedup(spark, sf_dir):
+    """Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row for each row of ``documents``.
+
+    Null and empty texts have no bytes; texts of any length are treated whole; rows of
+    equal ids don't remove each other's text, null ids come last; repeated rows come back
+    repeated; an empty table gives no row; other columns are not read.
+    """
     out = remove_repeats(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -82,6 +82,12 @@ def test_exact_rows_that_stay(spark, corpus):
     assert exact.exact_groups(table(spark, EMPTY)).count() == 0 and exact.drop_exact_copies(table(spark, EMPTY)).count() == 0
 
 
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_STEP", 4)
+    got = exact.exact_groups(table(spark, [(1, "a b")] * 11 + [(2, "ab")])).collect()
+    assert len(got) == 12 and all(r["group_size"] == 12 and r["keep_id"] == 1 for r in got) and sum(r["kept"] for r in got) == 1
+
+
 def test_equal_digest_is_not_enough(spark):
     """Contents that differ stay apart in every stage even under one salt."""
     docs = table(spark, [(1, "a b"), (2, "ab"), (3, "abc")])
@@ -266,6 +272,52 @@ def test_language_learns_and_holds_out(spark):
     assert langid.accepted_documents(df, langid.train(df)).columns == df.columns
 
 
+def slow_language(model, text):
+    """Label, cosine and rejection by dictionaries of grams and sums over one centroid at a time."""
+    low = (text or "").lower().encode()
+    low = b" " + bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in low) + b" "
+    n, d = collections.Counter(), langid.DIMENSIONS
+    for k in range(len(low) - 1):
+        if low[k : k + 2] != b"  ":
+            n[((low[k] * 257 + low[k + 1]) * 2654435761 % (1 << 32) >> 17) % d] += 1
+            if k + 2 < len(low) and low[k + 1] != 32:
+                n[((low[k] * 257 + low[k + 1]) * 8191 + low[k + 2]) * 2246822519 % (1 << 32) // (1 << 15) % d] += 1
+    v = {g: math.log1p(c) * float(model.weights[g]) for g, c in n.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    near = [sum(x * float(row[g]) for g, x in v.items()) / norm for row in model.vectors]
+    best = max(range(len(near)), key=near.__getitem__)
+    size = max(0, sum(sum(n.values()) >= s for s in langid.SIZES) - 1)
+    return model.languages[model.owner[best]], near[best], 1 - near[best] > model.limit[best, size], near
+
+
+def test_language_against_slow_cosines(spark):
+    rng = random.Random(15)
+    kinds = {"aa": "ka ko ki ta", "bb": "sch und ein ger", "cc": "eau oui ère que"}
+    rows = [(i, " ".join("".join(rng.choices(v.split(), k=3)) for _ in range(rng.randrange(1, 60)))) for i, v in enumerate(list(kinds.values()) * 50)]
+    df = table(spark, [*rows, (3, rows[3][1]), (3, rows[3][1]), (None, rows[4][1]), (400, "x" * 9_000_000), (401, "Tako, KAKI 7 щюъ")], CLASH).withColumn("lang", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 3 + 1).cast("int")))
+    model = langid.train(df)
+    texts = {(r["doc_id"], r["text"]) for r in df.collect()}
+    got = collections.Counter((r["id"], r["lang_pred"]) for r in langid.predict(df, model).collect())
+    assert sum(got.values()) == df.count() and sum(c for (i, _), c in got.items() if i == 3) == 3
+    out = {r["id"]: r for r in langid.predict(df, model).collect()}
+    for i, t in texts:
+        if i == 400:
+            continue
+        label, cosine, far, near = slow_language(model, t)
+        assert out[i]["score"] == pytest.approx(cosine, abs=1e-4) and (out[i]["lang_pred"] == label or sorted(near)[-1] - sorted(near)[-2] < 1e-4)
+        assert out[i]["rejected"] == far
+    kept = langid.accepted_documents(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(not r["rejected"] for r in langid.predict(df, model).collect())
+
+
+def test_many_labels_are_no_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    monkeypatch.setattr(langid, "TEXTS", 10)
+    df = table(spark, [(i, f"ka ko text {i}") for i in range(90)]).withColumn("lang", (F.col("doc_id") % 30).cast("string"))
+    model = langid.train(df)
+    assert len(model.languages) == 5 and langid.training_sample(df, "doc_id", "text", "lang", 600).count() <= 10
+
+
 def test_language_rejects_what_is_far(spark):
     rng = random.Random(1)
     df = table(spark, [(i, " ".join("".join(rng.choices(["ka", "ko", "ki"], k=3)) for _ in range(30))) for i in range(60)])
@@ -376,6 +428,15 @@ def test_mixed_documents(spark):
     assert mixing.mix(table(spark, EMPTY)).count() == 0 and mixing.mixed_documents(table(spark, EMPTY)).count() == 0
 
 
+def test_mixing_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPANS", (2, 4))  # few ranges and slots: the same mix
+    rows = [*mixed_rows(), (900, "long " * 300_000, "a"), (901, "x" * 2_000_000, "b")]
+    few = mixing.mix(table(spark, rows)).collect()
+    monkeypatch.undo()
+    assert sorted(map(repr, map(tuple, [(r["id"], r["taken"], r["first_position"]) for r in few]))) == sorted(map(repr, [(r["id"], r["taken"], r["first_position"]) for r in mixing.mix(table(spark, rows)).collect()]))
+    assert max(r["size"] for r in few) == 300_000
+
+
 def test_blank_corpus(spark):
     got = mixing.mix(table(spark, [(1, ""), (2, None)])).collect()
     assert [(r["taken"], r["target"]) for r in got] == [(0, 0.0)] * 2
@@ -896,6 +957,13 @@ def test_chat_round_trip(spark):
     assert chat.chats(chat.linear_messages(conversations(spark, []))).count() == 0
 
 
+def test_chat_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "\\### </turn> " * 30_000), (1, 1, "assistant", "é\n</turn>\n" * 20_000)]
+    extra = conversations(spark, rows).withColumns({c: F.lit("x") for c in ("tree", "leaf", "node", "depth", "p", "t", "up", "own", "all")})
+    back = chat.read_back(chat.chats(chat.linear_messages(extra))).first()
+    assert [t["text"] for t in back["turns"]] == [r[3] for r in rows] and list(back["loss_texts"]) == [rows[1][3]]
+
+
 def test_branches_are_ranked(spark):
     nodes = [("t", 1, None, 0), ("t", 2, 1, 5), ("t", 3, 1, 4), ("t", 4, 3, 3), ("t", 5, 2, 0), ("t", 9, 77, 1), ("u", 1, 2, 1), ("u", 2, 1, 1)]
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, score long")
@@ -914,6 +982,21 @@ def test_long_chain(spark):
 # -- pipeline ------------------------------------------------------------------
 
 
+def test_pipeline_stages_on_awkward_tables(spark, corpus):
+    """Null ids, clashing extra columns and no rows at all pass through every stage."""
+    import corpus_pipeline as cp
+
+    for rows in (corpus[:12] + [(None, corpus[1][1]), (None, None)], []):
+        docs = table(spark, rows, CLASH)
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, "")
+            if name != "packed":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(out.collect(), out.schema)
+            else:
+                assert (out.count() > 0) == bool(rows)
+
+
 def test_pipeline_against_brute_force(spark, corpus):
     import corpus_pipeline as cp
 
