@@ -57,10 +57,12 @@ def without_dangling(edges: DataFrame, source_ids: DataFrame, target_ids: DataFr
 
 
 def dangling(edges: DataFrame, source_ids: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``(side, id)`` of each missing end."""
+    """``(side, id)`` of each missing end; keys of two types are shown as text."""
     s, t = source_ids.select(F.col("id").alias("__s")), target_ids.select(F.col("id").alias("__t"))
     a = edges.join(s, edges[SOURCE] == s["__s"], "left_anti").select(F.lit("source").alias("side"), F.col(SOURCE).alias("id"))
     b = edges.join(t, edges[TARGET] == t["__t"], "left_anti").select(F.lit("target").alias("side"), F.col(TARGET).alias("id"))
+    if a.schema["id"].dataType != b.schema["id"].dataType:
+        a, b = (d.select("side", F.col("id").cast("string").alias("id")) for d in (a, b))
     return a.unionByName(b).distinct()
 
 
