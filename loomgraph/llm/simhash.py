@@ -25,9 +25,9 @@ BUCKET = 48
 _BLOCK = 1 << 16
 #: Near copies: words in a shingle, least similarity of the shingle sets, and the share of pairs at that similarity that tables are drawn for.
 NEAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
-#: Bits of a wide fingerprint, most that two near copies differ in (2.6 standard deviations over what SIMILARITY makes expect),
+#: Bits of a wide fingerprint, most that two near copies differ in (1.6 standard deviations over what SIMILARITY makes expect),
 #: and references that every bucket's neighbours are compared by.
-WIDE, WIDE_DISTANCE = 128, 30
+WIDE, WIDE_DISTANCE = 128, 26
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
@@ -209,7 +209,7 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
 
     Within a bucket, classes stand in the order of their bits, and each meets those
     just before it: all pairs of a usual bucket.  In the bucket of a large family of copies,
-    each keeps the two closest of the ``neighbours`` before it and the bucket's first: a chain and a star in
+    each keeps the closest of the ``neighbours`` before it and the bucket's first: a chain and a star in
     each table, and work proportional to the members.  Pairs whose distances to some reference differ by
     more than ``distance`` are discarded, and the bits of the others are compared.
     """
@@ -252,7 +252,7 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
     full = F.size("met") == neighbours
     some = met.where(F.size("met") > 0).select("fp", full.alias("full"), linked(F.col("met")).alias("linked"), F.when(full, linked(F.array("head"))).alias("first"))
     found = some.where((F.size("linked") > 0) | F.coalesce(F.size("first") > 0, F.lit(False)))
-    some = F.when(F.col("full"), F.array_union(F.slice(F.array_sort("linked"), 1, 2), F.col("first"))).otherwise(F.col("linked"))
+    some = F.when(F.col("full"), F.array_union(F.slice(F.array_sort("linked"), 1, 1), F.col("first"))).otherwise(F.col("linked"))
     pairs = found.select("fp", F.explode(some).alias("x"))
     return pairs.select(F.least("fp", "x.fp").alias("u"), F.greatest("fp", "x.fp").alias("v"), F.col("x.bits").alias("bits")).distinct()
 
