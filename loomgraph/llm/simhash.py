@@ -25,9 +25,9 @@ BUCKET = 48
 _BLOCK = 1 << 16
 #: Near copies: words in a shingle, least similarity of the shingle sets, and the share of pairs at that similarity that tables are drawn for.
 NEAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
-#: Bits of a wide fingerprint, most that two near copies differ in (1.6 standard deviations over what SIMILARITY makes expect),
+#: Bits of a wide fingerprint, most that two near copies differ in (2.1 standard deviations over what SIMILARITY makes expect),
 #: and references that every bucket's neighbours are compared by.
-WIDE, WIDE_DISTANCE = 128, 26
+WIDE, WIDE_DISTANCE = 128, 28
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
