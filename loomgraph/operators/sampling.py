@@ -150,13 +150,18 @@ class Sampler:
         side = edges.select(*columns)
         stamps = stamp and "ts" in carried
         masks = self.mask_set == step.edge_set and "masked" in carried
-        ready = step.width is not None and self.order == "first" and (key or not masks)
+        ready = step.width is not None and self.order == "first"
         if ready:
             # The order does not depend on the seed, so a hub's list is cut before the join: what a time
-            # limit leaves of a list sorted by time is its beginning, and a mask takes one keyed edge.
+            # limit leaves of a list sorted by time is its beginning, and a mask takes one keyed edge, or
+            # without keys the parallel edges of one pair, at most as many as the largest pair so far has.
             line = Window.partitionBy(a).orderBy(*["__ets"] * bool(stamp), b, "__ekey")
             side = side.where(F.col("__ets").isNotNull()) if stamps else side
-            side = side.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= step.width + masks).drop("__n")
+            side = side.withColumn("__n", F.row_number().over(line))
+            if masks and not key:
+                side = side.withColumn("__c", F.count("*").over(Window.partitionBy(a, b)))
+                side = side.withColumn("__n", F.col("__n") - F.max("__c").over(line) + 1).drop("__c")
+            side = side.where(F.col("__n") <= step.width + masks).drop("__n")
         joined = frontier.join(side, frontier["node"] == side[a])
         if stamps:
             joined = joined.where(F.col("__ets") <= F.col("ts"))

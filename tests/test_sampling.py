@@ -1,6 +1,7 @@
 """Sampling semantics on a graph small enough to write the answers down."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
 from loomgraph.operators import sampling as S
@@ -100,3 +101,17 @@ def test_no_python_and_no_cartesian_in_the_plan(spark, graph):
     s = S.Sampler(graph, S.hop_plan(graph.schema, "n1", 2, 2))
     plan = s.sample(seeds(spark)).edges._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.split("Scan ExistingRDD")[0] and "CartesianProduct" not in plan
+
+
+def test_masks_without_edge_keys_take_parallel_edges(spark):
+    """A hub's list is cut before the join, yet a mask that takes three parallel edges leaves enough."""
+    from loomgraph.graph import Graph
+    from loomgraph.operators import sampling as S
+
+    n = spark.range(9)
+    e = spark.createDataFrame([(0, 1)] * 3 + [(0, t) for t in range(2, 9)], "source long, target long")
+    g = Graph.from_frames({"n": (n, "id")}, {"e": (e, "n", "n")})
+    sampler = S.Sampler(g, S.hop_plan(g.schema, "n", 1, 2, reverse=False), mask_set="e")
+    seeds = spark.createDataFrame([(0, "0-1"), (0, "0-2"), (0, "x")], "node long, masked string").select(F.col("masked").alias("seed"), "node", "masked")
+    got = {(r["seed"], r["target"]) for r in sampler.sample(seeds).edges.collect()}
+    assert got == {("0-1", "2"), ("0-1", "3"), ("0-2", "1"), ("x", "1")}
