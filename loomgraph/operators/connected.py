@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomgraph.session import cut
 
 
+#: Edges of a task.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges(u long, v long)``.
 
@@ -18,7 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
     driver.  The number of rounds grows with the logarithm of the component size.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def few(d: DataFrame, n: int) -> DataFrame:
+        """Rounds on few edges run in few tasks, whatever the number of shuffle partitions."""
+        tasks = 1 + n // TASK_EDGES
+        return d.coalesce(tasks) if tasks < most else d
+
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+        e = few(e, n)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         if not large:
             both = both.where("v < u")
@@ -28,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
             out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return few(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n).distinct()
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -36,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = sign(now)
     while before[0]:
-        now = cut(star(star(now, True), False))
+        now = cut(few(star(star(now, True, before[0]), False, before[0]), before[0]))
         after = sign(now)
         if after == before:
             break
