@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.connected import components  # noqa: F401
 from loomgraph.session import cut  # noqa: F401
+from loomgraph.sources.native import Store
 
 #: ASCII white space, as a character class and its complement.
 SPACE = r"[\x20\x09-\x0D]"
@@ -68,5 +69,10 @@ def words_in(col: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(f"({WORD})"))).cast("long")
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate files, on whatever file system it is."""
+    Store(spark, folder).delete("")
+
+
 def depth_bound(n: int) -> int:
     return max(1, math.ceil(math.log2(max(2, n)))) + 1
