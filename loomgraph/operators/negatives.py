@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET, Graph
+from loomgraph.operators.adjacency import adjacency
 from loomgraph.operators.ranges import dense_index
 from loomgraph.operators.sampling import SamplingPlan, Step, hash_order, hop_plan
 
@@ -46,11 +47,9 @@ def walk_negatives(g: Graph, plan: SamplingPlan, edge_set: str, seeds: DataFrame
         turn = hash_int(F.lit("hop"), F.lit(path), F.col("seed"), F.col("w"), salt=salt) % len(steps)
         front = front.withColumn("turn", turn)
         for n, step in enumerate(steps):
-            a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
-            key = edge_key.get(step.edge_set)
-            around = g.edges[step.edge_set].select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(key) if key else F.lit("")).alias("k"))
-            ranked = around.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("b", "k")) - 1)
-            degree = around.groupBy("a").agg(F.count("*").alias("d"))
+            lists = adjacency(g.edges[step.edge_set], step.reverse, edge_key.get(step.edge_set))
+            ranked = lists.edges.select(F.col("node").alias("a"), F.col("neighbor").alias("b"), F.col("place").alias("i"))
+            degree = lists.degrees.select(F.col("node").alias("a"), F.col("degree").alias("d"))
             draw = hash_int(F.lit("node"), F.lit(f"{path}/{n}"), F.col("seed"), F.col("w"), salt=salt) % F.col("d")
             drawn = front.where(F.col("turn") == n).join(degree, front["node"] == degree["a"]).select("seed", "w", "a", draw.alias("i"))
             reached = drawn.join(ranked, ["a", "i"]).select("seed", "w", F.col("b").alias("node"))

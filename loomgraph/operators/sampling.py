@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET, Graph
+from loomgraph.operators.adjacency import Adjacency, adjacency, distinct_places, first_places
+from loomgraph.operators.structure import as_of
 from loomgraph.schema import GraphSchema
 from loomgraph.session import cut
 
@@ -74,6 +76,11 @@ def hash_order(*parts: Column, salt: str = "loom") -> Column:
     return F.md5(F.concat_ws("|", F.lit(salt), *[p.cast("string") for p in parts]))
 
 
+def hash_long(*parts: Column, salt: str = "loom") -> Column:
+    """The first 60 bits of the digest of salt and keys."""
+    return F.conv(F.substring(hash_order(*parts, salt=salt), 1, 15), 16, 10).cast("long")
+
+
 @dataclass(frozen=True)
 class Sample:
     """``nodes(seed, node_set, node, hop)`` and ``edges(seed, edge_set, source, target)``, both sets."""
@@ -87,7 +94,9 @@ class Sampler:
     """Samples a graph along a plan.
 
     ``order``: "first" keeps the smallest (timestamp,) targets, "hash" a uniform
-    choice by key digests, cut to the width inside each task before the shuffle.  ``temporal`` maps edge sets to their timestamp column:
+    choice: places in the node's list are drawn from key digests and only those rows are
+    fetched, so a hub's list is not read.  ``stored`` gives stored lists by (edge set, reverse);
+    both orders then fetch from them without shuffling edges.  ``temporal`` maps edge sets to their timestamp column:
     only edges no later than the seed's time are followed; sets without one are
     followed as they are.  ``mask_set`` names the edge set whose edge the seeds may
     leave out.  Without replacement nodes are a set, and each arrival of a node is
@@ -105,6 +114,7 @@ class Sampler:
     distinct_frontier: bool = True
     salt: str = "loom"
     keep_hops: bool = False
+    stored: dict[tuple[str, bool], Adjacency] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.temporal and self.mask_set:
@@ -142,6 +152,8 @@ class Sampler:
     def _follow(self, frontier: DataFrame, step: Step, path: str, carried: list[str]) -> DataFrame:
         a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
         key, stamp = self.edge_key.get(step.edge_set), self.temporal.get(step.edge_set)
+        if step.width is not None and (self.order == "hash" or (step.edge_set, step.reverse) in self.stored):
+            return self._fetch(frontier, step, path, carried)
         edges = self.graph.edges[step.edge_set]
         columns = [F.col(a), F.col(b)]
         columns.append((F.col(key) if key else F.concat_ws("-", a, b)).cast("string").alias("__ekey"))
@@ -169,14 +181,47 @@ class Sampler:
             joined = joined.where(~F.col("__ekey").eqNullSafe(F.col("masked").cast("string")))
         if step.width is None or (ready and not masks):
             return joined.drop("node")
-        if self.order == "hash":
-            by = [hash_order(F.lit(path), F.col("seed"), F.col("__ekey"), salt=self.salt), F.col("__ekey"), F.col(b)]
-        else:
-            by = [F.col("__ets")] * bool(stamp) + [F.col(b), F.col("__ekey")]
+        by = [F.col("__ets")] * bool(stamp) + [F.col(b), F.col("__ekey")]
         line = Window.partitionBy("seed", "node", *[c for c in carried if c == "ts"]).orderBy(*by)
         return joined.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= step.width).drop("__n", "node")
 
 
+    def lists(self, step: Step, stamp: str | None = None) -> Adjacency:
+        """The step's numbered neighbour lists, stored ones if there are any."""
+        found = self.stored.get((step.edge_set, step.reverse))
+        return found or adjacency(self.graph.edges[step.edge_set], step.reverse, self.edge_key.get(step.edge_set), stamp)
+
+    def _fetch(self, frontier: DataFrame, step: Step, path: str, carried: list[str]) -> DataFrame:
+        """A hop by places: how many edges an arrival may follow, which places it takes, and those rows.
+
+        A time limit leaves the beginning of a list sorted by time.  A mask takes one edge, or
+        without keys the parallel edges of a pair, which stand together: later places move up.
+        """
+        stamp = self.temporal.get(step.edge_set)
+        lists = self.lists(step, stamp)
+        front = frontier.join(lists.degrees.select(F.col("node").alias("__node"), F.col("degree").alias("__size")), F.col("node") == F.col("__node")).drop("__node")
+        skip = lambda place: place
+        if stamp and "ts" in carried:
+            asks = front.select("node", "ts").distinct()
+            seen = as_of(lists.edges.where(F.col("ets").isNotNull()).select("node", F.col("ets").alias("ts"), "place"), asks, "node", "ts", "place", early=False)
+            front = front.drop("__size").join(seen.select("node", "ts", (F.coalesce("place", F.lit(-1)) + 1).alias("__size")), ["node", "ts"])
+        if self.mask_set == step.edge_set and "masked" in carried:
+            gone = lists.edges.select("node", F.col("ekey").alias("masked"), "place")
+            asks = front.select("node", F.col("masked").cast("string").alias("masked")).distinct()
+            gone = asks.join(gone, ["node", "masked"]).groupBy("node", "masked").agg(F.min("place").alias("__from"), F.count("*").alias("__gone"))
+            match = (front["node"] == gone["node"]) & (front["masked"].cast("string") == gone["masked"])
+            front = front.join(gone, match, "left").select(front["*"], "__from", F.coalesce("__gone", F.lit(0)).alias("__gone"))
+            front = front.withColumn("__size", F.col("__size") - F.col("__gone"))
+            skip = lambda place: place + F.when(place >= F.col("__from"), F.col("__gone")).otherwise(0)
+        draw = lambda j: hash_long(F.lit(path), F.col("seed"), F.col("node"), j, salt=self.salt)
+        size = F.col("__size")
+        places = distinct_places(step.width, size, draw) if self.order == "hash" else first_places(step.width, size)
+        hit = front.select("seed", "node", *carried, F.explode(F.transform(places, skip)).alias("place"))
+        rows = hit.join(lists.edges.select("node", "place", "neighbor"), ["node", "place"])
+        a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
+        return rows.select("seed", F.col("node").alias(a), F.col("neighbor").alias(b), *carried)
+
+
 def sample_tree(sampler: Sampler, seeds: DataFrame) -> DataFrame:
     """Sampling with replacement: every visit is a node of its own.
 
@@ -184,7 +229,7 @@ def sample_tree(sampler: Sampler, seeds: DataFrame) -> DataFrame:
     in key order.  Returns ``(seed, path, node_set, node, parent)``; a path names
     the visit, its prefix the parent visit.
     """
-    g, plan = sampler.graph, sampler.plan
+    plan = sampler.plan
     start = seeds.select("seed", (F.col("node") if "node" in seeds.columns else F.col("seed")).alias("node"), F.lit("r").alias("path"))
     out = [start.select("seed", "path", F.lit(plan.seed_set).alias("node_set"), F.col("node").cast("string").alias("node"), F.lit(None).cast("string").alias("parent"))]
 
@@ -192,11 +237,9 @@ def sample_tree(sampler: Sampler, seeds: DataFrame) -> DataFrame:
         for n, step in enumerate(steps):
             if step.width is None:
                 raise ValueError("sampling with replacement needs a width")
-            a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
-            key = sampler.edge_key.get(step.edge_set)
-            e = g.edges[step.edge_set].select(F.col(a).alias("__a"), F.col(b).alias("__b"), (F.col(key) if key else F.concat_ws("-", a, b)).cast("string").alias("__k"))
-            ranked = e.withColumn("__i", F.row_number().over(Window.partitionBy("__a").orderBy("__b", "__k")) - 1)
-            degree = e.groupBy("__a").agg(F.count("*").alias("__d"))
+            lists = sampler.lists(step)
+            degree = lists.degrees.select(F.col("node").alias("__a"), F.col("degree").alias("__d"))
+            ranked = lists.edges.select(F.col("node").alias("__a"), F.col("neighbor").alias("__b"), F.col("place").alias("__i"))
             draws = frontier.join(degree, frontier["node"] == degree["__a"]).withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(step.width - 1))))
             digest = hash_order(F.lit(n), F.col("seed"), F.col("path"), F.col("__j"), salt=sampler.salt)
             draws = draws.withColumn("__i", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("__d"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET
-from loomgraph.operators.ranges import dense_index
+from loomgraph.operators.ranges import running_total
 from loomgraph.session import cut
 
 
@@ -26,8 +26,8 @@ def dictionary(df: DataFrame, column: str, max_items: int = 10_000, min_count: i
 def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = True) -> DataFrame:
     """``(k, q)``: ``count`` evenly spaced quantiles; NaN and null are left out.
 
-    Values are ranked by key ranges, a distributed sort of the column, and the two at each
-    place are interpolated.  ``exact=False`` asks a mergeable sketch of bounded size instead, in one pass:
+    Equal values are counted, the counts added up along ranges of values, and the two values at
+    each place interpolated, so a value that many rows have is one row.  ``exact=False`` asks a mergeable sketch of bounded size instead, in one pass:
     values of the column that are off by at most 1 / (100 * count) of the rows.
     """
     at = [i / (count - 1) for i in range(count)] if count > 1 else [0.5]
@@ -36,10 +36,12 @@ def quantiles(df: DataFrame, column: str, count: int = 100, exact: bool = True)
         return clean.agg(F.percentile_approx("x", at, 100 * count).alias("q")).select(F.posexplode("q").alias("k", "q"))
     n = clean.count()
     spots = [(k, math.floor(a * (n - 1)), a * (n - 1) - math.floor(a * (n - 1))) for k, a in enumerate(at)] if n else []
-    rows = ", ".join(f"({k}, {i + up}L, {(share if up else 1 - share)!r}D)" for k, i, share in spots for up in (0, 1) if i + up < n)
-    asked = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(k, idx, share)") if rows else df.sparkSession.sql("SELECT 0 AS k, 0L AS idx, 0D AS share WHERE false")
-    ranked = dense_index(clean, "x").join(F.broadcast(asked), "idx")  # two rows a quantile
-    return ranked.groupBy("k").agg(F.sum(F.col("x") * F.col("share")).alias("q"))
+    rows = [f"named_struct('k', {k}, 'idx', {i + up}L, 'share', {(share if up else 1 - share)!r}D)" for k, i, share in spots for up in (0, 1) if i + up < n]
+    asked = F.expr(f"array({', '.join(rows)})") if rows else F.expr("array(named_struct('k', 0, 'idx', -1L, 'share', 0D))")  # two a quantile
+    values = running_total(clean.groupBy("x").agg(F.count("*").alias("n")), "x", "n", name="ahead")
+    mine = F.filter(asked, lambda s: (s["idx"] >= F.col("ahead")) & (s["idx"] < F.col("ahead") + F.col("n")))
+    hits = values.select("x", F.explode(mine).alias("s"))
+    return hits.groupBy(F.col("s.k").alias("k")).agg(F.sum(F.col("x") * F.col("s.share")).alias("q"))
 
 
 def flat_values(df: DataFrame, column: str) -> DataFrame:

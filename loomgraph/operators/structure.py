@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import SOURCE, TARGET, Graph
-from loomgraph.operators.ranges import dense_index, running_total
+from loomgraph.operators.ranges import cells, dense_index, running_total
 from loomgraph.schema import EdgeSet, GraphSchema, creation_time
 
 
@@ -178,15 +178,32 @@ def with_creation_times(g: Graph, edge_set: str) -> DataFrame:
     return propagate_timestamps(edges, *times)
 
 
-def as_of(facts: DataFrame, asks: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """The last ``value`` of each key at or before the asked time; before the first, the first.
+def as_of(facts: DataFrame, asks: DataFrame, key: str, time: str, value: str, early: bool = True, ranges: int | None = None) -> DataFrame:
+    """``(key, time, ask, value)``: the last ``value`` of each key at or before the asked time.
 
-    One union and one window per key instead of a range join.
+    Before a key's first fact it is the first with ``early``, else null; null values are no
+    facts, and of several at one time the largest counts.  ``ask`` is the column of
+    that name of ``asks``, null without one; asks that repeat are answered each.
+    One union and one window instead of a range join.  A key that fills more than a
+    range of rows is cut by time, and the last value is carried from range to range.
     """
-    w = Window.partitionBy(key).orderBy("__t", "__q")
-    both = facts.select(key, F.col(time).alias("__t"), F.lit(0).alias("__q"), F.col(value).alias("__v"), F.lit(None).cast("long").alias("__i"))
-    marked = asks.withColumn("__i", F.monotonically_increasing_id()) if "ask" not in asks.columns else asks.withColumn("__i", F.col("ask"))
-    both = both.unionByName(marked.select(key, F.col(time).alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast(dict(facts.dtypes)[value]).alias("__v"), "__i"))
+    known = facts.where(F.col(value).isNotNull()).select(key, F.col(time).alias("__t"), F.lit(0).alias("__q"), F.col(value).alias("__v"), F.lit(None).cast("long").alias("__i"))
+    ask = F.col("ask") if "ask" in asks.columns else F.lit(None).cast("long")
+    both = known.unionByName(asks.select(key, F.col(time).alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast(dict(facts.dtypes)[value]).alias("__v"), ask.alias("__i")))
+    found = cells(both, key, ["__t"], ranges)
+    cell = ["__cell"] * bool(found.finer)
+    both = both.withColumn("__cell", found.of()) if cell else both
+    w = Window.partitionBy(key, *cell).orderBy("__t", "__q", "__v")
+    fact = F.when(F.col("__q") == 0, F.struct("__t", "__v"))
     last = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return both.withColumn("__r", F.coalesce(last, first)).where("__q = 1").select(key, F.col("__t").alias(time), F.col("__i").alias("ask"), F.col("__r").alias(value))
+    first = F.min(fact).over(Window.partitionBy(key))["__v"]
+    if cell:
+        ends = both.groupBy(F.col(key).alias("__k"), F.col("__cell").alias("__c")).agg(F.max(fact).alias("__last"), F.min(fact).alias("__first"))
+        line = Window.partitionBy("__k").orderBy("__c")  # one row a cell of the key
+        carried = F.last(F.col("__last")["__v"], ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select("__k", "__c", carried.alias("__before"), F.min("__first").over(Window.partitionBy("__k"))["__v"].alias("__start"))
+        both = both.withColumn("__inside", last)
+        both = both.join(ends, both[key].eqNullSafe(ends["__k"]) & (both["__cell"] == ends["__c"]))
+        last, first = F.coalesce("__inside", "__before"), F.col("__start")
+    answer = F.coalesce(last, first) if early else last
+    return both.withColumn("__r", answer).where("__q = 1").select(key, F.col("__t").alias(time), F.col("__i").alias("ask"), F.col("__r").alias(value))

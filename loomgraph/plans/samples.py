@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import sampling as S
+from loomgraph.operators.adjacency import adjacency, store
+from loomgraph.session import shared_folder
 from loomgraph.sources.tables import trade_graph
 
 CHAIN = ["placed", "contains"]
@@ -36,6 +41,29 @@ def khop_random(spark, sf_dir):
     return s.sample(_seeds(s)).edges
 
 
+def khop_stored(spark, sf_dir):
+    """The draws of khop_random from lists stored in buckets: no edge is shuffled after they are written."""
+    s = _sampler(spark, sf_dir, order="hash")
+    lists, folder = {}, shared_folder(spark)
+    for name, key in (("placed", None), ("contains", "ekey")):
+        table = f"loom_{name}_{uuid.uuid4().hex}"
+        lists[name, False] = store(adjacency(s.graph.edges[name], key=key), table, int(spark.conf.get("spark.sql.shuffle.partitions")), folder)
+    return replace(s, stored=lists).sample(_seeds(s)).edges
+
+
+def khop_random_temporal(spark, sf_dir):
+    s = _sampler(spark, sf_dir, order="hash", temporal={"placed": "ts", "contains": "ts"})
+    seeds = _seeds(s).select("seed", (F.lit(800_000_000) + F.col("seed") * 86_400).alias("ts"))
+    return s.sample(seeds).edges
+
+
+def khop_random_masked(spark, sf_dir):
+    s = _sampler(spark, sf_dir, order="hash", mask_set="placed")
+    first = s.graph.edges["placed"].groupBy("source").agg(F.min("target").alias("t"))
+    seeds = _seeds(s).join(first, F.col("seed") == F.col("source"), "left")
+    return s.sample(seeds.select("seed", F.concat_ws("-", "source", "t").alias("masked"))).edges
+
+
 def khop_temporal(spark, sf_dir):
     s = _sampler(spark, sf_dir, temporal={"placed": "ts", "contains": "ts"})
     seeds = _seeds(s).select("seed", (F.lit(800_000_000) + F.col("seed") * 86_400).alias("ts"))
@@ -91,7 +119,7 @@ def khop_sql_cte(spark, sf_dir):
     return spark.sql(text).select("seed", F.col("hop").cast("long").alias("hop"), "source", "target")
 
 
-QUERIES = {f.__name__: f for f in (khop_first, khop_both_ways, khop_random, khop_temporal, khop_masked, khop_replacement, subgraph, multisubgraph, sample_nodes, sample_features, sample_rows, khop_sql_cte)}
+QUERIES = {f.__name__: f for f in (khop_first, khop_both_ways, khop_random, khop_stored, khop_random_temporal, khop_random_masked, khop_temporal, khop_masked, khop_replacement, subgraph, multisubgraph, sample_nodes, sample_features, sample_rows, khop_sql_cte)}
 
 _KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 _FIRST = f"""
@@ -122,6 +150,31 @@ h2 AS (SELECT DISTINCT seed, a, b FROM r2 WHERE n <= 2),""")
     )
 
 
+def _draw(rows: str, path: str, width: int) -> str:
+    """The rows ``(seed, a, b, i, d)`` at the drawn places: up to three of d."""
+    u = [f"(('0x' || substr(md5(concat_ws('|', 'loom', '{path}', seed, a, {j})), 1, 15))::BIGINT % greatest(d - {j}, 1))" for j in range(width)]
+    second = f"{u[1]} + CAST({u[0]} <= {u[1]} AS INT)"
+    third = f", {u[2]} AS u2" if width == 3 else ", -1 AS u2"
+    places = f"SELECT *, {u[0]} AS x0, {second} AS x1{third} FROM ({rows})"
+    places = f"SELECT *, u2 + CAST(least(x0, x1) <= u2 AS INT) AS y FROM ({places})"
+    places = f"SELECT *, y + CAST(greatest(x0, x1) <= y AS INT) AS x2 FROM ({places})"
+    return f"SELECT * FROM ({places}) WHERE d <= {width} OR i = x0 OR i = x1" + (" OR i = x2" if width == 3 else "")
+
+
+def _drawn(seeds: str, keep: str = "true", timed: bool = False) -> str:
+    """A chain that draws places: lists by time, neighbour and key, cut to what the seed may follow."""
+    first, second = ("epoch(o_orderdate)::BIGINT", "epoch(l_shipdate)::BIGINT") if timed else ("0", "0")
+    ts = "s.ts" if timed else "0 AS ts"
+
+    def rows(source: str, key: str, neighbor: str, order: str, front: str, where: str) -> str:
+        over = f"OVER (PARTITION BY s.seed, {key}"
+        return f"SELECT {front}, {key} AS a, {neighbor} AS b, row_number() {over} ORDER BY {order}) - 1 AS i, count(*) {over}) AS d FROM {source} WHERE {where}"
+
+    one = rows("s JOIN orders ON o_custkey = s.seed", "o_custkey", "o_orderkey", f"{first}, o_orderkey", f"s.seed, {ts}", f"{keep} AND ({first} <= {'s.ts' if timed else '0'})")
+    two = rows("h1 s JOIN lineitem ON l_orderkey = s.b", "l_orderkey", "l_partkey", f"{second}, l_partkey, {_KEY}", "s.seed", f"({second} <= s.ts)")
+    return _edges(f"s AS ({seeds}), h1 AS ({_draw(one, '/0', 3)}), h2 AS ({_draw(two, '/0/0', 2)}),") + " SELECT * FROM e"
+
+
 ORACLE = {
     "khop_first": _edges(_FIRST) + " SELECT seed, edge_set, source, target FROM e",
     "khop_both_ways": f"""WITH {_FIRST}
@@ -129,10 +182,10 @@ back AS (SELECT DISTINCT seed, o_custkey AS a, o_orderkey AS b FROM h1 JOIN orde
 SELECT seed, 'placed' AS edge_set, CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target FROM h1
 UNION SELECT seed, 'placed', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM back
 UNION SELECT seed, 'contains', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM h2""",
-    "khop_random": _seeded(
-        "md5(concat_ws('|', 'loom', '/0', s.seed, concat_ws('-', o_custkey, o_orderkey))), o_orderkey",
-        f"md5(concat_ws('|', 'loom', '/0/0', h1.seed, {_KEY})), {_KEY}, l_partkey",
-    ),
+    "khop_random": _drawn("SELECT c_custkey AS seed FROM customer"),
+    "khop_stored": _drawn("SELECT c_custkey AS seed FROM customer"),
+    "khop_random_temporal": _drawn("SELECT c_custkey AS seed, 800000000 + c_custkey * 86400 AS ts FROM customer", timed=True),
+    "khop_random_masked": _drawn("SELECT c_custkey AS seed, (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS masked FROM customer", "o_orderkey IS DISTINCT FROM masked"),
     "khop_temporal": _seeded(
         "epoch(o_orderdate)::BIGINT, o_orderkey",
         f"epoch(l_shipdate)::BIGINT, l_partkey, {_KEY}",

@@ -1,6 +1,8 @@
 """Schemas, the graph directory, validation, structure edge cases."""
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph
@@ -185,8 +187,7 @@ def test_ranks_of_text_keys_are_spread(spark):
     from loomgraph.operators import ranges
 
     d = spark.range(5000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"))
-    cuts = ranges.cut_points(d, "k", 16)
-    spread = d.groupBy(ranges.place(F.col("k"), cuts, "string").alias("r")).count().collect()
+    spread = d.groupBy(ranges.cells(d, "k", ranges=16).of().alias("r")).count().collect()
     assert len(spread) == 16 and max(r["count"] for r in spread) < 1000
     assert ranges.dense_index(d, "k", ranges=16).where("idx <> CAST(substr(k, 2) AS BIGINT)").count() == 0
     empty = ranges.dense_index(d.where("k IS NULL"), "k")
@@ -195,6 +196,33 @@ def test_ranks_of_text_keys_are_spread(spark):
     assert ran.where("ahead <> 2 * floor(id / 3)").count() == 0
 
 
+@pytest.mark.parametrize("hot", ["7L", "CAST(NULL AS BIGINT)", "CAST(7 AS STRING)"])
+def test_ranks_of_a_key_on_half_of_all_rows_are_spread(spark, hot):
+    from loomgraph.operators import ranges
+
+    d = spark.range(8000).selectExpr(f"CASE WHEN id % 2 = 0 THEN {hot} ELSE id END AS k", "(id * 7919) % 8000 AS t").withColumn("k", F.col("k").cast("string" if "STRING" in hot else "long"))
+    found = ranges.cells(d, "k", ["t"], 16)
+    spread = [r["count"] for r in d.groupBy(found.of().alias("c")).count().collect()]
+    assert max(spread) < 8000 // 6
+    cells = d.select("k", "t", found.of().alias("c")).orderBy("k", "t").collect()
+    assert [r["c"] for r in cells] == sorted(r["c"] for r in cells)
+    want = [(r["k"], r["t"]) for r in cells]
+    assert [(r["k"], r["t"]) for r in ranges.dense_index(d, "k", ranges=16, ties=["t"]).orderBy("idx").collect()] == want
+    ranked = ranges.rank_within(d, "k", ["t"], ranges=16)
+    place = F.row_number().over(Window.partitionBy("k").orderBy("t")) - 1
+    assert ranked.withColumn("p", place).where("p <> place").count() == 0 and ranked.count() == 8000
+
+
+def test_quantiles_of_few_values(spark):
+    from loomgraph.operators.statistics import quantiles
+
+    d = spark.range(1000).selectExpr("CASE WHEN id < 600 THEN 1.0D WHEN id < 990 THEN CAST(id AS DOUBLE) WHEN id < 995 THEN NULL ELSE double('NaN') END AS x")
+    x = [1.0] * 600 + [float(i) for i in range(600, 990)]
+    want = np.quantile(x, np.linspace(0, 1, 11))
+    assert np.allclose([r["q"] for r in quantiles(d, "x", 11).orderBy("k").collect()], want)
+    assert quantiles(d.where("x IS NULL"), "x", 5).count() == 0
+
+
 def test_walks_leave_the_seed_out(spark):
     """In a graph of one node set the seed is none of its negatives, not even as a fill."""
     from loomgraph.operators import negatives
