@@ -218,6 +218,95 @@ def eccentricities(ids: DataFrame, edges: DataFrame, starts: DataFrame, most: in
     return seen.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.max("d").cast("long").alias("distance"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """``(a, b)``: every edge in both directions, once."""
+    e = edges.where(F.col(SOURCE) != F.col(TARGET)).select(F.col(SOURCE).alias("a"), F.col(TARGET).alias("b"))
+    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def reach(ids: DataFrame, edges: DataFrame, lg: int = 10, most: int | None = None) -> DataFrame:
+    """``(id, distance, reached)`` of every node over undirected edges, from sketches of 2**lg registers.
+
+    Each node starts with a HyperLogLog sketch of itself; a round unites it with its
+    neighbours' sketches, one join and one mergeable aggregate over the edges.  ``distance``
+    is the last round that changed a node's sketch, never more than its true eccentricity and equal to
+    it as long as the sketches tell every new node apart; ``reached`` estimates
+    the nodes that it can reach.  Rounds stop when no sketch changes, or after ``most``.  State is
+    one sketch a node, whatever the distances are.
+    """
+    links = cut(both_ways(edges))
+    now = cut(ids.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg(F.xxhash64("id"), F.lit(lg)).alias("held")).select("id", "held", F.lit(0).cast("long").alias("distance")))
+    level = 0
+    while most is None or level < most:
+        level += 1
+        told = links.join(now.select(F.col("id").alias("b"), "held"), "b").groupBy(F.col("a").alias("id")).agg(F.hll_union_agg("held").alias("told"))
+        grown = now.join(told, "id", "left").withColumn("more", F.coalesce(F.hll_union("held", "told"), F.col("held")))
+        changed = F.hll_sketch_estimate("more") > F.hll_sketch_estimate("held")
+        after = cut(grown.select("id", F.col("more").alias("held"), F.when(changed, level).otherwise(F.col("distance")).cast("long").alias("distance")))
+        if after.where(F.col("distance") == level).isEmpty():
+            break
+        now = after
+    return now.select("id", "distance", F.hll_sketch_estimate("held").alias("reached"))
+
+
+def _searched(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(start, at, d)``: distances from ``starts(start, at, d)``, breadth first."""
+    seen = front = cut(starts)
+    level = 0
+    while True:
+        level += 1
+        step = front.join(links, front["at"] == links["a"]).select("start", F.col("b").alias("at")).distinct()
+        front = cut(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").withColumn("d", F.lit(level)))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def eccentricity_bounds(ids: DataFrame, edges: DataFrame, rounds: int | None = None, every: bool = True, lg: int = 10) -> DataFrame:
+    """``(id, component, lower, upper)``: bounds of every node's distance to the farthest node of its component, undirected.
+
+    Sketches give the first lower bounds (see ``reach``).  Then each round searches from
+    two nodes of every component that is open, the one with the largest upper and the one with
+    the smallest lower bound, and the distances tighten all others: with d from a start of
+    eccentricity e, a node's is between max(d, e - d) and e + d.  No table is larger than two rows
+    a node, however many nodes there are to search from.  A component is open while bounds differ, or with
+    ``every`` false only until its largest upper bound is reached, which settles its
+    diameter; ``rounds`` stops earlier, with the bounds so far.
+    """
+    links = cut(both_ways(edges.join(ids.select(F.col("id").alias(SOURCE)), SOURCE, "left_semi").join(ids.select(F.col("id").alias(TARGET)), TARGET, "left_semi")))
+    sketched = reach(ids, links.select(F.col("a").alias(SOURCE), F.col("b").alias(TARGET)), lg).select("id", F.col("distance").alias("lower"))
+    own = components(ids.distinct(), links.select(F.col("a").alias(SOURCE), F.col("b").alias(TARGET)))
+    size = own.groupBy("component").agg(F.count("*").alias("n"))
+    state = own.join(size, "component").join(sketched, "id")
+    state = cut(state.select("id", "component", F.least("lower", F.col("n") - 1).alias("lower"), (F.col("n") - 1).alias("upper")))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        unsettled = F.col("lower") < F.col("upper")
+        if not every:  # only nodes that may be farther from another than any is known to be
+            state = cut(state.join(state.groupBy("component").agg(F.max("lower").alias("best")), "component"))
+            unsettled = unsettled & (F.col("upper") > F.col("best"))
+        ends = state.where(unsettled).groupBy("component").agg(F.max_by("id", F.struct("upper", "lower", "id")).alias("far"), F.min_by("id", F.struct("lower", "upper", "id")).alias("near"))
+        starts = ends.select(F.explode(F.array_distinct(F.array("far", "near"))).alias("start"))
+        starts = cut(starts.select("start", F.col("start").alias("at"), F.lit(0).alias("d")))
+        if starts.isEmpty():
+            break
+        seen = _searched(starts, links)
+        far = seen.groupBy("start").agg(F.max("d").alias("e"))
+        told = seen.join(far, "start").groupBy(F.col("at").alias("id")).agg(
+            F.max(F.greatest(F.col("d"), F.col("e") - F.col("d"))).alias("lo"), F.min(F.when(F.col("d") == 0, F.col("e")).otherwise(F.col("e") + F.col("d"))).alias("hi")
+        )
+        state = state.join(told, "id", "left")
+        state = cut(state.select("id", "component", F.greatest("lower", "lo").alias("lower"), F.least("upper", "hi").alias("upper")))
+    return state.select("id", "component", F.col("lower").cast("long").alias("lower"), F.col("upper").cast("long").alias("upper"))
+
+
+def diameters(ids: DataFrame, edges: DataFrame, lg: int = 10) -> DataFrame:
+    """``(component, n, diameter)`` of every connected component, exact."""
+    bounds = eccentricity_bounds(ids, edges, every=False, lg=lg)
+    return bounds.groupBy("component").agg(F.count("*").alias("n"), F.max("lower").alias("diameter"))
+
+
 def mean_metrics(steps: DataFrame, metrics: list[str], by: str | None = None) -> DataFrame:
     """``(metric, mean)`` over the steps that have the metric, for each value of ``by`` if given."""
     long = steps.select(*([by] if by else []), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e"))

@@ -152,8 +152,16 @@ def largest_component(spark, sf_dir):
 
 def eccentricities(spark, sf_dir):
     """Distance to each node's farthest node; the largest is the diameter."""
-    ids, edges = _nations(spark, sf_dir)
-    return statistics.eccentricities(ids, edges, ids)
+    return statistics.eccentricity_bounds(*_nations(spark, sf_dir)).where("lower = upper").select("id", F.col("lower").alias("distance"))
+
+
+def diameters(spark, sf_dir):
+    return statistics.diameters(*_nations(spark, sf_dir))
+
+
+def reach(spark, sf_dir):
+    """How far and how many nodes each node reaches, from sketches that tell so few nodes apart exactly."""
+    return statistics.reach(*_nations(spark, sf_dir))
 
 
 def padded_graph(spark, sf_dir):
@@ -205,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_labels, node_labels_by_time, node_dataset_sizes, node_batches, batch_edges, edge_seeds, link_samples, interleaved_links, separated_scores, seed_labels, visit_order,
-        sample_statistics, limited_statistics, metric_means, block_starts, sorted_edges, component_sizes, largest_component, eccentricities, padded_graph, creation_times,
+        sample_statistics, limited_statistics, metric_means, block_starts, sorted_edges, component_sizes, largest_component, eccentricities, diameters, reach, padded_graph, creation_times,
         parsed_times, durations, synthetic_counts,
     )
 }
@@ -260,6 +268,8 @@ SELECT id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBO
     "sorted_edges": f"SELECT l_orderkey AS source, l_partkey AS target, {_KEY} AS ekey, row_number() OVER (ORDER BY l_orderkey, l_partkey, {_KEY}) - 1 AS place FROM lineitem",
     "component_sizes": f"WITH RECURSIVE {_CHAIN} SELECT component, count(*) AS n FROM c GROUP BY 1",
     "largest_component": f"WITH RECURSIVE {_CHAIN} SELECT component, count(*) AS n, count(*) / (SELECT count(*) FROM c)::DOUBLE AS share FROM c GROUP BY 1 ORDER BY n DESC, component LIMIT 1",
+    "diameters": f"WITH RECURSIVE {_CHAIN}, x AS (SELECT s, max(d) AS d, min(t) AS component FROM m GROUP BY s) SELECT component, count(*) AS n, CAST(max(d) AS BIGINT) AS diameter FROM x GROUP BY component",
+    "reach": f"WITH RECURSIVE {_CHAIN} SELECT s AS id, CAST(max(d) AS BIGINT) AS distance, count(*) AS reached FROM m GROUP BY 1",
     "eccentricities": f"WITH RECURSIVE {_CHAIN} SELECT s AS id, CAST(max(d) AS BIGINT) AS distance FROM m GROUP BY 1",
     "padded_graph": """WITH s AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx FROM supplier), c AS (SELECT count(*) AS n FROM supplier)
 SELECT 'node' AS kind, idx AS a, id AS b FROM s UNION ALL SELECT 'node', n + i, NULL FROM c, range(5) t(i) UNION ALL SELECT 'edge', idx, idx FROM s UNION ALL SELECT 'edge', n + 4, n + 4 FROM c, range(3) t(i)""",
