@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,42 +87,75 @@ def struct_type(features: dict[str, Feature]) -> T.StructType:
     return T.StructType([T.StructField(n, f.spark_type(), True, {"semantic": f.semantic, "shape": json.dumps(f.shape)}) for n, f in features.items()])
 
 
-def write_graph(g: Graph, path: str, shard_rows: int = SHARD_ROWS, compression: str = "snappy", max_shards: int | None = None) -> None:
+def shard_count(rows: int, shard_rows: int = SHARD_ROWS, most: int = MAX_SHARDS) -> int:
+    """How many files so many rows fill, at least one and at most ``most``."""
+    return max(1, min(most, -(-rows // shard_rows)))
+
+
+def write_graph(g: Graph, path: str, shard_rows: int = SHARD_ROWS, compression: str = "snappy", max_shards: int | None = None, count: bool = False) -> None:
     """Write the graph; large sets are cut into files by rows, not gathered.
 
-    Each set is written by its tasks and its files are then named as shards,
-    ``<set>-00000-of-00003.parquet``; a set of an earlier write is replaced.  The sets are
-    written at the same time.  Node sets need a primary id.
+    The whole directory is made beside its place, under a hidden name of this attempt: the tasks
+    write each set, all sets at the same time, and their files are named as shards,
+    ``<set>-00000-of-00003.parquet``.  Only then it is put in its place by one rename, after one that
+    puts a graph that is there aside.  A write that fails or is killed leaves that graph
+    readable; other files of its directory stay.  ``max_shards`` bounds the files of a set; with
+    ``count`` rows are counted first, and small sets that lie in many partitions get as
+    few files as their rows need.  Node sets need a primary id.
     """
     for s in g.schema.node_sets.values():
         s.key()
     spark = next(iter(g.nodes.values())).sparkSession
-    store = Store(spark, path)
+    root, base = path.rstrip("/").rsplit("/", 1)
+    home, token = Store(spark, root), uuid.uuid4().hex
+    attempt = f".{base}.attempt-{token}"
+    store = Store(spark, f"{root}/{attempt}")
     meta = {"version": VERSION} | ({"timestamp": g.timestamp} if g.timestamp is not None else {})
-    store.write("metadata.json", json.dumps(meta))
-    store.write("schema.json", g.schema.to_json())
     sets = [(NODE_DIR, n, d) for n, d in g.nodes.items()]
     sets += [(EDGE_DIR, n, d.withColumnsRenamed({SOURCE: FILE_SOURCE, TARGET: FILE_TARGET})) for n, d in g.edges.items()]
 
-    def write(kind: str, name: str, d: DataFrame) -> None:
-        d = d.coalesce(max_shards) if max_shards else d
-        rows = 0 if max_shards else shard_rows
+    def write(kind: str, name: str, d: DataFrame) -> list[tuple[str, str]]:
+        most = max_shards or (shard_count(d.count(), shard_rows) if count else None)
+        d = d.coalesce(most) if most else d
         spare = f"{kind}/_{name}"
-        d.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", rows).parquet(f"{path}/{spare}")
-        for old in store.names(kind):
-            if re.fullmatch(re.escape(name) + r"-\d{5}-of-\d{5}\.parquet", old):
-                store.delete(f"{kind}/{old}")
+        d.write.option("compression", compression).option("maxRecordsPerFile", 0 if max_shards else shard_rows).parquet(f"{store.root}/{spare}")
         files = [f for f in store.names(spare) if f.endswith(".parquet")]
-        for i, f in enumerate(files):
-            store.rename(f"{spare}/{f}", f"{kind}/{shard_name(name, i, len(files), '.parquet')}")
-        store.delete(spare)
-
-    with ThreadPoolExecutor(max(1, min(8, len(sets)))) as pool:
-        list(pool.map(lambda s: write(*s), sets))
+        return [(f"{spare}/{f}", f"{kind}/{shard_name(name, i, len(files), '.parquet')}") for i, f in enumerate(files)]
+
+    try:
+        with ThreadPoolExecutor(8) as pool:
+            moves = [m for found in pool.map(lambda s: write(*s), sets) for m in found]
+            list(pool.map(lambda m: store.rename(*m), moves))
+            list(pool.map(lambda s: store.delete(f"{s[0]}/_{s[1]}"), sets))
+        store.write("schema.json", g.schema.to_json())
+        store.write("metadata.json", json.dumps(meta))
+    except BaseException:
+        store.delete("")
+        raise
+    aside = f".{base}.aside-{token}"
+    if home.exists(base):
+        home.rename(base, aside)
+    home.rename(attempt, base)
+    for old in [n for n in home.names() if n.startswith(f".{base}.aside-")]:
+        for name in set(home.names(old)) - {NODE_DIR, EDGE_DIR, "schema.json", "metadata.json"}:
+            if not home.exists(f"{base}/{name}"):
+                home.rename(f"{old}/{name}", f"{base}/{name}")
+        home.delete(old)
+
+
+def readable_place(spark: SparkSession, path: str) -> str:
+    """``path``, or the graph put aside by a write that was killed between its two renames."""
+    root, base = path.rstrip("/").rsplit("/", 1)
+    home = Store(spark, root)
+    if not home.exists(f"{base}/metadata.json") and home.exists(""):
+        for old in [n for n in home.names() if n.startswith(f".{base}.aside-")]:
+            if home.exists(f"{old}/metadata.json"):
+                return f"{root}/{old}"
+    return path
 
 
 def read_schema(spark: SparkSession, path: str) -> GraphSchema:
-    return GraphSchema.from_json(Store(spark, path).text("schema.json"))
+    return GraphSchema.from_json(Store(spark, readable_place(spark, path)).text("schema.json"))
 
 
 def read_graph(spark: SparkSession, path: str, schema: GraphSchema | None = None, drop_dangling: bool = False, strict: bool = False) -> Graph:
@@ -130,6 +164,7 @@ def read_graph(spark: SparkSession, path: str, schema: GraphSchema | None = None
     ``drop_dangling`` keeps only edges whose ends exist; ``strict`` raises ValueError
     for the first that doesn't.  A newer version than this one raises ValueError.
     """
+    path = readable_place(spark, path)
     store = Store(spark, path)
     meta = json.loads(store.text("metadata.json"))
     if meta.get("version", 0) > VERSION:
@@ -139,7 +174,8 @@ def read_graph(spark: SparkSession, path: str, schema: GraphSchema | None = None
     def load(kind: str, name: str, fields: T.StructType) -> DataFrame:
         # shards, or the files of a warehouse's export, which are not numbered so
         shards = [f for f in store.names(kind) if re.fullmatch(re.escape(name) + r"-\d{5}-of-\d{5}\.parquet", f)]
-        return spark.read.schema(fields).parquet(f"{path}/{kind}/{sharded(name + '@*.parquet')[0]}" if shards else f"{path}/{kind}/{name}-*.parquet")
+        digits = "[0-9]" * 5  # no other set whose name goes on with a hyphen
+        return spark.read.schema(fields).parquet(f"{path}/{kind}/{name}-{digits}-of-{digits}.parquet" if shards else f"{path}/{kind}/{name}-*.parquet")
 
     nodes = {n: load(NODE_DIR, n, struct_type(s.features)) for n, s in schema.node_sets.items()}
     edges = {}
@@ -169,7 +205,7 @@ def write_snapshots(graphs: dict[str, Graph], path: str) -> None:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> dict[str, Graph]:
-    return {n: read_graph(spark, f"{path}/snapshots/{n}") for n in Store(spark, path).names("snapshots")}
+    return {n: read_graph(spark, f"{path}/snapshots/{n}") for n in Store(spark, path).names("snapshots") if not n.startswith(".")}
 
 
 def write_sample(sample, path: str) -> None:
