@@ -54,14 +54,20 @@ def rows_without(docs: DataFrame, marked: DataFrame, keys: dict[str, Column], te
     """``docs`` without the rows whose keys ``marked(*keys, stays boolean)`` says don't stay, and with those that stay once each.
 
     ``marked`` has a row for each row of ``docs``.  Most rows stay and stand alone,
-    so only keys that go, or that several rows have, meet the texts.
+    so only keys that go, or that several rows have, meet the texts; rows that no such key has and
+    those to pick from are told apart on one shuffle of the texts.
     """
-    names = free_names(docs, *keys)
+    *names, nth = free_names(docs, *[f"{c}_{part}" for c in keys for part in ("value", "void")], "nth")
     counted = marked.groupBy(*keys).agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n"))
-    held = counted.where("n > 1 OR NOT stays").select(*[F.col(c).alias(n) for c, n in zip(keys, names)])
-    match = [e.eqNullSafe(F.col(n)) for e, n in zip(keys.values(), names)]
-    most = docs.join(held, match, "left_anti")
-    return most.unionByName(one_row_each(docs, counted.where("n > 1 AND stays").select(*keys), keys, text))
+    blank = {c: F.lit("" if kind == "string" else 0).cast(kind) for c, kind in counted.dtypes if c in keys}
+    plain = lambda c, e: (F.coalesce(e, blank[c]), e.isNull())  # noqa: E731  nulls match as a value and a mark
+    keyed = docs.withColumns(dict(zip(names, [x for c, e in keys.items() for x in plain(c, e)])))
+    known = counted.where("n > 1 OR NOT stays").select("n", "stays", *[x.alias(f"w{i}") for i, x in enumerate(x for c in keys for x in plain(c, F.col(c)))])
+    match = lambda d: [keyed[n] == d[f"w{i}"] for i, n in enumerate(names)]
+    several = known.where("n > 1 AND stays")
+    order = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(text)))  # on the partitioning of the join
+    some = keyed.join(several, match(several), "left_semi").withColumn(nth, order).where(F.col(nth) == 1).drop(nth)
+    return keyed.join(known, match(known), "left_anti").unionByName(some).drop(*names)
 
 
 def words_in(col: Column) -> Column:
