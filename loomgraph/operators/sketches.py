@@ -58,7 +58,8 @@ def measures(total: DataFrame) -> DataFrame:
     """``(feature, rows, missing, low, high, mean, deviation, distinct)`` of a merged state; ``distinct`` is an estimate, the rest exact."""
     n = (F.col("rows") - F.col("missing")).cast("double")
     mean = F.try_divide(F.col("total"), n)
-    spread = F.sqrt(F.greatest(F.try_divide(F.col("squares"), n) - mean * mean, F.lit(0.0)))
+    variance = F.try_divide(F.col("squares"), n) - mean * mean
+    spread = F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
     return total.select("feature", "rows", "missing", "low", "high", mean.alias("mean"), spread.alias("deviation"), F.coalesce(F.hll_sketch_estimate("distinct"), F.lit(0).cast("long")).alias("distinct"))
 
 
