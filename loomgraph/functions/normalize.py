@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import math
 from abc import ABC, abstractmethod
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.schema import Feature, NodeSet
+from loomgraph.graph import SOURCE, TARGET, Graph
+from loomgraph.schema import EdgeSet, Feature, GraphSchema, NodeSet
 
 
 class Normalizer(ABC):
@@ -19,6 +21,10 @@ class Normalizer(ABC):
     @abstractmethod
     def columns(self, name: str, value: Column) -> dict[str, Column]: ...
 
+    def features(self, name: str, feature: Feature) -> dict[str, Feature]:
+        """The schema of ``columns``; by default of each name the feature's own format without a meaning."""
+        return {n: Feature(feature.format, "UNKNOWN", feature.shape) for n in self.columns(name, F.lit(None))}
+
     def to_json(self) -> str:
         return json.dumps({"kind": type(self).__name__, **asdict(self)})
 
@@ -47,6 +53,9 @@ class Identity(Normalizer):
     def columns(self, name, value):
         return {name: value}
 
+    def features(self, name, feature):
+        return {name: feature}
+
 
 @registered
 @dataclass(frozen=True)
@@ -64,6 +73,9 @@ class DictionaryIndex(Normalizer):
 
         return {f"{name}_INDEX": over(value, one, self.is_array)}
 
+    def features(self, name, feature):
+        return {f"{name}_INDEX": Feature("INTEGER_32", "CATEGORICAL", feature.shape, num_categories=len(self.words) + 1)}
+
 
 @registered
 @dataclass(frozen=True)
@@ -87,6 +99,9 @@ class SoftQuantile(Normalizer):
 
         return {f"{name}_SOFT_QUANTILE": over(value, one, self.is_array)}
 
+    def features(self, name, feature):
+        return {f"{name}_SOFT_QUANTILE": Feature("FLOAT_64", "NUMERICAL", feature.shape)}
+
 
 @registered
 @dataclass(frozen=True)
@@ -102,6 +117,9 @@ class HashBucket(Normalizer):
 
         return {f"{name}_HASH": over(value, one, self.is_array)}
 
+    def features(self, name, feature):
+        return {f"{name}_HASH": Feature("INTEGER_64", "CATEGORICAL", feature.shape, num_categories=self.buckets)}
+
 
 @registered
 @dataclass(frozen=True)
@@ -128,6 +146,9 @@ class Sinusoid(Normalizer):
 
         return {f"{name}_SINUSOID": over(value, one, self.is_array)}
 
+    def features(self, name, feature):
+        return {f"{name}_SINUSOID": Feature("FLOAT_64", "EMBEDDING", (*(feature.shape or ()), self.dim))}
+
 
 def choose(features: dict[str, Feature], dictionaries: dict[str, list], points: dict[str, list], keep_raw: bool = False, hash_keys: int = 0, lenient: bool = False) -> dict[str, list[Normalizer]]:
     """The normalizers that fit each feature's meaning.
@@ -170,7 +191,7 @@ def normalized(df: DataFrame, plan: dict[str, list[Normalizer]], keep: list[str]
     return df.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
-def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items: int = 10_000, exact: bool = True) -> dict[str, list[Normalizer]]:
+def auto(df: DataFrame, node_set: NodeSet | EdgeSet, quantile_count: int = 100, max_items: int = 10_000, exact: bool = True) -> dict[str, list[Normalizer]]:
     """Statistics of a node set, then the normalizers chosen for it; dictionaries are bounded."""
     from loomgraph.operators.statistics import dictionary, quantiles
 
@@ -181,3 +202,62 @@ def auto(df: DataFrame, node_set: NodeSet, quantile_count: int = 100, max_items:
         elif f.semantic == "NUMERICAL" and not f.shape:
             points[n] = [r["q"] for r in quantiles(df, n, quantile_count, exact).orderBy("k").collect()]
     return choose(node_set.features, words, points, lenient=True)
+
+
+Plan = dict[str, list[Normalizer]]
+
+
+@dataclass(frozen=True)
+class GraphNormalizer:
+    """Normalizers of the features of all node sets and edge sets at once; sets without any keep their keys only."""
+
+    nodes: dict[str, Plan]
+    edges: dict[str, Plan]
+
+    @staticmethod
+    def fit(g: Graph, skip: Iterable[tuple[str, str]] = (), rows: dict[str, DataFrame] | None = None, **options) -> GraphNormalizer:
+        """Chosen from each set's own statistics.  ``skip`` names (set, feature) pairs to leave out, such as
+        the label; ``rows`` are frames to take a set's statistics from instead of all of it, such as its training rows."""
+        rows, skip = rows or {}, set(skip)
+
+        def plan(name: str, d: DataFrame, s: NodeSet | EdgeSet) -> Plan:
+            return auto(rows.get(name, d), replace(s, features={f: x for f, x in s.features.items() if (name, f) not in skip}), **options)
+
+        sets = g.schema.node_sets, g.schema.edge_sets
+        return GraphNormalizer(*[{n: plan(n, frames[n], s) for n, s in found.items()} for found, frames in zip(sets, (g.nodes, g.edges))])
+
+    def output_schema(self, schema: GraphSchema) -> GraphSchema:
+        """What ``apply`` makes of a graph of this schema."""
+
+        def made(features: dict[str, Feature], plan: Plan) -> dict[str, Feature]:
+            return {n: x for f, chain in plan.items() for z in chain for n, x in z.features(f, features[f]).items()}
+
+        ns = {}
+        for n, s in schema.node_sets.items():
+            key = s.key_or_none()
+            ns[n] = NodeSet(({key: s.features[key]} if key else {}) | made(s.features, self.nodes.get(n, {})))
+        return GraphSchema(ns, {n: EdgeSet(s.source, s.target, made(s.features, self.edges.get(n, {}))) for n, s in schema.edge_sets.items()})
+
+    def apply(self, g: Graph) -> Graph:
+        """The graph with its keys and the normalized features; rows stay, one projection a set."""
+        keys = {n: [k] if (k := s.key_or_none()) else [] for n, s in g.schema.node_sets.items()}
+        plain = lambda plan, kept: {f: z for f, z in plan.items() if f not in kept}  # noqa: E731  keys are kept as they are
+        ns = {n: normalized(d, plain(self.nodes.get(n, {}), keys[n]), keys[n]) for n, d in g.nodes.items()}
+        es = {n: normalized(d, self.edges.get(n, {}), [SOURCE, TARGET]) for n, d in g.edges.items()}
+        return replace(g, schema=self.output_schema(g.schema), nodes=ns, edges=es)
+
+    def names(self, set_name: str, feature: str, schema: GraphSchema) -> list[str]:
+        """What a set's feature is called after ``apply``."""
+        s = schema.node_sets.get(set_name) or schema.edge_sets[set_name]
+        chain = (self.nodes | self.edges).get(set_name, {}).get(feature, [])
+        return [n for z in chain for n in z.features(feature, s.features[feature])]
+
+    def to_json(self) -> str:
+        written = lambda sets: {n: {f: [z.to_json() for z in chain] for f, chain in plan.items()} for n, plan in sets.items()}
+        return json.dumps({"nodes": written(self.nodes), "edges": written(self.edges)})
+
+    @staticmethod
+    def from_json(text: str) -> GraphNormalizer:
+        read = lambda sets: {n: {f: [from_json(z) for z in chain] for f, chain in plan.items()} for n, plan in sets.items()}
+        raw = json.loads(text)
+        return GraphNormalizer(read(raw["nodes"]), read(raw["edges"]))

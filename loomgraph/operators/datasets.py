@@ -14,6 +14,7 @@ from loomgraph.operators import negatives
 from loomgraph.operators.sampling import Sample, Sampler, hop_plan
 from loomgraph.operators.statistics import padding
 from loomgraph.schema import GraphSchema
+from loomgraph.session import cut
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,8 @@ class NodeDataset:
 
 
 def node_dataset(g: Graph, node_set: str, label: str, hops: int = 2, width: int = 5, share: float = 0.1, time: str | None = None) -> NodeDataset:
-    """Seeds are the nodes with a label; features are normalized once and joined last.
+    """Seeds are the nodes with a label; features are normalized once, by statistics of the seeds' set that leave out
+    those that validate, and joined last.
 
     With ``time`` the latest ``share`` of the seeds validates and only earlier edges are
     followed where edge sets have that column; else the split is by digest.
@@ -39,7 +41,8 @@ def node_dataset(g: Graph, node_set: str, label: str, hops: int = 2, width: int
     stamped = {n: time for n, d in g.edges.items() if time and time in d.columns}
     sampler = Sampler(g, hop_plan(g.schema, node_set, hops, width), temporal=stamped)
     sample = sampler.sample(split.select("seed", *(["ts"] if time else [])))
-    return NodeDataset(split, sample, normalized_sets(g, (node_set, label)))
+    training = g.nodes[node_set].join(split.where("valid").select(F.col("seed").alias("__s")), F.col(key) == F.col("__s"), "left_anti")
+    return NodeDataset(split, sample, normalized_sets(g, (node_set, label), {node_set: training}))
 
 
 @dataclass(frozen=True)
@@ -63,21 +66,18 @@ def split_edges(g: Graph, edge_set: str, share: float = 0.1, time: str | None =
     return negatives.split_random(e.select(SOURCE, TARGET).distinct().withColumn("__e", name), "__e", share).drop("__e")
 
 
-def normalized_sets(g: Graph, skip: tuple[str, str] | None = None) -> dict[str, DataFrame]:
-    """Each node set's normalized features by key; ``skip`` names a (node set, feature) to leave out, the label."""
-    out = {}
-    for n, s in g.schema.node_sets.items():
-        plan = nz.auto(g.nodes[n], replace(s, features={f: x for f, x in s.features.items() if (n, f) != skip}))
-        if plan:
-            out[n] = nz.normalized(g.nodes[n], plan, [g.key(n)])
-    return out
+def normalized_sets(g: Graph, skip: tuple[str, str] | None = None, rows: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Each node set's normalized features by key; ``skip`` names a (node set, feature) to leave out, the label;
+    ``rows`` are the frames to take a set's statistics from, where not from all of it."""
+    found = nz.GraphNormalizer.fit(replace(g, schema=GraphSchema(g.schema.node_sets), edges={}), [skip] if skip else [], rows)
+    return {n: nz.normalized(g.nodes[n], plan, [g.key(n)]) for n, plan in found.nodes.items() if plan}
 
 
 def link_dataset(g: Graph, edge_set: str, hops: int = 1, width: int = 5, per_edge: int = 1, share: float = 0.1, time: str | None = None, kind: str = "random") -> LinkDataset:
     """For each edge a positive and ``per_edge`` negatives; the edge itself is left out of its own samples."""
     e = g.schema.edge_sets[edge_set]
     pairs = split_edges(g, edge_set, share, time)
-    links = negatives.edge_neighbors(g, edge_set, pairs, per_edge, kind).join(pairs.select(SOURCE, TARGET, "valid"), [SOURCE, TARGET])
+    links = cut(negatives.edge_neighbors(g, edge_set, pairs, per_edge, kind).join(pairs.select(SOURCE, TARGET, "valid"), [SOURCE, TARGET]))  # three samples start here
     name = F.concat_ws("-", SOURCE, TARGET)
 
     def around(node_set: str, node) -> Sample:
@@ -135,6 +135,29 @@ def batched(sample: Sample, schema: GraphSchema, size: int, relative: float = 0.
     return Batches(nodes.unionByName(more), edges.select(*columns).unionByName(gaps.withColumnRenamed("i", "slot").select(*columns)))
 
 
+@dataclass(frozen=True)
+class LinkBatches:
+    """Batches of links: ``labels(batch, slot, source, target, k, negative, valid)``, and the padded samples around
+    each end.  A link has the same batch in all three, and its samples the seed ``source|target|k``."""
+
+    labels: DataFrame
+    sources: Batches
+    targets: Batches
+    negatives: Batches
+
+
+def link_batches(d: LinkDataset, schema: GraphSchema, size: int, relative: float = 0.1, absolute: int = 1, drop_remainder: bool = True) -> LinkBatches:
+    """The three sample streams of a link dataset in batches of ``size`` links, each padded by itself.
+
+    Links are dealt by the digest of their seed, which every stream has, so the
+    streams agree without meeting; each has its own room.
+    """
+    named = d.links.withColumn("seed", F.concat_ws("|", SOURCE, TARGET, "k"))
+    labels = negatives.batches(named, "seed", size, drop_remainder)
+    streams = [batched(replace(s, nodes=cut(s.nodes)), schema, size, relative, absolute, drop_remainder) for s in (d.sources, d.targets, d.negatives)]
+    return LinkBatches(labels.select("batch", "slot", SOURCE, TARGET, "k", "negative", "valid"), *streams)
+
+
 def predict(samples: DataFrame, score: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """Apply a model to packed samples batch by batch; ``score`` maps an iterator of pandas frames."""
     return samples.mapInPandas(score, schema)

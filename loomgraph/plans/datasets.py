@@ -76,6 +76,26 @@ def link_samples(spark, sf_dir):
     return count(d.sources, "source").unionByName(count(d.targets, "target"))
 
 
+def link_batches(spark, sf_dir):
+    """Links in batches of 32: each one's place, and how many nodes its samples have in the padded batches of both ends."""
+    g = trade_graph(spark, sf_dir)
+    g = g.project(g.schema.filtered(node_set=lambda n: n in ("part", "supplier"), edge_set=lambda n: n == "supplied_by"))
+    b = datasets.link_batches(datasets.link_dataset(g, "supplied_by", hops=1, width=2, per_edge=1), g.schema, 32)
+    held = lambda s, n: s.nodes.where(F.col("seed").isNotNull()).groupBy("batch", "seed").agg(F.count("*").alias(n))
+    named = b.labels.withColumn("seed", F.concat_ws("|", "source", "target", "k"))
+    both = named.join(held(b.sources, "source_nodes"), ["batch", "seed"]).join(held(b.targets, "target_nodes"), ["batch", "seed"])
+    return both.select("batch", "slot", "source", "target", "source_nodes", "target_nodes")
+
+
+def training_scale(spark, sf_dir):
+    """Account balances scaled by quantiles of the customers that don't validate."""
+    d = datasets.node_dataset(_small(spark, sf_dir), "customer", "segment", hops=1, width=1, share=0.2)
+    n = d.features["customer"]
+    low, high = F.min("acctbal_SOFT_QUANTILE"), F.max("acctbal_SOFT_QUANTILE")
+    mine = n.join(d.labels.where("NOT valid").select(F.col("seed").alias("id")), "id").agg(F.count("*").alias("n"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+    return mine.withColumn("beyond", F.lit(n.where(F.abs("acctbal_SOFT_QUANTILE") > 0.5).count()).cast("long"))
+
+
 def interleaved_links(spark, sf_dir):
     """Each pair's own target, then its negatives, as one table of candidates."""
     g = trade_graph(spark, sf_dir)
@@ -212,7 +232,7 @@ def synthetic_counts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        node_labels, node_labels_by_time, node_dataset_sizes, node_batches, batch_edges, edge_seeds, link_samples, interleaved_links, separated_scores, seed_labels, visit_order,
+        node_labels, node_labels_by_time, node_dataset_sizes, node_batches, batch_edges, edge_seeds, link_samples, link_batches, training_scale, interleaved_links, separated_scores, seed_labels, visit_order,
         sample_statistics, limited_statistics, metric_means, block_starts, sorted_edges, component_sizes, largest_component, eccentricities, diameters, reach, padded_graph, creation_times,
         parsed_times, durations, synthetic_counts,
     )
@@ -249,6 +269,12 @@ SELECT source, target, row_number() OVER (ORDER BY t DESC, concat_ws('-', source
     "link_samples": f"""WITH p AS (SELECT p, count(*) AS d FROM {_SUP} GROUP BY 1), s AS (SELECT s, count(*) AS d FROM {_SUP} GROUP BY 1)
 SELECT 'source' AS "end", count(*) AS seeds, CAST(sum(1 + least(2, p.d - 1)) AS BIGINT) AS nodes FROM {_SUP} e JOIN p ON p.p = e.p
 UNION ALL SELECT 'target', count(*), CAST(sum(1 + least(2, s.d - 1)) AS BIGINT) FROM {_SUP} e JOIN s ON s.s = e.s""",
+    "link_batches": f"""WITH e AS (SELECT p AS source, s AS target, count(*) OVER (PARTITION BY p) AS dp, count(*) OVER (PARTITION BY s) AS ds, concat_ws('|', p, s, 0) AS seed FROM {_SUP}),
+r AS (SELECT *, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'batch', seed)")}, seed) - 1 AS r FROM e)
+SELECT r // 32 AS batch, r % 32 AS slot, source, target, 1 + least(2, dp - 1) AS source_nodes, 1 + least(2, ds - 1) AS target_nodes FROM r WHERE r // 32 < (SELECT count(*) FROM e) // 32""",
+    "training_scale": f"""WITH v AS (SELECT c_acctbal, row_number() OVER (ORDER BY {_HEX.format("concat_ws('|', 'split', c_custkey)")}, c_custkey) <= CAST(floor((SELECT count(*) FROM customer) * 0.2) AS BIGINT) AS valid FROM customer),
+t AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM v WHERE NOT valid)
+SELECT n, -0.5::DOUBLE AS low, 0.5::DOUBLE AS high, (SELECT count(*) FROM v WHERE c_acctbal < lo OR c_acctbal > hi) AS beyond FROM t""",
     "interleaved_links": f"WITH {_DRAWN} SELECT source, target, place, candidate, label FROM i",
     "separated_scores": f"WITH {_DRAWN} SELECT source, target, max(candidate * 2) FILTER (WHERE place = 0) AS positive, string_agg(CAST(candidate * 2 AS VARCHAR), ',' ORDER BY place) FILTER (WHERE place > 0) AS negatives FROM i GROUP BY 1, 2",
     "seed_labels": f"WITH {_FIRST} {_NODES} SELECT seed, node_set, node, CAST(node_set = 'customer' AND node = CAST(seed AS VARCHAR) AS BIGINT) AS is_seed FROM n",

@@ -72,3 +72,46 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["validate", str(tmp_path / "g")]) == 1 and "unknown target" in capsys.readouterr().out
     assert main(["plan", str(tmp_path / "g"), "--hops", "1"]) == 0 and "-> e -> n" in capsys.readouterr().out
     assert main(["schema", str(tmp_path / "g")]) == 0 and "node set n" in capsys.readouterr().out
+
+
+def test_a_graph_normalizer_fits_applies_and_names_all_sets(spark):
+    from loomgraph.functions.normalize import GraphNormalizer
+    from loomgraph.graph import Graph
+
+    n = spark.createDataFrame([(i, f"w{i % 3}", float(i), [i, i]) for i in range(20)], "id long, word string, x double, v array<long>")
+    m = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    e = spark.createDataFrame([(i, i % 4, i / 2) for i in range(20)], "source long, target long, w double")
+    g = Graph.from_frames({"n": (n, "id"), "m": (m, "id")}, {"e": (e, "n", "m")})
+    z = GraphNormalizer.fit(g, rows={"n": n.where("id < 10")}, quantile_count=5)
+    z = GraphNormalizer.from_json(z.to_json())
+    out = z.apply(g)
+    schema = z.output_schema(g.schema)
+    for sets, frames in ((schema.node_sets, out.nodes), (schema.edge_sets, out.edges)):
+        for name, s in sets.items():
+            kinds = {f.name: f.dataType for f in frames[name].schema}
+            assert all(kinds[f].simpleString() == x.spark_type().simpleString() for f, x in s.features.items()), name
+            assert set(kinds) == set(s.features) | ({"source", "target"} if name == "e" else set())
+    assert schema.node_sets["n"].key() == "id" and out.nodes["m"].columns == ["id"]
+    assert z.names("n", "word", g.schema) == ["word_INDEX"] and z.names("e", "w", g.schema) == ["w_SOFT_QUANTILE"]
+    top = out.nodes["n"].agg({"x_SOFT_QUANTILE": "max"}).first()[0]
+    assert top > 0.5  # rows beyond those it was fitted on
+    without = GraphNormalizer.fit(g, skip=[("n", "x")])
+    assert "x_SOFT_QUANTILE" not in without.apply(g).nodes["n"].columns
+
+
+def test_link_batches_agree_on_their_links(spark):
+    from loomgraph.graph import Graph
+
+    a, b = spark.range(30).select("id"), spark.range(9).select("id")
+    e = spark.range(60).selectExpr("id % 30 AS source", "(id * 7) % 9 AS target")
+    g = Graph.from_frames({"a": (a, "id"), "b": (b, "id")}, {"e": (e, "a", "b")})
+    d = datasets.link_dataset(g, "e", 1, 2, per_edge=2)
+    found = datasets.link_batches(d, g.schema, 8)
+    labels = {f"{r['source']}|{r['target']}|{r['k']}": r["batch"] for r in found.labels.collect()}
+    n = e.distinct().count() * 2
+    assert len(labels) == n // 8 * 8 and all(list(labels.values()).count(i) == 8 for i in range(n // 8))
+    for stream in (found.sources, found.targets, found.negatives):
+        seen = {(r["seed"], r["batch"]) for r in stream.nodes.where("seed IS NOT NULL").select("seed", "batch").distinct().collect()}
+        assert seen == set(labels.items())
+        rooms = stream.nodes.groupBy("batch", "node_set").count().select("node_set", "count").distinct()
+        assert rooms.count() == 2  # the same room in every batch
