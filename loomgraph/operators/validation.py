@@ -147,7 +147,7 @@ def issues(g: Graph) -> DataFrame:
         if len(keys) != 1 or keys[0] not in g.nodes[n].columns:
             continue
         ids[n] = g.nodes[n].select(F.col(keys[0]).alias("id"))
-        rows.append(counted(ids[n].groupBy("id").agg(F.count("*").alias("c")).where("c > 1"), f"node set {n}: % repeated keys"))
+        rows.append(counted(ids[n].where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("c")).where("c > 1"), f"node set {n}: % repeated keys"))
         rows.append(counted(ids[n].where("id IS NULL"), f"node set {n}: % null keys"))
     for n, s in g.schema.edge_sets.items():
         if n not in g.edges:

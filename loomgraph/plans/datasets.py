@@ -218,10 +218,11 @@ def durations(spark, sf_dir):
 
 
 def synthetic_counts(spark, sf_dir):
-    """A made-up graph of a schema: sizes, distinct keys, edges with known ends, features within range."""
+    """A made-up graph as large as the parts, suppliers, order lines and customers: sizes, distinct keys, edges with known ends, features within range."""
     key = lambda: Feature("INTEGER_64", "PRIMARY_ID")
     schema = GraphSchema({"a": NodeSet({"id": key(), "v": Feature("FLOAT_32", "EMBEDDING", (4,))}), "b": NodeSet({"id": key(), "c": Feature("BYTES", "CATEGORICAL")})}, {"ab": EdgeSet("a", "b"), "bb": EdgeSet("b", "b")})
-    g = synthetic.synthetic_graph(spark, schema, synthetic.Sizes(nodes={"a": 40, "b": 25}, edges={"ab": 300, "bb": 70}))
+    rows = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    g = synthetic.synthetic_graph(spark, schema, synthetic.Sizes(nodes={"a": rows("part"), "b": rows("supplier")}, edges={"ab": rows("lineitem"), "bb": rows("customer")}))
     out = g.nodes["a"].agg(F.countDistinct("id").alias("n")).select(F.lit("a").alias("name"), "n").unionByName(g.nodes["b"].agg(F.countDistinct("id").alias("n")).select(F.lit("b").alias("name"), "n"))
     out = out.unionByName(g.nodes["a"].where(F.size("v") == 4).agg(F.count("*").alias("n")).select(F.lit("vectors").alias("name"), "n"))
     for n, e in schema.edge_sets.items():
@@ -305,5 +306,5 @@ SELECT orders.o_custkey AS source, o_orderkey AS target, greatest(f.t, epoch(o_o
 WHEN 3 THEN epoch_us(CAST(o_orderdate AS DATE)) + 3723000000 - 7200000000 END AS micros FROM orders""",
     "durations": """WITH d AS (SELECT o_orderkey, o_orderkey * 7 AS s FROM orders)
 SELECT o_orderkey, CASE WHEN s >= 3600 THEN s // 3600 || 'h ' || s % 3600 // 60 || 'm ' || s % 60 || 's' WHEN s >= 60 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s || '.00s' END AS took, 'a' || chr(10) || '  ' || s AS text FROM d""",
-    "synthetic_counts": "SELECT name, CAST(n AS BIGINT) AS n FROM (VALUES ('a', 40), ('b', 25), ('vectors', 40), ('ab', 300), ('bb', 70)) t(name, n)",
+    "synthetic_counts": "SELECT 'a' AS name, count(*) AS n FROM part UNION ALL SELECT 'vectors', count(*) FROM part UNION ALL SELECT 'b', count(*) FROM supplier UNION ALL SELECT 'ab', count(*) FROM lineitem UNION ALL SELECT 'bb', count(*) FROM customer",
 }
