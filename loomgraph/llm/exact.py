@@ -79,7 +79,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", salts
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, all columns unchanged."""
+    """The rows of ``docs`` that ``exact_groups`` keeps, all columns unchanged.
+
+    Null and empty texts are equal; long texts are compared whole; of ties the smallest key stays (null last), of rows
+    that repeat key and text one; an empty table gives an empty table.
+    """
     winners = _groups(_normalised(docs, key, text), salts).select("keep_id", "keep_n", "digest")
     raw = F.coalesce(F.col(text), F.lit(""))
     keys = {"keep_id": F.col(key).cast("long"), "keep_n": F.char_length(raw), "digest": F.sha2(F.regexp_replace(raw, SPACE, ""), 256)}

@@ -332,7 +332,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """One row of each component of near copies, the one with the smallest key; columns unchanged."""
+    """One row of each component of near copies, the one with the smallest key (null last); columns unchanged.
+
+    Null and empty texts have no word and are equal; long texts are read whole; of equal keys the smallest hash of the
+    text stays, of repeated rows one; an empty table gives an empty table.
+    """
     found = cut(near_components(docs, key, text, shingle, least))
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w"))
     f, w = found.alias("f"), first.alias("w")
