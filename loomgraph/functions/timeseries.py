@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = ("second", "minute", "hour", "day_of_week", "month", "year")
@@ -95,7 +95,14 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return total / F.greatest(seen, F.lit(1))
 
 
-def series(df: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
-    """Rows of events as one row a key with arrays ordered by time."""
+def series(df: DataFrame, key: str, time: str, values: list[str], most: int | None = None) -> DataFrame:
+    """Rows of events as one row a key with arrays ordered by time, then values.
+
+    With ``most`` only the last so many steps are gathered: each task cuts its keys to them
+    before the shuffle, so no array or task holds a key's whole history.  Without it an array does.
+    """
+    if most:
+        line = Window.partitionBy(key).orderBy(*[F.desc(c) for c in (time, *values)])
+        df = df.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= most)
     g = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, *values))).alias("__s"))
     return g.select(key, *[F.col(f"__s.{c}").alias(c) for c in (time, *values)])

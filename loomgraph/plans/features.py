@@ -61,16 +61,18 @@ def seed_delta(spark, sf_dir):
 
 
 def pad_and_cap(spark, sf_dir):
-    s = _series(spark, sf_dir).select("user_id", ts.pad_and_cap(F.col("event_id"), 8, F.lit(0).cast("long")).alias("v"), ts.step_mask(F.col("event_id"), 8).alias("m"))
+    last = ts.series(_events(spark, sf_dir), "user_id", "t", ["value", "event_id"], most=8)
+    s = last.select("user_id", ts.pad_and_cap(F.col("event_id"), 8, F.lit(0).cast("long")).alias("v"), ts.step_mask(F.col("event_id"), 8).alias("m"))
     rows = s.select("user_id", F.posexplode(F.arrays_zip("v", "m")).alias("step", "x"))
     return rows.select("user_id", F.col("step").cast("long").alias("step"), F.col("x.v").alias("event_id"), F.col("x.m").alias("observed"))
 
 
 def causal_slice(spark, sf_dir):
     """Each user's last five events up to the middle of their history."""
-    mid = ((F.array_min("t") + F.array_max("t")) / 2).cast("long")
-    s = _series(spark, sf_dir).select("user_id", ts.causal_cut(F.col("t"), F.col("event_id"), mid, 5).alias("v"))
-    return s.select("user_id", F.explode("v").alias("event_id"))
+    e = _events(spark, sf_dir)
+    middle = e.groupBy("user_id").agg(((F.min("t") + F.max("t")) / 2).cast("long").alias("mid"))
+    seen = e.join(middle, "user_id").where("t <= mid")
+    return ts.series(seen, "user_id", "t", ["value", "event_id"], most=5).select("user_id", F.explode("event_id").alias("event_id"))
 
 
 def masked_mean(spark, sf_dir):
