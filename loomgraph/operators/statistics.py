@@ -321,20 +321,34 @@ def sample_statistics(sample, g, columns: dict[str, list[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK"), limit: int | None = None) -> dict:
+def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: int = 1, skip: tuple[str, ...] = ("UNKNOWN", "MASK"), limit: int | None = None, exact: bool = True) -> dict:
     """Statistics of every node feature, as plain values for a JSON sidecar.
 
     Counts for all; extremes and quantiles for numbers and times, dictionaries for
     text categories; features whose meaning is in ``skip`` are left out.  Each value is bounded by a parameter.
-    ``limit`` looks at that many nodes of a set only, those with the smallest key digests.
+    ``limit`` looks at that many nodes of a set only, those with the smallest key digests.  With ``exact``
+    false a set's extremes and quantiles come from one pass of mergeable sketches (see ``sketches``) instead of a
+    distributed sort for each feature; lists are sorted still.
     """
+    from loomgraph.operators import sketches
+
+    at = [i / (quantile_count - 1) for i in range(quantile_count)] if quantile_count > 1 else [0.5]
     out: dict = {}
     for n, s in g.schema.node_sets.items():
         d, found = g.nodes[n], {}
         if limit is not None:
             d = d.orderBy(F.md5(F.col(g.key(n)).cast("string")), g.key(n)).limit(limit)
         numbers = [f for f, x in s.features.items() if x.format not in ("BYTES", "BOOL") and x.semantic in ("NUMERICAL", "TIMESTAMP", "TIMEDELTA", "CATEGORICAL")]
-        wide = {r["feature"]: r for r in feature_statistics(d, numbers).collect()} if numbers else {}
+        plain = [] if exact else [f for f in numbers if not s.features[f].shape]
+        total = sketches.merged(sketches.state(d, plain)) if plain else None
+        points: dict = {}
+        if total is not None:
+            total = cut(total)
+            for r in sketches.quantiles(total, at).orderBy("at").collect():
+                points.setdefault(r["feature"], []).append(r["q"])
+        wide = {r["feature"]: r for r in total.select("feature", "low", "high").collect()} if plain else {}
+        others = [f for f in numbers if f not in plain]
+        wide |= {r["feature"]: r for r in feature_statistics(d, others).collect()} if others else {}
         rows = d.count()
         for f, x in s.features.items():
             if x.semantic in skip:
@@ -342,6 +356,9 @@ def summary(g, quantile_count: int = 100, max_items: int = 10_000, min_count: in
             found[f] = {"count": rows}
             if f in wide:
                 found[f] |= {"min": wide[f]["low"], "max": wide[f]["high"]}
+                if f in plain:
+                    found[f]["quantiles"] = points.get(f, [])
+                    continue
                 flat = flat_values(d, f)
                 found[f]["quantiles"] = [r["q"] for r in quantiles(flat, "x", quantile_count).orderBy("k").collect()]
             elif x.semantic == "CATEGORICAL" and x.format == "BYTES":

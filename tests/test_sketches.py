@@ -45,3 +45,16 @@ def test_merged_halves_equal_one_pass(spark, table, tmp_path):
 def test_no_rows(table):
     none = K.measures(K.merged(K.state(table.limit(0), ["x", "word"]))).collect()
     assert [(r["feature"], r["rows"], r["low"], r["mean"], r["distinct"]) for r in sorted(none)] == [("word", 0, None, None, 0), ("x", 0, None, None, 0)]
+
+
+def test_summary_by_sketches_agrees_with_the_exact_one(spark, table):
+    from loomgraph.graph import Graph
+    from loomgraph.operators.statistics import summary
+
+    g = Graph.from_frames({"n": (table.where("id < 4000"), "id")}, {})
+    exact, quick = summary(g, 11)["n"], summary(g, 11, exact=False)["n"]
+    assert exact.keys() == quick.keys() and exact["word"] == quick["word"]
+    for f in ("x", "few"):
+        assert exact[f]["count"] == quick[f]["count"] and len(quick[f]["quantiles"]) == 11
+        assert (quick[f]["quantiles"][0], quick[f]["quantiles"][-1]) == (exact[f]["quantiles"][0], exact[f]["quantiles"][-1])
+    assert quick["x"]["quantiles"] == pytest.approx(exact["x"]["quantiles"], abs=0.2)
