@@ -295,12 +295,15 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
     return found.unionByName(_verified(apart, sets, least))
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS,
+                    distance: int = WIDE_DISTANCE, recall: float = RECALL) -> DataFrame:
     """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
 
     Rows with equal sets form one class before any join.  Wide SimHash fingerprints find candidates
     by their coordinates, exact similarity decides; texts are read again only for classes that are in a
-    candidate pair.  ``component_id`` is the smallest non-null key reachable.  Texts
+    candidate pair.  A pair of just the similarity ``least`` meets in a table with probability ``recall``, and is a
+    candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
+    tables and pairs.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
@@ -318,7 +321,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
-    pairs = cut(near_pairs(classes, coordinate_tables(classes.count(), least), neighbours=neighbours))
+    pairs = cut(near_pairs(classes, coordinate_tables(classes.count(), least, recall), distance, neighbours))
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
     first = classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m"))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -331,13 +334,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return rows.select("id", "mark", "fp").join(member, "fp").select("id", "mark", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, **options) -> DataFrame:
     """One row of each component of near copies, the one with the smallest key (null last); columns unchanged.
 
     Null and empty texts have no word and are equal; long texts are read whole; of equal keys the smallest hash of the
-    text stays, of repeated rows one; an empty table gives an empty table.
+    text stays, of repeated rows one; an empty table gives an empty table.  ``options`` are those of ``near_components``.
     """
-    found = cut(near_components(docs, key, text, shingle, least))
+    found = cut(near_components(docs, key, text, shingle, least, **options))
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w"))
     f, w = found.alias("f"), first.alias("w")
     marked = f.join(w, F.col("f.component_id").eqNullSafe(F.col("w.component_id"))).select("f.id", "f.mark", F.struct("f.id", "f.mark").eqNullSafe(F.col("w.w")).alias("stays"))

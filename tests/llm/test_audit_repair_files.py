@@ -290,3 +290,20 @@ def test_token_files_query(spark, tmp_path, tokenizer):
 def test_token_files_of_an_empty_table(spark, tmp_path):
     folder = stored(spark, tmp_path, documents=([], ROWS))
     assert tokenfiles.op13_token_files(spark, folder).collect() == []
+
+
+# ---- near copies: recall can be asked for
+
+
+def test_more_recall_and_distance_lose_no_version(spark):
+    from loomgraph.llm import simhash
+
+    rnd, vocabulary = random.Random(1), [f"w{i}" for i in range(5000)]
+    versions = [[rnd.choice(vocabulary) for _ in range(300)]]
+    while len(versions) < 200:
+        w = list(rnd.choice(versions))
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        versions.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(versions)], "doc_id long, text string")
+    assert simhash.near_components(docs, recall=0.99999, distance=48, neighbours=200).select("component_id").distinct().count() == 1
