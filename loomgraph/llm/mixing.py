@@ -10,6 +10,8 @@ from loomgraph.llm.shared import SPACE, WORD, cut, documents, free_names, one_ro
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most this many times over.
 REPEATS = 3
+#: A document of more than one in so many of its source's target words queues in pieces of that size.
+PIECES = 4096
 #: Rows of a hash range of a source's queue and of a slot of the virtual clock, and the fewest and most of either.
 SPAN_ROWS, SPANS = 1 << 16, (1 << 12, 1 << 18)
 
@@ -39,8 +41,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) ->
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _shuffle_key(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def _shuffle_key(key: Column, text: Column) -> Column:
+    """60 bits of a digest of the key, or of the text where there is no key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix|"), F.coalesce(key.cast("string"), text, F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def _spans(rows: int) -> int:
@@ -49,18 +52,22 @@ def _spans(rows: int) -> int:
 
 
 def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """The mix as a queue: one row for each copy of each document that it serves.
+    """The mix as a queue: one row for each piece of each copy of each document near the budget or before it.
 
     Each source's documents stand in a hash-shuffled queue that is gone through up
-    to ``repeats`` times.  A copy starts when the words before it have been served
-    and has the virtual finish time (words before + its size) / target: all sources
-    reach time 1 together, when the budget is used up.  Copies are range-sorted by
-    that time; ``position`` is the number of words that the whole mix has served
-    before.  A copy that time 1 cuts counts up to it, and the sorted queue is truncated at
-    the total budget: what a copy gets is what its position leaves of it.
+    to ``repeats`` times.  A copy has the virtual finish time (words before + its size) /
+    target: all sources reach time 1 together.  A document longer than a ``PIECES``-th of its
+    source's target queues in pieces, each with a finish time of its own, so that no long document keeps its
+    source far from the target.  All pieces are range-sorted by finish time, whatever source they are of;
+    ``position`` is the number of words before a piece in that order, and the order is truncated at
+    the total budget, the words of the corpus: a piece gets what its position leaves of it.
+
+    With pieces of at most target / PIECES + 1 words, a source has at time T no fewer than T * target - piece
+    words before it, or has run out of copies; so the budget ends by the time at which any source's queue has
+    ``_reach`` words, and pieces that start later never enter the sort.
 
     Columns: id, mark, source, size, source_size, target, row (source, range, nth), copy,
-    words, finish, position.  A row that is never served has copy 0, words 0.
+    start, offered, words, finish, position.  A row that is never served has one row with words 0.
     Null and blank texts have size 0.  Running sums are taken within hash ranges of
     a source and slots of the clock, with the totals of earlier ranges added, so no
     task needs a whole source.
@@ -70,8 +77,9 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         F.xxhash64(F.col(text)).alias("mark"),
         F.col(source).alias("source"),
         words_in(F.col(text)).alias("size"),
+        _shuffle_key(F.col(key).cast("long"), F.col(text)).alias("h"),
     )
-    rows = cut(rows.select("*", _shuffle_key(F.col("id")).alias("h")))
+    rows = cut(rows)
     spans = _spans(rows.count())
     rows = rows.select("*", F.shiftright("h", 61 - spans.bit_length()).cast("int").alias("range"))  # h has 60 bits
     parts = rows.groupBy("source", "range").agg(F.sum("size").alias("part"))
@@ -90,25 +98,37 @@ def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     match = queued["source"].eqNullSafe(plan["source"]) & (queued["range"] == plan["range"])
     queued = queued.join(plan, match).select(queued["*"], "ahead", "source_size", "target")
     turns = queued.select("*", F.explode(F.array(*[F.lit(i) for i in range(repeats)])).alias("copy"))
-    start = F.col("ahead") + F.col("before") + F.col("copy") * F.col("source_size")
-    turns = turns.withColumn("start", start)
-    left = F.floor("target") - F.col("start")
-    turns = turns.withColumn("words", F.greatest(F.lit(0), F.least(left, F.col("size"))).cast("long"))
-    turns = turns.where("copy = 0 OR words > 0")
-    finish = F.when(F.col("words") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    turns = turns.withColumn("finish", finish)
-    slot = F.when(F.col("words") > 0, F.least(F.floor(F.col("finish") * spans), F.lit(spans * 2))).otherwise(F.col("h") % spans)
+    turns = turns.withColumn("start", F.col("ahead") + F.col("before") + F.col("copy") * F.col("source_size"))
+    sources = plan.select("source", "source_size").distinct().agg(F.count("*").alias("n"), F.sum("source_size").alias("budget")).first()
+    turns = turns.where((F.col("copy") == 0) | (F.col("start") < _reach(sources["n"])))
+    piece, most = F.greatest(F.lit(1), F.ceil(F.col("target") / PIECES)), F.ceil(_reach(sources["n"]) - F.col("start"))
+    last = F.greatest(F.lit(0), F.least(F.col("size") - 1, most)).cast("long")
+    turns = turns.withColumn("piece", piece).withColumn("within", F.explode(F.sequence(F.lit(0).cast("long"), last, F.col("piece"))))
+    turns = turns.withColumn("start", F.col("start") + F.col("within"))
+    due = (F.col("size") > 0) & (F.col("start") < _reach(sources["n"]))
+    turns = turns.withColumn("offered", F.when(due, F.least("piece", F.col("size") - F.col("within"))).otherwise(0).cast("long"))
+    turns = turns.where("offered > 0 OR copy = 0 AND within = 0")
+    turns = turns.withColumn("finish", F.when(F.col("offered") > 0, (F.col("start") + F.col("offered")) / F.col("target")))
+    slot = F.when(F.col("offered") > 0, F.least(F.floor(F.col("finish") * spans), F.lit(spans * 2))).otherwise(F.col("h") % spans)
     turns = turns.withColumn("slot", slot.cast("int"))
-    held = turns.groupBy("slot").agg(F.sum("words").alias("held"))
-    held = held.select("slot", F.coalesce(F.sum("held").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("served"))
-    clock = Window.partitionBy("slot").orderBy("finish", "source", "copy", "nth", "range")
-    inside = F.sum("words").over(clock.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    held = turns.groupBy("slot").agg(F.sum("offered").alias("held"))
+    held = held.select("slot", F.coalesce(F.sum("held").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_slot"))
+    clock = Window.partitionBy("slot").orderBy("finish", "source", "start")
+    inside = F.sum("offered").over(clock.rowsBetween(Window.unboundedPreceding, 0)) - F.col("offered")
     placed = turns.withColumn("inside", inside).join(held, "slot")
-    placed = placed.withColumn("position", F.when(F.col("words") > 0, F.col("served") + F.col("inside")))
-    budget = plan.select("source", "target").distinct().agg(F.sum(F.floor("target"))).first()[0] or 0
-    left = F.greatest(F.lit(0), F.least("words", F.lit(budget) - F.col("position")))
-    placed = placed.withColumn("words", F.coalesce(left, F.lit(0)).cast("long"))
-    return placed.select("id", "mark", "source", "size", "source_size", "target", "range", "nth", "copy", "words", "finish", F.when(F.col("words") > 0, F.col("position")).alias("position"))
+    position = F.col("before_slot") + F.col("inside")
+    placed = placed.withColumn("words", _truncated(position, F.col("offered"), sources["budget"] or 0))
+    return placed.select("id", "mark", "source", "size", "source_size", "target", "range", "nth", "copy", "start", "offered", "words", "finish", F.when(F.col("words") > 0, position).alias("position"))
+
+
+def _reach(sources: int) -> Column:
+    """Words of a source's queue beyond which the budget is surely used up."""
+    return F.col("target") * 1.01 + (sources + 1)
+
+
+def _truncated(position: Column, offered: Column, budget: int) -> Column:
+    """What the budget leaves of a piece at its position in the sorted queue."""
+    return F.greatest(F.lit(0), F.least(offered, F.lit(budget) - position)).cast("long")
 
 
 def mix(docs: DataFrame, **columns) -> DataFrame:
@@ -160,7 +180,7 @@ def op3_mixing(spark, sf_dir):
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -180,15 +200,19 @@ WITH d AS (
 ), q AS (
   SELECT d.*, t.place, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (SELECT count(*) AS sources, CAST(sum(source_size) AS BIGINT) AS budget FROM s
 ), c AS (
-  SELECT q.*, copy, ahead + copy * source_size AS start
-  FROM q, (VALUES (0), (1), (2)) v(copy)
+  SELECT q.*, ahead + copy * source_size AS begins, greatest(1, CAST(ceil(target / 4096) AS BIGINT)) AS piece
+  FROM q, (VALUES (0), (1), (2)) v(copy) WHERE size > 0
 ), x AS (
-  SELECT *, CAST(greatest(0, least(floor(target) - start, size)) AS BIGINT) AS words, (start + size) / target AS finish FROM c
+  SELECT doc_id, source, target, begins + within AS start, least(piece, size - within) AS offered
+  FROM (SELECT *, unnest(range(0, size, piece)) AS within FROM c)
+), o AS (
+  SELECT *, CAST(sum(offered) OVER (ORDER BY (start + offered) / target, source NULLS FIRST, start ROWS UNBOUNDED PRECEDING) - offered AS BIGINT) AS position
+  FROM x
 ), p AS (
-  SELECT *, CAST(sum(words) OVER (ORDER BY finish, source NULLS FIRST, copy, h ROWS UNBOUNDED PRECEDING) - words AS BIGINT) AS position
-  FROM x WHERE words > 0
-), g AS (SELECT doc_id, sum(words) AS taken, min(position) AS first_position FROM p GROUP BY doc_id)
+  SELECT doc_id, position, least(offered, budget - position) AS words FROM o, n WHERE position < budget
+), g AS (SELECT doc_id, sum(words) AS taken, CAST(min(position) AS BIGINT) AS first_position FROM p GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken, g.first_position
 FROM q LEFT JOIN g USING (doc_id)
 """

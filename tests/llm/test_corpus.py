@@ -399,11 +399,52 @@ def test_mixing(spark):
         assert 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(target[r["source"]])
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - target[s]) < 1 for s in sizes)
+    assert sum(taken.values()) == sum(sizes.values())  # the whole budget and no word more
+    assert all(abs(taken[s] - target[s]) <= 1 + len(sizes) for s in sizes)
+    queue = {(r["id"], r["mark"], r["range"], r["nth"]): r["taken"] for r in got}
+    assert queue == slow_queue(got, target, sizes)
     again = mixing.mix(table(spark, rows).repartition(7)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, again)))
 
 
+def slow_queue(rows, target, sizes, repeats=3):
+    """What each row gets: every word by its finish time, all sources in one list, cut at the budget."""
+    line = []
+    for s in sizes:
+        at = 0
+        queue = sorted((r for r in rows if r["source"] == s), key=lambda r: (r["range"], r["nth"]))
+        for r in queue * repeats:
+            for _ in range(r["size"]):
+                at += 1
+                line.append((at / target[s], s is not None, s or "", at, (r["id"], r["mark"], r["range"], r["nth"])))
+    got = collections.Counter(x[-1] for x in sorted(line, key=lambda x: x[:4])[: sum(sizes.values())])
+    return {k: got[k] for k in ((r["id"], r["mark"], r["range"], r["nth"]) for r in rows)}
+
+
+def test_the_budget_cuts_the_queue(spark, monkeypatch):
+    """Queues go on past their targets: without the truncation every source gets more."""
+    docs = table(spark, mixed_rows())
+    cut = {(r["id"], r["mark"], r["nth"]): r["taken"] for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "_truncated", lambda position, offered, budget: offered)
+    free = {(r["id"], r["mark"], r["nth"]): r["taken"] for r in mixing.mix(docs).collect()}
+    assert cut != free and all(cut[k] <= free[k] for k in cut) and sum(cut.values()) < sum(free.values())
+
+
+def test_rows_without_ids_are_dealt_by_text(spark):
+    rows = mixing.schedule(table(spark, [(None, f"text {i}", "a") for i in range(60)])).collect()
+    assert len({r["range"] for r in rows}) > 40
+
+
+def test_long_documents_queue_in_pieces(spark, monkeypatch):
+    """A source of one long document comes near a target below its size, whatever the size of pieces."""
+    rows = [(1, "w " * 3000, "z"), *[(10 + i, "u v w x", "a") for i in range(200)]]
+    for pieces in (1 << 12, 50):
+        monkeypatch.setattr(mixing, "PIECES", pieces)
+        got = mixing.mix(table(spark, rows)).collect()
+        one = next(r for r in got if r["id"] == 1)
+        assert abs(one["taken"] - one["target"]) <= one["target"] / pieces + 3 and sum(r["taken"] for r in got) == 3800
+
+
 def test_mix_is_a_queue(spark):
     q = sorted(((r["position"], r["words"], r["finish"]) for r in mixing.schedule(table(spark, mixed_rows())).where("words > 0").collect()))
     at = 0
@@ -424,7 +465,7 @@ def test_mixed_documents(spark):
     sizes = collections.Counter()
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
-    assert all(abs(got[s] - slow_targets(sizes)[s]) <= 1 for s in sizes)
+    assert sum(got.values()) == sum(sizes.values()) and all(abs(got[s] - slow_targets(sizes)[s]) <= 1 + len(sizes) for s in sizes)
     assert mixing.mix(table(spark, EMPTY)).count() == 0 and mixing.mixed_documents(table(spark, EMPTY)).count() == 0
 
 
