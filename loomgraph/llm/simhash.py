@@ -31,6 +31,8 @@ WIDE, WIDE_DISTANCE = 128, 28
 WIDE_PIVOTS = [0, (1 << 128) // 3, (1 << 128) // 15 * 3, (1 << 64) - 1]
 #: Neighbours in a bucket's order that a member meets.
 NEIGHBOURS = 24
+#: Coordinates that the tables of each further level have more than their number of classes asks for: classes of full buckets are split by them.
+LEVELS = (6, 12)
 #: Pairs for each of the first pairs up to which all are verified at once.
 SPARSE = 4
 
@@ -188,37 +190,39 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def coordinate_tables(rows: int, least: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+def coordinate_tables(rows: int, least: float = SIMILARITY, recall: float = RECALL, further: int = 0) -> list[np.ndarray]:
     """The reference bits of each table for a corpus of so many different texts.
 
     A coordinate is a text's distance to a single-bit reference less that to zero, which
     is one of its bits.  Sets of similarity ``least`` have vectors at an angle whose
     share of a half turn is the share of bits that differ.  A table takes so many
     coordinates that few texts agree in all by chance, and there are so many tables
-    that pairs of that similarity agree in one with probability ``recall``.
+    that pairs of that similarity agree in one with probability ``recall``.  ``further``
+    coordinates make smaller buckets, in other and more tables.
     """
     agree = 1 - math.acos(2 * least / (1 + least)) / math.pi
-    width = min(40, max(10, math.ceil(math.log2(max(2, rows))) - 3))
+    width = min(40, max(10, math.ceil(math.log2(max(2, rows))) - 3) + further)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
-    rng = np.random.default_rng(SEED)
+    rng = np.random.default_rng(SEED + further)
     return [np.sort(rng.permutation(WIDE)[:width]) for _ in range(tables)]
 
 
 def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WIDE_DISTANCE, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``(u, v, bits)``: pairs, u < v, of ``classes(fp, high, low)`` at most ``distance`` bits apart that agree in a table.
+    """``(u, v, bits)``: pairs, u < v, of ``classes(fp, high, low, root)`` at most ``distance`` bits apart that agree in a table, of different roots.
 
     Within a bucket, classes stand in the order of their bits, and each meets those
     just before it: all pairs of a usual bucket.  In the bucket of a large family of copies,
     each keeps the closest of the ``neighbours`` before it and the bucket's first: a chain and a star in
     each table, and work proportional to the members.  Pairs whose distances to some reference differ by
-    more than ``distance`` are discarded, and the bits of the others are compared.
+    more than ``distance`` are discarded, and the bits of the others are compared.  A class that stood in a
+    bucket too large for all its pairs comes with itself, as a pair with u = v.
     """
     halves = [(p >> 64, p & (1 << 64) - 1) for p in WIDE_PIVOTS]
 
     def run(batches):
         spots = [(t // 8, (7 - t % 8).astype(np.uint8)) for t in tables]
         for b in batches:
-            fp, high, low = (np.asarray(c).astype(np.int64) for c in b.columns)
+            fp, high, low, root = (np.asarray(c).astype(np.int64) for c in b.columns)
             if not len(fp):
                 continue
             raw = np.stack((high, low), axis=1).astype(">i8").view(np.uint8).reshape(-1, WIDE // 8)
@@ -231,12 +235,13 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
                 for c, t in zip(byte, shift):
                     key = key << np.uint64(1) | (raw[:, c] >> t & 1).astype(np.uint64)
                 key = (key | np.uint64(n) << np.uint64(40)).view(np.int64)
-                yield pa.record_batch([pa.array(x) for x in (key, fp, high, low, d)], names=["key", "fp", "high", "low", "d"])
+                yield pa.record_batch([pa.array(x) for x in (key, fp, high, low, root, d)], names=["key", "fp", "high", "low", "root", "d"])
 
-    keyed = classes.select("fp", "high", "low").mapInArrow(run, "key long, fp long, high long, low long, d long")
+    keyed = classes.select("fp", "high", "low", "root").mapInArrow(run, "key long, fp long, high long, low long, root long, d long")
     line = Window.partitionBy("key").orderBy("high", "low", "fp")
-    own = F.struct("fp", "high", "low", "d")
-    met = keyed.select("fp", "high", "low", "d", F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
+    own = F.struct("fp", "high", "low", "root", "d")
+    around = F.count("*").over(line.rowsBetween(-neighbours - 1, neighbours + 1))
+    met = keyed.select("fp", "high", "low", "root", "d", (around > neighbours + 1).alias("crowded"), F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
 
     def bits(x: Column) -> Column:
         return F.bit_count(x["high"].bitwiseXOR(F.col("high"))) + F.bit_count(x["low"].bitwiseXOR(F.col("low")))
@@ -246,14 +251,15 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
         for k in range(len(halves)):
             at = lambda d: F.shiftright(d, 8 * k).bitwiseAND(F.lit(255))  # noqa: B023, E731
             near = (F.abs(at(x["d"]) - at(F.col("d"))) <= distance) & near
-        return near & (x["fp"] != F.col("fp"))
+        return near & (x["root"] != F.col("root"))
 
     linked = lambda xs: F.transform(F.filter(xs, close), lambda x: F.struct(bits(x).alias("bits"), x["fp"].alias("fp")))
     full = F.size("met") == neighbours
-    some = met.where(F.size("met") > 0).select("fp", full.alias("full"), linked(F.col("met")).alias("linked"), F.when(full, linked(F.array("head"))).alias("first"))
-    found = some.where((F.size("linked") > 0) | F.coalesce(F.size("first") > 0, F.lit(False)))
+    some = met.where("size(met) > 0 OR crowded").select("fp", "crowded", full.alias("full"), linked(F.col("met")).alias("linked"), F.when(full, linked(F.array("head"))).alias("first"))
+    found = some.where((F.size("linked") > 0) | F.coalesce(F.size("first") > 0, F.lit(False)) | F.col("crowded"))
     some = F.when(F.col("full"), F.array_union(F.slice(F.array_sort("linked"), 1, 1), F.col("first"))).otherwise(F.col("linked"))
-    pairs = found.select("fp", F.explode(some).alias("x"))
+    itself = F.array(F.struct(F.lit(0).alias("bits"), F.col("fp").alias("fp")))
+    pairs = found.select("fp", F.explode(F.when(F.col("crowded"), F.array_union(some, itself)).otherwise(some)).alias("x"))
     return pairs.select(F.least("fp", "x.fp").alias("u"), F.greatest("fp", "x.fp").alias("v"), F.col("x.bits").alias("bits")).distinct()
 
 
@@ -296,14 +302,15 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS,
-                    distance: int = WIDE_DISTANCE, recall: float = RECALL) -> DataFrame:
+                    distance: int = WIDE_DISTANCE, recall: float = RECALL, levels=LEVELS) -> DataFrame:
     """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
 
     Rows with equal sets form one class before any join.  Wide SimHash fingerprints find candidates
     by their coordinates, exact similarity decides; texts are read again only for classes that are in a
     candidate pair.  A pair of just the similarity ``least`` meets in a table with probability ``recall``, and is a
     candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
-    tables and pairs.  ``component_id`` is the smallest non-null key reachable.  Texts
+    tables and pairs.  Classes of buckets with more than ``neighbours`` members meet again in tables of
+    further coordinates, at each of ``levels``, where only pairs that nothing has linked so far count.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
@@ -321,13 +328,24 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
-    pairs = cut(near_pairs(classes, coordinate_tables(classes.count(), least, recall), distance, neighbours))
-    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(classes.count(), least, recall), distance, neighbours))
+    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()  # members of full buckets among them
     first = classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m"))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
     sets = cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
-    roots = components(joined(pairs, sets, least))
+    linked = cut(joined(pairs.where("u < v"), sets, least))
+    for further in levels:
+        crowded = pairs.where("u = v").select(F.col("u").alias("fp"))
+        n = crowded.count()
+        if not n:
+            break
+        roots = components(linked).select(F.col("node").alias("fp"), F.col("root").alias("found"))
+        members = classes.join(crowded, "fp", "left_semi").join(roots, "fp", "left")
+        members = cut(members.select("fp", "high", "low", F.coalesce("found", "fp").alias("root")))
+        pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours))
+        linked = cut(linked.unionByName(joined(pairs.where("u < v"), sets, least)))
+    roots = components(linked)
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))
     member = placed.join(low, "root").select("fp", "component_id")

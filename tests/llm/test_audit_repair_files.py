@@ -307,3 +307,19 @@ def test_more_recall_and_distance_lose_no_version(spark):
         versions.append(w)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(versions)], "doc_id long, text string")
     assert simhash.near_components(docs, recall=0.99999, distance=48, neighbours=200).select("component_id").distinct().count() == 1
+
+
+def test_full_buckets_are_split_by_further_coordinates(spark, monkeypatch):
+    """Versions, each edited from a random earlier one, whose buckets are all too large: the further levels find links that the first misses."""
+    from loomgraph.llm import simhash
+
+    rnd, vocabulary = random.Random(5), [f"w{i}" for i in range(5000)]
+    versions = [[rnd.choice(vocabulary) for _ in range(300)]]
+    while len(versions) < 200:
+        w = list(rnd.choice(versions))
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        versions.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(versions)], "doc_id long, text string")
+    parts = {levels: simhash.near_components(docs, neighbours=4, levels=levels).select("component_id").distinct().count() for levels in ((), simhash.LEVELS)}
+    assert parts[simhash.LEVELS] < parts[()] and parts[simhash.LEVELS] <= 3
