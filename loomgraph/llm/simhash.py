@@ -207,15 +207,15 @@ def coordinate_tables(rows: int, least: float = SIMILARITY, recall: float = RECA
     return [np.sort(rng.permutation(WIDE)[:width]) for _ in range(tables)]
 
 
-def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WIDE_DISTANCE, neighbours: int = NEIGHBOURS) -> DataFrame:
+def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WIDE_DISTANCE, neighbours: int = NEIGHBOURS, marks: bool = False) -> DataFrame:
     """``(u, v, bits)``: pairs, u < v, of ``classes(fp, high, low, root)`` at most ``distance`` bits apart that agree in a table, of different roots.
 
     Within a bucket, classes stand in the order of their bits, and each meets those
     just before it: all pairs of a usual bucket.  In the bucket of a large family of copies,
     each keeps the closest of the ``neighbours`` before it and the bucket's first: a chain and a star in
     each table, and work proportional to the members.  Pairs whose distances to some reference differ by
-    more than ``distance`` are discarded, and the bits of the others are compared.  A class that stood in a
-    bucket too large for all its pairs comes with itself, as a pair with u = v.
+    more than ``distance`` are discarded, and the bits of the others are compared.  With ``marks``, a class that
+    stood in a bucket too large for all its pairs comes with itself, as a pair with u = v.
     """
     halves = [(p >> 64, p & (1 << 64) - 1) for p in WIDE_PIVOTS]
 
@@ -240,8 +240,8 @@ def near_pairs(classes: DataFrame, tables: list[np.ndarray], distance: int = WID
     keyed = classes.select("fp", "high", "low", "root").mapInArrow(run, "key long, fp long, high long, low long, root long, d long")
     line = Window.partitionBy("key").orderBy("high", "low", "fp")
     own = F.struct("fp", "high", "low", "root", "d")
-    around = F.count("*").over(line.rowsBetween(-neighbours - 1, neighbours + 1))
-    met = keyed.select("fp", "high", "low", "root", "d", (around > neighbours + 1).alias("crowded"), F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
+    crowded = F.count("*").over(line.rowsBetween(-neighbours - 1, neighbours + 1)) > neighbours + 1 if marks else F.lit(False)
+    met = keyed.select("fp", "high", "low", "root", "d", crowded.alias("crowded"), F.collect_list(own).over(line.rowsBetween(-neighbours, -1)).alias("met"), F.first(own).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("head"))
 
     def bits(x: Column) -> Column:
         return F.bit_count(x["high"].bitwiseXOR(F.col("high"))) + F.bit_count(x["low"].bitwiseXOR(F.col("low")))
@@ -302,7 +302,7 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS,
-                    distance: int = WIDE_DISTANCE, recall: float = RECALL, levels=LEVELS) -> DataFrame:
+                    distance: int = WIDE_DISTANCE, recall: float = RECALL, levels=()) -> DataFrame:
     """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
 
     Rows with equal sets form one class before any join.  Wide SimHash fingerprints find candidates
@@ -310,7 +310,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     candidate pair.  A pair of just the similarity ``least`` meets in a table with probability ``recall``, and is a
     candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
     tables and pairs.  Classes of buckets with more than ``neighbours`` members meet again in tables of
-    further coordinates, at each of ``levels``, where only pairs that nothing has linked so far count.  ``component_id`` is the smallest non-null key reachable.  Texts
+    further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
@@ -328,7 +328,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
-    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(classes.count(), least, recall), distance, neighbours))
+    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(classes.count(), least, recall), distance, neighbours, bool(levels)))
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()  # members of full buckets among them
     first = classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m"))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -343,7 +343,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         roots = components(linked).select(F.col("node").alias("fp"), F.col("root").alias("found"))
         members = classes.join(crowded, "fp", "left_semi").join(roots, "fp", "left")
         members = cut(members.select("fp", "high", "low", F.coalesce("found", "fp").alias("root")))
-        pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours))
+        pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours, True))
         linked = cut(linked.unionByName(joined(pairs.where("u < v"), sets, least)))
     roots = components(linked)
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
