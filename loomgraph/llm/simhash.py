@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,12 @@ NEIGHBOURS = 24
 LEVELS = (6, 12)
 #: Pairs for each of the first pairs up to which all are verified at once.
 SPARSE = 4
+#: Exact way for what buckets leave out: texts whose shingles are counted for their order (which changes no result), most shingles in that
+#: order's list, classes that may share a leading shingle and be paired one by one, and classes and shingles in a block of a larger family.
+COUNTED, LISTED, FEW = 1 << 13, 1 << 18, 48
+FAMILY_ROWS, FAMILY_SHINGLES = 1 << 10, 1 << 20
+#: Most classes whose keys are sent to the texts rather than the texts dealt to them.
+SENT = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -280,6 +287,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32)
     return pairs.select("u", "v", "u_held", "v_held").mapInArrow(run, "u long, v long")
 
 
+def first_pairs(pairs: DataFrame) -> DataFrame:
+    """``(u, v)``: each class's closest of ``pairs(u, v, bits)`` and the one with the smallest class, two for a class at most."""
+    ends = pairs.select(F.col("u").alias("c"), F.col("v").alias("o"), "bits", "u", "v").union(pairs.select("v", "u", "bits", "u", "v"))
+    best = ends.groupBy("c").agg(F.min(F.struct("bits", "o", "u", "v")).alias("x"), F.min(F.struct("o", "bits", "u", "v")).alias("y"))
+    return cut(best.select(F.explode(F.array(F.struct("x.u", "x.v"), F.struct("y.u", "y.v"))).alias("b")).select("b.u", "b.v").distinct())
+
+
 def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse: int = SPARSE) -> DataFrame:
     """Verified pairs that have the components of all of ``pairs(u, v, bits)`` with at least the similarity.
 
@@ -288,9 +302,7 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
     then all pairs that are still between components.  With at most ``sparse`` pairs for each of the
     first ones, all are verified at once.
     """
-    ends = pairs.select(F.col("u").alias("c"), F.col("v").alias("o"), "bits", "u", "v").union(pairs.select("v", "u", "bits", "u", "v"))
-    best = ends.groupBy("c").agg(F.min(F.struct("bits", "o", "u", "v")).alias("x"), F.min(F.struct("o", "bits", "u", "v")).alias("y"))
-    best = cut(best.select(F.explode(F.array(F.struct("x.u", "x.v"), F.struct("y.u", "y.v"))).alias("b")).select("b.u", "b.v").distinct())
+    best = first_pairs(pairs)
     if pairs.count() <= sparse * best.count():
         return _verified(pairs.select("u", "v"), sets, least)
     found = cut(_verified(best, sets, least))
@@ -301,8 +313,119 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
     return found.unionByName(_verified(apart, sets, least))
 
 
+def _common_shingles(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many of ``some(held)`` have, and their counts; they only say in which order a set's shingles stand, so a share of a corpus will do."""
+
+    def each(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["shingle"])
+
+    often = some.select("held").mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 4").orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
+    shingle, n = (np.asarray(often[c]).astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def leading_shingles(held: np.ndarray, common: np.ndarray, count: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a sorted set, rare ones first: two sets of at least the similarity share one of them.
+
+    The common part has at least ``least`` times the shingles of either set, so it can't lie in what follows them.
+    """
+    keep = len(held) - math.ceil(least * len(held) - 1e-9) + 1 if len(held) else 0
+    heat = np.zeros(len(held), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+        heat[common[at] == held] = count[at][common[at] == held]
+    return held[np.argsort(heat, kind="stable")[:keep]]
+
+
+def family_links(fps: list[int], roots: list[int], sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of at least the similarity that have the components of all such pairs of different roots; one less than the sets at most.
+
+    Shared shingles are counted by an index of the sets' shingles; sets of the most frequent root are not compared with each other.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    _, spot, often = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(spot, kind="stable")]
+    first, ends = np.cumsum(often) - often, np.cumsum(sizes)
+    names, group = np.unique(np.array(roots, np.int64), return_inverse=True)
+    main, found = np.bincount(group).argmax(), []
+    for i in np.flatnonzero(group != main).tolist():
+        mine = spot[ends[i] - sizes[i] : ends[i]]
+        n = often[mine]
+        both = np.bincount(owner[np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+        near = np.flatnonzero((both >= least * (sizes + sizes[i] - both) - 1e-9) & (group != group[i]))
+        for j in near.tolist():
+            if group[j] != group[i] and both[j] / (sizes[i] + sizes[j] - both[j]) >= least:
+                found.append((fps[i], fps[j]))
+                group[group == group[j]] = group[i]
+    return found
+
+
+def _family_edges(members: DataFrame, held: DataFrame, least: float, rows: int = FAMILY_ROWS, weight: int = FAMILY_SHINGLES) -> DataFrame:
+    """Links within the families of ``members(fp, root, size, family)``: each is cut into blocks, and every two blocks meet in a group."""
+
+    def compare(table):
+        held = [np.frombuffer(h, np.uint64) for h in table["held"].to_pylist()]
+        found = family_links(table["fp"].to_pylist(), table["root"].to_pylist(), held, least)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / weight)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") > 1, F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("b"))).otherwise(F.array(F.lit(0)))
+    filled = dealt.join(held, "fp").select("fp", "root", "held", "family", "b", F.explode(others).alias("o"))
+    return filled.groupBy("family", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).applyInArrow(compare, "u long, v long")
+
+
+def missing_links(sets: DataFrame, some: DataFrame, held_by: Callable[[DataFrame], DataFrame], roots: DataFrame, least: float = SIMILARITY, few: int = FEW) -> DataFrame:
+    """``(u, v)``: links that join the classes of ``sets(fp, held)`` into the components of all pairs of at least the similarity.
+
+    ``roots(node, root)`` tells what is linked so far; every link between two of its components is
+    found, whatever the fingerprints say.  Two such classes share one of their leading shingles.  Classes that share one
+    with at most ``few`` are paired, and verified if they share enough of them; those of larger groups make families, in which blocks meet blocks, and
+    only merges leave a task.  A set may come more than once; ``held_by(classes)`` gives those of some classes once, and the shingles of
+    ``some`` of them are counted to put frequent ones last.
+    """
+    listed = sets.sparkSession.sparkContext.broadcast(_common_shingles(some))
+
+    def lead(batches):
+        common, count = listed.value
+        for b in batches:
+            held = [np.frombuffer(h, np.uint64) for h in b.column(1).to_pylist()]
+            first = [leading_shingles(h, common, count, least) for h in held]
+            spread = np.array([len(f) for f in first], np.int64)
+            flat = np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)
+            fp, size = np.asarray(b.column(0)).astype(np.int64), np.array([len(h) for h in held], np.int32)
+            yield pa.record_batch([pa.array(flat), pa.array(np.repeat(fp, spread)), pa.array(np.repeat(size, spread))], names=["shingle", "fp", "size"])
+
+    leading = sets.select("fp", "held").mapInArrow(lead, "shingle long, fp long, size int")
+    shared = leading.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1")
+    shared = cut(shared.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).distinct())
+    apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("fp").alias("v")).where("low < high").select("shingle", "v")
+    apart = cut(shared.join(apart, "shingle"))
+    crowd = apart.where(F.col("n") > few)
+    families = components(crowd.select(F.col("fp").alias("u"), "v")).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    families = cut(families)
+    members = crowd.select("fp", "root", "size").distinct().join(families, "fp")
+    within = _family_edges(members, held_by(families.select("fp")), least)
+    one = apart.where(F.col("n") <= few).join(families, "fp", "left").select("shingle", "fp", "root", "size", "family")
+    a, b = one.alias("a"), one.alias("b")
+    unlike = (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & ~F.coalesce(F.col("a.family") == F.col("b.family"), F.lit(False))
+    sized = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & unlike & sized).groupBy(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    met = met.agg(F.count("*").alias("both"), F.max("a.size").alias("x"), F.max("b.size").alias("y"))
+    behind = F.ceil(F.greatest("x", "y") * F.lit(least) - 1e-9) - 1  # shingles of the longer one that do not lead, the most that the leading ones leave out
+    pairs = cut(met.where(F.col("both") + behind >= least / (1 + least) * (F.col("x") + F.col("y")) - 1e-6).select("u", "v"))
+    return within.unionByName(_verified(pairs, held_by(ends_of(pairs)), least))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, neighbours: int = NEIGHBOURS,
-                    distance: int = WIDE_DISTANCE, recall: float = RECALL, levels=()) -> DataFrame:
+                    distance: int = WIDE_DISTANCE, recall: float = RECALL, levels=(), whole: bool = False) -> DataFrame:
     """``(id, mark, component_id)`` for every row; rows whose shingle sets have at least the similarity ``least`` are linked.
 
     Rows with equal sets form one class before any join.  Wide SimHash fingerprints find candidates
@@ -310,7 +433,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     candidate pair.  A pair of just the similarity ``least`` meets in a table with probability ``recall``, and is a
     candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
     tables and pairs.  Classes of buckets with more than ``neighbours`` members meet again in tables of
-    further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  ``component_id`` is the smallest non-null key reachable.  Texts
+    further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  With ``whole`` no link is lost: of the
+    candidates only each class's first pairs are verified, and ``missing_links`` finds all links between the components that they leave,
+    by shared shingles, whatever buckets, bits and tables left out.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
@@ -321,21 +446,34 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             yield pa.record_batch([b.column(0), b.column(1), pa.array([_set_mark(h) for h in held], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "mark", "fp", "high", "low"])
 
     def measure(batches):
-        for b in batches:
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             held = [shingles(t, shingle) for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array([_set_mark(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fp", "held"])
 
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def measured(texts: DataFrame) -> DataFrame:
+        return texts.select("text").mapInArrow(measure, "fp long, held binary")
+
+    def held_by(needed: DataFrame) -> DataFrame:
+        """``(fp, held)`` once for each of the classes ``needed(fp)``, whose texts are read again."""
+        first = cut(classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m")))
+        first = F.broadcast(first) if first.count() <= SENT else first
+        texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
+        return cut(measured(texts).dropDuplicates(["fp"]))
+
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
-    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(classes.count(), least, recall), distance, neighbours, bool(levels)))
-    needed = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()  # members of full buckets among them
-    first = classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m"))
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
-    sets = cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
-    linked = cut(joined(pairs.where("u < v"), sets, least))
-    for further in levels:
+    n_classes = classes.count()
+    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(n_classes, least, recall), distance, neighbours, bool(levels)))
+    if whole:
+        best = first_pairs(pairs.where("u < v"))
+        linked = cut(_verified(best, held_by(ends_of(best)), least))
+    else:
+        sets = held_by(ends_of(pairs))  # members of full buckets among them
+        linked = cut(joined(pairs.where("u < v"), sets, least))
+    for further in () if whole else levels:
         crowded = pairs.where("u = v").select(F.col("u").alias("fp"))
         n = crowded.count()
         if not n:
@@ -345,6 +483,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         members = cut(members.select("fp", "high", "low", F.coalesce("found", "fp").alias("root")))
         pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours, True))
         linked = cut(linked.unionByName(joined(pairs.where("u < v"), sets, least)))
+    if whole:
+        some = measured(plain.where(F.pmod(F.xxhash64("text"), F.lit(1 + n_classes // COUNTED)) == 0))
+        linked = cut(linked.unionByName(missing_links(measured(plain), some, held_by, components(linked), least)))
     roots = components(linked)
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))
@@ -356,9 +497,9 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     """One row of each component of near copies, the one with the smallest key (null last); columns unchanged.
 
     Null and empty texts have no word and are equal; long texts are read whole; of equal keys the smallest hash of the
-    text stays, of repeated rows one; an empty table gives an empty table.  ``options`` are those of ``near_components``.
+    text stays, of repeated rows one; an empty table gives an empty table.  Every link counts; ``options`` are those of ``near_components``.
     """
-    found = cut(near_components(docs, key, text, shingle, least, **options))
+    found = cut(near_components(docs, key, text, shingle, least, **{"whole": True} | options))
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w"))
     f, w = found.alias("f"), first.alias("w")
     marked = f.join(w, F.col("f.component_id").eqNullSafe(F.col("w.component_id"))).select("f.id", "f.mark", F.struct("f.id", "f.mark").eqNullSafe(F.col("w.w")).alias("stays"))

@@ -323,3 +323,50 @@ def test_full_buckets_are_split_by_further_coordinates(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(versions)], "doc_id long, text string")
     parts = {levels: simhash.near_components(docs, neighbours=4, levels=levels).select("component_id").distinct().count() for levels in ((), simhash.LEVELS)}
     assert parts[simhash.LEVELS] < parts[()] and parts[simhash.LEVELS] <= 3
+
+
+@pytest.mark.parametrize("block", [24])
+def test_full_buckets_lose_no_link(spark, monkeypatch, block):
+    """Versions, each edited from a random earlier one, in buckets too large for their pairs: the components of all pairs, within blocks and across them."""
+    from loomgraph.llm import simhash
+
+    rnd, vocabulary = random.Random(5), [f"w{i}" for i in range(5000)]
+    versions = [[rnd.choice(vocabulary) for _ in range(120)] for _ in range(3)]
+    while len(versions) < 180:
+        w = list(rnd.choice(versions))
+        for _ in range(rnd.randrange(1, 5)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        versions.append(w)
+    texts = [" ".join(w) for w in versions] + ["a b c d e f g", "a b c d e f g", "", "x"]
+    sets = [simhash.shingles(t) for t in texts]
+    group = list(range(len(sets)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if simhash.similarity(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                group[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = simhash._family_edges
+    monkeypatch.setattr(simhash, "_family_edges", lambda *a: whole(*a, rows=block))
+    want = {find(i) for i in range(len(sets))}
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs, neighbours=2).collect()} == want
+    capped = simhash.drop_near_copies(docs, neighbours=2, whole=False).count()
+    assert capped > len(want)
+
+
+def test_similar_sets_share_a_leading_shingle():
+    from loomgraph.llm import simhash
+
+    rng = np.random.default_rng(3)
+    common, count = np.arange(0, 400, 3, dtype=np.uint64), rng.integers(5, 50, 134)
+    for _ in range(300):
+        a = np.sort(rng.choice(400, rng.integers(1, 60), replace=False)).astype(np.uint64)
+        b = np.union1d(a[rng.random(len(a)) < 0.9], rng.choice(400, 2).astype(np.uint64))
+        if simhash.similarity(a, b) >= 0.8:
+            assert np.intersect1d(*(simhash.leading_shingles(x, common, count) for x in (a, b))).size
