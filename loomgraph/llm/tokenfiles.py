@@ -49,8 +49,8 @@ LEVEL = 3
 INDEX_MAGIC, TABLE_MAGIC, CLOSING = 0x184D2A50, 0x184D2A5E, b"\xb1\xea\x92\x8f"
 #: Stands before a text's first word, which no space precedes.
 FIRST = "\0"
-#: Texts that are encoded at a time.
-ROWS = 4096
+#: Texts that are encoded at a time; their words and places take several times their bytes.
+ROWS = 1024
 #: Words, and parts of words, whose ids a Python worker keeps.
 _CACHE = 400_000
 
@@ -74,6 +74,7 @@ class ByteEncoder:
     _other_space = re.compile(f"[\t\x0b-\r{_space[6:]}]")
     _plain = re.compile(f" ?[!-~{_latin}]+")
     _parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_latin}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+")
+    _one = re.compile(f" ?[{_latin}]+")
     _doubtful = re.compile(r"[\x00-\x08\x0e-\x1f\x7f" + "".join(map(chr, (0x180E, 0x200B, 0x2060, 0xFEFF))) + "]")
 
     def __init__(self, path: str, end: int = END_ID, cache: int = _CACHE):
@@ -105,11 +106,15 @@ class ByteEncoder:
             return b"".join(map(self.pieces.__getitem__, self._parts.findall(word)))
         return self._whole(word)
 
+    def _kept_word(self, word: str) -> bytes:
+        """Ids of a word that is kept whole: not kept again as its only part."""
+        return self._piece(word) if self._one.fullmatch(word) else self._word(word)
+
     def _after_space(self, word: str) -> bytes:
         """Ids of a word after a space; of a new line and the first word of a line; of FIRST and a text's first word."""
         if word[0] == "\n":
-            return self.line + self._word(word[1:])
-        return self._word(word[1:]) if word[0] == FIRST else self._word(f" {word}")
+            return self.line + self._kept_word(word[1:])
+        return self._kept_word(word[1:]) if word[0] == FIRST else self._kept_word(f" {word}")
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids, then the end id."""
@@ -296,6 +301,7 @@ def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: s
                         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["value"])
         for made in maker.close():
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["value"])
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
