@@ -89,7 +89,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         if self._plain.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, self._parts.findall(word.lower())))
+            parts = self._parts.findall(word.lower())
+            return self._piece(parts[0]) if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))  # the word itself is kept
         return b"".join([self.raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def ids(self, text: str) -> np.ndarray:
@@ -270,6 +271,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                     [keys.slice(at, 500), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array((sizes % window).astype(np.int32)), pa.array((sizes // window).astype(np.int32))],
                     names=["id", "ids", "rest", "full"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     coded = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, schema)
     coded = cut(coded.withColumn("spin", F.xxhash64("id", "rest", F.spark_partition_id())))  # repeated rows spread by task
@@ -309,6 +311,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                     pieces += [(at + s, n, q, o) for s, n, q, o in placed(runs[rest], rest, first_rank + rank, window)]
                 out += [(doc, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids), q, o) for s, n, q, o in pieces]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=names)
+        pa.default_memory_pool().release_unused()
 
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
