@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +41,8 @@ COUNTED, LISTED, FEW = 1 << 13, 1 << 18, 48
 FAMILY_ROWS, FAMILY_SHINGLES = 1 << 10, 1 << 20
 #: Most classes whose keys are sent to the texts rather than the texts dealt to them.
 SENT = 1 << 18
+#: The table of repeated shingles: text bytes for each of its bits, the power of two that has the most bits (128 MB), parts that it is made in, and shingles that a task sorts at once.
+TABLE_BYTES, MOST_BITS, TABLE_PARTS, SORTED = 8, 30, 1 << 7, 1 << 21
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -192,6 +193,13 @@ def wide_fingerprint(held: np.ndarray) -> bytes:
     return np.packbits(ones * 2 > len(held)).tobytes()
 
 
+def _slices(batches, rows: int = 500):
+    """The batches in pieces of so many rows, so that a worker turns few texts and sets into objects at once; what Arrow has left goes back at the end."""
+    for b in batches:
+        yield from (b.slice(at, rows) for at in range(0, b.num_rows, rows))
+    pa.default_memory_pool().release_unused()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -274,7 +282,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 32)
     """The pairs whose shingle sets, ``sets(fp, held)``, have at least the similarity; a set that very many pairs need is dealt out in copies."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             near = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
@@ -313,11 +321,76 @@ def joined(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY, sparse:
     return found.unionByName(_verified(apart, sets, least))
 
 
+def _packed(spots: np.ndarray) -> bytes:
+    """Ascending numbers as their steps, a byte each; 255 goes on in the byte that follows."""
+    steps = np.diff(spots, prepend=0)
+    out = np.full(len(steps) + int((steps // 255).sum()), 255, np.uint8)
+    out[np.cumsum(steps // 255 + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+
+
+def repeated_shingles(texts: DataFrame, bits: int, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """A table of 2 ** ``bits`` bits: set where the upper bits of shingles of ``texts(text)`` meet more than once, in two texts or by chance.
+
+    A task sends the spots of its shingles in order, about a byte each; each part of the table is made in one group.
+    """
+    wide = (1 << bits) // TABLE_PARTS
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        flat, rows = np.concatenate(held), []
+        flat.sort()
+        ends = np.searchsorted(flat, np.arange(TABLE_PARTS) * wide).tolist()
+        for k, (a, b) in enumerate(zip(ends, [*ends[1:], len(flat)])):
+            if b > a:
+                every, n = np.unique(flat[a:b].astype(np.int64) - k * wide, return_counts=True)
+                rows += [(k, False, _packed(every)), (k, True, _packed(every[n > 1]))]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "often", "spots"])
+
+    def spots(batches):
+        held, n = [], 0
+        for b in _slices(batches):
+            for t in b.column(0).to_pylist():
+                held.append((shingles(t, shingle) >> np.uint64(64 - bits)).astype(np.uint32))
+                n += len(held[-1])
+                if n >= SORTED:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    def merged(table):
+        seen, twice = np.zeros(wide, bool), np.zeros(wide, bool)
+        for often, raw in zip(table["often"].to_pylist(), table["spots"].to_pylist()):
+            at = _unpacked(raw)
+            twice[at] |= often | seen[at]
+            seen[at] = True
+        return pa.table({"part": table["part"].slice(0, 1), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+
+    out = np.zeros((TABLE_PARTS, wide // 8), np.uint8)
+    for r in texts.select("text").mapInArrow(spots, "part int, often boolean, spots binary").groupBy("part").applyInArrow(merged, "part int, twice binary").collect():
+        out[r["part"]] = np.frombuffer(r["twice"], np.uint8)
+    return out.ravel()
+
+
+def stand_alone(held: list[np.ndarray], table: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For each set, whether so few of its shingles are repeated, by the ``repeated_shingles``, that no other set has the similarity."""
+    size = np.array([len(h) for h in held], np.int64)
+    spot = (np.concatenate([np.empty(0, np.uint64), *held]) >> np.uint64(64 - (8 * len(table) - 1).bit_length())).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(table[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1, dtype=np.int64)))
+    last = np.cumsum(size)
+    return ends[last] - ends[last - size] < np.ceil(least * size - 1e-9)
+
+
 def _common_shingles(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that many of ``some(held)`` have, and their counts; they only say in which order a set's shingles stand, so a share of a corpus will do."""
 
     def each(batches):
-        for b in batches:
+        for b in _slices(batches):
             yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64))], names=["shingle"])
 
     often = some.select("held").mapInArrow(each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 4").orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
@@ -378,20 +451,20 @@ def _family_edges(members: DataFrame, held: DataFrame, least: float, rows: int =
     return filled.groupBy("family", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).applyInArrow(compare, "u long, v long")
 
 
-def missing_links(sets: DataFrame, some: DataFrame, held_by: Callable[[DataFrame], DataFrame], roots: DataFrame, least: float = SIMILARITY, few: int = FEW) -> DataFrame:
+def missing_links(sets: DataFrame, roots: DataFrame, least: float = SIMILARITY, few: int = FEW) -> DataFrame:
     """``(u, v)``: links that join the classes of ``sets(fp, held)`` into the components of all pairs of at least the similarity.
 
     ``roots(node, root)`` tells what is linked so far; every link between two of its components is
     found, whatever the fingerprints say.  Two such classes share one of their leading shingles.  Classes that share one
     with at most ``few`` are paired, and verified if they share enough of them; those of larger groups make families, in which blocks meet blocks, and
-    only merges leave a task.  A set may come more than once; ``held_by(classes)`` gives those of some classes once, and the shingles of
-    ``some`` of them are counted to put frequent ones last.
+    only merges leave a task.  The shingles of a share of the sets are counted to put frequent ones last.
     """
+    some = sets.where(F.pmod(F.xxhash64("fp"), F.lit(1 + sets.count() // COUNTED)) == 0)
     listed = sets.sparkSession.sparkContext.broadcast(_common_shingles(some))
 
     def lead(batches):
         common, count = listed.value
-        for b in batches:
+        for b in _slices(batches):
             held = [np.frombuffer(h, np.uint64) for h in b.column(1).to_pylist()]
             first = [leading_shingles(h, common, count, least) for h in held]
             spread = np.array([len(f) for f in first], np.int64)
@@ -401,14 +474,14 @@ def missing_links(sets: DataFrame, some: DataFrame, held_by: Callable[[DataFrame
 
     leading = sets.select("fp", "held").mapInArrow(lead, "shingle long, fp long, size int")
     shared = leading.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1")
-    shared = cut(shared.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).distinct())
+    shared = cut(shared.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     apart = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("fp").alias("v")).where("low < high").select("shingle", "v")
     apart = cut(shared.join(apart, "shingle"))
     crowd = apart.where(F.col("n") > few)
     families = components(crowd.select(F.col("fp").alias("u"), "v")).select(F.col("node").alias("fp"), F.col("root").alias("family"))
     families = cut(families)
     members = crowd.select("fp", "root", "size").distinct().join(families, "fp")
-    within = _family_edges(members, held_by(families.select("fp")), least)
+    within = _family_edges(members, sets, least)
     one = apart.where(F.col("n") <= few).join(families, "fp", "left").select("shingle", "fp", "root", "size", "family")
     a, b = one.alias("a"), one.alias("b")
     unlike = (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & ~F.coalesce(F.col("a.family") == F.col("b.family"), F.lit(False))
@@ -417,7 +490,7 @@ def missing_links(sets: DataFrame, some: DataFrame, held_by: Callable[[DataFrame
     met = met.agg(F.count("*").alias("both"), F.max("a.size").alias("x"), F.max("b.size").alias("y"))
     behind = F.ceil(F.greatest("x", "y") * F.lit(least) - 1e-9) - 1  # shingles of the longer one that do not lead, the most that the leading ones leave out
     pairs = cut(met.where(F.col("both") + behind >= least / (1 + least) * (F.col("x") + F.col("y")) - 1e-6).select("u", "v"))
-    return within.unionByName(_verified(pairs, held_by(ends_of(pairs)), least))
+    return within.unionByName(_verified(pairs, sets, least))
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -433,43 +506,52 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     candidate pair.  A pair of just the similarity ``least`` meets in a table with probability ``recall``, and is a
     candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
     tables and pairs.  Classes of buckets with more than ``neighbours`` members meet again in tables of
-    further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  With ``whole`` no link is lost: of the
-    candidates only each class's first pairs are verified, and ``missing_links`` finds all links between the components that they leave,
+    further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  With ``whole`` no link is lost: classes
+    that ``stand_alone`` for their shingles are out, of the candidates among the others only each class's first pairs are verified, and ``missing_links`` finds all links between the components that they leave,
     by shared shingles, whatever buckets, bits and tables left out.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
+    plain, table = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), None
+    if whole:
+        n_bytes = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        bits = max(20, (n_bytes // TABLE_BYTES).bit_length())
+        table = docs.sparkSession.sparkContext.broadcast(repeated_shingles(plain, min(MOST_BITS, bits), shingle))
+
+    def alone(held: list[np.ndarray]) -> np.ndarray:
+        return stand_alone(held, table.value, least) if whole else np.zeros(len(held), bool)
+
     def sign(batches):
-        for b in batches:
+        for b in _slices(batches):
             held = [shingles(t, shingle) for t in b.column(2).to_pylist()]
-            bits = np.frombuffer(b"".join(map(wide_fingerprint, held)), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([_set_mark(h) for h in held], pa.int64()), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "mark", "fp", "high", "low"])
+            single = alone(held)
+            bits = np.frombuffer(b"".join(bytes(WIDE // 8) if x else wide_fingerprint(h) for h, x in zip(held, single)), ">i8").astype(np.int64).reshape(-1, 2)
+            marks = pa.array([_set_mark(h) for h in held], pa.int64())
+            yield pa.record_batch([b.column(0), b.column(1), marks, pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(single)], names=["id", "mark", "fp", "high", "low", "alone"])
 
     def measure(batches):
-        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for b in _slices(batches):
             held = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            held = [h for h, x in zip(held, alone(held)) if not x]
             yield pa.record_batch([pa.array([_set_mark(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fp", "held"])
 
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def measured(texts: DataFrame) -> DataFrame:
-        return texts.select("text").mapInArrow(measure, "fp long, held binary")
-
     def held_by(needed: DataFrame) -> DataFrame:
         """``(fp, held)`` once for each of the classes ``needed(fp)``, whose texts are read again."""
         first = cut(classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m")))
-        first = F.broadcast(first) if first.count() <= SENT else first
-        texts = plain.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m")), "left_semi")
-        return cut(measured(texts).dropDuplicates(["fp"]))
+        few = first.count() <= SENT
+        same = F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m"))
+        texts = plain if whole and not few else plain.join(F.broadcast(first) if few else first, same, "left_semi")  # of all texts, those that stand alone have no set
+        return cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
 
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long"))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), F.first("high").alias("high"), F.first("low").alias("low")))
-    n_classes = classes.count()
-    pairs = cut(near_pairs(classes.withColumn("root", F.col("fp")), coordinate_tables(n_classes, least, recall), distance, neighbours, bool(levels)))
+    rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long, alone boolean"))
+    first = [F.first(c).alias(c) for c in ("high", "low", "alone")]
+    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), *first))
+    some = classes.where("NOT alone")
+    pairs = cut(near_pairs(some.withColumn("root", F.col("fp")), coordinate_tables(some.count(), least, recall), distance, neighbours, bool(levels)))
     if whole:
-        best = first_pairs(pairs.where("u < v"))
-        linked = cut(_verified(best, held_by(ends_of(best)), least))
+        sets = held_by(some.select("fp"))
+        linked = cut(_verified(first_pairs(pairs.where("u < v")), sets, least))
     else:
         sets = held_by(ends_of(pairs))  # members of full buckets among them
         linked = cut(joined(pairs.where("u < v"), sets, least))
@@ -484,8 +566,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours, True))
         linked = cut(linked.unionByName(joined(pairs.where("u < v"), sets, least)))
     if whole:
-        some = measured(plain.where(F.pmod(F.xxhash64("text"), F.lit(1 + n_classes // COUNTED)) == 0))
-        linked = cut(linked.unionByName(missing_links(measured(plain), some, held_by, components(linked), least)))
+        linked = cut(linked.unionByName(missing_links(sets, components(linked), least)))
     roots = components(linked)
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))

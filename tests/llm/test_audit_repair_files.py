@@ -360,6 +360,48 @@ def test_full_buckets_lose_no_link(spark, monkeypatch, block):
     assert capped > len(want)
 
 
+def test_texts_that_stand_alone_meet_no_other(spark, monkeypatch):
+    """Only classes that can have a near copy go to the fingerprints' buckets and send their shingles; those that stay out have none."""
+    from loomgraph.llm import simhash
+
+    rnd, vocabulary = random.Random(9), [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(80)) for _ in range(60)]
+    texts += [t + f" more{k}" for k, t in enumerate(texts[:5])] + [texts[7].upper(), "", None, " ", "x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, sent, pairs, links = [], [], simhash.near_pairs, simhash.missing_links
+    monkeypatch.setattr(simhash, "near_pairs", lambda classes, *a: met.append(classes.count()) or pairs(classes, *a))
+    monkeypatch.setattr(simhash, "missing_links", lambda sets, *a: sent.append(sets.count()) or links(sets, *a))
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()}
+    assert got == {*range(60), 66, 69} and 11 <= met[0] == sent[0] <= 16
+
+
+def test_sets_with_a_similar_one_never_stand_alone(spark):
+    from loomgraph.llm import simhash
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, rng.integers(1, 50))) for _ in range(150)]
+    for t in texts[:100]:
+        w = t.split()
+        w[rng.integers(len(w))] = "z"
+        texts.append(" ".join(w))
+    sets = [simhash.shingles(t) for t in texts]
+    table = simhash.repeated_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 12)
+    every, n = np.unique(np.concatenate(sets) >> np.uint64(52), return_counts=True)
+    want = np.zeros(1 << 12, bool)
+    want[every[n > 1].astype(int)] = True
+    assert np.array_equal(np.unpackbits(table).astype(bool), want)
+    alone = simhash.stand_alone(sets, table)
+    similar = [any(simhash.similarity(a, b) >= 0.8 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    assert alone.any() and not any(x and y for x, y in zip(alone, similar))
+
+
+def test_ascending_numbers_come_back():
+    from loomgraph.llm import simhash
+
+    for spots in ([], [0], [255], [0, 254, 509, 764, 1275, 90_000], list(range(300))):
+        assert simhash._unpacked(simhash._packed(np.array(spots, np.int64))).tolist() == spots
+
+
 def test_similar_sets_share_a_leading_shingle():
     from loomgraph.llm import simhash
 
