@@ -112,20 +112,39 @@ def _thinned(counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS, rounds: int = 10, slack: float = SLACK) -> Centroids:
+def _dense(texts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The counts of texts whose bins and counts are given."""
+    counts = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for row, (spots, n) in zip(counts, texts):
+        row[np.frombuffer(spots, np.uint16)] = np.frombuffer(n, np.float32)
+    return counts
+
+
+def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Counts as normalised TF-IDF vectors, in their place."""
+    v = np.log1p(counts, out=counts)
+    v *= weights
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v
+
+
+def fit(texts: dict[str, list[tuple[bytes, bytes]]], centroids: int = CENTROIDS, rounds: int = 10, slack: float = SLACK) -> Centroids:
     """Spherical k-means inside each language over normalised TF-IDF vectors.
 
+    ``texts`` has each language's texts as their bins and counts; the counts of one language are spread out at a time.
     Short texts are farther from every centroid than long ones of the same language,
     so each centroid has a limit for each of SIZES, from its texts thinned to that size.
     """
-    seen = (counts > 0).sum(axis=0)
-    weights = np.where(seen > 0, np.log((1 + len(labels)) / (1 + seen)) + 1, 0).astype(np.float32)
-    v = np.log1p(counts) * weights
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    names, vectors, owner, limit = sorted(set(labels)), [], [], []
-    tags = np.array(labels)
+    seen = np.zeros(DIMENSIONS, np.int64)
+    for own in texts.values():
+        for spots, _ in own:
+            seen[np.frombuffer(spots, np.uint16)] += 1
+    total = sum(map(len, texts.values()))
+    weights = np.where(seen > 0, np.log((1 + total) / (1 + seen)) + 1, 0).astype(np.float32)
+    names, vectors, owner, limit = sorted(texts), [], [], []
     for n, name in enumerate(names):
-        mine = v[tags == name]
+        counts = _dense(texts[name])
+        mine = _weighted(counts.copy(), weights)
         mean = mine.mean(axis=0)
         chosen = [int((mine @ mean).argmax())]
         while len(chosen) < min(centroids, len(mine)):  # each next start is far from those so far, but no odd single text
@@ -137,18 +156,16 @@ def fit(labels: list[str], counts: np.ndarray, centroids: int = CENTROIDS, round
             c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         members = np.bincount((mine @ c.T).argmax(axis=1), minlength=len(c))
         c = c[members >= min(members.max(), max(2, SHARE * len(mine)))]
+        del mine
         vectors.append(c)
         owner += [n] * len(c)
         cells = np.ones((len(c), len(SIZES)))
         for at, size in enumerate(SIZES):
-            enough = counts[tags == name]
-            enough = enough[enough.sum(axis=1) >= size]
-            if not len(enough):  # larger than any fitting text: as the size before
+            counts = counts[counts.sum(axis=1) >= size]
+            if not len(counts):  # larger than any fitting text: as the size before
                 cells[:, at] = cells[:, at - 1] if at else 1.0
                 continue
-            v_cut = np.log1p(_thinned(enough, size)) * weights
-            v_cut /= np.maximum(np.linalg.norm(v_cut, axis=1, keepdims=True), 1e-12)
-            cos = v_cut @ c.T
+            cos = _weighted(_thinned(counts, size), weights) @ c.T
             near = cos.argmax(axis=1)
             for k in range(len(c)):
                 own = cos[near == k, k] if (near == k).any() else cos.max(axis=1)
@@ -197,13 +214,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 )
 
     rows = training_sample(docs, key, text, lang, sample).mapInArrow(count, "lang string, spots binary, counts binary").collect()
-    rows = sorted((r["lang"], bytes(r["spots"]), bytes(r["counts"])) for r in rows)
-    if not rows:
-        return None
-    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for row, (_, spots, n) in zip(counts, rows):
-        row[np.frombuffer(spots, np.uint16)] = np.frombuffer(n, np.float32)
-    return fit([label for label, _, _ in rows], counts)
+    texts: dict[str, list[tuple[bytes, bytes]]] = {}
+    for label, spots, n in sorted((r["lang"], bytes(r["spots"]), bytes(r["counts"])) for r in rows):
+        texts.setdefault(label, []).append((spots, n))
+    return fit(texts) if texts else None
 
 
 def _judged(column: pa.Array, model: Centroids | None) -> tuple[list[str], np.ndarray, np.ndarray]:

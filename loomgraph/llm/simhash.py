@@ -372,8 +372,9 @@ def repeated_shingles(texts: DataFrame, bits: int, shingle: int = NEAR_SHINGLE)
         return pa.table({"part": table["part"].slice(0, 1), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
     out = np.zeros((TABLE_PARTS, wide // 8), np.uint8)
-    for r in texts.select("text").mapInArrow(spots, "part int, often boolean, spots binary").groupBy("part").applyInArrow(merged, "part int, twice binary").collect():
-        out[r["part"]] = np.frombuffer(r["twice"], np.uint8)
+    made = texts.select("text").mapInArrow(spots, "part int, often boolean, spots binary").groupBy("part").applyInArrow(merged, "part int, twice binary").toArrow()
+    for part, twice in zip(made["part"].to_pylist(), made["twice"]):
+        out[part] = np.frombuffer(twice.as_buffer(), np.uint8)
     return out.ravel()
 
 
@@ -565,9 +566,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         members = cut(members.select("fp", "high", "low", F.coalesce("found", "fp").alias("root")))
         pairs = cut(near_pairs(members, coordinate_tables(n, least, recall, further), distance, neighbours, True))
         linked = cut(linked.unionByName(joined(pairs.where("u < v"), sets, least)))
-    if whole:
-        linked = cut(linked.unionByName(missing_links(sets, components(linked), least)))
     roots = components(linked)
+    if whole:
+        more = cut(missing_links(sets, roots, least))
+        if not more.isEmpty():  # each class is tied to its root: few rounds are left
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("lowest").alias("component_id"))
     member = placed.join(low, "root").select("fp", "component_id")

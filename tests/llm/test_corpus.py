@@ -9,6 +9,7 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -346,6 +347,18 @@ def test_unlearned_languages_and_noise_are_rejected(spark):
     assert clean.where("rejected").count() <= 0.02 * clean.count()
 
 
+def test_language_fit_holds_one_language_at_a_time(spark):
+    """The driver spreads out the counts of one language's texts, not of all: 640 texts are 10 MB."""
+    rows = [(i, f"{chr(97 + i % 16)} text of {chr(98 + i % 16) * 3} {i}", f"l{i % 16:02}", f"lang{i % 16:02}") for i in range(960)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    tracemalloc.start()
+    model = langid.train(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 16 and model.vectors.shape[1] == langid.DIMENSIONS
+    assert peak < 8e6
+
+
 def test_language_without_labels_or_rows(spark):
     empty = table(spark, EMPTY)
     assert langid.train(empty) is None and langid.predict(empty, None).count() == 0

@@ -112,6 +112,28 @@ def test_components_of_a_long_path_of_random_ids(spark):
     assert {r["id"]: r["component"] for r in got} == {i: 0 if i < 3000 else i for i in range(3002)} and len(got) == 3002
 
 
+def test_component_rounds_on_few_edges_shuffle_nothing(spark, monkeypatch):
+    """Each shuffle of a round leaves a thread and its memory in the driver for a minute; only the first step, which deals out the edges, has one."""
+    from loomgraph.operators import connected
+
+    plans, cut = [], connected.cut
+    monkeypatch.setattr(connected, "cut", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(-150, 150), rnd.randrange(-150, 150)) for _ in range(290)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for u, v in edges:
+            if u != v:
+                want[u] = want[v] = min(want[u], want[v])
+    got = {}
+    for most in (connected.TASK_EDGES, 10):  # in one task, and dealt to several
+        monkeypatch.setattr(connected, "TASK_EDGES", most)
+        got[most] = {r["node"]: r["root"] for r in connected.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got[most] == want
+        if most > 10:
+            assert len(plans) > 2 and not any("Exchange" in p for p in plans[1:])
+
+
 def test_split_sizes(spark):
     d = spark.range(101).select(F.col("id").alias("k"), (F.col("id") % 7).alias("t"))
     assert negatives.split_random(d, "k", 0.2).where("valid").count() == 20
