@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import components, cut, documents, rows_without
+from loomgraph.session import shuffles_freed
 
 SHINGLE = 3
 DISTANCE = 2
@@ -43,6 +44,8 @@ FAMILY_ROWS, FAMILY_SHINGLES = 1 << 10, 1 << 20
 SENT = 1 << 18
 #: The table of repeated shingles: text bytes for each of its bits, the power of two that has the most bits (128 MB), parts that it is made in, and shingles that a task sorts at once.
 TABLE_BYTES, MOST_BITS, TABLE_PARTS, SORTED = 8, 30, 1 << 7, 1 << 21
+#: Share of its shingles that a text sends beyond the leading ones where the table would be too full: near copies then share as many more.
+BEYOND = 1 / 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -387,6 +390,49 @@ def stand_alone(held: list[np.ndarray], table: np.ndarray, least: float = SIMILA
     return ends[last] - ends[last - size] < np.ceil(least * size - 1e-9)
 
 
+def meeting_classes(texts: DataFrame, shingle: int = NEAR_SHINGLE, least: float = SIMILARITY, beyond: float = BEYOND) -> DataFrame:
+    """``(fp)``: the classes of ``texts(text)``, by the mark of their set, that share so many leading shingles with others that one may have the similarity.
+
+    For texts of any size: shingles are dealt to tasks and no table of them is held.  With ``beyond`` * n more shingles a set of n
+    sends, the common part has as many more of its first ones in what both sets send.  A set that lies in several tasks
+    counts in each, so that more classes than needed may come, but none is left out.
+    """
+
+    def each(batches):
+        for b in _slices(batches):
+            yield pa.record_batch([pa.array([shingles(t, shingle).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["held"])
+
+    def lead(batches):
+        (common, count), seen = listed.value, set()
+        for b in _slices(batches):
+            new = {_set_mark(h): h for h in (shingles(t, shingle) for t in b.column(0).to_pylist())}
+            new = {fp: h for fp, h in new.items() if fp not in seen}
+            seen.update(new)
+            first = [np.empty(0, np.uint64), *(leading_shingles(h, common, count, least, beyond) for h in new.values())]
+            spread = np.array([len(f) for f in first[1:]], np.int64)
+            fp, size = np.array([*new], np.int64), np.array([len(h) for h in new.values()], np.int32)
+            yield pa.record_batch([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(fp, spread)), pa.array(np.repeat(size, spread))], names=["shingle", "fp", "size"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 + texts.count() // COUNTED)) == 0)
+    listed = texts.sparkSession.sparkContext.broadcast(_common_shingles(some.select("text").mapInArrow(each, "held binary")))
+    line = Window.partitionBy("shingle")
+    sent = texts.select("text").mapInArrow(lead, "shingle long, fp long, size int")
+    shared = sent.withColumn("low", F.min("fp").over(line)).withColumn("high", F.max("fp").over(line)).where("low < high")
+    wanted = 1 + F.floor(F.ceil(F.col("size") * F.lit(least) - 1e-9) * F.lit(beyond))
+    return shared.groupBy("fp").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= wanted).select("fp")
+
+
+def wide_fingerprints(sets: DataFrame) -> DataFrame:
+    """``(fp, high, low)``: the two halves of the wide fingerprint of each of ``sets(fp, held)``."""
+
+    def run(batches):
+        for b in _slices(batches):
+            bits = np.frombuffer(b"".join(wide_fingerprint(np.frombuffer(h, np.uint64)) for h in b.column(1).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["fp", "high", "low"])
+
+    return sets.select("fp", "held").mapInArrow(run, "fp long, high long, low long")
+
+
 def _common_shingles(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that many of ``some(held)`` have, and their counts; they only say in which order a set's shingles stand, so a share of a corpus will do."""
 
@@ -400,12 +446,13 @@ def _common_shingles(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle.view(np.uint64)[order], n[order]
 
 
-def leading_shingles(held: np.ndarray, common: np.ndarray, count: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+def leading_shingles(held: np.ndarray, common: np.ndarray, count: np.ndarray, least: float = SIMILARITY, beyond: float = 0) -> np.ndarray:
     """The first shingles of a sorted set, rare ones first: two sets of at least the similarity share one of them.
 
-    The common part has at least ``least`` times the shingles of either set, so it can't lie in what follows them.
+    The common part has at least ``least`` times the shingles of either set, so it can't lie in what follows them.  With
+    ``beyond`` times its shingles more from each, they share one and ``beyond`` times the smaller set's more.
     """
-    keep = len(held) - math.ceil(least * len(held) - 1e-9) + 1 if len(held) else 0
+    keep = len(held) - math.ceil(least * len(held) - 1e-9) + 1 + math.floor(beyond * len(held)) if len(held) else 0
     heat = np.zeros(len(held), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, held), len(common) - 1)
@@ -508,24 +555,28 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     candidate if at most ``distance`` bits differ: larger values of both lose fewer links, for more
     tables and pairs.  Classes of buckets with more than ``neighbours`` members meet again in tables of
     further coordinates, at each of ``levels`` if any are given (``LEVELS`` are made for it), where only pairs that nothing has linked so far count.  With ``whole`` no link is lost: classes
-    that ``stand_alone`` for their shingles are out, of the candidates among the others only each class's first pairs are verified, and ``missing_links`` finds all links between the components that they leave,
+    that ``stand_alone`` for their shingles, or where that table would be too full are not among the ``meeting_classes``, are out, of the candidates among the others only each class's first pairs are verified, and ``missing_links`` finds all links between the components that they leave,
     by shared shingles, whatever buckets, bits and tables left out.  ``component_id`` is the smallest non-null key reachable.  Texts
     without a word are equal.  Repeated rows come back repeated; an empty table gives no row.
     """
 
-    plain, table = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), None
+    plain, table, meeting = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), None, None
     if whole:
         n_bytes = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         bits = max(20, (n_bytes // TABLE_BYTES).bit_length())
-        table = docs.sparkSession.sparkContext.broadcast(repeated_shingles(plain, min(MOST_BITS, bits), shingle))
+        if bits <= MOST_BITS:
+            table = docs.sparkSession.sparkContext.broadcast(repeated_shingles(plain, bits, shingle))
+        else:
+            meeting = cut(meeting_classes(plain, shingle, least))
+    later = meeting is not None  # fingerprints are made of the sets, when those that meet are known
 
     def alone(held: list[np.ndarray]) -> np.ndarray:
-        return stand_alone(held, table.value, least) if whole else np.zeros(len(held), bool)
+        return stand_alone(held, table.value, least) if table else np.zeros(len(held), bool)
 
     def sign(batches):
         for b in _slices(batches):
             held = [shingles(t, shingle) for t in b.column(2).to_pylist()]
-            single = alone(held)
+            single = alone(held) | later
             bits = np.frombuffer(b"".join(bytes(WIDE // 8) if x else wide_fingerprint(h) for h, x in zip(held, single)), ">i8").astype(np.int64).reshape(-1, 2)
             marks = pa.array([_set_mark(h) for h in held], pa.int64())
             yield pa.record_batch([b.column(0), b.column(1), marks, pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(single)], names=["id", "mark", "fp", "high", "low", "alone"])
@@ -541,17 +592,21 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         first = cut(classes.join(needed, "fp", "left_semi").select(F.col("w.id").alias("i"), F.col("w.mark").alias("m")))
         few = first.count() <= SENT
         same = F.col("id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("m"))
-        texts = plain if whole and not few else plain.join(F.broadcast(first) if few else first, same, "left_semi")  # of all texts, those that stand alone have no set
+        texts = plain if table and not few else plain.join(F.broadcast(first) if few else first, same, "left_semi")  # of all texts, those that stand alone have no set
         return cut(texts.select("text").mapInArrow(measure, "fp long, held binary").dropDuplicates(["fp"]))
 
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     rows = cut(narrow.mapInArrow(sign, "id long, mark long, fp long, high long, low long, alone boolean"))
     first = [F.first(c).alias(c) for c in ("high", "low", "alone")]
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("lowest"), F.min(F.struct("id", "mark")).alias("w"), *first))
-    some = classes.where("NOT alone")
+    if later:
+        sets = held_by(meeting)
+        some = cut(wide_fingerprints(sets))
+    else:
+        some = classes.where("NOT alone")
     pairs = cut(near_pairs(some.withColumn("root", F.col("fp")), coordinate_tables(some.count(), least, recall), distance, neighbours, bool(levels)))
     if whole:
-        sets = held_by(some.select("fp"))
+        sets = sets if later else held_by(some.select("fp"))
         linked = cut(_verified(first_pairs(pairs.where("u < v")), sets, least))
     else:
         sets = held_by(ends_of(pairs))  # members of full buckets among them
@@ -583,7 +638,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     Null and empty texts have no word and are equal; long texts are read whole; of equal keys the smallest hash of the
     text stays, of repeated rows one; an empty table gives an empty table.  Every link counts; ``options`` are those of ``near_components``.
     """
-    found = cut(near_components(docs, key, text, shingle, least, **{"whole": True} | options))
+    with shuffles_freed(docs.sparkSession):
+        found = cut(near_components(docs, key, text, shingle, least, **{"whole": True} | options))
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("w"))
     f, w = found.alias("f"), first.alias("w")
     marked = f.join(w, F.col("f.component_id").eqNullSafe(F.col("w.component_id"))).select("f.id", "f.mark", F.struct("f.id", "f.mark").eqNullSafe(F.col("w.w")).alias("stays"))

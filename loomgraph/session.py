@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,21 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark):
+    """Within it the shuffle files of a query go as soon as it has run, not when the driver happens to collect its garbage.
+
+    For operators of many ``cut`` steps, each of which runs once; a DataFrame that is run again would make them anew.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a session on one machine that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
