@@ -33,7 +33,7 @@ def adjacency(edges: DataFrame, reverse: bool = False, key: str | None = None, s
     are sorted by; without one ``ets`` is null.  Edges equal in all of these are interchangeable.
     """
     a, b = (TARGET, SOURCE) if reverse else (SOURCE, TARGET)
-    ekey = (F.col(key) if key else F.concat_ws("-", a, b)).cast("string")
+    ekey = (F.col(key) if key else F.concat_ws("-", SOURCE, TARGET)).cast("string")
     ets = F.col(stamp) if stamp else F.lit(None).cast("long")
     rows = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbor"), ekey.alias("ekey"), ets.alias("ets"))
     degrees = rows.groupBy("node").agg(F.count("*").alias("degree"))

@@ -19,15 +19,15 @@ def hash_int(*parts: Column, salt: str = "loom") -> Column:
     return F.conv(F.substring(hash_order(*parts, salt=salt), 1, 8), 16, 10).cast("long")
 
 
-def random_negatives(positives: DataFrame, targets: DataFrame, per_edge: int, salt: str = "neg") -> DataFrame:
+def random_negatives(positives: DataFrame, targets: DataFrame, per_edge: int, salt: str = "neg", keep: Sequence[str] = ()) -> DataFrame:
     """``(source, target, k, negative)``: uniform targets with replacement; they may be true neighbours.
 
-    ``targets(idx, id)`` are densely numbered; only their count is needed to draw.
+    ``targets(idx, id)`` are densely numbered; only their count is needed to draw.  ``keep`` names columns of the positives that stay.
     """
     n = targets.agg(F.count("*").alias("n"))
-    drawn = positives.select(SOURCE, TARGET).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1)))).crossJoin(F.broadcast(n))
+    drawn = positives.select(SOURCE, TARGET, *keep).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1)))).crossJoin(F.broadcast(n))
     drawn = drawn.withColumn("idx", hash_int(F.col(SOURCE), F.col(TARGET), F.col("k"), salt=salt) % F.col("n"))
-    return drawn.join(targets.select("idx", F.col("id").alias("negative")), "idx").select(SOURCE, TARGET, "k", "negative")
+    return drawn.join(targets.select("idx", F.col("id").alias("negative")), "idx").select(SOURCE, TARGET, "k", "negative", *keep)
 
 
 def walk_negatives(g: Graph, plan: SamplingPlan, edge_set: str, seeds: DataFrame, walks: int, top: int, edge_key: dict[str, str] | None = None, salt: str = "walk") -> DataFrame:
@@ -97,8 +97,8 @@ def sampler(name: str):
 
 
 @sampler("random")
-def _random(g: Graph, edge_set: str, positives: DataFrame, per_edge: int) -> DataFrame:
-    return random_negatives(positives, dense_index(g.ids(g.schema.edge_sets[edge_set].target), "id"), per_edge)
+def _random(g: Graph, edge_set: str, positives: DataFrame, per_edge: int, keep: Sequence[str] = ()) -> DataFrame:
+    return random_negatives(positives, dense_index(g.ids(g.schema.edge_sets[edge_set].target), "id"), per_edge, keep=keep)
 
 
 @sampler("walk")
@@ -129,10 +129,26 @@ def separated(scored: DataFrame, score: str = "score") -> DataFrame:
     return g.select(SOURCE, TARGET, "positive", F.transform("o", lambda x: x["s"]).alias("negatives"))
 
 
+#: Upper bits of a digest by which rows are counted to find a limit, or dealt to be numbered.
+COUNTED_BITS, DEALT_BITS = 16, 10
+
+
 def split_random(df: DataFrame, key: str, share: float, salt: str = "split") -> DataFrame:
-    """Adds ``valid``: the ``int(n * share)`` rows with the smallest key digests."""
-    ranked = dense_index(df.withColumn("__h", hash_int(F.col(key), salt=salt)), "__h", "__r", ties=[key])
-    return ranked.withColumn("valid", F.col("__r") < int(df.count() * share)).drop("__h", "__r")
+    """Adds ``valid``: the ``int(n * share)`` rows with the smallest key digests.
+
+    Rows are counted by the upper bits of their digests; only those of the part in which the limit lies are ranked.
+    """
+    dealt = df.withColumn("__h", hash_int(F.col(key), salt=salt)).withColumn("__p", F.shiftright("__h", 32 - COUNTED_BITS))
+    counts = sorted(map(tuple, dealt.groupBy("__p").agg(F.count("*")).collect()))  # as many as the bits have values, at most
+    left, part = int(sum(n for _, n in counts) * share), 1 << COUNTED_BITS
+    for p, n in counts:
+        if n > left:
+            part = p
+            break
+        left -= n
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
+    some = dealt.where(F.col("__p") == part).withColumn("valid", rank <= left)
+    return dealt.where(F.col("__p") != part).withColumn("valid", F.col("__p") < part).unionByName(some).drop("__h", "__p")
 
 
 def split_temporal(df: DataFrame, time: str, key: str, share: float) -> DataFrame:
@@ -141,10 +157,20 @@ def split_temporal(df: DataFrame, time: str, key: str, share: float) -> DataFram
     return dense_index(df, time, "__r", ties=[key]).withColumn("valid", F.col("__r") >= n - int(n * share)).drop("__r")
 
 
-def batches(df: DataFrame, key: str, size: int, drop_remainder: bool = True, salt: str = "batch") -> DataFrame:
-    """Adds ``batch`` and ``slot``: shuffled by digest and dealt into batches of ``size``."""
-    ranked = dense_index(df.withColumn("__h", hash_int(F.col(key), salt=salt)), "__h", "__r", ties=[key])
-    out = ranked.withColumn("batch", F.floor(F.col("__r") / size).cast("long")).withColumn("slot", (F.col("__r") % size).cast("long"))
+def batches(df: DataFrame, key: str, size: int, drop_remainder: bool = True, salt: str = "batch", keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Adds ``batch`` and ``slot``: shuffled by digest and dealt into batches of ``size``.
+
+    Digests are uniform, so equal ranges of them are about equally full: rows are ranked in each and shifted by the rows of those before.
+    ``keep`` is given the rows ranked in their ranges, to compute them once.
+    """
+    dealt = df.withColumn("__h", hash_int(F.col(key), salt=salt)).withColumn("__p", F.shiftright("__h", 32 - DEALT_BITS))
+    line = Window.partitionBy("__p").orderBy("__h", key)
+    ranked = keep(dealt.withColumn("__r", F.row_number().over(line) - 1).drop("__h"))
+    sizes = ranked.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ahead = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    place = F.col("__r") + F.col("__ahead")
+    out = ranked.join(F.broadcast(ahead), "__p").withColumn("batch", F.floor(place / size).cast("long")).withColumn("slot", (place % size).cast("long"))
     if drop_remainder:
-        out = out.where(F.col("batch") < F.lit(df.count() // size))
-    return out.drop("__h", "__r")
+        out = out.where(F.col("batch") < F.floor(F.col("__all") / size))
+    return out.drop("__p", "__r", "__ahead", "__all")

@@ -156,7 +156,7 @@ class Sampler:
             return self._fetch(frontier, step, path, carried)
         edges = self.graph.edges[step.edge_set]
         columns = [F.col(a), F.col(b)]
-        columns.append((F.col(key) if key else F.concat_ws("-", a, b)).cast("string").alias("__ekey"))
+        columns.append((F.col(key) if key else F.concat_ws("-", SOURCE, TARGET)).cast("string").alias("__ekey"))
         if stamp:
             columns.append(F.col(stamp).alias("__ets"))
         side = edges.select(*columns)
@@ -253,6 +253,62 @@ def sample_tree(sampler: Sampler, seeds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def first_ends(graph: Graph, step: Step, masks: bool) -> DataFrame:
+    """``(__a, pairs, ends)``: for each node that has edges, the distinct ends of its first ``width`` edges as texts, and the first pairs
+    ``(n, b, m)``, m being how many parallel edges count: with ``masks`` one pair more, so that any one of them can be left out."""
+    if step.then or step.width is None:
+        raise ValueError("one hop of a width is asked for")
+    a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
+    pairs = graph.edges[step.edge_set].groupBy(F.col(a).alias("__a"), F.col(b).alias("b")).agg(F.least(F.count("*"), F.lit(step.width)).cast("int").alias("m"))
+    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("__a").orderBy("b"))).where(F.col("n") <= step.width + masks)
+    lists = pairs.groupBy("__a").agg(F.sort_array(F.collect_list(F.struct("n", "b", "m"))).alias("pairs"))
+    return lists.withColumn("ends", _ends_of(F.col("pairs"), step.width))
+
+
+def _ends_of(pairs: Column, width: int) -> Column:
+    taken = F.slice(F.flatten(F.transform(pairs, lambda x: F.array_repeat(x["b"], x["m"]))), 1, width)
+    return F.transform(F.array_distinct(taken), lambda x: x.cast("string"))
+
+
+def sample_ends(plan: SamplingPlan, mask_set: str, lists: Sequence[DataFrame], seeds: DataFrame, carry: Sequence[str] = ()) -> Sample:
+    """What a ``Sampler`` with ``mask_set`` takes along a plan of one hop, for ``seeds(seed, node, source, target)`` of one row each,
+    whose edges from ``source`` to ``target`` are left out.
+
+    ``lists`` are the ``first_ends`` of the plan's steps, so a seed stays one row until its sample is written out, and nothing is
+    gathered by seed.  The columns ``carry`` stand beside the seed in both tables.
+    """
+    own = F.col("node").cast("string")
+
+    def met(rows: DataFrame, step: Step, held: DataFrame, name: str) -> DataFrame:
+        """With the array ``name`` of the step's ends."""
+        a, b = (TARGET, SOURCE) if step.reverse else (SOURCE, TARGET)
+        rows = rows.join(held, rows["node"] == held["__a"], "left")
+        ends = F.col("ends")
+        if step.edge_set == mask_set:
+            is_own = F.col("node").eqNullSafe(F.col(a)) & F.exists("pairs", lambda x: x["b"].eqNullSafe(F.col(b)))
+            ends = F.when(is_own, _ends_of(F.filter("pairs", lambda x: ~x["b"].eqNullSafe(F.col(b))), step.width)).otherwise(ends)
+        return rows.withColumn(name, F.coalesce(ends, F.array().cast("array<string>"))).drop("__a", "pairs", "ends")
+
+    def as_nodes(step: Step, name: str) -> Column:
+        return F.transform(name, lambda x: F.struct(F.lit(step.node_set).alias("node_set"), x.alias("node")))
+
+    def as_edges(step: Step, name: str) -> Column:
+        return F.transform(name, lambda x: F.struct(F.lit(step.edge_set).alias("edge_set"), (x if step.reverse else own).alias(SOURCE), (own if step.reverse else x).alias(TARGET)))
+
+    def as_set(xs: Column, names: Sequence[str]) -> Column:
+        """Ends of one step don't repeat, so only those of several that reach one set can."""
+        return F.array_distinct(xs) if len(set(names)) < len(names) else xs
+
+    rows, names = seeds, [f"__ends{n}" for n in range(len(plan.steps))]
+    for step, held, name in zip(plan.steps, lists, names):
+        rows = met(rows, step, held, name)
+    itself = F.array(F.struct(F.lit(plan.seed_set).alias("node_set"), own.alias("node")))
+    found = as_set(F.concat(itself, *[as_nodes(s, n) for s, n in zip(plan.steps, names)]), [plan.seed_set, *[s.node_set for s in plan.steps]])  # the start stands first
+    links = as_set(F.concat(*[as_edges(s, n) for s, n in zip(plan.steps, names)]), [s.edge_set for s in plan.steps])
+    nodes, edges = rows.select("seed", *carry, F.posexplode(found).alias("hop", "x")), rows.select("seed", *carry, F.explode(links).alias("x"))
+    return Sample(nodes.select("seed", *carry, "x.node_set", "x.node", F.least("hop", F.lit(1)).alias("hop")), edges.select("seed", *carry, "x.edge_set", f"x.{SOURCE}", f"x.{TARGET}"))
+
+
 def subgraph(sampler: Sampler, seeds: DataFrame) -> Sample:
     """One union graph around all seeds: a sample whose nodes are visited once a step."""
     one = seeds.select(F.lit(0).alias("seed"), (F.col("node") if "node" in seeds.columns else F.col("seed")).alias("node"))

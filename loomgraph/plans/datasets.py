@@ -80,10 +80,9 @@ def link_batches(spark, sf_dir):
     """Links in batches of 32: each one's place, and how many nodes its samples have in the padded batches of both ends."""
     g = trade_graph(spark, sf_dir)
     g = g.project(g.schema.filtered(node_set=lambda n: n in ("part", "supplier"), edge_set=lambda n: n == "supplied_by"))
-    b = datasets.link_batches(datasets.link_dataset(g, "supplied_by", hops=1, width=2, per_edge=1), g.schema, 32)
-    held = lambda s, n: s.nodes.where(F.col("seed").isNotNull()).groupBy("batch", "seed").agg(F.count("*").alias(n))
-    named = b.labels.withColumn("seed", F.concat_ws("|", "source", "target", "k"))
-    both = named.join(held(b.sources, "source_nodes"), ["batch", "seed"]).join(held(b.targets, "target_nodes"), ["batch", "seed"])
+    b = datasets.link_batches(datasets.link_dataset(g, "supplied_by", hops=1, width=2, per_edge=1, once=False), g.schema, 32)
+    held = lambda s, n: s.nodes.where(F.col("slot").isNotNull()).groupBy("batch", "slot").agg(F.count("*").alias(n))
+    both = b.labels.join(held(b.sources, "source_nodes"), ["batch", "slot"]).join(held(b.targets, "target_nodes"), ["batch", "slot"])
     return both.select("batch", "slot", "source", "target", "source_nodes", "target_nodes")
 
 

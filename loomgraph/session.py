@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -35,6 +36,13 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def kept(df):
+    """``df`` computed once and kept as Parquet in the shared folder: for many rows of few columns a small part of what ``cut`` takes."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def shuffles_freed(spark):
     """Within it the shuffle files of a query go as soon as it has run, not when the driver happens to collect its garbage.
